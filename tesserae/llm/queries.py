@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import exact, simhash
+from tesserae.llm import exact, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_simhash_near_dedup, op6_exact_dedup]
+_QUERIES = [op1_simhash_near_dedup, op4_packing, op6_exact_dedup]
 
 _SQL = {
     "op6_exact_dedup": """
