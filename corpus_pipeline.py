@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import exact, simhash
+from tesserae.llm import exact, mixing, packing, simhash, toxicity
 from tesserae.llm._shared import Scratch
 
 
+#: A source may occur so often at most; every document occurs at least once.
+REPEATS = 2.0
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_best(docs)
 
@@ -16,7 +24,21 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("SimHash near-dedup", simhash_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs, repeats=REPEATS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", simhash_dedup),
+    ("mixing sources", mix_sources),
+    ("packing", pack),
+]
 
 #: Tokenised packing can't be said in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None

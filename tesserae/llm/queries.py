@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import exact, packing, simhash
+from tesserae.llm import exact, mixing, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_simhash_near_dedup, op4_packing, op6_exact_dedup]
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), repeats=2.0)
+
+
+_QUERIES = [op1_simhash_near_dedup, op4_packing, op6_exact_dedup, op7_toxicity, op8_source_mixing]
 
 _SQL = {
     "op6_exact_dedup": """
