@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import exact, mixing, packing, simhash, toxicity
+from tesserae.llm import capfilters, exact, mixing, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), repeats=2.0)
 
 
-_QUERIES = [op1_simhash_near_dedup, op4_packing, op6_exact_dedup, op7_toxicity, op8_source_mixing]
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+_QUERIES = [op1_simhash_near_dedup, op4_packing, op5_quality, op6_exact_dedup, op7_toxicity, op8_source_mixing, op9_embedding_near_dedup]
 
 _SQL = {
     "op6_exact_dedup": """
