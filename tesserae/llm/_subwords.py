@@ -71,7 +71,10 @@ class WordTokenizer:
             self.words[w] = self.cores[core] + self.cores[marks]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        return self.encode_words([(t or "").encode("utf-8", "replace").split() for t in texts])
+
+    def encode_words(self, split: list[list[bytes]]) -> list[np.ndarray]:
+        """The ids of texts given as their words."""
         seen: set[bytes] = set()
         for words in split:
             seen.update(words)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import capfilters, exact, mixing, packing, quality, simhash, toxicity
+from tesserae.llm import capfilters, exact, lm, mixing, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,11 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-_QUERIES = [op1_simhash_near_dedup, op4_packing, op5_quality, op6_exact_dedup, op7_toxicity, op8_source_mixing, op9_embedding_near_dedup]
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_simhash_near_dedup, op4_packing, op5_quality, op6_exact_dedup, op7_toxicity, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring]
 
 _SQL = {
     "op6_exact_dedup": """
