@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import capfilters, exact, lm, mixing, packing, quality, simhash, toxicity
+from tesserae.llm import capfilters, exact, lm, mixing, packing, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -45,9 +49,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_simhash_near_dedup, op4_packing, op5_quality, op6_exact_dedup, op7_toxicity, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring]
+_QUERIES = [op1_simhash_near_dedup, op3_warc, op4_packing, op5_quality, op6_exact_dedup, op7_toxicity, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring]
 
 _SQL = {
+    "op3_warc": """
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+        q as (select *, max(page_id) over (partition by hex) as last from p)
+        select page_id, strlen(html) as payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1) for i in range(32)], '') as payload_digest,
+               case when page_id = last then 'response' else 'revisit' end as record_type,
+               case when page_id <> last then last end as refers_to
+        from q
+    """,
     "op6_exact_dedup": """
         with t as (
             select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm from documents
