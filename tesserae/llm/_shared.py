@@ -19,6 +19,19 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+#: Rows of an Arrow batch, at most: whole texts of any length pass through the workers.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of few rows, so that a worker's memory stays bounded."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one is made only in local mode, where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

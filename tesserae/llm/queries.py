@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import capfilters, exact, lm, mixing, packing, quality, simhash, toxicity, warc
+from tesserae.llm import capfilters, exact, lm, mixing, packing, quality, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_simhash_near_dedup, op3_warc, op4_packing, op5_quality, op6_exact_dedup, op7_toxicity, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring]
+_QUERIES = [op1_simhash_near_dedup, op2_substring_dedup, op3_warc, op4_packing, op5_quality, op6_exact_dedup, op7_toxicity, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring]
 
 _SQL = {
     "op3_warc": """
