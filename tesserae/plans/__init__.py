@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tesserae.plans import activity, journal, scalars, store, text, timeline  # noqa: F401
+from tesserae.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
