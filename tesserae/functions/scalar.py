@@ -123,8 +123,12 @@ def search_score(query: list[str], path: Column | str) -> Column:
     p = F.lower(_col(path))
     name, hay = F.substring_index(p, "/", -1), tokens(path)
     total = F.lit(0)
+
+    def one(q: str) -> Column:
+        return F.when(F.array_contains(hay, q), 10).when(F.exists(hay, lambda t: t.startswith(q)), 6).when(name.contains(q), 4).when(p.contains(q), 2).otherwise(0)
+
     for q in query:
-        total = total + F.when(F.array_contains(hay, q), 10).when(F.exists(hay, lambda t, q=q: t.startswith(q)), 6).when(name.contains(q), 4).when(p.contains(q), 2).otherwise(0)
+        total = total + one(q)
     every = F.lit(True)
     for q in query:
         every = every & p.contains(q)

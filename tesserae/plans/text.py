@@ -1 +1,62 @@
-"""Queries."""
+"""Queries over texts and paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.functions.note_grammar import note_ops as parse
+from tesserae.functions.scalar import search_score
+from tesserae.operators import chunking as K
+from tesserae.plans.registry import query, table
+
+_WORDS = ["red", "widget", "eco", "brand"]
+
+
+@query(f"""with p as (select p_partkey, replace(p_brand, '#', '') || '/' || p_type || '/' || p_name || '.mov' as path from part),
+t as (select *, lower(path) as low, lower(p[3]) as name, list_filter(regexp_split_to_array(lower(path), '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2) as toks from (select *, string_split(path, '/') as p from p)),
+s as (select p_partkey, path, {' + '.join(f"case when list_contains(toks, '{w}') then 10 when len(list_filter(toks, lambda x: starts_with(x, '{w}'))) > 0 then 6 when contains(name, '{w}') then 4 when contains(low, '{w}') then 2 else 0 end" for w in _WORDS)} as raw, {' and '.join(f"contains(low, '{w}')" for w in _WORDS)} as every from t)
+select p_partkey, path, (raw + case when raw > 0 and every then 5 else 0 end)::int as score from s where raw > 0 order by score desc, path, p_partkey limit 50""")
+def ranked_search(spark, sf_dir):
+    path = F.concat_ws("/", F.replace("p_brand", F.lit("#"), F.lit("")), "p_type", F.concat("p_name", F.lit(".mov")))
+    hits = table(spark, sf_dir, "part").select("p_partkey", path.alias("path")).withColumn("score", search_score(_WORDS, "path").cast("int"))
+    return hits.where("score > 0").orderBy(F.desc("score"), "path", "p_partkey").limit(50)
+
+
+@query("""with l as (select source, unnest(string_split(text, chr(10))) as line from documents), h as (select source, sha256(line) as hash, count(*) as n, min(strlen(line)) as size from l where line <> '' group by 1, 2)
+select source, sum(n)::bigint as total, count(*) as "unique", round((sum(n) - count(*)) * 100.0 / sum(n), 9)::double as dedup_pct, sum(n * size)::bigint as bytes, sum(size)::bigint as stored from h group by 1""")
+def line_chunk_dedup(spark, sf_dir):
+    return K.line_stats(table(spark, sf_dir, "documents"), "source")
+
+
+@query()
+def cdc_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return K.cdc_chunks(d.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("data")))
+
+
+@query("""with b as (select p_partkey // 8 as stripe, unnest(range(1, length(p_name) + 1)) as pos, p_name from part), x as (select stripe, pos, bit_xor(ascii(p_name[pos::int])) as v from b group by 1, 2)
+select stripe, string_agg(lpad(lower(to_hex(v)), 2, '0'), '' order by pos) as parity from x group by 1""")
+def xor_parity(spark, sf_dir):
+    return K.xor_parity(table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 8).alias("stripe"), F.col("p_name").alias("text")))
+
+
+@query()
+def note_ops(spark, sf_dir):
+    n = (F.col("event_id") % 9 + 1).cast("string")
+    notes = [F.concat(F.lit("Cut "), n, F.lit(".5 seconds off the end. Louder by "), n, F.lit(" db!")), F.concat(F.lit("trim half a second off the start; delete this")), F.lit("replace it with the wide shot please"), F.concat(F.lit("shave "), n, F.lit(" frames off the tail")), F.lit("Love the mood here. Turn down the music")]
+    body = F.element_at(F.array(*notes), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", body.alias("body")).select("event_id", F.posexplode_outer(parse("body")).alias("n", "o")).select("event_id", "n", "o.op", "o.value")
+
+
+@query("""with p as (select distinct 'r' || p_partkey % 5 || '/s' || p_partkey % 7 || '/t' || p_partkey % 11 as path from part), r as (select unnest(['r0', 'r0/s1', 'r0/s1/t3', 'r1/s', 'r2', 'r3/s3', 'r3/s3/t10']) as root)
+select path, max_by(root, length(root)) as root from p join r on path = root or starts_with(path, root || '/') group by 1""")
+def longest_prefix(spark, sf_dir):
+    k = lambda c, n: F.concat(F.lit(c), (F.col("p_partkey") % n).cast("string"))
+    roots = spark.createDataFrame([(r,) for r in ("r0", "r0/s1", "r0/s1/t3", "r1/s", "r2", "r3/s3", "r3/s3/t10")], "root string")
+    return K.longest_prefix(table(spark, sf_dir, "part").select(F.concat_ws("/", k("r", 5), k("s", 7), k("t", 11)).alias("path")), roots)
+
+
+@query("select conv_id, turn, regexp_matches(text, '(?i)merge|the') as hit, strlen(text) as bytes from conversations where contains(lower(text), 'the') order by conv_id, turn limit 60")
+def substring_search(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where(F.lower("text").contains("the"))
+    return c.select("conv_id", "turn", F.col("text").rlike("(?i)merge|the").alias("hit"), F.octet_length("text").alias("bytes")).orderBy("conv_id", "turn").limit(60)

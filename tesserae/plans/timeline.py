@@ -1 +1,167 @@
-"""Queries."""
+"""Queries over orders and lines read as notes and timelines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.operators import timeline as T
+from tesserae.plans.derived import ENTRIES, manifest_entries
+from tesserae.plans.registry import query, table
+
+_BASE_NOTES = "select o_orderkey as id, o_custkey % 50 as author, o_orderkey % 400 as anchor, case o_orderstatus when 'O' then 'OPEN' when 'F' then 'RESOLVED' else 'REJECTED' end as status, o_custkey % 5 as pin, o_orderpriority as attachment, o_orderkey * 1000 as created_ms from orders"
+_TURN = "case when o_orderkey % {a} = 0 then case status when 'OPEN' then '{to}' else 'OPEN' end else status end"
+
+
+def _notes_sql(drop: int, turn: int, to: str, pin: int, att: int, late: int, extra: int) -> str:
+    return f"""select id, author, anchor, case when id % {turn} = 0 then '{to}' else status end as status, case when id % {pin} = 0 then pin + {pin} else pin end as pin,
+        case when id % {att} = 0 then 'a{att}' else attachment end as attachment, created_ms + case when id % {late} = 0 then {late} else 0 end as created_ms
+        from every where id % {drop} <> 0 and (id % 20 <> 3 or id % {extra} = 0)"""
+
+
+_NOTES = f"""every as ({_BASE_NOTES}), b as (select * from every where id % 20 <> 3), o as ({_notes_sql(11, 7, 'RESOLVED', 13, 23, 4, 2)}), t as ({_notes_sql(17, 5, 'REJECTED', 19, 29, 6, 3)})"""
+
+
+def _notes(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "OPEN").when(F.col("o_orderstatus") == "F", "RESOLVED").otherwise("REJECTED")
+    every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("author"), (F.col("o_orderkey") % 400).alias("anchor"), status.alias("status"), (F.col("o_custkey") % 5).alias("pin"), F.col("o_orderpriority").alias("attachment"), (F.col("o_orderkey") * 1000).alias("created_ms"))
+
+    def side(drop, turn, to, pin, att, late, extra):
+        at = lambda n: F.col("id") % n == 0
+        return every.where(~at(drop) & ((F.col("id") % 20 != 3) | at(extra))).withColumns({
+            "status": F.when(at(turn), to).otherwise(F.col("status")), "pin": F.when(at(pin), F.col("pin") + pin).otherwise(F.col("pin")),
+            "attachment": F.when(at(att), f"a{att}").otherwise(F.col("attachment")), "created_ms": F.col("created_ms") + F.when(at(late), late).otherwise(0),
+        })
+
+    return every.where("id % 20 <> 3"), side(11, 7, "RESOLVED", 13, 23, 4, 2), side(17, 5, "REJECTED", 19, 29, 6, 3)
+
+
+_MERGED = """j as (select coalesce(o.id, t.id, b.id) as id, b.id as bid, o.id as oid, t.id as tid, b.pin as bp, o.pin as op, t.pin as tp, b.attachment as ba, o.attachment as oa, t.attachment as ta, o.status as os, t.status as ts,
+    o.created_ms as oc, t.created_ms as tc, coalesce(o.author, t.author) as author, coalesce(o.anchor, t.anchor) as anchor, (o.status, o.pin, o.attachment, o.created_ms) = (t.status, t.pin, t.attachment, t.created_ms) as same
+    from b full join o on b.id = o.id full join t on t.id = coalesce(b.id, o.id)),
+k as (select *, bid is not null and oid is not null and tid is not null and not same as old, os <> ts and os <> 'OPEN' and ts <> 'OPEN' as clash from j where bid is null or (oid is not null and tid is not null)),
+m as (select id, author, anchor, case when old and not clash then case when os = 'OPEN' then ts else os end else coalesce(os, ts) end as status,
+    case when old and not clash then case when op = bp then tp else op end else coalesce(op, tp) end as pin,
+    case when old and not clash then case when oa = ba then ta else oa end else coalesce(oa, ta) end as attachment,
+    case when old and not clash then greatest(oc, tc) else coalesce(oc, tc) end as created_ms,
+    case when bid is null and oid is not null and tid is not null and not same then 'id collision' when old and clash then 'status' when old and oa <> ta and oa <> ba and ta <> ba then 'attachment' when old and op <> tp and op <> bp and tp <> bp then 'pin' end as conflict from k)"""
+
+
+@query(f"with {_NOTES}, {_MERGED} select * from m")
+def notes_merge(spark, sf_dir):
+    return T.merge_notes(*_notes(spark, sf_dir))
+
+
+@query(f"with {_NOTES}, {_MERGED}, r as (select author, anchor, id, row_number() over (partition by author, anchor order by id) as n from m) select a.author, a.anchor, a.id as first, b.id as second from r a join r b using (author, anchor) where a.n = 1 and b.n = 2")
+def notes_answered_twice(spark, sf_dir):
+    return T.answered_twice(T.merge_notes(*_notes(spark, sf_dir)))
+
+
+def _clips(spark, sf_dir):
+    return manifest_entries(spark, sf_dir).select(F.col("manifest").alias("doc"), F.concat(F.lit("e"), F.col("idx").cast("string")).alias("element"), F.lit(0).cast("long").alias("track"), "idx", F.col("len").alias("dur"), F.concat(F.lit("clip"), (F.col("chunk") % 40).cast("string")).alias("name"), "chunk")
+
+
+def _side(clips, drop: int, cut: int, by: int, rename: int, move: int, put: int, tag: str):
+    at = lambda n: F.col("chunk") % n == 0
+    kept = clips.where(~at(drop)).withColumns({"dur": F.when(at(cut), F.col("dur") + by).otherwise(F.col("dur")), "name": F.when(at(rename), F.concat("name", F.lit(tag))).otherwise(F.col("name")), "track": F.when(at(move), 1).otherwise(F.col("track")).cast("long")})
+    new = clips.where(at(put)).withColumns({"element": F.concat("element", F.lit(tag)), "name": F.concat(F.lit("new"), F.lit(tag) if put % 2 else F.lit("")), "idx": F.col("idx")})
+    return kept.unionByName(new).drop("chunk")
+
+
+def _sides(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    return c.drop("chunk"), _side(c, 13, 7, 1, 17, 19, 24, "x"), _side(c, 11, 5, 2, 9, 16, 18, "y")
+
+
+def _side_sql(name: str, drop: int, cut: int, by: int, rename: int, move: int, put: int, tag: str) -> str:
+    new = f"'new{tag}'" if put % 2 else "'new'"
+    return f"""{name} as (select doc, element, case when chunk % {move} = 0 then 1 else track end as track, idx, case when chunk % {cut} = 0 then dur + {by} else dur end as dur, case when chunk % {rename} = 0 then name || '{tag}' else name end as name from clips where chunk % {drop} <> 0
+    union all select doc, element || '{tag}', track, idx, dur, {new} from clips where chunk % {put} = 0)"""
+
+
+def _ops_sql(name: str, side: str) -> str:
+    return f"""{name}j as (select coalesce(b.doc, s.doc) as doc, coalesce(b.element, s.element) as element, b.track as bt, s.track as st, b.dur as bd, s.dur as sd, b.name as bn, s.name as sn, s.track || ':' || s.idx as slot from clips b full join {side} s on b.doc = s.doc and b.element = s.element),
+{name} as (select doc, element, 'insert' as kind, null as attr, sn as value, slot as anchor from {name}j where bt is null union all select doc, element, 'remove', null, null, null from {name}j where st is null
+    union all select doc, element, 'move', null, slot, slot from {name}j where bt <> st union all select doc, element, 'trim', null, (sd - bd)::varchar, null from {name}j where bd <> sd
+    union all select doc, element, 'attr', 'name', sn, null from {name}j where bn <> sn)"""
+
+
+_CLIPS = f"{ENTRIES}, clips as (select manifest as doc, 'e' || idx as element, 0::bigint as track, idx, len as dur, 'clip' || chunk % 40 as name, chunk from entries)"
+_OURS, _THEIRS = _side_sql("ours", 13, 7, 1, 17, 19, 24, "x"), _side_sql("theirs", 11, 5, 2, 9, 16, 18, "y")
+_OPS = f"{_CLIPS}, {_OURS}, {_THEIRS}, {_ops_sql('oo', 'ours')}, {_ops_sql('tt', 'theirs')}"
+
+
+@query(f"with {_OPS} select * from oo")
+def op_extract(spark, sf_dir):
+    base, ours, _ = _sides(spark, sf_dir)
+    return T.extract_ops(base, ours)
+
+
+_CLASSES = """pairs as (select o.doc, o.element as o_element, t.element as t_element, o.kind as ok, t.kind as tk, coalesce(o.attr, '') as oa, coalesce(t.attr, '') as ta,
+    o.value is not distinct from t.value and o.attr is not distinct from t.attr and o.anchor is not distinct from t.anchor as eq from oo o join tt t on o.doc = t.doc and (o.element = t.element or o.anchor = t.anchor)),
+classed as (select *, case when ok = 'remove' and tk = 'remove' then 6 when ok = 'insert' and tk = 'insert' then case when eq then 6 else 8 end when ok = 'insert' or tk = 'insert' then 0 when ok = 'remove' or tk = 'remove' then 7
+    when ok = 'move' and tk = 'move' then 4 when (ok, tk) in (('move', 'trim'), ('trim', 'move')) then 5 when ok = 'move' or tk = 'move' then 2
+    when ok = 'trim' and tk = 'trim' then case when eq then 6 else 3 end when ok <> tk then 2 when oa <> ta then 2 when eq then 6 else 3 end as class from pairs),
+judged as (select *, case when class in (7, 3) or (class = 4 and not eq) then 'human' when class = 8 then 'note' else 'auto' end as verdict from classed)"""
+
+
+@query(f"with {_OPS}, {_CLASSES} select doc, o_element, t_element, ok as o_kind, tk as t_kind, class::int as class, verdict from judged")
+def op_classifier(spark, sf_dir):
+    base, ours, theirs = _sides(spark, sf_dir)
+    return T.classify(T.extract_ops(base, ours), T.extract_ops(base, theirs)).select("doc", "o_element", "t_element", "o_kind", "t_kind", "class", "verdict")
+
+
+@query(f"""with {_OPS}, {_CLASSES}, stop as (select doc, o_element as element from judged where verdict = 'human' union select doc, t_element from judged where verdict = 'human'),
+ops as (select * from (select *, 0 as side from oo union all select *, 1 from tt) a where not exists (select 1 from stop s where s.doc = a.doc and s.element = a.element)),
+per as (select doc, element, max(case when kind = 'remove' then 1 else 0 end) as gone, min(case when kind = 'insert' then side end) as put_side, arg_min(value, side) filter (kind = 'insert') as put_name, arg_min(anchor, side) filter (kind = 'insert') as put_at,
+    arg_min(anchor, side) filter (kind = 'move') as moved, arg_min(value, side) filter (kind = 'trim') as cut, arg_min(value, side) filter (kind = 'attr') as named from ops group by 1, 2),
+rows_ as (select coalesce(c.doc, p.doc) as doc, coalesce(c.element, p.element) as element, coalesce(split_part(coalesce(put_at, moved), ':', 1)::bigint, track) as track, coalesce(split_part(coalesce(put_at, moved), ':', 2)::bigint, idx) as i,
+    coalesce(put_side, -1) as side, coalesce(dur, 1) + coalesce(cut::bigint, 0) as dur, coalesce(named, put_name, name) as name from clips c full join per p on c.doc = p.doc and c.element = p.element where coalesce(gone, 0) = 0)
+select doc, element, track, (row_number() over (partition by doc, track order by i, side desc, element) - 1)::int as idx, dur, name from rows_""")
+def timeline_merge(spark, sf_dir):
+    return T.merge_timelines(*_sides(spark, sf_dir))
+
+
+_LADDER = """lb as (select doc, element as id, case when chunk % 3 = 0 then chunk end as uuid, name, dur from clips), ls as (select doc, 's' || element as id, case when chunk % 6 = 0 then chunk end as uuid, case when chunk % 5 = 0 then name || 'z' else name end as name, dur from clips where chunk % 14 <> 0)"""
+
+
+def _rung(n: int, key: str, left: str, right: str) -> str:
+    on = " and ".join(f"l.{k} = r.{k}" for k in key.split(", "))
+    return f"""m{n} as (select l.doc, l.id as base_id, r.id as side_id, {n} as rung from (select *, row_number() over (partition by doc, {key} order by id) as n from {left}) l join (select *, row_number() over (partition by doc, {key} order by id) as n from {right}) r on l.doc = r.doc and {on} and l.n = r.n),
+lb{n} as (select * from {left} l where not exists (select 1 from m{n} m where m.doc = l.doc and m.base_id = l.id)), ls{n} as (select * from {right} r where not exists (select 1 from m{n} m where m.doc = r.doc and m.side_id = r.id))"""
+
+
+@query(f"with {_CLIPS}, {_LADDER}, {_rung(0, 'uuid', 'lb', 'ls')}, {_rung(1, 'name, dur', 'lb0', 'ls0')}, {_rung(2, 'name', 'lb1', 'ls1')}, {_rung(3, 'dur', 'lb2', 'ls2')} select * from m0 union all select * from m1 union all select * from m2 union all select * from m3")
+def identity_ladder(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    at = lambda n: F.col("chunk") % n == 0
+    base = c.select("doc", F.col("element").alias("id"), F.when(at(3), F.col("chunk")).alias("uuid"), "name", "dur")
+    side = c.where(~at(14)).select("doc", F.concat(F.lit("s"), "element").alias("id"), F.when(at(6), F.col("chunk")).alias("uuid"), F.when(at(5), F.concat("name", F.lit("z"))).otherwise(F.col("name")).alias("name"), "dur")
+    return T.identity_ladder(base, side, [["uuid"], ["name", "dur"], ["name"], ["dur"]])
+
+
+@query("""with m as (select l_orderkey as doc, list_sort(list_distinct(list(l_returnflag || l_linenumber))) as a, list_sort(list_distinct(list(l_linestatus || l_linenumber) || list(l_returnflag || (l_linenumber + 1)))) as b from lineitem group by 1)
+select doc, array_to_string(list_sort(list_filter(b, lambda x: not list_contains(a, x))), ',') as added, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), ',') as removed from m""")
+def marker_set_diff(spark, sf_dir):
+    n = F.col("l_linenumber")
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_set(F.concat("l_returnflag", n.cast("string"))).alias("a"), F.collect_set(F.concat("l_linestatus", n.cast("string"))).alias("b1"), F.collect_set(F.concat("l_returnflag", (n + 1).cast("string"))).alias("b2"))
+    b = F.array_union("b1", "b2")
+    return m.select("doc", F.array_join(F.array_sort(F.array_except(b, F.col("a"))), ",").alias("added"), F.array_join(F.array_sort(F.array_except(F.col("a"), b)), ",").alias("removed"))
+
+
+@query(f"""with {_CLIPS}, a as (select doc, name, row_number() over (partition by doc, name order by idx) as n, dur::double as d from clips), b as (select doc, name, row_number() over (partition by doc, name order by idx) as n, case when chunk % 9 = 0 then dur + 0.5 when chunk % 10 = 0 then dur + 2 else dur end::double as d from clips where chunk % 8 <> 0
+    union all select doc, 'extra', 1, 1 from clips where idx = 1 and doc % 3 = 0)
+select coalesce(a.doc, b.doc) as doc, count(*) filter (a.d is not null and b.d is not null) as kept, count(*) filter (b.d is null) as dropped, count(*) filter (a.d is null) as added, count(*) filter (abs(a.d - b.d) >= 1) as whole_drift, count(*) filter (abs(a.d - b.d) > 0 and abs(a.d - b.d) < 1) as sub_drift
+from a full join b on a.doc = b.doc and a.name = b.name and a.n = b.n group by 1""")
+def verify_roundtrip(spark, sf_dir):
+    c = _clips(spark, sf_dir).withColumn("dur", F.col("dur").cast("double"))
+    at = lambda n: F.col("chunk") % n == 0
+    after = c.where(~at(8)).withColumn("dur", F.when(at(9), F.col("dur") + 0.5).when(at(10), F.col("dur") + 2).otherwise(F.col("dur")))
+    extra = c.where("idx = 1 and doc % 3 = 0").withColumns({"name": F.lit("extra"), "dur": F.lit(1.0)})
+    return T.verify_roundtrip(c, after.unionByName(extra))
+
+
+@query(f"""with {_CLIPS}, p as (select *, coalesce(sum(dur) over (partition by doc order by idx rows between unbounded preceding and 1 preceding), 0) as pos from clips), f as (select distinct o_orderkey as doc, o_custkey * 7 % 3000 as frame from orders)
+select f.doc, f.frame, p.element from f join p on p.doc = f.doc and frame >= pos and frame < pos + dur""")
+def point_in_interval(spark, sf_dir):
+    frames = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_custkey") * 7 % 3000).alias("frame")).distinct()
+    return T.element_at(frames, _clips(spark, sf_dir))
