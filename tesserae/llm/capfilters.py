@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._shared import Scratch, connected_components, ship
+from tesserae.llm._shared import Scratch, connected_components, map_arrow, ship
 
 ship(__name__)
 
@@ -199,7 +199,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # a vector whose rows have no id gets a negative number that no other has
     reps = scratch.write(reps.select(F.coalesce("low", -F.monotonically_increasing_id() - (1 << 62)).alias("rep"), "low", "times", "vec", F.size("vec").alias("d")), "reps")
     n = reps.count()
-    filtered = reps.select("rep", "times", "vec", "d").mapInArrow(partial(_decode, n=n), "filter long, rep long, times long, vec array<double>, filters array<long>")
+    filtered = map_arrow(reps.select("rep", "times", "vec", "d"), partial(_decode, n=n), "filter long, rep long, times long, vec array<double>, filters array<long>")
     filtered = scratch.write(filtered, "filtered")
     sizes = filtered.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
     dealt = filtered.join(sizes, "filter").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
@@ -207,7 +207,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # rows of block pairs (i, j) with i < j hold both blocks, those with i = j one
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, "filter", "i", "j").sortWithinPartitions("filter", "i", "j", "rep")
-    found = scratch.write(dealt.mapInArrow(_groups, "rep long, links long, root long"), "found")
+    found = scratch.write(map_arrow(dealt, _groups, "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
     named = reps.join(links, "rep", "left").join(comp, reps.rep == comp.node, "left")

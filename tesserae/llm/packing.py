@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._shared import ship
+from tesserae.llm._shared import map_arrow, ship
 from tesserae.llm._subwords import DEFAULT, by_size, tokenizer
 
 ship(__name__)
@@ -151,4 +151,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     Nothing shuffles: each task packs its own rows and leaves no padding.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_pack, path=tokenizer_path, with_ids=with_ids), _SCHEMA + (", ids array<int>" if with_ids else ""))
+    return map_arrow(rows, partial(_pack, path=tokenizer_path, with_ids=with_ids), _SCHEMA + (", ids array<int>" if with_ids else ""))

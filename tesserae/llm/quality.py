@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm._labelled import fold, sample
-from tesserae.llm._shared import ship
+from tesserae.llm._shared import map_arrow, ship
 
 ship(__name__)
 
@@ -163,5 +163,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without labels of both classes all scores are near the one class known, or the share of label 1.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(partial(_score, model=train(docs, labels)), "doc_id long, score double")
+    out = map_arrow(rows, partial(_score, model=train(docs, labels)), "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from tesserae.llm._shared import Scratch, connected_components, ship
+from tesserae.llm._shared import Scratch, connected_components, map_arrow, ship
 
 ship(__name__)
 
@@ -58,7 +58,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, fp long) of every row; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _fingerprints, "doc_id long, fp long")
 
 
 def _indexed(fps: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._shared import Scratch, ship
+from tesserae.llm._shared import Scratch, map_arrow, ship
 
 ship(__name__)
 
@@ -76,7 +76,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     revisits = scratch.write(revisits, "revisits")
     rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
-    rows.mapInArrow(_records, "value string").write.option("lineSep", CLOSE.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    map_arrow(rows, _records, "value string").write.option("lineSep", CLOSE.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 # reading
@@ -210,10 +210,11 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 def read(spark, path: str, with_payload: bool = True) -> DataFrame:
     """One row per record and per quarantined gap (kind) of all files under ``path``.
 
-    An empty file gives nothing; a file without any record is one gap. A task holds one file at a time.
+    An empty file gives nothing; a file without any record is one gap. A task holds the files of one
+    input partition (spark.sql.files.maxPartitionBytes) and unpacks one at a time.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
-    return files.mapInArrow(partial(_read, with_payload=with_payload), _SCHEMA)
+    return map_arrow(files, partial(_read, with_payload=with_payload), _SCHEMA)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
