@@ -155,8 +155,10 @@ def test_repeats_match_brute_force(spark, sf_dir):
     assert all(len(left[i].split("\n")) == len(t.split("\n")) - gone[i] or left[i] == "" for i, t in text.items())
 
 
-def test_repeats_in_a_crowded_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("block", [512, 7])
+def test_repeats_in_a_crowded_bucket(spark, monkeypatch, block):
     monkeypatch.setattr(substring, "PAIRED", 4)
+    monkeypatch.setattr(substring, "BUCKET_BLOCK", block)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, "  ".join(base[:30] + [f"x{i}"] + base[31:])) for i in range(40)] + [(100 + i, " ".join(f"z{i}{j}" for j in range(30))) for i in range(5)]
     got = substring.repeats(docs(spark, rows)).collect()
