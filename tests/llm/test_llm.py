@@ -482,6 +482,39 @@ def test_lm_gradients():
     assert score(trained) > score(fresh) + 20
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAIN_DOCS", 1)
+    monkeypatch.setattr(lm, "STEPS", 5)
+    seen = []
+    learned = lm.learned
+    monkeypatch.setattr(lm, "learned", lambda docs, weights, group, *a: seen.append((weights, group, learned(docs, weights, group, *a))) or seen[-1][2])
+    words = "red green blue black white brown".split()
+    rows = [(i, " ".join(words[(i + k) % 6] for k in range(40))) for i in range(40)] + [(100, "house tree"), (104, "river stone")]
+    lm.score(docs(spark, rows))
+    tok = tokenizer(DEFAULT)
+    before, group, after = seen[0]
+    ids = np.unique(np.concatenate([tok.encode_words([lm.words_of(t)])[0] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]))
+    assert (np.abs(after["E"][ids] - before["E"][ids]).max(1) > 0).all()
+    assert (group[ids] < lm.CLASSES - 1).all()  # the last class is of ids that no training document has
+
+
+def test_lm_neighbours_cover_all_documents(spark):
+    tok = tokenizer(DEFAULT)
+    vocab = tok.tok.get_vocab_size()
+    rows = [(i, t) for i, t in ODD if i != 5]
+    freq, want = np.zeros(vocab), collections.Counter()
+    texts = [[vocab - 1, *tok.encode_words([lm.words_of(t)])[0].tolist(), vocab - 1] for _, t in rows]
+    for t in texts:
+        np.add.at(freq, t[1:], 1)
+    col = {int(i): k for k, i in enumerate(np.argsort(-freq, kind="stable")[: lm.NEIGHBOURS])}
+    for t in texts:
+        for a, b in zip(t, t[1:]):
+            want[b, col.get(a, lm.NEIGHBOURS)] += 1
+            want[a, lm.NEIGHBOURS + 1 + col.get(b, lm.NEIGHBOURS)] += 1
+    got = lm.neighbours(docs(spark, rows), DEFAULT, freq, vocab - 1)
+    assert {(int(i), int(j)): int(got[i, j]) for i, j in zip(*np.nonzero(got))} == dict(want)
+
+
 def test_lm_odd_rows(spark, small_lm):
     rows = lm.score(docs(spark, ODD)).collect()
     assert len(rows) == len(ODD) and all(r.score < 0 and math.isfinite(r.base_score) for r in rows)
