@@ -1,7 +1,7 @@
 """WARC archives of pages: a writer with revisit records, and a reader that salvages what damage leaves.
 
-The writer renders each page as a record and saves records through the text sink, whose line
-separator is the two line ends that close a record; files appear only when their task commits. The
+The writer renders each page as a record in a gzip member of its own and saves members through the
+text sink, whose line separator is the zero byte that ends a member; files appear only when their task commits. The
 reader checks every record (version line, length, closing line ends, block and payload digests). After
 a failed check it searches for the next gzip member or version line from which a record can be read,
 goes on from there, and reports the bytes between as a quarantined gap.
@@ -10,6 +10,7 @@ goes on from there, and reports the bytes between as a quarantined gap.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -29,6 +30,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Records of a file at most, so that a reader's task holds files of bounded size.
 RECORDS_PER_FILE = 4096
+_GZIP = b"\x1f\x8b\x08"
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)*)\r\n")
 
 
@@ -50,12 +52,20 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n" + block
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member without its last byte, which is zero: that of the length, or of an empty member after one of 16 MiB or more."""
+    out = gzip.compress(data, mtime=0)
+    if out[-1]:
+        out += gzip.compress(b"", mtime=0)
+    return out[:-1]
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             out = [record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "replace"), r["refers_to"]) for r in part.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([member(r + CLOSE) for r in out], pa.binary())], names=["value"])
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -76,7 +86,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     revisits = scratch.write(revisits, "revisits")
     rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
-    map_arrow(rows, _records, "value string").write.option("lineSep", CLOSE.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members = map_arrow(rows, _records, "value binary").select(F.col("value").cast("string"))  # bytes pass as they are
+    members.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 # reading
@@ -136,47 +147,65 @@ def _plain(data: bytes, base: int = 0) -> Iterator[tuple]:
         yield "gap", base + bad, base + len(data), None, None
 
 
+def _opened(data: bytes, at: int) -> tuple[list[tuple], int, bool]:
+    """(records and gaps, end, whole) of the gzip member at an offset; of a broken one the records before the error.
+
+    Digests do not cover the fields of a record. So if a member can be read to its end, all its records
+    hold and yet its checksum fails, then some field is wrong, and none of them is given.
+    """
+    opened, parts, fed = zlib.decompressobj(31), [], at
+    try:
+        while fed < len(data) and not opened.eof:
+            step = data[fed : fed + 65536]
+            parts.append(opened.decompress(step))
+            fed += len(step)
+        return [x for x in _plain(b"".join(parts)) if opened.eof or x[0] == "record"], fed - len(opened.unused_data), opened.eof
+    except zlib.error:
+        pass
+    unsound = False
+    opened = zlib.decompressobj(31)  # a failed step gives nothing: repeat the good ones and take the last byte by byte
+    for x in range(at, fed, 65536):
+        opened.decompress(data[x : x + 65536])
+    try:
+        for fed in range(fed, len(data)):
+            parts.append(opened.decompress(data[fed : fed + 1]))
+    except zlib.error as e:
+        unsound = "check" in str(e)
+    found = list(_plain(b"".join(parts)))
+    good = [x for x in found if x[0] == "record"]
+    return [] if unsound and len(good) == len(found) else good, fed, False
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
-    """Records and gaps of a file, plain or of gzip members.
+    """Records and gaps of a file of plain records, gzip members or both.
 
-    Offsets of compressed files are those of the member; a member that breaks off still gives the
-    records before the break, and the search goes on at the next member that can be opened.
+    Offsets of compressed records are those of the member; a member that breaks off still gives the
+    records before the break, and the search goes on at the next gzip member or version line that can be read.
     """
-    if b"\x1f\x8b\x08" not in data[:64] and not data.startswith(b"\x1f\x8b"):
-        yield from _plain(data)
-        return
     at = bad = 0
+    ahead = {_GZIP: -1, b"WARC/1.": -1}  # where each is found next
     while at < len(data):
-        opened = zlib.decompressobj(31)
-        parts, fed, whole = [], at, False
-        try:
-            while fed < len(data) and not opened.eof:
-                step = data[fed : fed + 65536]
-                parts.append(opened.decompress(step))
-                fed += len(step)
-            whole = opened.eof
-        except zlib.error:
-            pass
-        inside = b"".join(parts)
-        if whole:
-            if bad < at:
+        if data.startswith(_GZIP, at):
+            found, end, whole = _opened(data, at)
+            if bad < at and (whole or found):
                 yield "gap", bad, at, None, None
-            end = fed - len(opened.unused_data)
-            for kind, start, stop, fields, block in _plain(inside):
+                bad = at
+            for kind, _, _, fields, block in found:
                 yield kind, at, end, fields, block
-            at = bad = end
+            if whole:
+                at = bad = end
+                continue
+        elif got := _record_at(data, at):
+            if bad < at:
+                yield "gap", bad, at, None, None
+            yield "record", at, got[2], got[0], got[1]
+            at = bad = got[2]
             continue
-        good = False
-        for kind, start, stop, fields, block in _plain(inside):
-            if kind == "record":
-                if bad < at:
-                    yield "gap", bad, at, None, None
-                    bad = at
-                good = True
-                yield kind, at, fed, fields, block
-        at = data.find(b"\x1f\x8b\x08", at + 1)
-        if at < 0:
-            break
+        for mark, place in ahead.items():
+            if place <= at:
+                place = data.find(mark, at + 1)
+                ahead[mark] = place if place >= 0 else len(data)
+        at = min(ahead.values())
     if bad < len(data):
         yield "gap", bad, len(data), None, None
 

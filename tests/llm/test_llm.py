@@ -213,6 +213,42 @@ def test_warc_salvage(packed):
     assert list(warc.salvage(b"")) == [] and [k for k, *_ in warc.salvage(b"nothing")] == ["gap"]
 
 
+def _ids(data):
+    return [f["warc-record-id"] for k, _, _, f, _ in warc.salvage(bytes(data)) if k == "record"]
+
+
+def test_warc_salvage_of_a_damaged_first_member():
+    records = [warc.record(i, "u", random.Random(i).randbytes(300), None) + warc.CLOSE for i in range(4)]
+    parts = [gzip.compress(r) for r in records]
+    data = bytearray(b"".join(parts))
+    data[0] ^= 0xFF
+    assert _ids(data) == [f"<urn:page:{i}>" for i in (1, 2, 3)]
+    mixed = records[0] + parts[1] + b"junk" + records[2] + parts[3]
+    assert _ids(mixed) == [f"<urn:page:{i}>" for i in range(4)]
+
+
+def test_warc_salvage_before_a_break():
+    records = [warc.record(i, "u", random.Random(i).randbytes(2000), None) + warc.CLOSE for i in range(8)]
+    data = bytearray(gzip.compress(b"".join(records)))
+    data[len(data) * 5 // 8 + 200] ^= 0xFF
+    data[-8] ^= 0xFF
+    assert _ids(data)[:4] == [f"<urn:page:{i}>" for i in range(4)]
+    big = bytearray(gzip.compress(b"".join(warc.record(i, "u", random.Random(i).randbytes(30_000), None) + warc.CLOSE for i in range(8))))
+    assert _ids(big[: len(big) * 6 // 8])[:5] == [f"<urn:page:{i}>" for i in range(5)]
+
+
+def test_warc_files_have_a_member_for_each_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} é") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    (file,) = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    data = bytearray(file.read_bytes())
+    assert len(_ids(data)) == 20 and gzip.decompress(data).count(b"WARC-Type") == 20
+    data[data.find(warc._GZIP, len(data) // 2) + 60] ^= 0xFF
+    assert len(_ids(data)) == 19
+    whole = warc.member(bytes(1 << 24)) + b"\0"
+    assert gzip.decompress(whole) == bytes(1 << 24)
+
+
 def _packed(df, **kw):
     by, seqs = collections.defaultdict(list), collections.defaultdict(list)
     for r in packing.pack(df, **kw).collect():
