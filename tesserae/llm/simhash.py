@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from tesserae.llm._shared import Scratch, connected_components, map_arrow, ship
+from tesserae.llm._shared import Scratch, connected_components, has_rows, map_arrow, ship
 
 ship(__name__)
 
@@ -132,6 +132,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its group; all columns stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The rows of ``docs`` whose document has the smallest id of its group; all columns stay.
+
+    Fingerprints of null ids link like any other. A null id goes where its group has an id; of a group
+    without any id one row stays.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-keep")
+    each = scratch.write(fingerprints(docs, id_col, text_col).groupBy("fp").agg(F.min("doc_id").alias("low")), "each")
+    comp = connected_components(links(each.select("fp", F.col("fp").alias("rep")), scratch), scratch)
+    groups = each.join(comp, each.fp == comp.node, "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("low").alias("low"), F.min("fp").alias("fp"))
+    groups = scratch.write(groups.select("low", "fp"), "groups")
+    kept = docs.join(groups.where("low is not null").select(F.col("low").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    lone = groups.where("low is null").select("fp")
+    return kept.unionByName(_one_each(docs, lone, id_col, text_col)) if has_rows(lone) else kept
+
+
+def _one_each(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row without an id of each of the fingerprints."""
+    rows = docs.where(F.col(id_col).cast("long").isNull())
+    code = "_code"
+    names = [*docs.columns, code]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(code)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=names)
+
+    coded = map_arrow(rows.withColumn(code, F.col(text_col).cast("string")), add, rows.withColumn(code, F.lit(None).cast("long")).schema)
+    return coded.join(fps.select(F.col("fp").alias(code)), code, "left_semi").dropDuplicates([code]).select(*docs.columns)

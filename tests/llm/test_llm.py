@@ -106,6 +106,16 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_simhash_keeps_one_row_without_an_id(spark):
+    kept = simhash.keep_one(docs(spark, ODD))
+    assert kept.columns == ["doc_id", "text", "source", "fp", "n"]
+    assert sorted({r.doc_id or 0 for r in kept.collect()}) == [0, 1, 3, 4, 5, 6, 10]
+    more = [*ODD, (None, "no id"), (None, "NO  id"), (None, "one"), (None, "other words without any id here")]
+    rows = simhash.keep_one(docs(spark, more)).collect()
+    assert sorted(" ".join(r.text.lower().split()) for r in rows if r.doc_id is None) == ["no id", "other words without any id here"]
+    assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
 def test_exact_odd_rows(spark):
     got = {}
     rows = exact.duplicates(docs(spark, ODD)).collect()
