@@ -10,6 +10,7 @@ every sequence is full except the last of a task, which is cut into powers of tw
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -29,8 +30,6 @@ CAPACITY, END_ID = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens of a window; it bounds a task's memory and how many documents are balanced together.
 WINDOW = 1 << 20
-#: Sequences tried for a piece before it is cut.
-TRIES = 16
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
@@ -43,29 +42,60 @@ def assign(pieces: list[tuple[int, int, int]], capacities: list[int]) -> tuple[l
     """Place (document, start, length) pieces in sequences of the given capacities; also what is left over."""
     placed: list[list[tuple[int, int, int]]] = [[] for _ in capacities]
     room = list(capacities)
-    heap = [(0.0, i) for i in range(len(room))]
+    spent = [0.0] * len(room)
+    open_ = len(room)
+    # by_room[r]: heap of (cost, sequence) with exactly r tokens of room; tree: the least of each over ranges of room
+    most = max(room, default=0)
+    by_room: list[list[tuple[float, int]]] = [[] for _ in range(most + 1)]
+    for i, r in enumerate(room):
+        by_room[r].append((0.0, i))
+    leaves = 1 << most.bit_length()
+    none = (math.inf, -1)
+    tree = [none] * (2 * leaves)
+    for r in range(most + 1):
+        tree[leaves + r] = by_room[r][0] if by_room[r] else none
+    for x in range(leaves - 1, 0, -1):
+        tree[x] = min(tree[2 * x], tree[2 * x + 1])
+
+    def renew(r: int) -> None:
+        x = leaves + r
+        tree[x] = by_room[r][0] if by_room[r] else none
+        while x > 1:
+            x //= 2
+            tree[x] = min(tree[2 * x], tree[2 * x + 1])
+
+    def cheapest(least: int) -> tuple[float, int]:
+        """The lowest-cost sequence with at least so much room."""
+        x = leaves + least
+        best = tree[x]
+        while x > 1:
+            if not x & 1 and tree[x + 1] < best:
+                best = tree[x + 1]
+            x //= 2
+        return best
+
     todo = sorted(pieces, key=lambda p: (-p[2], p[0], p[1]))
     left = []
     for at, (doc, start, n) in enumerate(todo):
-        while n and heap:
-            aside = []
-            while heap and len(aside) < TRIES and room[heap[0][1]] < n:
-                aside.append(heapq.heappop(heap))
-            if heap and room[heap[0][1]] >= n:
-                spent, i = heapq.heappop(heap)
-            else:  # it fits none of the cheapest: cut it at the cheapest
-                spent, i = aside.pop(0)
-            for x in aside:
-                heapq.heappush(heap, x)
-            m = min(n, room[i])
+        while n and open_:
+            best = cheapest(n) if n <= most else none
+            i = (best if best[1] >= 0 else cheapest(1))[1]  # it fits in none: cut it at the cheapest
+            r = room[i]
+            heapq.heappop(by_room[r])
+            renew(r)
+            m = min(n, r)
             placed[i].append((doc, start, m))
             room[i] -= m
+            spent[i] += cost(m)
             if room[i]:
-                heapq.heappush(heap, (spent + cost(m), i))
+                heapq.heappush(by_room[room[i]], (spent[i], i))
+                renew(room[i])
+            else:
+                open_ -= 1
             start, n = start + m, n - m
         if n:
             left.append((doc, start, n))
-        if not heap:
+        if not open_:
             left += todo[at + 1 :]
             break
     return placed, left

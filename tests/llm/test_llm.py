@@ -302,6 +302,22 @@ def test_assignment_is_balanced():
     assert cut <= full + 20
 
 
+def test_assignment_cuts_only_what_fits_nowhere():
+    rng = random.Random(8)
+    pieces = [(i, 0, min(4095, max(1, int(rng.lognormvariate(5.5, 1))))) for i in range(1500)]
+    full = sum(p[2] for p in pieces) // 4096
+    placed, left = packing.assign(pieces, [4096] * full)
+    room, spent, want = [4096] * full, [0.0] * full, [[] for _ in range(full)]
+    for doc, start, n in sorted(pieces, key=lambda p: (-p[2], p[0], p[1])):  # every sequence is looked at
+        while n and any(room):
+            i = min((i for i in range(full) if room[i] >= n), key=lambda i: (spent[i], i), default=None)
+            i = min((i for i in range(full) if room[i]), key=lambda i: (spent[i], i)) if i is None else i
+            m = min(n, room[i])
+            want[i].append((doc, start, m))
+            room[i], spent[i], start, n = room[i] - m, spent[i] + packing.cost(m), start + m, n - m
+    assert placed == want and sum(p[2] for p in left) == sum(p[2] for p in pieces) - 4096 * full
+
+
 @pytest.mark.parametrize("text", ["it's we'll 'ss IT'S", "x\x00y \x1c a\x1cb", "日本語 テスト 123", "²³¹ ¼ ªµº ß ÿ Ÿ", "\x85a\xa0b", "a|b | ||", "<|endoftext|> <|", "ΑΣ İ ẞ é", "foo.### a--b'c''d"])
 def test_subwords_are_the_tokenizers(text):
     t = tokenizer(DEFAULT)
