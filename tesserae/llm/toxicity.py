@@ -142,8 +142,8 @@ def votes(found: list[int], flagged: int, words: int, text: str, group: np.ndarr
     v[:groups] = np.where(hit > 0, 1, 0)
     v[groups] = 1 if flagged >= 2 else -1 if not flagged else 0
     v[groups + 1] = 1 if flagged >= max(1, 0.02 * words) and flagged else -1 if not flagged else 0
-    upper = sum(map(str.isupper, text[:2000])) if flagged else 0  # a hint only; the vote abstains otherwise
-    v[groups + 2] = 1 if flagged and upper > 0.3 * min(len(text), 2000) else 0
+    upper = sum(map(str.isupper, text)) if flagged else 0  # a hint only; the vote abstains otherwise
+    v[groups + 2] = 1 if flagged and upper > 0.3 * len(text) else 0
     v[groups + 3] = -1 if words > 50 and not flagged else 0
     return v
 

@@ -364,6 +364,13 @@ def test_toxicity_learns_words_and_beginnings():
     assert set(model["label_model"]) == {"accuracy", "share", "rho"}
 
 
+def test_toxicity_hears_shouting_in_the_whole_text():
+    group = np.array([0])
+    vote = lambda text: toxicity.votes([0], 1, len(text.split()), text, group, 1)[3]
+    calm, loud = "quiet words " * 200, "LOUD WORDS " * 800
+    assert vote(calm + loud) == 1 and vote(loud[:2000] + calm * 5) == 0
+
+
 @pytest.mark.parametrize("score, column", [(quality.score, "quality"), (toxicity.score, "toxic")])
 def test_classifier_odd_rows(spark, score, column):
     labels = spark.createDataFrame([(i, i % 2, None) for i in (3, 4, 5, 6, 7, 8)] + [(None, 1, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
