@@ -66,6 +66,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that is not among ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 

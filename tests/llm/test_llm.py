@@ -140,45 +140,111 @@ def test_exact_is_right_with_a_full_filter(spark, sf_dir, monkeypatch):
     assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact.duplicates(d).collect()} == want
 
 
-def test_repeats_match_brute_force(spark, sf_dir):
+def _words(text):
+    return (text or "").encode().lower().split()
+
+
+def _windows(text, n):
+    w = _words(text)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_repeats_find_every_shared_window(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r.doc_id: r.text for r in d.collect()}
     rows = substring.repeats(d).collect()
-    paras = []
-    for r in d.collect():
-        for i, line in enumerate((r.text or "").split("\n")):
-            w = line.encode().lower().split()
-            if len(w) >= 10:
-                paras.append(((r.doc_id, i), frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), tuple(w)))
-    linked = []
-    for (a, sa, wa), (b, sb, wb) in itertools.combinations(paras, 2):
-        if wa == wb or (min(len(sa), len(sb)) >= 0.8 * max(len(sa), len(sb)) and len(sa & sb) >= 0.8 * len(sa | sb)):
-            linked.append((a, b))
-    low = components([p[0] for p in paras], linked)
-    size = collections.Counter(low.values())
-    want = {k: (v, size[v]) for k, v in low.items() if size[v] > 1}
-    assert {(r.doc_id, r.paragraph): ((r.keep_doc_id, r.keep_paragraph), r.group_size) for r in rows} == want
+    owners = collections.defaultdict(set)
+    for i, t in text.items():
+        for w in _windows(t, substring.WINDOW):
+            owners[w].add(i)
+    want = {i for own in owners.values() if len(own) > 1 for i in own}
+    assert want and want <= {r.doc_id for r in rows}
+    for r in rows:  # every row has a partner of at least the similarity
+        assert 28 <= r.words <= 50 and len(_words(text[r.doc_id][r.start : r.start + r.length])) == r.words
+    group = collections.defaultdict(list)
+    for r in rows:
+        group[r.component_id].append(r)
+    for own in group.values():
+        assert len(own) == own[0].group_size > 1 and any(r.kept for r in own)
+        first = min((r.doc_id, r.start) for r in own)
+        assert {(r.keep_doc_id, r.keep_start) for r in own} == {first}
+        sets = [_windows(text[r.doc_id][r.start : r.start + r.length], 5) for r in own]
+        low = components(range(len(own)), [(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(sets), 2) if len(x & y) >= 0.8 * len(x | y)])
+        assert set(low.values()) == {0}
+
+
+def test_repeats_are_the_similar_paragraphs(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 80")
     text = {r.doc_id: r.text for r in d.collect()}
-    for r in rows[:50]:
-        assert text[r.doc_id][r.start : r.start + r.length] == text[r.doc_id].split("\n")[r.paragraph]
-    left = {r.doc_id: r.text for r in substring.without_repeats(d).collect()}
-    gone = collections.Counter(r.doc_id for r in rows if not r.kept)
-    assert all(len(left[i].split("\n")) == len(t.split("\n")) - gone[i] or left[i] == "" for i, t in text.items())
+    paras = [(r.doc_id, r.start, r.length) for r in substring.paragraphs(d).collect()]
+    sets = [frozenset(_windows(text[i][s : s + n], 5)) for i, s, n in paras]
+    linked = [(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(sets), 2) if len(x & y) >= 0.8 * len(x | y)]
+    low = components(range(len(paras)), linked)
+    members = collections.defaultdict(list)
+    for k, v in low.items():
+        members[v].append(paras[k])
+    want = {p for own in members.values() if len({i for i, _, _ in own}) > 1 or max(s for _, s, _ in own) >= min(s + n for _, s, n in own) for p in own}
+    got = {(r.doc_id, r.start, r.length) for r in substring.repeats(d).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) > 0
+
+
+def test_repeats_wherever_lines_break(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(5))
+    rows, passage = [], [word() for _ in range(51)]
+    for i in range(60):
+        own = [word() for _ in range(rng.randint(0, 90))]
+        at = rng.randint(0, len(own))
+        text = own[:at] + [w.upper() if i % 3 else w for w in passage] + own[at:]
+        rows.append((i, "".join(w + rng.choice([" ", "\n", " \t "]) for w in text)))
+    clean = [(100 + i, " ".join(word() for _ in range(400)) + " one line of ten words that is in many of them " + " ".join(word() for _ in range(100))) for i in range(60)]
+    got = substring.repeats(docs(spark, rows + clean)).collect()
+    assert {r.doc_id for r in got} == set(range(60))
+    left = {r.doc_id: r.text for r in substring.without_repeats(docs(spark, rows + clean)).collect()}
+    assert all(left[i] == t for i, t in clean) and left[0] == rows[0][1]
+    assert all(len(_words(t)) - len(_words(left[i])) >= 28 for i, t in rows[1:])
+
+
+def test_own_overlaps_are_no_repeats(spark):
+    rng = random.Random(5)
+    once = [(i, " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(3000))) for i in range(5)]
+    assert substring.repeats(docs(spark, once)).count() == 0
+    twice = once[0][1] + " and again " + once[0][1]
+    rows = substring.repeats(docs(spark, [(7, twice)])).collect()
+    assert rows and {r.kept for r in rows} == {True, False} and min(r.start for r in rows if not r.kept) > len(once[0][1]) - 300
 
 
 @pytest.mark.parametrize("block", [512, 7])
 def test_repeats_in_a_crowded_bucket(spark, monkeypatch, block):
     monkeypatch.setattr(substring, "PAIRED", 4)
     monkeypatch.setattr(substring, "BUCKET_BLOCK", block)
-    base = [f"w{i}" for i in range(60)]
-    rows = [(i, "  ".join(base[:30] + [f"x{i}"] + base[31:])) for i in range(40)] + [(100 + i, " ".join(f"z{i}{j}" for j in range(30))) for i in range(5)]
+    base = [f"w{i}" for i in range(48)]
+    rows = [(i, "  ".join([*base[:-1], f"x{i}"])) for i in range(40)] + [(100 + i, " ".join(f"z{i}{j}" for j in range(30))) for i in range(5)]
     got = substring.repeats(docs(spark, rows)).collect()
     assert {r.doc_id for r in got} == set(range(40)) and {r.keep_doc_id for r in got} == {0}
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    text = ("éa B\tc\u00a0d " * 3000).encode()
+    whole = substring.words(text)
+    monkeypatch.setattr(substring, "CHUNK", 1000)
+    assert all((a == b).all() for a, b in zip(whole, substring.words(text)))
+    w = np.random.default_rng(1).integers(0, 1 << 62, 5000).astype(np.uint64)
+    first = substring.paragraphs_of(w, np.array([5000]))[0]
+    monkeypatch.setattr(substring, "BLOCK", 77)
+    assert (substring.paragraphs_of(w, np.array([5000]))[0] == first).all()
+
+
 def test_repeats_odd_rows(spark):
-    got = substring.repeats(docs(spark, [*ODD, (20, " ".join("abcdefghijkl")), (20, " ".join("abcdefghijkl"))])).collect()
-    assert {r.doc_id for r in got} == {20} and all(r.group_size == 2 for r in got)
+    short = " ".join(f"w{i}" for i in range(28))
+    rows = [*ODD, (20, short), (20, short), (None, short + " x"), (21, " ".join(f"v{i}" for i in range(27))), (22, " ".join(f"v{i}" for i in range(27)))]
+    got = substring.repeats(docs(spark, rows)).where("doc_id is null or doc_id <> 5").collect()
+    assert [r.doc_id for r in got].count(20) == 2 and {r.doc_id for r in got} == {20, None} and all(r.group_size == 3 for r in got)
     assert substring.repeats(docs(spark, [])).count() == 0
+    clash = docs(spark, rows).withColumnsRenamed({"source": "spans", "fp": "hash"})
+    left = substring.without_repeats(clash)
+    assert left.columns == clash.columns and left.count() == len(rows)
+    assert sorted(r.text == "" for r in left.where("doc_id = 20").collect()) == [True, True]  # the row without an id keeps it
 
 
 def _pages():
