@@ -1,8 +1,9 @@
 """Exact dedup with two Bloom passes, in DataFrame functions only.
 
-Pass one sets the bits of every hash in a counting Bloom filter and keeps the bits that were set at
-least twice. Pass two looks up every row: a row of which some bit was set once only cannot have a
-copy and passes straight through; only the others shuffle by their digest.
+Pass one counts how many rows set each bit of a Bloom filter and keeps the bits that were set at least
+twice. A row is one small number there, and numbers are combined before they shuffle. Pass two looks up
+every row: a row whose bit was set once only cannot have a copy and passes straight through; only the
+others shuffle by their digest.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from tesserae.llm._shared import Scratch
+from tesserae.llm._shared import Scratch, fresh
 
-#: Bits of the filter per row, and bits that each row sets, all in one 64-bit word.
-BITS_PER_ROW, PROBES = 16, 3
-#: The filter has at most so many words (64 MB broadcast as pairs of longs). Beyond, more rows shuffle; results stay the same.
-MAX_WORDS = 1 << 22
+#: Bits of the filter per row; only words of it with a bit that was set twice are kept, so its length costs nothing.
+BITS_PER_ROW = 256
+#: So many words of the filter are broadcast (64 MB as pairs of longs); beyond, the lookup is a join by word with the same result.
+BROADCAST_WORDS = 1 << 22
 
 
 def normalised(text: Column) -> Column:
@@ -27,37 +28,42 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def _words(rows: int) -> int:
-    need = max(1, rows * BITS_PER_ROW // 64)
-    return min(MAX_WORDS, 1 << (need - 1).bit_length())
+def _place(h: Column, bits: int) -> tuple[Column, Column]:
+    """The word of the filter that a hash falls in, and the mask of its bit there."""
+    at = h.bitwiseAND(F.lit(bits - 1).cast("long"))
+    return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
 
 
-def _probe(h: Column, words: int) -> tuple[Column, Column]:
-    """The word of the filter that a hash falls in, and the mask of its bits there."""
-    mask = F.lit(0).cast("long")
-    for i in range(PROBES):
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40 + 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")))
-    return h.bitwiseAND(F.lit(words - 1).cast("long")), mask
-
-
-def repeated_filter(hashes: DataFrame, words: int) -> DataFrame:
-    """(word, bits): the bits of the Bloom filter that at least two rows of ``hashes`` (h long) set.
+def repeated_filter(hashes: DataFrame, bits: int) -> DataFrame:
+    """(word, set): the bits of a Bloom filter of ``bits`` bits (a power of two) that at least two rows of ``hashes`` (h long) set.
 
     Counts are combined before they shuffle, so a text with a third of all rows costs one row a task.
     """
-    bits = F.array(*(F.shiftrightunsigned("h", 40 + 6 * i).bitwiseAND(F.lit(63).cast("long")) for i in range(PROBES)))
-    word, _ = _probe(F.col("h"), words)
-    hit = hashes.select(word.alias("word"), F.explode(F.array_distinct(bits)).alias("bit")).groupBy("word", "bit").agg(F.count("*").alias("n")).where("n > 1")
-    return hit.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
+    twice = hashes.groupBy(at.alias("at")).agg(F.count("*").alias("n")).where("n > 1")
+    return twice.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
+
+
+class Repeated:
+    """Looks up which rows may have a copy."""
+
+    def __init__(self, hashes: DataFrame, scratch: Scratch):
+        self.bits = 1 << max(6, (hashes.count() * BITS_PER_ROW).bit_length())
+        self.words = scratch.write(repeated_filter(hashes, self.bits), "filter")
+        self.small = self.words.count() <= BROADCAST_WORDS
+
+    def flag(self, rows: DataFrame, h: Column, name: str) -> DataFrame:
+        """``rows`` with a boolean column ``name``: false only where no other row has the same hash."""
+        a, b = fresh("word", [*rows.columns, name]), fresh("set", [*rows.columns, name])
+        word, mask = _place(h, self.bits)
+        own = self.words.select(F.col("word").alias(a), F.col("set").alias(b))
+        joined = rows.join(F.broadcast(own) if self.small else own, word == F.col(a), "left")
+        return joined.withColumn(name, F.coalesce(F.col(b).bitwiseAND(mask) != 0, F.lit(False))).drop(a, b)
 
 
-def possibly_repeated(rows: DataFrame, h: str, scratch: Scratch) -> DataFrame:
-    """``rows`` with a boolean column ``maybe``: false only where no other row has the same hash."""
-    words = _words(rows.count())
-    bloom = scratch.write(repeated_filter(rows.select(F.col(h).alias("h")), words), "bloom")
-    word, mask = _probe(F.col(h), words)
-    bloom = F.broadcast(bloom)  # at most MAX_WORDS rows of two longs
-    return rows.withColumns({"_word": word, "_mask": mask}).join(bloom, F.col("_word") == bloom.word, "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))).drop("_word", "_mask", "word", "bits")
+def _least(points: str, doc_id: str) -> Column:
+    """Orders rows of equal texts: the most code points first, then the smallest id, and no id last."""
+    return F.struct((-F.col(points)).alias("p"), F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,11 +79,11 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"), F.char_length(text).cast("long").alias("points"))
     each = scratch.write(each.withColumn("h", F.xxhash64("sha")), "digests")  # two passes over digests, one over texts
-    seen = possibly_repeated(each, "h", scratch)
+    seen = Repeated(each.select("h"), scratch).flag(each, F.col("h"), "maybe")
     lone = seen.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     maybe = scratch.write(seen.where("maybe").select("doc_id", "sha", "points"), "maybe")
-    best = maybe.groupBy("sha").agg(F.max(F.struct("points", (-F.col("doc_id")).alias("low"))).alias("best"), F.count("*").alias("group_size"))
-    best = scratch.write(best.select("sha", (-F.col("best.low")).alias("keep_id"), "group_size"), "best")
+    best = maybe.groupBy("sha").agg(F.min(_least("points", "doc_id")).alias("best"), F.count("*").alias("group_size"))
+    best = scratch.write(best.select("sha", F.col("best.id").alias("keep_id"), "group_size"), "best")
     rest = maybe.join(best, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     return lone.unionByName(rest)
 
@@ -85,26 +91,23 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_best(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`duplicates` keeps, with all their columns; repeats of a kept row are dropped too.
 
-    Texts of documents without a copy never shuffle: they pass from the scan through a broadcast
-    lookup of the filter. Those possibly repeated are joined by digest with the winners.
+    Null and empty texts are equal to each other; null ids lose against others; an empty table gives an
+    empty result; columns of any name pass through. Texts of documents without a copy never shuffle: they pass from the scan through a
+    lookup of the filter. Of those possibly repeated, only the rows that win their group or have no copy are fetched.
     """
     scratch = Scratch(docs.sparkSession, "exact-keep")
-    extra = {"_sha": F.unhex(F.sha2(normalised(F.col(text_col)), 256)), "_points": F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long")}
-    digests = docs.select(F.col(id_col).cast("long").alias("_id"), *(c.alias(n) for n, c in extra.items()))
-    digests = scratch.write(digests.withColumn("_h", F.xxhash64("_sha")), "digests")
-    words = _words(digests.count())
-    bloom = scratch.write(repeated_filter(digests.select(F.col("_h").alias("h")), words), "bloom")
-    word, mask = _probe(F.xxhash64("_sha"), words)
-
-    def maybe(rows: DataFrame) -> DataFrame:
-        b = F.broadcast(bloom.select(F.col("word").alias("_w"), F.col("bits").alias("_b")))
-        return rows.withColumns({"_word": word, "_mask": mask}).join(b, F.col("_word") == F.col("_w"), "left").withColumn("_maybe", F.coalesce(F.col("_b").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))).drop("_word", "_mask", "_w", "_b")
-
-    groups = maybe(digests).where("_maybe").groupBy("_sha").agg(F.max(F.struct("_points", (-F.col("_id")).alias("low"))).alias("best"), F.count("*").alias("n"))
-    groups = scratch.write(groups.where("n > 1").select("_sha", "best"), "groups")
-    rows = maybe(docs.withColumns(extra)).withColumn("_low", -F.col(id_col).cast("long"))
-    lone = rows.where("not _maybe").select(*docs.columns)
-    same = rows.where("_maybe").join(groups, "_sha", "left")
-    won = same.where("best is null or (best._points = _points and best.low <=> _low)")
-    one = won.where("best is not null").dropDuplicates(["_sha"]).select(*docs.columns)
-    return lone.unionByName(won.where("best is null").select(*docs.columns)).unionByName(one)
+    sha, points, flag, key, other = (fresh(n, docs.columns) for n in ("sha", "points", "maybe", "key", "other"))
+    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+    size = F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long")
+    digests = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("sha"), size.alias("points"))
+    digests = scratch.write(digests.withColumn("h", F.xxhash64("sha")), "digests")
+    repeated = Repeated(digests.select("h"), scratch)
+    groups = repeated.flag(digests, F.col("h"), "maybe").where("maybe").groupBy("sha").agg(F.min(_least("points", "id")).alias("best"), F.count("*").alias("n"))
+    # a group whose winner occurs more than once, with the same points and id, is thinned out at the end
+    groups = scratch.write(groups.where("n > 1").select(F.col("sha").alias(other), F.col("best").alias(key)), "groups")
+    rows = repeated.flag(docs.withColumns({sha: digest, points: size}), F.xxhash64(sha), flag)
+    lone = rows.where(~F.col(flag)).select(*docs.columns)
+    same = rows.where(F.col(flag)).join(groups, F.col(sha) == F.col(other), "left")
+    won = same.where(F.col(key).isNull() | ((F.col(f"{key}.p") == -F.col(points)) & F.col(f"{key}.id").eqNullSafe(F.col(id_col).cast("long"))))
+    one = won.where(F.col(key).isNotNull()).dropDuplicates([sha]).select(*docs.columns)
+    return lone.unionByName(won.where(F.col(key).isNull()).select(*docs.columns)).unionByName(one)
