@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 from xxhash import xxh64_digest
 
-from tesserae.llm._shared import Scratch, connected_components, has_rows, map_arrow, ship
+from tesserae.llm._shared import Scratch, connected_components, fresh, has_rows, map_arrow, ship
 
 ship(__name__)
 
@@ -53,12 +54,17 @@ def _bits(digests: list[bytes]) -> np.ndarray:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "hash"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long) of every row; fp holds the 64 bits as a signed long."""
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, hash long) of every row; fp holds the 64 bits as a signed long, hash is that of the whole text."""
+    text = F.col(text_col).cast("string")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _hash(text).alias("hash")), _fingerprints, "doc_id long, fp long, hash long")
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _indexed(fps: DataFrame) -> DataFrame:
@@ -101,7 +107,8 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
 
     Every linked pair appears at least once. At each level only keys with at least two rows go on.
     """
-    out, rows = None, _indexed(fps)
+    parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out, rows = None, _indexed(fps.repartition(parts, "fp"))  # each row becomes 66: they start on all cores
     for level, width in ((1, 16), (2, 8), (3, None)):
         n = rows.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
         rows = scratch.write(rows.join(n, "key"), f"keys-{level}")
@@ -123,7 +130,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if nothing else has an id). An empty table gives an empty result. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    each = scratch.write(fingerprints(docs, id_col, text_col), "each")
+    each = scratch.write(fingerprints(docs, id_col, text_col).select("doc_id", "fp"), "each")
     reps = scratch.write(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     comp = connected_components(links(reps.where("rep is not null"), scratch), scratch)
     named = reps.join(comp, reps.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
@@ -132,31 +139,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its group; all columns stay.
+    """One row of each group of ``docs`` whose fingerprints link, with all its columns: that of the smallest id.
 
-    Fingerprints of null ids link like any other. A null id goes where its group has an id; of a group
-    without any id one row stays.
+    Rows with the same id are told apart by their texts; of rows with both the same one stays. Rows
+    without an id link like any other and go where their group has an id; of a group without any id the
+    text with the smallest hash stays. Null and blank texts are one group. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    each = scratch.write(fingerprints(docs, id_col, text_col).groupBy("fp").agg(F.min("doc_id").alias("low")), "each")
-    comp = connected_components(links(each.select("fp", F.col("fp").alias("rep")), scratch), scratch)
-    groups = each.join(comp, each.fp == comp.node, "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("low").alias("low"), F.min("fp").alias("fp"))
-    groups = scratch.write(groups.select("low", "fp"), "groups")
-    kept = docs.join(groups.where("low is not null").select(F.col("low").alias(id_col)), id_col, "left_semi").select(*docs.columns)
-    lone = groups.where("low is null").select("fp")
-    return kept.unionByName(_one_each(docs, lone, id_col, text_col)) if has_rows(lone) else kept
-
-
-def _one_each(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row without an id of each of the fingerprints."""
-    rows = docs.where(F.col(id_col).cast("long").isNull())
-    code = "_code"
-    names = [*docs.columns, code]
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(code)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=names)
-
-    coded = map_arrow(rows.withColumn(code, F.col(text_col).cast("string")), add, rows.withColumn(code, F.lit(None).cast("long")).schema)
-    return coded.join(fps.select(F.col("fp").alias(code)), code, "left_semi").dropDuplicates([code]).select(*docs.columns)
+    each = scratch.write(fingerprints(docs, id_col, text_col), "each")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "hash").alias("first")
+    reps = scratch.write(each.groupBy("fp").agg(F.min(first).alias("first")), "reps")
+    comp = connected_components(links(reps.select("fp", F.col("fp").alias("rep")), scratch), scratch)
+    a, b, c = (fresh(n, docs.columns) for n in ("won_id", "won_hash", "times"))
+    won = reps.join(comp, reps.fp == comp.node, "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
+    won = scratch.write(won.select(F.col("first.id").alias(a), F.col("first.hash").alias(b)), "won")
+    times = each.groupBy("doc_id", "hash").agg(F.count("*").alias(c)).where(F.col(c) > 1)
+    won = scratch.write(won.join(times, F.col(a).eqNullSafe(F.col("doc_id")) & (F.col(b) == F.col("hash")), "left").select(a, b, c), "once")
+    text = F.col(text_col).cast("string")
+    rows = docs.join(won, F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (_hash(text) == F.col(b)))
+    kept = rows.where(F.col(c).isNull()).select(*docs.columns)
+    if not has_rows(won.where(F.col(c).isNotNull())):
+        return kept
+    return kept.unionByName(rows.where(F.col(c).isNotNull()).dropDuplicates([a, b]).select(*docs.columns))
