@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from tesserae.llm._shared import Scratch
+from tesserae.llm._shared import Scratch, fresh
 
 #: The interval of the exponent is cut into so many parts in each round: 6 rounds of 5 bisections.
 PARTS, ROUNDS = 32, 6
@@ -77,12 +77,20 @@ def plan(docs: DataFrame, scratch: Scratch, entropy: float | None, repeats: floa
     sources = scratch.write(sources.withColumn("epochs", F.ceil(F.col("budget") / F.col("n_tokens")).cast("int")), "budgets")
     dealt = rows.join(F.broadcast(sources.select("source", "blocks")) if sources.count() <= 10_000 else sources.select("source", "blocks"), rows.source.eqNullSafe(sources.source)).select(rows.doc_id, rows.source, "n", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks").alias("block"))
     dealt = scratch.write(dealt, "dealt")
-    # first within the source: where each block of each epoch begins
+    # first within the source: where each block of each epoch begins. An epoch takes as long as the source;
+    # in it blocks are in order of a hash, whose ranges are added up before the blocks of a range
     per_block = dealt.groupBy("source", "block").agg(F.sum("n").alias("size"))
     epochs = F.explode(F.expr("if(epochs > 0, sequence(0, epochs - 1), array())"))
-    b = per_block.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "block", "size", "budget", epochs.alias("epoch"))
-    order = Window.partitionBy("source").orderBy("epoch", F.xxhash64(F.lit(seed), "epoch", "block"), "block")
-    b = b.withColumn("begin", F.sum("size").over(order) - F.col("size")).where("begin < budget")
+    b = per_block.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "block", "size", "budget", "n_tokens", "blocks", epochs.alias("epoch"))
+    place = F.xxhash64(F.lit(seed), "epoch", "block")
+    high = F.shiftright(place, 32) + F.lit(1 << 31)  # in [0, 2^32)
+    b = b.withColumns({"place": place, "part": F.floor(high * F.ceil(F.sqrt("blocks")) / F.lit(float(1 << 32)))})
+    parts = b.groupBy("source", "epoch", "part").agg(F.sum("size").alias("total"))
+    before = F.sum("total").over(Window.partitionBy("source", "epoch").orderBy("part")) - F.col("total")
+    parts = parts.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("part").alias("p"), before.alias("before"))
+    b = b.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("part") == F.col("p")))
+    within = F.sum("size").over(Window.partitionBy("source", "epoch", "part").orderBy("place", "block")) - F.col("size")
+    b = b.withColumn("begin", F.col("epoch") * F.col("n_tokens") + F.col("before") + within).where("begin < budget").select("source", "block", "epoch", "begin", "budget")
     b = scratch.write(b, "blocks")
     # then within the block: which documents begin before the budget is spent
     each = dealt.alias("d").join(b.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block"))).select("d.doc_id", "d.source", "d.n", "d.block", "b.epoch", "b.begin", "b.budget")
@@ -110,13 +118,15 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
 
 
 def mixed_rows(docs: DataFrame, repeats: float, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of ``docs`` as often as :func:`mix` takes them, with their columns.
+    """The rows of ``docs`` as often as :func:`mix` takes them, with their columns, whatever their names.
 
-    Rows that repeat an id share its copies, rounded up, so that each of them stays.
+    Rows that repeat an id, or have none, share its copies, rounded up, so that each of them stays. An
+    empty table gives an empty result.
     """
     key = F.col(id_col).cast("long")
-    times = mix(docs, repeats=repeats, id_col=id_col, **more).groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    own = docs.groupBy(key.alias("_own")).agg(F.count("*").alias("_rows"))
-    times = times.join(own, F.col("doc_id").eqNullSafe(F.col("_own"))).select(F.col("doc_id").alias("_id"), F.ceil(F.col("_copies") / F.col("_rows")).alias("_times"))
-    joined = docs.join(times, key.eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    times = mix(docs, repeats=repeats, id_col=id_col, **more).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    own = docs.groupBy(key.alias("own")).agg(F.count("*").alias("rows"))
+    a, b = (fresh(n, docs.columns) for n in ("id", "times"))
+    times = times.join(own, F.col("doc_id").eqNullSafe(F.col("own"))).select(F.col("doc_id").alias(a), F.ceil(F.col("copies") / F.col("rows")).alias(b))
+    joined = docs.join(times, key.eqNullSafe(F.col(a)))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(b))).alias(b)).drop(b)
