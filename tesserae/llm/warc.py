@@ -1,7 +1,7 @@
 """WARC archives of pages: a writer with revisit records, and a reader that salvages what damage leaves.
 
-The writer renders each page as a record in a gzip member of its own and saves members through the
-text sink, whose line separator is the zero byte that ends a member; files appear only when their task commits. The
+The writer renders each page as a record in a gzip member of its own, gathers members up to the size of a
+file and saves them through the text sink, whose line separator is the zero byte that ends a member; files appear only when their task commits. The
 reader checks every record (version line, length, closing line ends, block and payload digests). After
 a failed check it searches for the next gzip member or version line from which a record can be read,
 goes on from there, and reports the bytes between as a quarantined gap.
@@ -20,6 +20,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from tesserae.llm._shared import Scratch, map_arrow, ship
 
@@ -28,9 +29,10 @@ ship(__name__)
 VERSION, CLOSE = b"WARC/1.1", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Records of a file at most, so that a reader's task holds files of bounded size.
-RECORDS_PER_FILE = 4096
+#: Records and bytes of a file, at most, so that a reader's task holds files of bounded size; a larger record has a file of its own.
+RECORDS_PER_FILE, FILE_BYTES = 4096, 32 << 20
 _GZIP = b"\x1f\x8b\x08"
+_LENGTH = re.compile("[0-9]{1,18}")
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)*)\r\n")
 
 
@@ -60,12 +62,29 @@ def member(data: bytes) -> bytes:
     return out[:-1]
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each file in one value, without its last byte."""
+    held: list[bytes] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"\0".join(held)], pa.binary())], names=["value"])
+
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            out = [record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "replace"), r["refers_to"]) for r in part.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([member(r + CLOSE) for r in out], pa.binary())], names=["value"])
+        for at in range(b.num_rows):
+            (r,) = b.slice(at, 1).to_pylist()
+            new = member(record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "replace"), r["refers_to"]) + CLOSE)
+            if held and (size + len(new) > FILE_BYTES or len(held) >= RECORDS_PER_FILE):
+                yield out()
+                held, size = [], 0
+            held.append(new)
+            size += len(new) + 1
+    if held:
+        yield out()
+
+
+def _key(html: str) -> Column:
+    return F.concat(F.unhex(F.sha1(html)), F.encode(F.octet_length(html).cast("string"), "UTF-8"))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -73,21 +92,22 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id is
     the response and the others revisit it; rows that repeat it exactly are responses too. A null html
-    is empty, a null page_id is written as such and is never referred to if another has an id.
+    is empty, a null page_id is written as such and is never referred to if another has an id. Payloads
+    with equal SHA-1 and length count as equal.
     Only ids and digests are grouped; payloads join the revisits by id.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    ids = rows.where(F.octet_length("html") >= least_bytes).select("page_id", F.unhex(F.sha1("html")).alias("sha"))
+    ids = rows.where(F.octet_length("html") >= least_bytes).select("page_id", _key("html").alias("sha"))
     scratch = Scratch(pages.sparkSession, "warc-ids")
     ids = scratch.write(ids, "ids")
     last = ids.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("sha", "refers_to")
     last = scratch.write(last, "last")
     revisits = ids.join(last, "sha").where("not (page_id <=> refers_to)").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to").distinct()
     revisits = scratch.write(revisits, "revisits")
-    rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
+    rows = rows.withColumn("sha", _key("html"))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
-    members = map_arrow(rows, _records, "value binary").select(F.col("value").cast("string"))  # bytes pass as they are
-    members.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    files = map_arrow(rows, _files, "value binary").select(F.col("value").cast("string"))  # bytes pass as they are
+    files.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 # reading
@@ -103,7 +123,7 @@ def _record_at(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
         k, _, v = line.partition(b":")
         fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
     length = fields.get("content-length", "")
-    if not length.isdigit() or not fields.get("warc-type"):
+    if not _LENGTH.fullmatch(length) or not fields.get("warc-type"):
         return None
     end = m.end() + int(length)
     if data[end : end + 4] != CLOSE:
@@ -124,7 +144,7 @@ def _payload(fields: dict, block: bytes) -> tuple[bytes, int]:
         return block, len(block)
     head, _, body = block.partition(CLOSE)
     if fields["warc-type"] == "revisit":
-        m = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+        m = re.search(rb"(?im)^content-length:\s*([0-9]{1,18})\s*$", head)
         return b"", int(m[1]) if m else 0
     return body, len(body)
 
@@ -180,7 +200,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
     """Records and gaps of a file of plain records, gzip members or both.
 
     Offsets of compressed records are those of the member; a member that breaks off still gives the
-    records before the break, and the search goes on at the next gzip member or version line that can be read.
+    records before the break, the gap begins there, and the search goes on at the next gzip member or
+    version line that can be read.
     """
     at = bad = 0
     ahead = {_GZIP: -1, b"WARC/1.": -1}  # where each is found next
@@ -189,11 +210,12 @@ def salvage(data: bytes) -> Iterator[tuple]:
             found, end, whole = _opened(data, at)
             if bad < at and (whole or found):
                 yield "gap", bad, at, None, None
-                bad = at
             for kind, _, _, fields, block in found:
                 yield kind, at, end, fields, block
+            if whole or found:  # what follows a break may still hold records
+                bad = end
             if whole:
-                at = bad = end
+                at = end
                 continue
         elif got := _record_at(data, at):
             if bad < at:
