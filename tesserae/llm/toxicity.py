@@ -29,15 +29,15 @@ ship(__name__)
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Labelled documents of each class that are learned from, at most.
-SAMPLE = 2_500
+SAMPLE = 6_000
 #: Lengths of word beginnings, and the least number of toxic documents and odds for an entry of a lexicon.
 BEGINNINGS, LEAST_DOCS, LEAST_ODDS = (3, 4, 5, 6, 7), 3, 12.0
 #: An entry's likelihood ratio must exceed that of the luckiest of all candidates by so much.
 MARGIN = 3.0
 #: Lexicon voters, at most.
 VOTERS = 96
-#: Distinct words that a task remembers to be without entries.
-CLEAN_KEPT = 200_000
+#: Distinct words whose entries a task remembers, and the longest of them.
+CLEAN_KEPT, WORD_KEPT = 200_000, 64
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -69,19 +69,25 @@ def mine(texts: list[str], y: np.ndarray) -> dict[str, float]:
 
     Near-copies count once. A word is left out where one of its beginnings is as telling.
     """
-    words = [set(t.split()) for t in texts]
-    known: dict[str, list[str]] = {}
-    counts = (Counter(), Counter())
+    pool: dict[str, str] = {}  # one object for each distinct word, and one number for each candidate
+    words = [{pool.setdefault(w, w) for w in t.split()} for t in texts]
+    first = unlike(words)
+    number: dict[str, int] = {}
+    known: dict[str, tuple[int, ...]] = {}
+    tally = (Counter(), Counter())
     n = [0, 0]
-    for i in unlike(words):
-        own: set[str] = set()
+    for i in first:
+        own: set[int] = set()
         for w in words[i]:
             got = known.get(w)
             if got is None:
-                got = known[w] = _candidates(_core(w))
+                got = known[w] = tuple(number.setdefault(c, len(number)) for c in _candidates(_core(w)))
             own.update(got)
-        counts[y[i]].update(own)
+        tally[y[i]].update(own)
         n[y[i]] += 1
+        words[i] = set()
+    names = list(number)
+    counts = tuple(Counter({names[k]: c for k, c in t.items() if tally[1][k]}) for t in tally)
     least = 2 * (math.log(max(2, len(counts[1]))) + MARGIN)
     found = {}
     for key, tox in counts[1].items():
@@ -125,10 +131,11 @@ class Finder:
             got = self.hits.get(w)
             if got is None:
                 got = [self.index[k] for k in _candidates(_core(w)) if k in self.index]
-                if got:
-                    self.hits[w] = got
-                elif len(self.clean) < CLEAN_KEPT:
-                    self.clean.add(w)
+                if len(w) <= WORD_KEPT and len(self.clean) + len(self.hits) < CLEAN_KEPT:
+                    if got:
+                        self.hits[w] = got
+                    else:
+                        self.clean.add(w)
             if got:
                 found.update(got)
                 flagged += 1
@@ -242,14 +249,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def clean_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold; all columns stay and nothing shuffles."""
-    model = fit(sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE))
+def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold; all columns stay and nothing shuffles.
+
+    Each row is judged for itself, so repeated rows stay or go together, and a null id changes nothing.
+    Null and empty texts have no entry and stay unless all known labels are toxic. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    model = fit(sample(rows, labels, "toxic", FOLDS, HELD_OUT, SAMPLE))
+    at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(model["lexicon"])
         for b in batches:
-            got = [scores([t.as_py() or ""], model, find)[0] < THRESHOLD for t in b.column("text")]
+            got = [scores([str(t) if (t := x.as_py()) is not None else ""], model, find)[0] < THRESHOLD for x in b.column(at)]
             yield b.filter(pa.array(got, pa.bool_()))
 
     return map_arrow(docs, keep, docs.schema)
