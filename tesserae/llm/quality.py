@@ -1,16 +1,15 @@
 """Quality classifier by supervised subword embeddings.
 
-A word is the average-able sum of the vectors of itself and of its character n-grams, all hashed into
-one table; a word that repeats the one before adds the hashed word bigram. A document is the mean over
-all its features, and a softmax over that mean gives the class. Table and output layer are learned
-together by stochastic gradient descent in numpy on a bounded labelled sample. As everything after
-the table is linear, a learned word collapses to one number, which scoring looks up.
+A word has the vectors of itself and of its character n-grams, a pair of neighbours that of their word
+bigram, all hashed into one table. A document is the mean over all its features, and a softmax over that
+mean gives the class. Table and output layer are learned together by stochastic gradient descent in numpy
+on a bounded labelled sample. As everything after the table is linear, a learned word or bigram collapses
+to one number, which scoring looks up.
 """
 
 from __future__ import annotations
 
 import math
-import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,11 +28,12 @@ ship(__name__)
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Labelled documents of each class that are learned from, at most.
 SAMPLE = 1_500
-BUCKETS, SIZE, GRAMS = 1 << 16, 8, (3, 4)
+BUCKETS, SIZE, GRAMS = 1 << 17, 8, (3, 4)
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.5, 3
-#: Words whose numbers a task remembers; a full memory is emptied.
-WORDS_KEPT = 500_000
-_REPEAT = zlib.crc32(b"\x00repeat") % BUCKETS
+#: Words whose numbers a task remembers, and their characters in all; a full memory is emptied.
+WORDS_KEPT, CHARS_KEPT = 500_000, 16_000_000
+#: The bucket that all bigrams of a word and itself share, and how often each of them counts.
+_REPEAT, _WEIGHT = zlib.crc32(b"\x00repeat") % BUCKETS, 4.0
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +56,16 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(which), np.concatenate(bucket)
 
 
-def repeats(words: list[str]) -> int:
-    return sum(map(operator.eq, words, words[1:]))
+def codes(words: list[str]) -> np.ndarray:
+    """A number of each word, from which the buckets of bigrams come."""
+    return np.array([zlib.crc32(w.encode("utf-8", "replace"), 77) for w in words], np.uint64)
+
+
+def bigrams(code: np.ndarray) -> np.ndarray:
+    """The buckets of all pairs of neighbours that differ."""
+    a, b = code[:-1], code[1:]
+    h = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[a != b]
 
 
 def fit(rows: list[tuple[int, str, int]], prior: float) -> dict:
@@ -74,6 +82,7 @@ def fit(rows: list[tuple[int, str, int]], prior: float) -> dict:
     which, bucket = features(list(index))
     order = np.argsort(which, kind="stable")
     bucket, begins = bucket[order], np.searchsorted(which[order], np.arange(len(index) + 1))
+    code = codes(list(index))
     docs = []
     for words in texts:
         counts = Counter(words)
@@ -82,8 +91,11 @@ def fit(rows: list[tuple[int, str, int]], prior: float) -> dict:
         length = begins[ids + 1] - begins[ids]
         at = np.arange(length.sum()) + np.repeat(begins[ids] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(ids) else np.zeros(0, int)
         f, c = bucket[at], np.repeat(times, length)
-        again = repeats(words)
-        f, c = np.append(f, _REPEAT), np.append(c, again * 4.0)
+        pairs = bigrams(code[np.fromiter(map(index.__getitem__, words), np.int64, len(words))])
+        again = max(0, len(words) - 1) - len(pairs)
+        f, c = np.concatenate([f, pairs, [_REPEAT]]), np.concatenate([c, np.ones(len(pairs)), [again * _WEIGHT]])
+        f, back = np.unique(f, return_inverse=True)
+        c = np.bincount(back, c, len(f))
         docs.append((f, c / max(1.0, c.sum())))
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.1, (BUCKETS, SIZE))
@@ -115,7 +127,20 @@ def fit(rows: list[tuple[int, str, int]], prior: float) -> dict:
 
 class Scorer:
     def __init__(self, model: dict):
-        self.table, self.bias, self.known = model["table"], model["bias"], {}
+        self.table, self.bias = model["table"], model["bias"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.value, self.count, self.code = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
+
+    def _learn(self, new: list[str]) -> None:
+        which, bucket = features(new)
+        value, count = np.bincount(which, self.table[bucket], len(new)), np.bincount(which, minlength=len(new))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.value, self.count, self.code = np.append(self.value, value), np.append(self.count, count), np.append(self.code, codes(new))
+        self.chars += sum(map(len, new))
 
     def __call__(self, texts: list[str]) -> list[float]:
         split = [t.split() for t in texts]
@@ -124,18 +149,18 @@ class Scorer:
             seen.update(words)
         new = list(seen.difference(self.known))
         if new:
-            if len(self.known) + len(new) > WORDS_KEPT:
-                self.known.clear()
+            if len(self.known) + len(new) > WORDS_KEPT or self.chars > CHARS_KEPT:
+                self.forget()
                 new = list(seen)
-            which, bucket = features(new)
-            value, count = np.bincount(which, self.table[bucket], len(new)), np.bincount(which, minlength=len(new))
-            self.known.update(zip(new, map(complex, value.tolist(), count.tolist())))  # the sum and the number of features
+            self._learn(new)
         get = self.known.__getitem__
         out = []
         for words in split:
-            both = sum(map(get, words), 0j)
-            again = 4.0 * repeats(words)
-            z = self.bias + (both.real + again * self.table[_REPEAT]) / max(1.0, both.imag + again)
+            at = np.fromiter(map(get, words), np.int64, len(words))
+            pairs = bigrams(self.code[at])
+            again = _WEIGHT * (max(0, len(words) - 1) - len(pairs))
+            total = self.value[at].sum() + self.table[pairs].sum() + again * self.table[_REPEAT]
+            z = self.bias + total / max(1.0, self.count[at].sum() + len(pairs) + again)
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
         return out
 
