@@ -26,11 +26,13 @@ ship(__name__)
 
 COSINE = 0.9
 #: Unrelated vectors that a filter holds on average, and shared filters expected for a pair at the threshold.
-OCCUPANCY, SHARED = 12.0, 8.0
+OCCUPANCY, SHARED = 200.0, 6.0
 #: Independent rotations with codes of their own; filters of one code rise and fall together.
 CODES = 12
 #: A filter with more vectors is dealt into blocks of this size, and pairs of blocks are compared in separate tasks.
 BLOCK = 1024
+#: So many numbers of such filters are broadcast; if there are more, they are joined.
+BROADCAST_FILTERS = 100_000
 SEED = 20
 
 
@@ -97,20 +99,15 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 def _decode(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     known: dict[int, Decoder] = {}
     for b in batches:
-        dims = b.column(3).to_numpy()
+        dims = b.column(2).to_numpy()
         for d in np.unique(dims).tolist():
             part = b.filter(pa.array(dims == d))
-            x = _matrix(part.column(2), d)
+            x = _matrix(part.column(1), d)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             decoder = known.setdefault(d, Decoder(n, d))
             for at in range(0, len(unit), 512):
                 lists = [v + (d << 44) for v in decoder(unit[at : at + 512])]
-                rows = part.slice(at, 512)
-                each = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-                flat = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
-                out = rows.take(pa.array(each))
-                filters = pa.array(lists, pa.list_(pa.int64())).take(pa.array(each))
-                yield pa.RecordBatch.from_arrays([pa.array(flat), *out.columns[:3], filters], names=["filter", "rep", "times", "vec", "filters"])
+                yield pa.RecordBatch.from_arrays([part.column(0)[at : at + 512], pa.array(lists, pa.list_(pa.int64()))], names=["rep", "filters"])
 
 
 def _compare(rows: pa.Table) -> list[tuple[int, int, int]]:
@@ -190,22 +187,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "capfilters")
-    v = F.col(vector_col).cast("array<double>")
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    v = F.col(vector_col).cast(f"array<{kind}>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce((F.size("vec") > 0) & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = scratch.write(rows.withColumn("usable", usable).withColumn("vec", F.expr("if(usable, transform(vec, x -> x + 0D), null)")), "rows")
+    rows = scratch.write(rows.withColumn("usable", usable).withColumn("vec", F.expr(f"if(usable, transform(vec, x -> cast(x + 0D as {kind})), null)")), "rows")
     reps = rows.where("usable").groupBy("vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("times"))
     # a vector whose rows have no id gets a negative number that no other has
     reps = scratch.write(reps.select(F.coalesce("low", -F.monotonically_increasing_id() - (1 << 62)).alias("rep"), "low", "times", "vec", F.size("vec").alias("d")), "reps")
-    n = reps.count()
-    filtered = map_arrow(reps.select("rep", "times", "vec", "d"), partial(_decode, n=n), "filter long, rep long, times long, vec array<double>, filters array<long>")
-    filtered = scratch.write(filtered, "filtered")
-    sizes = filtered.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    dealt = filtered.join(sizes, "filter").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("filter", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "rep", "times", "vec", "filters")
-    # rows of block pairs (i, j) with i < j hold both blocks, those with i = j one
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    lists = map_arrow(reps.select("rep", "vec", "d").repartition(parts, "rep"), partial(_decode, n=reps.count()), "rep long, filters array<long>")
+    lists = scratch.write(lists, "lists")
+    # only numbers are counted; a vector travels once for each of its filters
+    large = lists.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = scratch.write(large.select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "large")
+    if large.count() <= BROADCAST_FILTERS:
+        large = F.broadcast(large)
+    each = lists.join(reps, "rep").select(F.explode("filters").alias("filter"), "rep", "times", "vec", "filters").join(large, "filter", "left")
+    each = each.withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    dealt = each.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("filter", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "rep", "times", "vec", "filters")
+    # rows of block pairs (i, j) with i < j hold both blocks, those with i = j one
     dealt = dealt.repartition(parts, "filter", "i", "j").sortWithinPartitions("filter", "i", "j", "rep")
     found = scratch.write(map_arrow(dealt, _groups, "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
