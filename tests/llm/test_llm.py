@@ -116,6 +116,37 @@ def test_simhash_keeps_one_row_without_an_id(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+CLASH = ["best", "_w", "sha", "points", "maybe", "key", "other", "word", "set", "h", "id", "hash", "times", "_id", "_times", "copies", "rows", "spans", "fp", "n", "code", "row"]
+
+
+def clashing(spark, rows):
+    """Rows of (doc_id, text, source) among columns of every name that an operator might use."""
+    df = docs(spark, rows)
+    return df.select("doc_id", "text", "source", *(F.lit("c").alias(c) for c in CLASH))
+
+
+def test_columns_of_any_name_pass_through(spark):
+    d = clashing(spark, ODD)
+    labels = spark.createDataFrame([(3, 0), (4, 0)], "doc_id long, toxic int")
+    for out in (exact.keep_best(d), simhash.keep_one(d), mixing.mixed_rows(d, repeats=2.0), substring.without_repeats(d), toxicity.clean_rows(d, labels)):
+        assert out.columns == d.columns and out.count() > 0
+        assert out.select(*CLASH).distinct().count() == 1
+
+
+def test_least_id(spark):
+    low = -(1 << 63)
+    rows = [(low, "same text"), (5, "same text"), (None, "same text"), (7, "else")]
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact.duplicates(docs(spark, rows)).collect()}
+    assert got == {(low, low, True), (5, low, False), (None, low, False), (7, 7, True)}
+    assert sorted(r.doc_id for r in exact.keep_best(docs(spark, rows)).collect()) == [low, 7]
+
+
+def test_repeated_ids_are_told_apart(spark):
+    rows = [(3, "one two three four five six"), (10, "one two three four  five six"), (10, "quite other words that link with nothing here"), (10, "quite other words that link with nothing here")]
+    kept = simhash.keep_one(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in kept) == [(3, "one t"), (10, "quite")]
+
+
 def test_exact_odd_rows(spark):
     got = {}
     rows = exact.duplicates(docs(spark, ODD)).collect()
@@ -131,7 +162,8 @@ def test_exact_odd_rows(spark):
 
 
 def test_exact_is_right_with_a_full_filter(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(exact, "MAX_WORDS", 1)
+    monkeypatch.setattr(exact, "BITS_PER_ROW", 1)
+    monkeypatch.setattr(exact, "BROADCAST_WORDS", 0)
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     groups = collections.defaultdict(list)
     for r in d.collect():
@@ -176,7 +208,7 @@ def test_repeats_find_every_shared_window(spark, sf_dir):
 def test_repeats_are_the_similar_paragraphs(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 80")
     text = {r.doc_id: r.text for r in d.collect()}
-    paras = [(r.doc_id, r.start, r.length) for r in substring.paragraphs(d).collect()]
+    paras = [(r.doc_id, s, n) for r in substring.paragraphs(d).collect() for s, n in zip(r.start, r.length)]
     sets = [frozenset(_windows(text[i][s : s + n], 5)) for i, s, n in paras]
     linked = [(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(sets), 2) if len(x & y) >= 0.8 * len(x | y)]
     low = components(range(len(paras)), linked)
@@ -313,6 +345,53 @@ def test_warc_salvage_before_a_break():
     assert _ids(big[: len(big) * 6 // 8])[:5] == [f"<urn:page:{i}>" for i in range(5)]
 
 
+def test_warc_salvage_of_malformed_lengths():
+    good = warc.record(1, "u", b"payload", None) + warc.CLOSE
+    for length in ("\u00b2", "9" * 5000, "-1", "", "1e3", "\u0663"):
+        bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + length.encode() + b"\r\n\r\nx" + warc.CLOSE
+        got = list(warc.salvage(bad + good))
+        assert [(k, a, b) for k, a, b, _, _ in got] == [("gap", 0, len(bad)), ("record", len(bad), len(bad) + len(good))]
+    odd = {"content-type": "application/http", "warc-type": "revisit"}
+    assert warc._payload(odd, b"HTTP/1.1 200 OK\r\nContent-Length: " + b"9" * 5000 + warc.CLOSE) == (b"", 0)
+
+
+def test_warc_gaps_exclude_what_was_recovered():
+    records = [warc.record(i, "u", random.Random(i).randbytes(3000), None) + warc.CLOSE for i in range(6)]
+    first, second = gzip.compress(b"".join(records[:4])), gzip.compress(b"".join(records[4:]))
+    data = bytearray(first + second)
+    data[len(first) * 3 // 4] ^= 0xFF
+    got = list(warc.salvage(bytes(data)))
+    kept = [(a, b) for k, a, b, _, _ in got if k == "record"]
+    gaps = [(a, b) for k, a, b, _, _ in got if k == "gap"]
+    assert len(kept) >= 4 and len(gaps) == 1 and gaps[0][1] == len(first)
+    assert all(b <= gaps[0][0] or a >= gaps[0][1] for a, b in kept)
+
+
+def test_warc_files_damaged_anywhere_lose_the_hit_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{random.Random(i).random()} {i}</p>" * (i % 7)) for i in range(200)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    rng = random.Random(3)
+    for file in [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")][:2]:
+        data = file.read_bytes()
+        whole = _ids(data)
+        for _ in range(20):
+            hurt = bytearray(data)
+            hurt[rng.randrange(len(hurt))] ^= rng.randint(1, 255)
+            left = _ids(hurt)
+            assert len(left) >= len(whole) - 1 and set(left) <= set(whole)
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 7)
+    rows = [(i, "u", random.Random(i).randbytes(20_000).hex() if i == 5 else f"page {i}") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    assert len(files) >= 7 and sum(f.stat().st_size > 5000 for f in files) == 1
+    assert {r.record_id for r in warc.read(spark, str(tmp_path / "w")).collect()} == {f"<urn:page:{i}>" for i in range(40)}
+
+
 def test_warc_files_have_a_member_for_each_record(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i} é") for i in range(20)], "page_id long, url string, html string").coalesce(1)
     warc.write(pages, str(tmp_path / "w"))
@@ -552,14 +631,8 @@ def test_capfilters_odd_rows(spark):
     assert capfilters.near_duplicates(_vectors(spark, [])).count() == 0
 
 
-@pytest.fixture
-def small_lm(monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 60)
-    monkeypatch.setattr(lm, "TRAIN_DOCS", 60)
-
-
 @pytest.mark.parametrize("head", [1 << 18, 20])
-def test_lm_base(spark, sf_dir, small_lm, monkeypatch, head):
+def test_lm_base(spark, sf_dir, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD", head)
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = {r.doc_id: r.text for r in d.collect()}
@@ -586,43 +659,118 @@ def test_lm_windows_score_each_id_once():
         assert flat.tolist() == [99, *range(1, n + 1)]
 
 
+def _known(group):
+    return {"group": group, "state": group, "prior": np.zeros((lm.CLASSES + 1, lm.CLASSES), np.float32), "end": len(group) - 1}
+
+
+def _taught(texts, vocab, group, turns=3):
+    weights = lm.start(vocab)
+    for _ in range(turns):
+        learner = lm.Learner(weights, _known(group), 0)
+        for t in texts:
+            learner.add(t)
+        learner.teach()
+        weights = learner.m
+    return weights
+
+
+def _plain_model(weights, group):
+    return _known(group) | {"weights": weights, "within": lm.within(np.zeros((lm.CLASSES + 1, len(group))), group)}
+
+
 def test_lm_is_causal_and_a_distribution():
     rng = np.random.default_rng(1)
     vocab = 40
     group = np.arange(vocab) % lm.CLASSES
     texts = [rng.integers(0, vocab - 1, 50) for _ in range(5)]
-    weights = lm.train(texts, vocab - 1, vocab, group)
-    counts = np.zeros((lm.CLASSES + 1, vocab))
-    model = {"weights": weights, "group": group, "within": lm.within(counts, group), "end": vocab - 1, "ends": np.zeros(vocab, bool)}
-    total = sum(10 ** lm.score_ids(model, [np.array([], int)]).sum() for _ in range(1))
+    weights = _taught(texts, vocab, group)
+    model = _plain_model(weights, group)
+    total = 10 ** lm.score_ids(model, [np.array([], int)]).sum()
     first = [10 ** (lm.score_ids(model, [np.array([i])])[0]) for i in range(vocab)]
     assert 0 < total < 1 and sum(first) <= 1 - total + 1e-4
     a, b = texts[0].copy(), texts[0].copy()
     b[40:] = 0
-    ia, _ = lm.windows(a, vocab - 1)
-    ib, _ = lm.windows(b, vocab - 1)
-    za = lm._forward(weights, ia, np.arange(len(ia)) == 0)["z"].reshape(-1, lm.CLASSES)
-    zb = lm._forward(weights, ib, np.arange(len(ib)) == 0)["z"].reshape(-1, lm.CLASSES)
-    assert np.allclose(za[:40], zb[:40])
+    h = [lm._forward(weights, w, np.arange(len(w)) == 0)["h"].reshape(-1, lm.SIZE) for w, _ in (lm.windows(a, vocab - 1), lm.windows(b, vocab - 1))]
+    assert np.allclose(h[0][:40], h[1][:40], atol=1e-5)
 
 
-def test_lm_gradients():
+def test_lm_gradients_are_those_of_the_loss(monkeypatch):
     rng = np.random.default_rng(2)
     vocab, group = 30, np.arange(30) % lm.CLASSES
-    texts = [np.tile([1, 2, 3, 4], 12) for _ in range(4)]
-    trained = lm.train(texts, 29, vocab, group)
-    fresh = {n: rng.normal(size=w.shape).astype(np.float32) * 0.1 for n, w in trained.items()}
-    within = lm.within(np.zeros((lm.CLASSES + 1, vocab)), group)
-    score = lambda w: lm.score_ids({"weights": w, "group": group, "within": within, "end": 29, "ends": np.zeros(vocab, bool)}, [texts[0]])[0]
-    assert score(trained) > score(fresh) + 20
+    m = {n: rng.normal(size=w.shape) * 0.3 for n, w in lm.start(vocab).items()}
+    known = _known(group) | {"prior": rng.normal(size=(lm.CLASSES + 1, lm.CLASSES))}
+    w, t = lm.windows(rng.integers(0, 29, 60), 29)
+    first = np.arange(len(w)) == 0
+
+    def loss(m):
+        z, total = lm._chances(m, lm._forward(m, w, first)["h"], known["prior"][known["state"][w[:, lm.CONTEXT :].ravel()]])
+        good = np.flatnonzero(t.ravel() >= 0)
+        return -np.log(z[good, group[t.ravel()[good]]] / total[good]).mean()
+
+    g = lm._gradients(m, w, t, first, known)
+    full = {n: g[n] for n in m if n != "E"} | {"E": np.zeros((vocab, lm.SIZE))}
+    full["E"][g["ids"]] = g["E"]
+    for n in m:
+        for _ in range(4):
+            at = tuple(rng.integers(0, k) for k in m[n].shape)
+            more, less = ({k: v.copy() for k, v in m.items()} for _ in range(2))
+            more[n][at] += 1e-3
+            less[n][at] -= 1e-3
+            assert full[n][at] == pytest.approx((loss(more) - loss(less)) / 2e-3, rel=0.02, abs=2e-4), n
+
+
+def test_lm_learns():
+    vocab, group = 30, np.arange(30) % lm.CLASSES
+    texts = [np.tile([1, 2, 3, 4], 12) for _ in range(40)]
+    score = lambda w: lm.score_ids(_plain_model(w, group), [texts[0]])[0]
+    assert score(_taught(texts, vocab, group, 20)) > score(lm.start(vocab)) + 20
+
+
+def _plain_score(weights, group, prior, within, ends, ids, end):
+    """The model's probability of a text, id by id."""
+    full, out = [end, *ids], 0.0
+    m = {n: w.astype(float) for n, w in weights.items()}
+    for at, target in enumerate([*ids, end]):
+        window = at // lm.STRIDE
+        begin = window * lm.STRIDE - lm.CONTEXT  # the place in ``full`` of the window's first id
+        seen = [(p - begin, full[p]) for p in range(max(begin, 0), at + 1)]
+        x = np.array([m["E"][i] + m["P"][p] for p, i in seen])
+        q, k, v = x[-1] @ m["Q"], x @ m["K"], x @ m["V"]
+        a = np.exp(k @ q / lm.SIZE**0.5)
+        state = lm.CLASSES if ends[full[at]] else group[full[at]]
+        z = (x[-1] + (a / a.sum()) @ v @ m["O"]) @ m["C"] + m["b"] + prior[state]
+        out += z[group[target]] - np.log(np.exp(z).sum()) + within[state, target]
+    return out / math.log(10)
+
+
+def test_lm_scores_match_a_plain_model(spark, monkeypatch):
+    seen = []
+    learned, within = lm.learned, lm.within
+    monkeypatch.setattr(lm, "learned", lambda *a: seen.append(learned(*a)) or seen[-1])
+    monkeypatch.setattr(lm, "within", lambda *a: seen.append((a, within(*a))) or seen[-1][1])
+    words = "red green blue black white brown".split()
+    rows = [(i, " ".join(words[(i + k) % 6] for k in range(i * 3 % 50))) for i in range(40)]
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, rows)).collect()}
+    (weights, ((counts, group), table)), tok = seen, tokenizer(DEFAULT)
+    prior = lm.prior(counts, group)
+    vocab = tok.tok.get_vocab_size()
+    ends = np.zeros(vocab, bool)
+    ends[[i for piece, i in tok.tok.get_vocab().items() if piece.endswith("</w>")] + [vocab - 1]] = True
+    want = collections.Counter()  # what follows what in the training documents
+    for i, t in rows:
+        ids = tok.encode_words([lm.words_of(t)])[0].astype(int).tolist()
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for a, b in zip([vocab - 1, *ids], [*ids, vocab - 1]):
+                want[lm.CLASSES if ends[a] else group[a], b] += 1
+        assert got[i] == pytest.approx(_plain_score(weights, group, prior, table, ends, ids, vocab - 1), rel=1e-4)
+    assert {(int(a), int(b)): int(counts[a, b]) for a, b in zip(*np.nonzero(counts))} == dict(want)
 
 
 def test_lm_learns_from_every_training_document(spark, monkeypatch):
-    monkeypatch.setattr(lm, "TRAIN_DOCS", 1)
-    monkeypatch.setattr(lm, "STEPS", 5)
+    monkeypatch.setattr(lm, "TAUGHT", 1)
     seen = []
     learned = lm.learned
-    monkeypatch.setattr(lm, "learned", lambda docs, weights, group, *a: seen.append((weights, group, learned(docs, weights, group, *a))) or seen[-1][2])
+    monkeypatch.setattr(lm, "learned", lambda ids, weights, known, *a: seen.append((weights, known["group"], learned(ids, weights, known, *a))) or seen[-1][2])
     words = "red green blue black white brown".split()
     rows = [(i, " ".join(words[(i + k) % 6] for k in range(40))) for i in range(40)] + [(100, "house tree"), (104, "river stone")]
     lm.score(docs(spark, rows))
@@ -633,12 +781,19 @@ def test_lm_learns_from_every_training_document(spark, monkeypatch):
     assert (group[ids] < lm.CLASSES - 1).all()  # the last class is of ids that no training document has
 
 
+def test_lm_beats_its_base(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = lm.score(d).where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_lm_neighbours_cover_all_documents(spark):
     tok = tokenizer(DEFAULT)
     vocab = tok.tok.get_vocab_size()
     rows = [(i, t) for i, t in ODD if i != 5]
     freq, want = np.zeros(vocab), collections.Counter()
-    texts = [[vocab - 1, *tok.encode_words([lm.words_of(t)])[0].tolist(), vocab - 1] for _, t in rows]
+    ids = [tok.encode_words([lm.words_of(t)])[0] for _, t in rows]
+    texts = [[vocab - 1, *i.tolist(), vocab - 1] for i in ids]
     for t in texts:
         np.add.at(freq, t[1:], 1)
     col = {int(i): k for k, i in enumerate(np.argsort(-freq, kind="stable")[: lm.NEIGHBOURS])}
@@ -646,16 +801,20 @@ def test_lm_neighbours_cover_all_documents(spark):
         for a, b in zip(t, t[1:]):
             want[b, col.get(a, lm.NEIGHBOURS)] += 1
             want[a, lm.NEIGHBOURS + 1 + col.get(b, lm.NEIGHBOURS)] += 1
-    got = lm.neighbours(docs(spark, rows), DEFAULT, freq, vocab - 1)
+    table = spark.createDataFrame([(k, bytearray(i.tobytes())) for k, i in enumerate(ids)], "row long, ids binary")
+    assert (lm.cell_counts(table, tok.dtype.str, vocab - 1, vocab, lm._is) == freq).all()
+    got = lm.neighbours(table, tok.dtype.str, freq, vocab - 1)
     assert {(int(i), int(j)): int(got[i, j]) for i, j in zip(*np.nonzero(got))} == dict(want)
 
 
-def test_lm_odd_rows(spark, small_lm):
+def test_lm_odd_rows(spark):
     rows = lm.score(docs(spark, ODD)).collect()
     assert len(rows) == len(ODD) and all(r.score < 0 and math.isfinite(r.base_score) for r in rows)
     by = {r.doc_id: r for r in rows}
     assert by[1].n_tokens == by[2].n_tokens == 1
     assert lm.score(docs(spark, [])).count() == 0
+    (only,) = lm.score(docs(spark, [(3, "held out only")])).collect()  # crc32 of '3' is 1 modulo 5
+    assert only.held_out and (only.base_score, only.n_known, only.train_tokens) == (0.0, 0, 0)
 
 
 def test_queries_have_their_columns(spark):
