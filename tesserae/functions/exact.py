@@ -1,4 +1,4 @@
-"""Functions that Spark has no built-in for: normal forms, exact rationals, compression, ordered folds over arrays."""
+"""Functions that Spark has no built-in for: normal forms, exact rationals, compression."""
 
 from __future__ import annotations
 
@@ -100,12 +100,3 @@ def moved(order: Column | str) -> Column:
             yield s.map(lambda x: None if x is None else one([int(v) for v in x]))
 
     return F.pandas_udf(run, "array<long>")(order)
-
-
-def aimd(outcomes: Column | str, least: int = 4, most: int = 64, start: int = 4) -> Column:
-    """The limit after each outcome of an array of booleans: one more after a success, half after a failure."""
-    step = F.aggregate(
-        outcomes, F.array(F.lit(start)),
-        lambda acc, ok: F.concat(acc, F.array(F.when(ok, F.least(F.lit(most), F.element_at(acc, -1) + 1)).otherwise(F.greatest(F.lit(least), F.floor(F.element_at(acc, -1) / 2).cast("int"))))),
-    )
-    return F.slice(step, 2, F.greatest(F.size(outcomes), F.lit(1)))

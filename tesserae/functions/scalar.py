@@ -100,13 +100,72 @@ def timecode(frame: Column | str, rate: Column | str) -> Column:
     """HH:MM:SS:FF of a frame; negative ones get a sign, and without a positive rate the frame itself is given."""
     f, r = _col(frame), _col(rate)
     a = F.abs(f)
-    second = F.floor(a / r)
+    second = F.call_function("div", a, F.nullif(r, F.lit(0)))
     two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
-    hours = F.floor(second / 3600)
-    text = F.concat_ws(":", F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), two(F.floor(second / 60) % 60), two(second % 60), two(a % r))
+    hours = F.call_function("div", second, F.lit(3600))
+    text = F.concat_ws(":", F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), two(F.call_function("div", second, F.lit(60)) % 60), two(second % 60), two(a % F.nullif(r, F.lit(0))))
     return F.when(r <= 0, f.cast("string")).otherwise(F.concat(F.when(f < 0, "-").otherwise(""), text))
 
 
+def to_frames(num: Column, den: Column, rate: Column) -> Column:
+    """The frame that num/den seconds fall in at a whole rate: a floor, also below zero."""
+    return F.call_function("div", num * rate - F.pmod(num * rate, den), den)
+
+
+def range_end(start: Column, length: Column, rate: Column) -> Column:
+    """The seconds, as 'n/d' in least terms, at which a range of frames ends."""
+    end = start + length
+    common = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.abs(end).alias("a"), rate.cast("long").alias("b")), lambda s, _: F.when(s.b == 0, s).otherwise(F.struct(s.b.alias("a"), (s.a % F.nullif(s.b, F.lit(0))).alias("b"))))
+    return F.concat(F.call_function("div", end, common.a).cast("string"), F.lit("/"), F.call_function("div", rate.cast("long"), common.a).cast("string"))
+
+
+def fingerprint(*fields: Column | str) -> Column:
+    """The fields of a clip that make its content, joined by bars; a missing one is empty."""
+    return F.concat_ws("|", *(F.coalesce(_col(f).cast("string"), F.lit("")) for f in fields))
+
+
+def hex_text(data: Column | str) -> Column:
+    return F.lower(F.hex(_col(data)))
+
+
+def shard(digest: Column | str) -> Column:
+    """The folder of a digest: its first two hexadecimal digits."""
+    return F.substring(_col(digest), 1, 2)
+
+
+def namespace(owner: Column | str, name: Column | str) -> Column:
+    return F.concat(_col(owner), F.lit("#"), _col(name))
+
+
+def split_namespace(text: Column | str) -> tuple[Column, Column]:
+    """(owner, name) at the first '#'; without one there is no owner."""
+    t = _col(text)
+    at = F.instr(t, "#")
+    return F.when(at > 0, F.substring(t, F.lit(1), at - 1)), F.when(at > 0, F.substring(t, at + 1, F.length(t))).otherwise(t)
+
+
+def link_expired(expires_at: Column | str, now_ms: int) -> Column:
+    """A guest link without an end (0) never expires."""
+    e = _col(expires_at)
+    return (e > 0) & (F.lit(now_ms) >= e)
+
+
+def pin_text(x: Column | str) -> Column:
+    """A pin's coordinate with three decimals."""
+    return F.format_string("%.3f", _col(x).cast("double"))
+
+
+def csv_field(text: Column | str) -> Column:
+    """A field of a CSV line: quoted where it holds a comma, a quote or a line end."""
+    t = _col(text)
+    return F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
+
+
+def audit_id(*fields: Column | str) -> Column:
+    """The first 16 hexadecimal digits of the digest of an audit record's fields."""
+    return F.substring(F.sha2(F.concat_ws("\n", *(_col(f).cast("string") for f in fields)), 256), 1, 16)
+
+
 def rational_compare(n1: Column, d1: Column, n2: Column, d2: Column) -> Column:
     """-1, 0 or 1 for n1/d1 against n2/d2 by exact cross products (positive denominators)."""
     wide = "decimal(19,0)"

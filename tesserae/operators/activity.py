@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bounds of latency buckets in milliseconds.
+from tesserae.operators import runs
+
+# The most bins of a waveform, and upper bounds of latency buckets in milliseconds.
+MAX_BINS = 200_000
 BUCKETS = [0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0]
 
 
@@ -37,7 +40,9 @@ def presence(events: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
 
 
 def peaks(samples: DataFrame, per_bin: int, bins: int) -> DataFrame:
-    """(bin, lo, hi): least and greatest sample (frame, v) of each bin; a bin without samples is 0."""
+    """(bin, lo, hi): least and greatest sample (frame, v) of each bin; a bin without samples is 0. At most MAX_BINS bins."""
+    if bins > MAX_BINS:
+        raise ValueError(f"more than {MAX_BINS} bins")
     spine = samples.sparkSession.range(bins).select(F.col("id").alias("bin"))
     got = samples.groupBy(F.floor(F.col("frame") / per_bin).alias("bin")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     return spine.join(got, "bin", "left").na.fill(0.0, ["lo", "hi"])
@@ -72,20 +77,97 @@ def histogram_percentile(rows: DataFrame, group: str, value: str, p: float) -> D
 
 def rate_limit(events: DataFrame, budget: int, window_ms: int) -> DataFrame:
     """(user_id, event_id, allowed): a window opens at the first event after the last one closed; rejected events don't count."""
-    import pandas as pd
 
-    def limit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "event_id"])
-        start, used, out = None, 0, []
-        for ms in pdf["ms"]:
+    def begin():
+        start, used = None, 0
+
+        def limit(ms: int, event_id: int) -> tuple:
+            nonlocal start, used
             if start is None or ms - start >= window_ms:
                 start, used = ms, 0
             fine = used < budget
             used += fine
-            out.append(fine)
-        return pdf[["user_id", "event_id"]].assign(allowed=out)
+            return (fine,)
+
+        return limit
+
+    return runs.fold(events, ["user_id"], ["ms", "event_id"], [], begin, "allowed boolean").select("user_id", "event_id", "allowed")
+
+
+def touches(events: DataFrame, every_ms: int) -> DataFrame:
+    """(user_id, event_id, touched): a key is touched at most once in ``every_ms``, counted from its last touch."""
+    return rate_limit(events, 1, every_ms).withColumnRenamed("allowed", "touched")
+
+
+def aimd(outcomes: DataFrame, least: int = 4, most: int = 64) -> DataFrame:
+    """(user_id, event_id, limit): the limit after each outcome (ok): one more after a success, half after a failure."""
+
+    def begin():
+        limit = least
+
+        def step(event_id: int, ok: bool) -> tuple:
+            nonlocal limit
+            limit = min(most, limit + 1) if ok else max(least, limit // 2)
+            return (limit,)
+
+        return step
+
+    return runs.fold(outcomes, ["user_id"], ["event_id"], ["ok"], begin, "limit long")
+
+
+def lease_log(requests: DataFrame, ttl_ms: int) -> DataFrame:
+    """(path, ms, event_id, granted, token, expires_at): what each request (path, ms, event_id, device_id, what) gets.
+
+    An acquire is granted if the lease is free, expired or the device's own, and raises the token. A renewal
+    and a release need the device's own unexpired lease.
+    """
+
+    def begin():
+        holder, token, until = None, 0, 0
+
+        def ask(ms: int, event_id: int, device: int, what: str) -> tuple:
+            nonlocal holder, token, until
+            live = holder is not None and until > ms
+            own = live and holder == device
+            if what == "acquire":
+                fine = own or not live
+                if fine:
+                    holder, token, until = device, token + 1, ms + ttl_ms
+            else:
+                fine = own
+                if fine and what == "renew":
+                    until = ms + ttl_ms
+                elif fine:
+                    holder, until = None, 0
+            return fine, token, until
+
+        return ask
+
+    return runs.fold(requests, ["path"], ["ms", "event_id"], ["device_id", "what"], begin, "granted boolean, token long, expires_at long")
+
+
+def leaders(bids: DataFrame, ttl_ms: int) -> DataFrame:
+    """(job, ms, node, leads): a node leads a job if it already does or the last leader's lease has run out; each bid of a leader prolongs it."""
+
+    def begin():
+        holder, until = None, 0
+
+        def bid(ms: int, node: int) -> tuple:
+            nonlocal holder, until
+            fine = holder == node or until <= ms
+            if fine:
+                holder, until = node, ms + ttl_ms
+            return (fine,)
+
+        return bid
+
+    return runs.fold(bids, ["job"], ["ms", "node"], [], begin, "leads boolean")
+
 
-    return events.select("user_id", "event_id", "ms").groupBy("user_id").applyInPandas(limit, "user_id long, event_id long, allowed boolean")
+def due(timers: DataFrame, now_ms: int, limit: int) -> DataFrame:
+    """The timers (key, armed_ms, wait_ms) that fire next, earliest deadline first; arming a key again replaces its deadline."""
+    last = timers.groupBy("key").agg(F.max_by(F.col("armed_ms") + F.col("wait_ms"), F.struct("armed_ms", "wait_ms")).alias("deadline"))
+    return last.where(F.col("deadline") <= now_ms).orderBy("deadline", "key").limit(limit)
 
 
 def leases(requests: DataFrame, ttl_ms: int) -> DataFrame:

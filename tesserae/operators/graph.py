@@ -7,27 +7,34 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.scratch import saved
+
 
 def ancestors(starts: DataFrame, parents: DataFrame, most: int) -> DataFrame:
     """(ref, commit, depth): each start (ref, commit) and its ancestors by ``parents`` (commit, parent), at most ``most`` commits."""
-    level = starts.withColumn("depth", F.lit(0))
-    out = [level]
     links = parents.where("parent is not null")
-    for depth in range(1, most):
-        level = level.join(links, "commit").select("ref", F.col("parent").alias("commit"), F.lit(depth).alias("depth"))
-        level = level.checkpoint() if depth % 8 == 0 and starts.sparkSession.sparkContext.getCheckpointDir() else level
-        if not level.take(1):
-            break
-        out.append(level)
-    return reduce(DataFrame.unionByName, out)
+
+    def above(level: DataFrame, depth: int) -> DataFrame:
+        return level.join(links, "commit").select("ref", F.col("parent").alias("commit"), F.lit(depth).alias("depth"))
+
+    return _levels(starts.select("ref", "commit", F.lit(0).alias("depth")), above, most)
 
 
 def flatten(roots: DataFrame, children: DataFrame, levels: int = 8) -> DataFrame:
     """(root, node, depth): everything below each root by ``children`` (parent, child), to a bounded depth."""
-    level = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
+
+    def below(level: DataFrame, depth: int) -> DataFrame:
+        return level.join(children, level.node == children.parent).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"))
+
+    return _levels(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), below, levels + 1)
+
+
+def _levels(first: DataFrame, step, most: int) -> DataFrame:
+    """The union of a first level and those after it. Each is written, so the next one and the union only read it."""
+    level = saved(first)
     out = [level]
-    for depth in range(1, levels + 1):
-        level = level.join(children, level.node == children.parent).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"))
+    for depth in range(1, most):
+        level = saved(step(level, depth))
         if not level.take(1):
             break
         out.append(level)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators import runs
+
 
 def batch(journal: DataFrame, after: int, limit: int) -> DataFrame:
     """Each project's next entries after a cursor, in sequence order; the limit is held in [1, 512]."""
@@ -90,52 +92,93 @@ def fork_base(journal: DataFrame, me_mod: int, cursor: int) -> DataFrame:
 
 
 def merge_base(journal: DataFrame) -> DataFrame:
-    """For each upsert: the manifest at its base and that of the last upsert of another device after the base and before it."""
+    """For each upsert: the manifest at its base and that of the last upsert of another device after the base and before it.
+
+    The base is an equi-join on its sequence number; the other device's last upsert comes from running
+    windows, as in :func:`conflicts`.
+    """
+    order = Window.partitionBy("project_id", "path").orderBy("seq")
     u = journal.where("kind = 'file_upsert'").select("project_id", "path", "seq", "device_id", "base_seq", "manifest")
-    b = u.select("project_id", "path", F.col("seq").alias("b_seq"), F.col("device_id").alias("b_dev"), F.col("manifest").alias("b_man"))
-    j = u.join(b, ["project_id", "path"], "left").where((F.col("b_seq") >= F.col("base_seq")) & (F.col("b_seq") < F.col("seq")))
-    base = F.max(F.when(F.col("b_seq") == F.col("base_seq"), F.col("b_man")))
-    theirs = F.max(F.when((F.col("b_seq") > F.col("base_seq")) & (F.col("b_dev") != F.col("device_id")), F.struct("b_seq", "b_man")))
-    return j.groupBy("project_id", "path", "seq").agg(base.alias("base_manifest"), theirs.alias("t")).select("project_id", "path", "seq", "base_manifest", F.col("t.b_man").alias("theirs_manifest")).where("base_manifest is not null or theirs_manifest is not null")
+    last = F.lag(F.struct("seq", "device_id", "manifest")).over(order)
+    w = u.withColumn("_last", last).withColumn("_turn", F.when(F.col("_last.device_id") != F.col("device_id"), F.col("_last")))
+    w = w.withColumn("_other", F.last("_turn", ignorenulls=True).over(order))  # what came before this run of one device
+    theirs = F.when(F.col("_other.seq") > F.col("base_seq"), F.col("_other.manifest"))
+    b = u.select("project_id", "path", F.col("seq").alias("base_seq"), F.col("manifest").alias("base_manifest"))
+    j = w.withColumn("theirs_manifest", theirs).join(b, ["project_id", "path", "base_seq"], "left").withColumn("base_manifest", F.when(F.col("base_seq") < F.col("seq"), F.col("base_manifest")))
+    return j.where("base_manifest is not null or theirs_manifest is not null").select("project_id", "path", "seq", "base_manifest", "theirs_manifest")
 
 
 def ref_swaps(attempts: DataFrame) -> DataFrame:
-    """Compare-and-swap of a ref (ref, attempt, expected): accepted if the expected version is the number of accepted swaps before it.
+    """Compare-and-swap of a ref (ref, attempt, expected): accepted if the expected version is the number of accepted swaps before it."""
 
-    As every accepted swap raises the version by one, the accepted attempts are found by taking the
-    first attempt that expects 0, then the first after it that expects 1, and so on: a running maximum.
-    """
-    by = Window.partitionBy("ref").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    def begin():
+        version = 0
+
+        def swap(attempt: int, expected: int) -> tuple:
+            nonlocal version
+            fine = expected == version
+            version += fine
+            return expected, fine, version
 
-    step = F.aggregate(
-        F.col("a"), F.struct(F.lit(0).cast("long").alias("version"), F.array().cast("array<struct<attempt:bigint,expected:bigint,accepted:boolean,version:bigint>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(x.expected == acc.version, acc.version + 1).otherwise(acc.version).alias("version"),
-            F.concat(acc.out, F.array(F.struct(x.attempt.alias("attempt"), x.expected.alias("expected"), (x.expected == acc.version).alias("accepted"), F.when(x.expected == acc.version, acc.version + 1).otherwise(acc.version).alias("version")))).alias("out"),
-        ),
-    )
-    del by
-    grouped = attempts.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("attempt", "expected"))).alias("a"))
-    return grouped.select("ref", F.explode(step.out).alias("o")).select("ref", "o.*")
+        return swap
+
+    return runs.fold(attempts, ["ref"], ["attempt"], ["expected"], begin, "expected long, accepted boolean, version long")
 
 
 def online_accept(entries: DataFrame) -> DataFrame:
     """Sequential acceptance: an append is rejected if an accepted one of another device on its path came after its base.
 
-    Paths are independent, so each is one group; its state is the last accepted seq of every device.
+    A path's state is its last accepted entry, and the last one of any other device than that one's.
     """
-    import pandas as pd
-
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        last: dict = {}
-        ok = []
-        for seq, dev, base in zip(pdf["seq"], pdf["device_id"], pdf["base_seq"]):
-            fine = all(d == dev or s <= base for d, s in last.items())
+
+    def begin():
+        last, device, other = None, None, None
+
+        def accept(seq: int, dev: int, base: int) -> tuple:
+            nonlocal last, device, other
+            rival = other if dev == device else last
+            fine = rival is None or rival <= base
             if fine:
-                last[dev] = seq
-            ok.append(fine)
-        return pdf[["project_id", "path", "seq"]].assign(accepted=ok)
+                if dev != device:
+                    other = last
+                last, device = seq, dev
+            return (fine,)
+
+        return accept
 
-    cols = entries.where("kind <> 'state_record'").select("project_id", "path", "seq", "device_id", "base_seq")
-    return cols.groupBy("project_id", "path").applyInPandas(accept, "project_id long, path string, seq long, accepted boolean")
+    return runs.fold(entries.where("kind <> 'state_record'"), ["project_id", "path"], ["seq"], ["device_id", "base_seq"], begin, "accepted boolean")
+
+
+def foreign(journal: DataFrame, device: int, after: int) -> DataFrame:
+    """The entries of other devices after a cursor, each with the project's next cursor, which own entries advance too."""
+    new = journal.where(F.col("seq") > after)
+    cursor = new.groupBy("project_id").agg(F.max("seq").alias("cursor"))
+    return new.where(F.col("device_id") != device).join(cursor, "project_id")
+
+
+def cursors(moves: DataFrame) -> DataFrame:
+    """The cursor of each device (project_id, device_id, cursor, at): the last one written, even if it is behind an earlier one."""
+    return moves.groupBy("project_id", "device_id").agg(F.max_by("cursor", "at").alias("cursor"))
+
+
+def snapshot_commit(journal: DataFrame, now_ms: int, most: int = 5_000, age_ms: int = 86_400_000) -> DataFrame:
+    """(project_id, snapshot_seq, paths, tree, trigger): the commit that a fold of the whole journal makes.
+
+    The tree is the digest of 256 digests, each over the present paths whose own digest begins alike, in
+    order; so no project's tree meets in one value. The fold is due by size, then by the age of the oldest entry, else on demand.
+    """
+    tree = fold(journal).where("state = 'present'").withColumn("_part", F.substring(F.sha2("path", 256), 1, 2))
+    line = F.concat_ws("|", "path", "manifest", F.col("size").cast("string"))
+    part = tree.groupBy("project_id", "_part").agg(F.array_sort(F.collect_list(line)).alias("_lines"), F.count("*").alias("_n"))
+    part = part.select("project_id", "_part", "_n", F.sha2(F.array_join("_lines", "\n"), 256).alias("_digest"))
+    top = part.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("_part", "_digest"))).alias("_parts"), F.sum("_n").alias("paths"))
+    top = top.select("project_id", "paths", F.sha2(F.array_join(F.transform("_parts", lambda x: F.concat(x["_part"], x["_digest"])), "\n"), 256).alias("tree"))
+    mark = journal.groupBy("project_id").agg(F.max("seq").alias("snapshot_seq"), F.count("*").alias("_n"), F.min("server_ms").alias("_old"))
+    why = F.when(F.col("_n") > most, "entries").when(F.lit(now_ms) - F.col("_old") > age_ms, "age").otherwise("demand")
+    return mark.join(top, "project_id", "left").select("project_id", "snapshot_seq", F.coalesce("paths", F.lit(0)).alias("paths"), "tree", why.alias("trigger"))
+
+
+def outbox(pending: DataFrame, permits: int = 4, retries: int = 5) -> DataFrame:
+    """The entries to send next (path, seq, tries): the first of each path, of the ``permits`` paths that wait longest; a path whose first entry has used up its retries waits."""
+    head = pending.groupBy("path").agg(F.min_by(F.struct("seq", "tries"), "seq").alias("h")).select("path", "h.*")
+    return head.where(F.col("tries") < retries).orderBy("seq", "path").limit(permits)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.scratch import saved
+
 DAY_MS = 86_400_000
 
 
@@ -26,21 +28,24 @@ def gc_report(chunks: DataFrame, live: DataFrame, now_ms: int, grace_ms: int, sh
     return chunks.join(l, "hash", "left").withColumn("_live", F.coalesce("_live", F.lit(False))).select("hash", "size", what.alias("decision"))
 
 
-def prefix_until(rows: DataFrame, order: list, size: str, group: list[str], buckets: int = 256) -> DataFrame:
-    """Each row with ``before``: the sum of ``size`` over the rows of its group that come before it in ``order`` (long, long).
+#: Rows of a range in :func:`prefix_until`, about.
+RANGE_ROWS = 200_000
+
 
-    Two levels: totals of ranges of the first order column, then a window inside each range, so that no task
-    sorts a whole group.
+def prefix_until(rows: DataFrame, order: list, size: str, group: list[str]) -> DataFrame:
+    """Each row with ``before``: the sum of ``size`` over the rows of its group that come before it in ``order``.
+
+    Rows are dealt into ranges of the order by sampled quantiles, as many as their number asks for, and
+    written with their range; then come totals of ranges, and a window inside each range. A skewed
+    order makes no large range, as the last column of the order tells ties apart.
     """
-    lo_hi = rows.agg(F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi")).first()
-    lo, hi = lo_hi["lo"] or 0, lo_hi["hi"] or 0
-    width = max(1, (hi - lo) // buckets + 1)
-    r = rows.withColumn("_range", F.floor((F.col(order[0]) - lo) / width))
+    parts = max(1, -(-rows.count() // RANGE_ROWS))
+    r = saved(rows.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()))
     totals = r.groupBy(*group, "_range").agg(F.sum(size).alias("_total"))
-    w = Window.partitionBy(*group).orderBy("_range") if group else Window.partitionBy(F.lit(0)).orderBy("_range")
+    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range")  # a row for each range
     totals = totals.withColumn("_base", F.sum("_total").over(w) - F.col("_total")).drop("_total")
     inner = Window.partitionBy(*group, "_range").orderBy(*order)
-    r = r.join(F.broadcast(totals) if not group else totals, [*group, "_range"])  # without groups at most ``buckets`` rows
+    r = r.join(totals, [*group, "_range"])
     return r.withColumn("before", F.col("_base") + F.sum(size).over(inner) - F.col(size)).drop("_range", "_base")
 
 
@@ -62,7 +67,7 @@ def reuse(previous: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
     p = previous.select(*key, "chunk").distinct().withColumn("_seen", F.lit(1))
     j = current.join(p, [*key, "chunk"], "left").withColumn("_seen", F.coalesce("_seen", F.lit(0)))
     total = F.sum("len")
-    return j.groupBy(*key).agg(F.when(total > 0, F.sum(F.col("len") * F.col("_seen")) / total).otherwise(F.lit(1.0)).alias("byte_reuse"), (F.sum("_seen") / F.count("*")).alias("chunk_reuse"), F.count("*").alias("n_chunks"))
+    return j.groupBy(*key).agg(F.when(total > 0, F.sum(F.col("len") * F.col("_seen")) / total).otherwise(F.lit(1.0)).alias("byte_reuse"), (F.sum("_seen") / F.count("*")).alias("chunk_reuse"), (F.count("*") - F.sum("_seen")).alias("delta_chunks"), F.count("*").alias("n_chunks"))
 
 
 def daily_activity(rows: DataFrame, cutoff_ms: int, offset_min: int) -> DataFrame:
@@ -79,9 +84,9 @@ def metering(tenants: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def reconcile(disk: DataFrame, rows: DataFrame) -> DataFrame:
-    """(path, change): a scan against known rows: new, changed, gone or unchanged."""
+    """(path, change): a scan against known rows: new, changed, gone or unchanged; a known path of another mode has changed."""
     d, r = disk.alias("d"), rows.alias("r")
-    same = (F.col("d.size") == F.col("r.size")) & (F.col("d.mtime") == F.col("r.mtime")) & F.col("r.local_state").isin("synced", "clean", "pinned")
+    same = (F.col("d.mode") == F.col("r.mode")) & (F.col("d.size") == F.col("r.size")) & (F.col("d.mtime") == F.col("r.mtime")) & F.col("r.local_state").isin("synced", "clean", "pinned")
     what = F.when(F.col("r.path").isNull(), "new").when(F.col("d.path").isNull(), "gone").when(same, "unchanged").otherwise("dirty")
     return d.join(r, F.col("d.path") == F.col("r.path"), "full").select(F.coalesce("d.path", "r.path").alias("path"), what.alias("change"))
 
@@ -110,3 +115,77 @@ def recall_progress(chunks: DataFrame, elapsed_ms: int) -> DataFrame:
     c = prefix_until(chunks, ["hash"], "size", [])
     share = (F.col("before") + F.col("size")) / F.lit(float(total or 1))
     return c.select("hash", F.round(share, 9).alias("progress"), F.round(F.lit(float(elapsed_ms)) / share - elapsed_ms, 3).alias("eta_ms"))
+
+
+def lookup(rows: DataFrame, **key) -> DataFrame:
+    """The row of a key; the conditions reach the scan."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name) == value)
+    return rows.limit(1)
+
+
+def with_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose key begins so, in order; the scan prunes by it."""
+    return rows.where(F.col(column).startswith(prefix)).orderBy(column)
+
+
+def in_project(files: DataFrame, project: str) -> DataFrame:
+    """A project's files in path order."""
+    return files.where(F.col("project_id") == project).orderBy("path")
+
+
+def to_recall(chunks: DataFrame, only: int | None = None) -> DataFrame:
+    """The archived chunks to bring back, or that one of them."""
+    archived = chunks.where("tier = 'archive'")
+    return archived if only is None else archived.where(F.col("hash") == only)
+
+
+def bloom(hashes: DataFrame, bits: int, probes: int) -> DataFrame:
+    """(word, bits): the words of 32 bits of a Bloom filter over hashes (hash), those without a bit left out.
+
+    Places come from a digest, eight hexadecimal digits for each probe (eight at most).
+    """
+    digest = F.sha2(F.col("hash").cast("string"), 256)
+    places = F.array_distinct(F.array(*(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") % bits for i in range(probes))))
+    at = hashes.select(F.explode(places).alias("at")).distinct()
+    return at.groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
+
+
+def rehash(known: DataFrame, found: DataFrame) -> DataFrame:
+    """(manifest, same): whether a file (manifest, idx, chunk) was read again with the same chunks in the same order.
+
+    Chunks meet by their place, so no file's list is gathered.
+    """
+    k, f = known.select("manifest", "idx", F.col("chunk").alias("a")), found.select("manifest", "idx", F.col("chunk").alias("b"))
+    return k.join(f, ["manifest", "idx"], "full").groupBy("manifest").agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+
+
+def guarded(commits: DataFrame, epochs: DataFrame) -> DataFrame:
+    """Whether each commit (id, began, ends) may land: no epoch change (at) fell between its begin and its end.
+
+    Begins, ends and changes are one ordered stream; the last change before each is carried along, range by range.
+    """
+    marks = commits.select("id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("began").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("ends").alias("at")))).alias("m")).select("id", "m.*")
+    stream = marks.unionByName(epochs.select(F.lit(None).cast("long").alias("id"), F.lit(-1).alias("kind"), "at")).withColumn("one", F.when(F.col("kind") < 0, 1).otherwise(0))
+    counted = prefix_until(stream, ["at", "kind", "id"], "one", [])  # the epoch of a moment is the number of changes up to it
+    return counted.where("id is not null").groupBy("id").agg((F.min("before") == F.max("before")).alias("lands"))
+
+
+def mark(refs: DataFrame, commits: DataFrame, trash: DataFrame, sessions: DataFrame, holds: DataFrame, now_ms: int, entries: DataFrame) -> DataFrame:
+    """Chunks that must stay: of the manifests in the trees of refs' commits, of the trash, of open sessions and of held paths.
+
+    refs (commit), commits (commit, manifest), trash (manifest), sessions (manifest, expires_at, complete),
+    holds (key, manifest, at, op), entries (manifest, chunk). A session counts while it is not complete and
+    ended at most seven days ago; a hold counts if the last operation on its key is an upsert.
+    """
+    tree = commits.join(refs.select("commit").distinct(), "commit", "left_semi").select("manifest")
+    open_ = sessions.where(~F.col("complete") & (F.col("expires_at") > now_ms - 7 * DAY_MS)).select("manifest")
+    held = holds.groupBy("key").agg(F.max_by(F.struct("op", "manifest"), "at").alias("l")).where("l.op = 'upsert'").select("l.manifest")
+    roots = tree.unionByName(trash.select("manifest")).unionByName(open_).unionByName(held).distinct()
+    return entries.join(roots, "manifest", "left_semi").select("chunk").distinct()
+
+
+def peers(candidates: DataFrame) -> DataFrame:
+    """(chunk, peer): of the peers (chunk, peer, load) that may hold a chunk the least loaded; ties take turns by chunk."""
+    turn = F.pmod(F.col("peer") + F.col("chunk"), F.lit(97))
+    return candidates.groupBy("chunk").agg(F.min_by("peer", F.struct("load", turn.alias("turn"), "peer")).alias("peer"))

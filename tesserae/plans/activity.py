@@ -74,11 +74,24 @@ def histogram_percentile(spark, sf_dir):
     return A.histogram_percentile(_events(spark, sf_dir), "event_type", "value", 0.9)
 
 
-@query()
+_LIMIT = """t as (select user_id, event_id, {ms} as ms, row_number() over (partition by user_id order by {ms}, event_id) as n from events),
+r as (select distinct user_id, 0::bigint as event_id, 0::bigint as n, false as allowed, null::bigint as start, 0 as used from t
+      union all
+      select user_id, event_id, n, used < {budget}, start, used + (used < {budget})::int
+      from (select t.user_id, t.event_id, t.n, case when r.start is null or t.ms - r.start >= {window} then t.ms else r.start end as start, case when r.start is null or t.ms - r.start >= {window} then 0 else r.used end as used
+            from r join t on t.user_id = r.user_id and t.n = r.n + 1))"""
+
+
+@query(f"with recursive {_LIMIT.format(ms=MS, budget=3, window=3_600_000)} select user_id, event_id, allowed from r where n > 0")
 def rate_limit(spark, sf_dir):
     return A.rate_limit(_events(spark, sf_dir), budget=3, window_ms=3_600_000)
 
 
+@query(f"with recursive {_LIMIT.format(ms=MS, budget=1, window=60_000)} select user_id, event_id, allowed as touched from r where n > 0")
+def touch_debounce(spark, sf_dir):
+    return A.touches(_events(spark, sf_dir), 60_000)
+
+
 @query("select event_id, coalesce(json_extract(props, '$.k')::bigint, -1) as k, coalesce(json_extract_string(props, '$.absent'), 'none') as absent from events")
 def json_payload(spark, sf_dir):
     v = F.try_parse_json("props")

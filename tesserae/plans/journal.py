@@ -49,7 +49,12 @@ def conflict_rule(spark, sf_dir):
     return J.conflicts(journal(spark, sf_dir)).select("project_id", "path", "seq", "conflict", "head_seq")
 
 
-@query()
+@query(f"""with recursive {JOURNAL}, t as (select project_id, path, seq, device_id, base_seq, row_number() over (partition by project_id, path order by seq) as n from journal where kind <> 'state_record'),
+r as (select distinct project_id, path, 0::bigint as seq, 0::bigint as n, true as accepted, 0::bigint as last, -1::bigint as device, 0::bigint as other from t
+      union all
+      select t.project_id, t.path, t.seq, t.n, a, case when a then t.seq else last end, case when a then t.device_id else device end, case when a and t.device_id <> device then last else other end
+      from (select t.*, r.last, r.device, r.other, case when t.device_id = r.device then r.other else r.last end <= t.base_seq as a from r join t on t.project_id = r.project_id and t.path = r.path and t.n = r.n + 1) t)
+select project_id, path, seq, accepted from r where n > 0""")
 def conflict_online(spark, sf_dir):
     return J.online_accept(journal(spark, sf_dir))
 
@@ -134,13 +139,13 @@ def merge_base_lookup(spark, sf_dir):
     return J.merge_base(journal(spark, sf_dir))
 
 
-@query(f"""with recursive {JOURNAL}, t as (select project_id as ref, row_number() over (partition by project_id order by seq) as attempt, (seq // 3)::bigint as expected from journal where seq <= 40),
+@query(f"""with recursive {JOURNAL}, t as (select project_id as ref, row_number() over (partition by project_id order by seq) as attempt, (seq // 3)::bigint as expected from journal),
 r as (select ref, 0::bigint as attempt, 0::bigint as expected, false as accepted, 0::bigint as version from (select distinct ref from t)
       union all
       select t.ref, t.attempt, t.expected, t.expected = r.version, case when t.expected = r.version then r.version + 1 else r.version end from r join t on t.ref = r.ref and t.attempt = r.attempt + 1)
 select ref, attempt, expected, accepted, version from r where attempt > 0""")
 def ref_cas(spark, sf_dir):
-    j = journal(spark, sf_dir).where("seq <= 40")
+    j = journal(spark, sf_dir)
     return J.ref_swaps(j.select(F.col("project_id").alias("ref"), F.col("seq").alias("attempt"), F.floor(F.col("seq") / 3).alias("expected")))
 
 
@@ -151,7 +156,7 @@ def request_ids(spark, sf_dir):
     return journal(spark, sf_dir).select("project_id", "seq", request_id("project_id", "device_id", "path", "kind", "manifest").alias("content_request_id"))
 
 
-@query("""with recursive h as (select o_orderkey as ref, o_orderkey as commit, 0 as depth from orders where o_orderkey % 50 = 0
+@query("""with recursive h as (select o_orderkey as ref, o_orderkey as commit, 0 as depth from orders
     union all select ref, commit // 2, depth + 1 from h where commit // 2 >= 1 and depth < 511)
 select ref, commit, depth from h where commit in (select o_orderkey from orders)""")
 def snapshot_history(spark, sf_dir):
@@ -160,14 +165,14 @@ def snapshot_history(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"))
     # every commit's parent is half its number, so all parents are known commits or end the walk
     parents = o.sparkSession.range(1, (o.agg(F.max("commit")).first()[0] or 1) + 1).select(F.col("id").alias("commit"), F.when(F.floor(F.col("id") / 2) >= 1, F.floor(F.col("id") / 2)).alias("parent"))
-    return ancestors(o.where("commit % 50 = 0").select(F.col("commit").alias("ref"), "commit"), parents, most=512).join(o, "commit", "left_semi").select("ref", "commit", "depth")
+    return ancestors(o.select(F.col("commit").alias("ref"), "commit"), parents, most=512).join(o, "commit", "left_semi").select("ref", "commit", "depth")
 
 
 @query("""select o_orderkey as commit, l_linenumber::bigint as path, min(l_partkey) as manifest, (min(l_partkey) % 1000 + 1)::bigint as bytes, true as dirty
-from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 10 = 0 group by 1, 2""")
+from orders join lineitem on l_orderkey = o_orderkey group by 1, 2""")
 def restore_plan(spark, sf_dir):
     from tesserae.plans.derived import manifest_entries
 
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("commit"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"))
     tree = manifest_entries(spark, sf_dir).select(F.col("manifest").alias("commit"), F.col("idx").alias("path"), F.col("chunk").alias("manifest"), F.col("len").alias("bytes"))
     return tree.join(o, "commit", "left_semi").withColumn("dirty", F.lit(True))

@@ -9,6 +9,7 @@ from tesserae.operators import graph as G
 from tesserae.operators import store as S
 from tesserae.plans.derived import CHUNKS, ENTRIES, FILES, chunks, files, manifest_entries
 from tesserae.plans.registry import query, table
+from tesserae.scratch import saved
 
 
 def _roots(spark, sf_dir):
@@ -43,26 +44,27 @@ select case when live and state = 'deleting' then 'violation' when live then 'ke
             when state = 'deleting' then 'wait' else 'mark' end as decision, count(*) as n, sum(size)::bigint as bytes
 from (select c.*, l.chunk is not null as live from chunks c left join live l on l.chunk = c.hash), now group by 1""")
 def gc_report(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = saved(chunks(spark, sf_dir))
     now = c.agg(F.max("last_touched")).first()[0] or 0
     live = G.reachable(_roots(spark, sf_dir), manifest_entries(spark, sf_dir))
     return S.gc_report(c, live, now, 14 * S.DAY_MS, shadow=False).groupBy("decision").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query(f"""with recursive {ENTRIES}, t as (select manifest as root, manifest as node, 0 as depth from entries where manifest % 97 = 0 group by 1
+@query(f"""with recursive {ENTRIES}, t as (select manifest as root, manifest as node, 0 as depth from entries group by 1
     union all select root, manifest, depth + 1 from t join (select distinct manifest from entries) e on e.manifest in (t.node * 2, t.node * 2 + 1) where depth < 8)
 select root, depth, count(*) as leaves, sum(n)::bigint as n_chunks, sum(bytes)::bigint as bytes from t join (select manifest, count(*) as n, sum(len) as bytes from entries group by 1) e on e.manifest = t.node group by 1, 2""")
 def manifest_flatten(spark, sf_dir):
     e = manifest_entries(spark, sf_dir)
     own = e.groupBy("manifest").agg(F.count("*").alias("n"), F.sum("len").alias("b"))
+    own = saved(own)
     tree = own.select(F.floor(F.col("manifest") / 2).alias("parent"), F.col("manifest").alias("child"))
-    t = G.flatten(own.where("manifest % 97 = 0").select(F.col("manifest").alias("root")), tree, levels=8)
+    t = G.flatten(own.select(F.col("manifest").alias("root")), tree, levels=8)
     return t.join(own, t.node == own.manifest).groupBy("root", "depth").agg(F.count("*").alias("leaves"), F.sum("n").alias("n_chunks"), F.sum("b").alias("bytes"))
 
 
-@query(f"with {ENTRIES}, n as (select *, row_number() over (order by manifest, idx) - 1 as i from entries where manifest % 5 = 0) select (i // 64)::bigint as leaf, count(*) as entry_count, sum(len)::bigint as total_len, min(manifest) as first_manifest from n group by 1")
+@query(f"with {ENTRIES}, n as (select *, row_number() over (order by manifest, idx) - 1 as i from entries) select (i // 64)::bigint as leaf, count(*) as entry_count, sum(len)::bigint as total_len, min(manifest) as first_manifest from n group by 1")
 def manifest_fanout(spark, sf_dir):
-    e = manifest_entries(spark, sf_dir).where("manifest % 5 = 0")
+    e = saved(manifest_entries(spark, sf_dir))
     # the place of an entry: entries of earlier manifests, then its place in its own
     per = S.prefix_until(e.groupBy("manifest").agg(F.count("*").alias("_n")), ["manifest"], "_n", [])
     e = e.join(per.select("manifest", "before"), "manifest").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("manifest").orderBy("idx")) - 1)
@@ -115,7 +117,7 @@ def dedup_stats(spark, sf_dir):
 
 @query(f"""with {ENTRIES}, p as (select distinct manifest // 2 as k, chunk // 20 as chunk from entries where manifest % 2 = 0),
 c as (select manifest // 2 as k, chunk // 20 as chunk, len from entries where manifest % 2 = 1)
-select k, round(sum(case when p.chunk is not null then len else 0 end) / sum(len), 9) as byte_reuse, round(count(p.chunk) / count(*), 9) as chunk_reuse, count(*) as n_chunks from c left join p using (k, chunk) group by 1""")
+select k, round(sum(case when p.chunk is not null then len else 0 end) / sum(len), 9) as byte_reuse, round(count(p.chunk) / count(*), 9) as chunk_reuse, count(*) - count(p.chunk) as delta_chunks, count(*) as n_chunks from c left join p using (k, chunk) group by 1""")
 def reuse_ratio(spark, sf_dir):
     e = manifest_entries(spark, sf_dir).select(F.floor(F.col("manifest") / 2).alias("k"), (F.col("manifest") % 2).alias("v"), F.floor(F.col("chunk") / 20).alias("chunk"), "len")
     r = S.reuse(e.where("v = 0"), e.where("v = 1").drop("v"), ["k"])
@@ -171,13 +173,13 @@ def rotating_sample(spark, sf_dir):
     return f.where((F.col("i") - F.lit(21) % F.col("n") + F.col("n")) % F.col("n") < 7).select("project_id", "path")
 
 
-@query(f"""with {FILES}, disk as (select path, case when doc_id % 9 = 0 then size + 1 else size end as size, mtime from files where doc_id % 10 <> 3), known as (select * from files where doc_id % 10 <> 4)
-select coalesce(d.path, r.path) as path, case when r.path is null then 'new' when d.path is null then 'gone' when d.size = r.size and d.mtime = r.mtime and local_state in ('synced', 'clean', 'pinned') then 'unchanged' else 'dirty' end as change
+@query(f"""with {FILES}, disk as (select path, case when doc_id % 9 = 0 then size + 1 else size end as size, mtime, case when doc_id % 8 = 0 then 'symlink' else 'file' end as mode from files where doc_id % 10 <> 3), known as (select *, 'file' as mode from files where doc_id % 10 <> 4)
+select coalesce(d.path, r.path) as path, case when r.path is null then 'new' when d.path is null then 'gone' when d.mode = r.mode and d.size = r.size and d.mtime = r.mtime and local_state in ('synced', 'clean', 'pinned') then 'unchanged' else 'dirty' end as change
 from disk d full join known r on d.path = r.path""")
 def scan_reconcile(spark, sf_dir):
     f = files(spark, sf_dir)
-    disk = f.where("doc_id % 10 <> 3").select("path", F.when(F.col("doc_id") % 9 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime")
-    return S.reconcile(disk, f.where("doc_id % 10 <> 4"))
+    disk = f.where("doc_id % 10 <> 3").select("path", F.when(F.col("doc_id") % 9 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", F.when(F.col("doc_id") % 8 == 0, "symlink").otherwise("file").alias("mode"))
+    return S.reconcile(disk, f.where("doc_id % 10 <> 4").withColumn("mode", F.lit("file")))
 
 
 @query(f"with {FILES}, w as (select project_id, path, lower(path) as low, row_number() over (partition by project_id, lower(path) order by path, doc_id) as n from (select project_id, doc_id, case when doc_id % 2 = 0 then upper('d' || doc_id % 300) else 'd' || doc_id % 300 end as path from files)) select project_id, path, low from w where n > 1")

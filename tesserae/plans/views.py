@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import exact as X
 from tesserae.functions.note_grammar import note_ops as parse
+from tesserae.operators import activity as A
 from tesserae.operators import views as V
 from tesserae.plans.activity import MS
 from tesserae.plans.derived import ENTRIES, FILES, JOURNAL, files, journal, manifest_entries, millis
@@ -66,11 +67,11 @@ def team_view(spark, sf_dir):
     return V.team(e.select(F.col("user_id").alias("device")).distinct(), audit, 12)
 
 
-@query("""with e as (select l_orderkey as doc, l_linenumber::bigint as uuid, min(l_partkey) as start, 'm' || min(l_suppkey) as name from lineitem where l_orderkey % 5 = 0 group by 1, 2),
+@query("""with e as (select l_orderkey as doc, l_linenumber::bigint as uuid, min(l_partkey) as start, 'm' || min(l_suppkey) as name from lineitem group by 1, 2),
 n as (select doc, uuid, start + 5 as start, 'note' as name from e where uuid % 2 = 0), u as (select * from e where (doc, uuid) not in (select doc, uuid from n) union all select * from n)
 select *, row_number() over (partition by doc order by start, name, uuid)::int as n from u""")
 def note_markers(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("uuid")).agg(F.min("l_partkey").alias("start"), F.concat(F.lit("m"), F.min("l_suppkey").cast("string")).alias("name"))
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("uuid")).agg(F.min("l_partkey").alias("start"), F.concat(F.lit("m"), F.min("l_suppkey").cast("string")).alias("name"))
     return V.markers(e, e.where("uuid % 2 = 0").select("doc", "uuid", (F.col("start") + 5).alias("start"), F.lit("note").alias("name")))
 
 
@@ -145,22 +146,24 @@ def pending_counts(spark, sf_dir):
     return files(spark, sf_dir).groupBy("project_id").agg(F.count_if(s.isin("dirty", "fetching")).alias("pending"), F.count_if(s == "conflict").alias("stuck"))
 
 
-@query("""with recursive o as (select user_id, event_type <> 'error' as ok, row_number() over (partition by user_id order by event_id) as n from events where event_id < 3000),
+@query("""with recursive o as (select user_id, event_type <> 'error' as ok, row_number() over (partition by user_id order by event_id) as n from events),
 r as (select distinct user_id, 0::bigint as n, 4 as lim from o union all select o.user_id, o.n, case when ok then least(64, lim + 1) else greatest(4, lim // 2) end from r join o on o.user_id = r.user_id and o.n = r.n + 1)
 select user_id, max_by(lim, n)::int as last_limit, max(lim)::int as peak from r where n > 0 group by 1""")
 def aimd_limits(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 3000").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") != "error").alias("ok")))).alias("e"))
-    lim = X.aimd(F.transform("e", lambda x: x["ok"]))
-    return e.select("user_id", lim.alias("l")).select("user_id", F.element_at("l", -1).alias("last_limit"), F.array_max("l").alias("peak"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return A.aimd(e).groupBy("user_id").agg(F.max_by("limit", "event_id").cast("int").alias("last_limit"), F.max("limit").cast("int").alias("peak"))
 
 
-@query()
+@query("select p_partkey, nfc_normalize(p_name || '/cafe' || chr(769)) as path from part")
 def nfc_paths(spark, sf_dir):
-    name = F.concat(F.col("p_name"), F.lit("/café"))
+    name = F.concat(F.col("p_name"), F.lit("/cafe\u0301"))
     return table(spark, sf_dir, "part").select("p_partkey", X.nfc(name).alias("path"))
 
 
-@query()
+@query("""with r as (select o_orderkey, o_orderkey::hugeint as k, (o_custkey % 7)::hugeint as d from orders),
+f as (select o_orderkey, unnest(['add', 'sub', 'mul', 'div']) as op, unnest([k * d + 1001 * 24, k * d - 1001 * 24, k * 1001, k * d]) as n, unnest([24 * d, 24 * d, 24 * d, 24 * 1001]) as m, d from r),
+g as (select *, case when d = 0 then null else (n // gcd(abs(n), m))::varchar || '/' || (m // gcd(abs(n), m))::varchar end as v from f)
+select o_orderkey, max(v) filter (op = 'add') as add, max(v) filter (op = 'sub') as sub, max(v) filter (op = 'mul') as mul, max(v) filter (op = 'div') as div from g group by 1""")
 def rational_arithmetic(spark, sf_dir):
     k = F.col("o_orderkey").cast("string")
     a, b = F.concat(k, F.lit("/24")), F.concat(F.lit("1001/"), (F.col("o_custkey") % 7).cast("string"))
