@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,43 +34,72 @@ def gear_table() -> np.ndarray:
 _GEAR = gear_table()
 
 
-def gears(data: bytes) -> np.ndarray:
-    """The rolling gear hash after each byte. As it shifts by one bit a byte, it is a sum over the last 64 bytes, built by doubling."""
-    g = _GEAR[np.frombuffer(data, np.uint8)]
-    for n in (1, 2, 4, 8, 16, 32):
+#: Bytes whose hashes are held together.
+BLOCK = 1 << 20
+
+
+def gears(data: bytes | np.ndarray, dtype=np.uint64) -> np.ndarray:
+    """The rolling gear hash after each byte, in the low bits that ``dtype`` holds.
+
+    The hash shifts by one bit a byte, so its low n bits are a sum over the last n bytes, built by doubling.
+    """
+    g = _GEAR.astype(dtype)[np.frombuffer(data, np.uint8)]
+    n = 1
+    while n < 8 * np.dtype(dtype).itemsize:
         if len(g) > n:
-            g = np.concatenate([g[:n], g[n:] + (g[:-n] << np.uint64(n))])
+            more = g[:-n] << dtype(n)
+            g[n:] += more
+        n *= 2
     return g
 
 
 def cut_points(data: bytes, least: int, mean: int, most: int) -> list[int]:
-    """The ends of the chunks: at the first hash with zero low bits once a chunk has its least size, or at its most."""
-    hits = np.flatnonzero((gears(data) & np.uint64(mean - 1)) == 0) + 1 if data else np.zeros(0, int)
+    """The ends of the chunks: at the first hash with zero low bits once a chunk has its least size, or at its most.
+
+    Only as many low bits are computed as the mean size looks at, block by block with an overlap of the bytes that reach into it.
+    """
+    dtype = np.uint16 if mean <= 1 << 16 else np.uint32 if mean <= 1 << 32 else np.uint64
+    reach = 8 * np.dtype(dtype).itemsize
+    raw, found = np.frombuffer(data, np.uint8), []
+    for at in range(0, len(raw), BLOCK):
+        begin = max(0, at - reach)
+        low = gears(raw[begin : at + BLOCK], dtype)[at - begin :]
+        found.append(np.flatnonzero((low & dtype(mean - 1)) == 0) + at + 1)
+    hits = np.concatenate([*found, np.zeros(0, np.int64)])
     ends, at = [], 0
-    while at < len(data):
+    while at < len(raw):
         i = np.searchsorted(hits, at + least)
-        end = int(hits[i]) if i < len(hits) else len(data)
-        at = min(end, at + most, len(data))
+        end = int(hits[i]) if i < len(hits) else len(raw)
+        at = min(end, at + most, len(raw))
         ends.append(at)
     return ends
 
 
-def _chunk(frames: Iterator[pd.DataFrame], profile: str) -> Iterator[pd.DataFrame]:
+def _chunk(batches: Iterator[pa.RecordBatch], profile: str) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    for f in frames:
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "idx", "offset", "len", "hash"])
+
+    for b in batches:
         rows = []
-        for key, data in zip(f["id"], f["data"]):
+        for key, cell in zip(b.column(0).to_pylist(), b.column(1)):
+            data = memoryview(cell.as_buffer() or b"")
             start = 0
-            for i, end in enumerate(cut_points(data or b"", *PROFILES[profile])):
+            for i, end in enumerate(cut_points(data, *PROFILES[profile])):
                 rows.append((key, i, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
                 start = end
-        yield pd.DataFrame(rows, columns=["id", "idx", "offset", "len", "hash"])
+        if rows:
+            yield out(rows)
 
 
 def cdc_chunks(blobs: DataFrame, profile: str = "text") -> DataFrame:
-    """(id, idx, offset, len, hash) of every chunk of blobs (id, data binary); chunks cover the data without gaps."""
-    return blobs.select("id", "data").mapInPandas(partial(_chunk, profile=profile), "id long, idx long, offset long, len long, hash string")
+    """(id, idx, offset, len, hash) of every chunk of blobs (id, data binary); chunks cover the data without gaps.
+
+    A blob is a value of a row, so it fits in a task; hashes take two or four bytes for each byte of a block.
+    """
+    return blobs.select("id", "data").mapInArrow(partial(_chunk, profile=profile), "id long, idx long, offset long, len long, hash string")
 
 
 def line_stats(texts: DataFrame, group: str) -> DataFrame:
@@ -80,13 +109,42 @@ def line_stats(texts: DataFrame, group: str) -> DataFrame:
     return by.groupBy(group).agg(F.sum("n").alias("total"), F.count("*").alias("unique"), F.round((F.sum("n") - F.count("*")) * 100.0 / F.sum("n"), 9).cast("double").alias("dedup_pct"), F.sum(F.col("n") * F.col("size")).alias("bytes"), F.sum(F.col("size").cast("long")).alias("stored"))
 
 
+def _xor(cells: list) -> np.ndarray:
+    """The exclusive or of byte strings, shorter ones padded with zeros."""
+    out = np.zeros(max((len(c) for c in cells), default=0), np.uint8)
+    for c in cells:
+        out[: len(c)] ^= np.frombuffer(c, np.uint8)
+    return out
+
+
 def xor_parity(shards: DataFrame) -> DataFrame:
-    """(stripe, parity hex): the exclusive or of a stripe's shards (stripe, text) byte by byte, shorter ones padded with zeros."""
-    bytes_ = F.transform(F.sequence(F.lit(0), F.octet_length("text") - 1), lambda i: F.conv(F.hex(F.substring(F.col("text").cast("binary"), i + 1, F.lit(1))), 16, 10).cast("int"))
-    each = shards.where("octet_length(text) > 0").select("stripe", F.posexplode(bytes_).alias("pos", "b"))
-    by = each.groupBy("stripe", "pos").agg(F.bit_xor("b").alias("b"))
-    ordered = by.groupBy("stripe").agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("p"))
-    return ordered.select("stripe", F.array_join(F.transform("p", lambda x: F.lower(F.lpad(F.hex(x["b"]), 2, "0"))), "").alias("parity"))
+    """(stripe, parity hex): the exclusive or of a stripe's shards (stripe, text) byte by byte, shorter ones padded with zeros.
+
+    A stripe has few shards; one without bytes has no parity.
+    """
+
+    def one(rows: pa.Table) -> pa.Table:
+        parity = _xor([x.as_py().encode() for x in rows.column("text") if x.as_py()])
+        return pa.table({"stripe": rows.column("stripe")[: min(1, len(parity))], "parity": pa.array([parity.tobytes().hex()][: min(1, len(parity))], pa.string())})
+
+    return shards.select("stripe", "text").groupBy("stripe").applyInArrow(one, "stripe long, parity string")
+
+
+def recover(shards: DataFrame, parity: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(stripe, shard, text): the one lost shard of each stripe from those left (stripe, shard, text), the parity and the sizes (stripe, shard, size) of all.
+
+    A stripe that lost more than one shard, or none, gives nothing.
+    """
+    lost = sizes.join(shards.select("stripe", "shard"), ["stripe", "shard"], "left_anti")
+    one = lost.groupBy("stripe").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.min("size").alias("size")).where("n = 1").drop("n")
+    left = shards.join(one.select("stripe"), "stripe", "left_semi").select("stripe", F.encode("text", "UTF-8").alias("data"))
+    every = left.unionByName(parity.join(one.select("stripe"), "stripe", "left_semi").select("stripe", F.unhex("parity").alias("data")))
+
+    def back(rows: pa.Table) -> pa.Table:
+        return pa.table({"stripe": rows.column("stripe")[:1], "data": pa.array([_xor([x.as_py() for x in rows.column("data") if x.as_py()]).tobytes()], pa.binary())})
+
+    whole = every.groupBy("stripe").applyInArrow(back, "stripe long, data binary")
+    return whole.join(one, "stripe").select("stripe", "shard", F.decode(F.substring("data", F.lit(1), F.col("size")), "UTF-8").alias("text"))
 
 
 def longest_prefix(paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalar as C
@@ -11,6 +12,7 @@ from tesserae.operators import store as S
 from tesserae.plans.activity import MS, _events
 from tesserae.plans.derived import CHUNKS, ENTRIES, FILES, JOURNAL, chunks, files, journal, manifest_entries
 from tesserae.plans.registry import query, table
+from tesserae.scratch import saved
 
 
 @query(f"with {FILES} select project_id, path, size, mtime, local_state from files where project_id = 'src6' order by path")
@@ -248,3 +250,17 @@ select o_orderkey, printf('%.3f', x::double) as pin, case when contains(body, ',
 def csv_fields(spark, sf_dir):
     body = F.element_at(F.array(F.col("o_orderpriority"), F.lit("a,b"), F.lit('say "hi"'), F.lit("two\nlines")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", C.pin_text(F.col("o_custkey") / 8.0).alias("pin"), C.csv_field(body).alias("field"))
+
+
+@query("""with e as (select l_suppkey as manifest, sha256((l_partkey * 10 + l_linenumber)::varchar) as hash, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as idx from lineitem)
+select manifest, idx * 1000 as "offset", 1000::bigint as len, hash from e""")
+def manifest_objects(spark, sf_dir):
+    from tesserae.sources import objects as O
+
+    by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").withColumn("idx", (F.row_number().over(by) - 1).cast("long"))
+    digest = F.sha2((F.col("l_partkey") * 10 + F.col("l_linenumber")).cast("string"), 256)
+    entries = line.select(F.col("l_suppkey").alias("manifest"), "idx", (F.col("idx") * 1000).alias("offset"), F.lit(1000).cast("long").alias("len"), digest.alias("hash"))
+    built = saved(O.manifests(entries, fan=256))
+    top = built.groupBy("manifest").agg(F.max_by("hash", "level").alias("root"))
+    return O.flattened(top.select("root").distinct(), built.select("hash", "content").dropDuplicates(["hash"])).join(top, "root").select("manifest", "offset", "len", "hash")

@@ -40,6 +40,15 @@ def xor_parity(spark, sf_dir):
     return K.xor_parity(table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 8).alias("stripe"), F.col("p_name").alias("text")))
 
 
+@query("select p_partkey // 8 as stripe, p_partkey % 8 as shard, p_name as text from part where p_partkey % 8 = p_partkey // 8 % 8 and p_partkey // 8 % 3 > 0")
+def parity_recovery(spark, sf_dir):
+    k = F.col("p_partkey")
+    every = table(spark, sf_dir, "part").select(F.floor(k / 8).alias("stripe"), (k % 8).alias("shard"), F.col("p_name").alias("text"))
+    lost = F.expr("shard = stripe % 8 or (stripe % 3 = 0 and shard = (stripe + 1) % 8)")  # of every third stripe two
+    sizes = every.select("stripe", "shard", F.octet_length("text").alias("size"))
+    return K.recover(every.where(~lost), K.xor_parity(every), sizes).where("stripe % 3 > 0")
+
+
 @query()
 def note_ops(spark, sf_dir):
     n = (F.col("event_id") % 9 + 1).cast("string")

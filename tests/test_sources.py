@@ -4,9 +4,11 @@ import gzip
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import exact as X
+from tesserae.sources import objects as O
 from tesserae.sources import readers as Rd
 from tesserae.sources import writers as W
 
@@ -90,3 +92,26 @@ def test_canonical_and_edl(spark):
     assert df.select(W.canonical(["b", "c", "a"]).alias("j")).first().j == '{"a":"x","b":2}'
     clips = spark.createDataFrame([(1, 0, "clip one", 0, 48)], "doc long, idx long, name string, pos long, dur long")
     assert W.edl_events(clips, 24).first().line.endswith("00:00:00:00 00:00:02:00 00:00:00:00 00:00:02:00")
+
+
+def test_objects_round_trip_and_refuse_damage(spark):
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    tree = O.tree_bytes([("b/é", digest("2")), ("a", digest("1"))])
+    assert O.parse_tree(tree) == [("a", digest("1")), ("b/é", digest("2"))]
+    commit = O.commit_bytes(digest("t"), None, "ann", "first", 7)
+    assert O.parse_commit(commit) == (digest("t"), None, "ann", "first", 7)
+    assert O.parse_commit(O.commit_bytes(digest("t"), digest("p"), "", "", 0))[1] == digest("p")
+    for parse, data in ((O.parse_tree, tree), (O.parse_commit, commit)):
+        for cut in range(len(data)):
+            with pytest.raises(ValueError):
+                parse(data[:cut])
+        with pytest.raises(ValueError):
+            parse(data + b"x")
+    entries = spark.createDataFrame([(m, i, i * 10, 10, digest(f"{m}{i}")) for m in (1, 2) for i in range(70 * m)], "manifest long, idx long, offset long, len long, hash string")
+    built = O.manifests(entries, fan=8)
+    top = {r.manifest: (r.hash, r.total, r["count"], r.level) for r in sorted(built.collect(), key=lambda r: r.level)}
+    assert [top[m][1:] for m in (1, 2)] == [(700, 70, 2), (1400, 140, 2)]
+    got = O.flattened(spark.createDataFrame([(top[1][0],)], "root string"), built.select("hash", "content")).collect()
+    assert {(r.offset, r.hash) for r in got} == {(i * 10, digest(f"1{i}")) for i in range(70)}
+    hurt = built.select("hash", F.expr("substring(content, 1, octet_length(content) - 1)").alias("content"))
+    assert {r.kind for r in O.parsed(hurt).collect()} == {"error"}
