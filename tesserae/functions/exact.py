@@ -69,17 +69,49 @@ def _gunzip(x: bytes | None) -> bytes | None:
         return None
 
 
-def zstd_size(data: Column | str, level: int = 3) -> Column:
-    """Bytes after zstandard compression."""
-
+def _zstd(data: Column | str, work: str, out: str, level: int, words: bytes | None) -> Column:
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import zstandard
 
-        c = zstandard.ZstdCompressor(level=level)
+        known = zstandard.ZstdCompressionDict(words) if words else None
+        pack, unpack = zstandard.ZstdCompressor(level=level, dict_data=known), zstandard.ZstdDecompressor(dict_data=known)
+
+        def one(x):
+            if x is None:
+                return None
+            if work != "unpack":
+                y = pack.compress(x)
+                return len(y) if work == "size" else y
+            try:
+                return unpack.decompress(x, max_output_size=MOST_UNPACKED)
+            except zstandard.ZstdError:
+                return None
+
         for s in frames:
-            yield s.map(lambda x: None if x is None else len(c.compress(x)))
+            yield s.map(one)
+
+    return F.pandas_udf(run, out)(data)
+
+
+#: Bytes that a compressed value without a known size may grow to, and of a dictionary, at most.
+MOST_UNPACKED, MOST_WORDS = 64 << 20, 64 << 10
 
-    return F.pandas_udf(run, "long")(data)
+
+def zstd(data: Column | str, level: int = 3, words: bytes | None = None) -> Column:
+    """zstandard bytes, with a dictionary (``words``) if one is given."""
+    if words and len(words) > MOST_WORDS:
+        raise ValueError(f"a dictionary has at most {MOST_WORDS} bytes")
+    return _zstd(data, "pack", "binary", level, words)
+
+
+def unzstd(data: Column | str, words: bytes | None = None) -> Column:
+    """What :func:`zstd` packed; null for damaged data or another dictionary's."""
+    return _zstd(data, "unpack", "binary", 3, words)
+
+
+def zstd_size(data: Column | str, level: int = 3) -> Column:
+    """Bytes after zstandard compression."""
+    return _zstd(data, "size", "long", level, None)
 
 
 def moved(order: Column | str) -> Column:

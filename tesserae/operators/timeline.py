@@ -300,6 +300,25 @@ def verify_roundtrip(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+_AUDITED = {"clips": "kind = 'clip'", "gaps": "kind = 'gap'", "transitions": "kind = 'transition'", "audio": "kind = 'clip' and track_kind = 'Audio'", "linked": "link is not null"}
+
+
+def audit(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per doc what a round trip kept: counts of either side, and what differs, for items (doc, track, track_kind, kind, effects, params, markers, link)."""
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        counts = [F.count_if(F.expr(cond)).alias(f"{p}_{n}") for n, cond in _AUDITED.items()]
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(f"{p}_{c}") for c in ("effects", "params", "markers")]
+        by_kind = [F.count_distinct(F.when(F.col("track_kind") == k, F.col("track"))).alias(f"{p}_{k.lower()}_tracks") for k in ("Video", "Audio")]
+        return df.groupBy("doc").agg(*counts, *sums, *by_kind)
+
+    b, a = side(before, "before"), side(after, "after")
+    names = [c.removeprefix("before_") for c in b.columns if c != "doc"]
+    j = b.join(a, "doc", "full").na.fill(0)
+    lost = F.array_compact(F.array(*(F.when(F.col(f"before_{n}") != F.col(f"after_{n}"), F.lit(n)) for n in names)))
+    return j.withColumn("differs", F.array_join(lost, ","))
+
+
 #: Frames of a bin in :func:`element_at`.
 BIN = 1024
 

@@ -100,3 +100,20 @@ def reassembled(entries: DataFrame) -> DataFrame:
     total = F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["len"])
     fits = F.aggregate("e", F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("ok")), lambda a, x: F.struct((a.at + x["len"]).alias("at"), (a.ok & (a.at == x["offset"])).alias("ok")))
     return m.select("manifest", digest.alias("file_hash"), total.alias("total_len"), fits.ok.alias("gapless"))
+
+
+def assembled(entries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(file, content, valid): files put together from their entries (file, idx, hash) and the store's chunks (hash, data binary).
+
+    A file is one value, so it fits in a task; it is valid if no chunk is missing and each has its digest.
+    """
+    good = chunks.select("hash", "data", (F.sha2("data", 256) == F.col("hash")).alias("ok"))
+    each = entries.join(good, "hash", "left").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("data", F.lit(b"")).alias("data")))).alias("e"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("valid"))
+    return each.select("file", F.array_join(F.transform("e", lambda x: F.decode(x["data"], "UTF-8")), "").alias("content"), "valid")
+
+
+def proxy_status(files: DataFrame, proxies: DataFrame) -> DataFrame:
+    """(path, status): failed, ready (made of this size and time), stale, or none; of several proxies (path, size, mtime, failed, at) the newest counts."""
+    last = proxies.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "failed"), "at").alias("p"))
+    same = (F.col("p.size") == F.col("size")) & (F.col("p.mtime") == F.col("mtime"))
+    return files.join(last, "path", "left").select("path", F.when(F.col("p").isNull(), "none").when(F.col("p.failed"), "failed").when(same, "ready").otherwise("stale").alias("status"))

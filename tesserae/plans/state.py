@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import exact as X
 from tesserae.functions import scalar as C
 from tesserae.operators import activity as A
 from tesserae.operators import journal as J
 from tesserae.operators import store as S
+from tesserae.operators import timeline as T
+from tesserae.operators import views as V
 from tesserae.plans.activity import MS, _events
 from tesserae.plans.derived import CHUNKS, ENTRIES, FILES, JOURNAL, chunks, files, journal, manifest_entries
 from tesserae.plans.registry import query, table
@@ -264,3 +267,53 @@ def manifest_objects(spark, sf_dir):
     built = saved(O.manifests(entries, fan=256))
     top = built.groupBy("manifest").agg(F.max_by("hash", "level").alias("root"))
     return O.flattened(top.select("root").distinct(), built.select("hash", "content").dropDuplicates(["hash"])).join(top, "root").select("manifest", "offset", "len", "hash")
+
+
+@query("select doc_id, sha256(coalesce(text, '')) as content_hash, true as valid from documents")
+def assembled_files(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text, "(?<=\n)", -1)).alias("idx", "line")).withColumn("data", F.encode("line", "UTF-8")).withColumn("hash", F.sha2("data", 256))
+    out = V.assembled(lines.select(F.col("doc_id").alias("file"), "idx", "hash"), lines.select("hash", "data").dropDuplicates(["hash"]))
+    return out.select(F.col("file").alias("doc_id"), F.sha2("content", 256).alias("content_hash"), "valid")
+
+
+@query(f"""with {FILES}, p as (select path, case when doc_id % 5 = 0 then size + 1 else size end as size, case when doc_id % 7 = 0 then mtime - 1 else mtime end as mtime, doc_id % 11 = 0 as failed from files where doc_id % 3 <> 0)
+select f.path, case when p.path is null then 'none' when failed then 'failed' when p.size = f.size and p.mtime = f.mtime then 'ready' else 'stale' end as status from files f left join p using (path)""")
+def proxy_states(spark, sf_dir):
+    f = files(spark, sf_dir)
+    k = F.col("doc_id")
+    p = f.where("doc_id % 3 <> 0").select("path", (F.col("size") + F.when(k % 5 == 0, 1).otherwise(0)).alias("size"), (F.col("mtime") - F.when(k % 7 == 0, 1).otherwise(0)).alias("mtime"), (k % 11 == 0).alias("failed"), F.lit(2).alias("at"))
+    old = p.withColumns({"failed": ~F.col("failed"), "at": F.lit(1)})
+    return V.proxy_status(f.select("path", "size", "mtime"), p.unionByName(old))
+
+
+@query("select doc_id, sha256(text) as plain, sha256(text) as with_words from documents")
+def zstd_round_trip(spark, sf_dir):
+    words = " ".join(["the", "of", "and", "in", "to", "is", "a"] * 40).encode()
+    data = F.col("text").cast("binary")
+    both = table(spark, sf_dir, "documents").select("doc_id", X.zstd(data).alias("a"), X.zstd(data, words=words).alias("b"))
+    return both.select("doc_id", F.sha2(X.unzstd("a"), 256).alias("plain"), F.sha2(X.unzstd("b", words=words), 256).alias("with_words"))
+
+
+_ITEMS = """items as (select l_orderkey as doc, l_linenumber % 3 as track, case when l_linenumber % 3 = 2 then 'Audio' else 'Video' end as track_kind, ['clip', 'clip', 'gap', 'transition'][(l_partkey % 4 + 1)::int] as kind, l_suppkey % 3 as effects, l_suppkey % 5 as params, l_partkey % 2 as markers,
+    case when l_partkey % 6 = 0 then l_suppkey end as link, l_partkey from lineitem), lost as (select doc, track, track_kind, kind, case when l_partkey % 10 = 0 then 0 else effects end as effects, params, case when l_partkey % 15 = 0 then markers + 1 else markers end as markers, case when l_partkey % 12 = 0 then null else link end as link from items where l_partkey % 8 <> 3)"""
+_KEPT = {"clips": "kind = 'clip'", "gaps": "kind = 'gap'", "transitions": "kind = 'transition'", "audio": "kind = 'clip' and track_kind = 'Audio'", "linked": "link is not null"}
+_NAMES = [*_KEPT, "effects", "params", "markers", "video_tracks", "audio_tracks"]
+
+
+def _audit_sql(name: str, rows: str) -> str:
+    counts = ", ".join(f"count_if({c})::bigint as {name}_{n}" for n, c in _KEPT.items())
+    sums = ", ".join(f"sum({c})::bigint as {name}_{c}" for c in ("effects", "params", "markers"))
+    kinds = ", ".join(f"count(distinct case when track_kind = '{k}' then track end) as {name}_{k.lower()}_tracks" for k in ("Video", "Audio"))
+    return f"{name} as (select doc, {counts}, {sums}, {kinds} from {rows} group by 1)"
+
+
+@query(f"""with {_ITEMS}, {_audit_sql('before', 'items')}, {_audit_sql('after', 'lost')}
+select b.doc, {', '.join(f'b.before_{n}, coalesce(a.after_{n}, 0) as after_{n}' for n in _NAMES)}, concat_ws(',', {', '.join(f"case when b.before_{n} <> coalesce(a.after_{n}, 0) then '{n}' end" for n in _NAMES)}) as differs from before b left join after a using (doc)""")
+def roundtrip_audit(spark, sf_dir):
+    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    kind = F.element_at(F.array(F.lit("clip"), F.lit("clip"), F.lit("gap"), F.lit("transition")), (p % 4 + 1).cast("int"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (n % 3).alias("track"), F.when(n % 3 == 2, "Audio").otherwise("Video").alias("track_kind"), kind.alias("kind"), (s % 3).alias("effects"), (s % 5).alias("params"), (p % 2).alias("markers"), F.when(p % 6 == 0, s).alias("link"), p.alias("p"))
+    at = lambda k: F.col("p") % k == 0
+    lost = items.where("p % 8 <> 3").withColumns({"effects": F.when(at(10), 0).otherwise(F.col("effects")), "markers": F.col("markers") + F.when(at(15), 1).otherwise(0), "link": F.when(~at(12), F.col("link"))})
+    return T.audit(items, lost)

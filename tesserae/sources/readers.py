@@ -41,17 +41,35 @@ def flatten_otio(text: str) -> list[dict]:
     doc = json.loads(text)
     if not str(doc.get("OTIO_SCHEMA", "")).startswith("Timeline."):
         raise ValueError("not a timeline")
-    rows = []
-    for ti, track in enumerate(doc.get("tracks", {}).get("children", [])):
-        for ii, item in enumerate(track.get("children", [])):
-            span, known = item.get("source_range") or {}, {"OTIO_SCHEMA", "name", "source_range", "media_reference", "media_references", "effects", "markers", "metadata"}
-            media = item.get("media_reference") or next(iter((item.get("media_references") or {}).values()), None) or {}
-            meta = item.get("metadata") or {}
-            extra = {k: v for k, v in item.items() if k not in known} | ({"metadata": meta} if meta else {})
-            rows.append({
-                "track": ti, "idx": ii, "track_kind": track.get("kind"), "kind": str(item.get("OTIO_SCHEMA", "")).split(".")[0].lower(), "name": item.get("name"), "uuid": meta.get("uuid"),
-                "start": _time(span.get("start_time")), "duration": _time(span.get("duration")), "media": media.get("target_url"), "effects": len(item.get("effects") or []), "markers": len(item.get("markers") or []), "extra": json.dumps(extra, sort_keys=True) if extra else None,
-            })
+    rows: list[dict] = []
+    lanes: list[dict] = []
+
+    def walk(item: dict, lane: int, path: str) -> None:
+        """A track or stack inside a track is an item too, and its own children follow on lanes of their own."""
+        schema = str(item.get("OTIO_SCHEMA", "")).split(".")[0].lower()
+        span, known = item.get("source_range") or {}, {"OTIO_SCHEMA", "name", "source_range", "media_reference", "media_references", "effects", "markers", "metadata", "children"}
+        media = item.get("media_reference") or next(iter((item.get("media_references") or {}).values()), None) or {}
+        meta = item.get("metadata") or {}
+        extra = {k: v for k, v in item.items() if k not in known} | ({"metadata": meta} if meta else {}) | ({"inside": path} if path else {})
+        rows.append({
+            "track": lane, "idx": lanes[lane]["n"], "track_kind": lanes[lane]["kind"], "kind": schema, "name": item.get("name"), "uuid": meta.get("uuid"),
+            "start": _time(span.get("start_time")), "duration": _time(span.get("duration")), "media": media.get("target_url"), "effects": len(item.get("effects") or []), "markers": len(item.get("markers") or []), "extra": json.dumps(extra, sort_keys=True) if extra else None,
+        })
+        lanes[lane]["n"] += 1
+        if schema in ("stack", "track"):
+            inner = item.get("children") or []
+            for child in inner if schema == "stack" else [item]:
+                tracks(child, f"{path}/{lane}.{lanes[lane]['n'] - 1}")
+
+    def tracks(track: dict, path: str) -> None:
+        lanes.append({"kind": track.get("kind"), "n": 0})
+        lane = len(lanes) - 1
+        is_track = str(track.get("OTIO_SCHEMA", "")).startswith("Track.")
+        for item in track.get("children") or [] if is_track else [track]:
+            walk(item, lane, path)
+
+    for track in (doc.get("tracks") or {}).get("children") or []:
+        tracks(track, "")
     return rows
 
 
@@ -89,6 +107,12 @@ def timelines(docs: DataFrame, kind: str = "otio") -> DataFrame:
     return docs.select("doc", "text").mapInPandas(run, ITEM)
 
 
+def losses(items: DataFrame) -> DataFrame:
+    """The ledger of what the flat form of documents could not hold: (doc, tag, items)."""
+    lost = F.from_json("extra", "lost array<string>")["lost"]
+    return items.select("doc", F.explode(lost).alias("tag")).groupBy("doc", "tag").agg(F.count("*").alias("items"))
+
+
 def notes_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(notes, rejected) of CSV files with any of the known column spellings.
 
@@ -119,7 +143,14 @@ PACK_MAGIC = b"TPAK\x01"
 
 
 def parse_pack(data: bytes) -> list[tuple[str, int, bytes]]:
-    """(digest hex, offset of the bytes, bytes) of every object; damaged packs raise ValueError."""
+    """(digest hex, offset of the bytes, bytes) of every object of a pack, plain or compressed; damaged packs raise ValueError."""
+    if data.startswith(b"\x28\xb5\x2f\xfd"):
+        import zstandard
+
+        try:
+            data = zstandard.ZstdDecompressor().decompress(data)
+        except zstandard.ZstdError as e:
+            raise ValueError("damaged") from e
     if not data.startswith(PACK_MAGIC):
         raise ValueError("not a pack")
     (count,) = struct.unpack_from("<I", data, len(PACK_MAGIC))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import timecode
-from tesserae.sources.readers import PACK_MAGIC
+from tesserae.operators.store import prefix_until
+from tesserae.scratch import saved
+from tesserae.sources.readers import PACK_MAGIC, packs
 from tesserae.workers import by_value
 
 by_value(__name__)
@@ -41,16 +43,46 @@ def canonical(columns: list[str]) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "true"})
 
 
-def pack_objects(objects: DataFrame, packs: int) -> DataFrame:
-    """(pack, n, content) of objects (hash hex, data) dealt into packs by hash; each pack is built in one group of bounded size."""
+def fcpxml_markers(notes: DataFrame) -> DataFrame:
+    """(doc, frame, line): a marker element for each note (doc, frame, rate, body), with exact times and escaped text."""
+    text = F.col("body")
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;")):
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    return notes.select("doc", "frame", F.format_string('<marker start="%d/%ds" duration="1/%ds" value="%s"/>', F.col("frame").cast("long"), F.col("rate").cast("long"), F.col("rate").cast("long"), text).alias("line"))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("hash")
-        body = b"".join(bytes.fromhex(h) + struct.pack("<I", len(d)) + bytes(d) for h, d in zip(pdf["hash"], pdf["data"]))
-        return pd.DataFrame([(int(pdf["pack"].iloc[0]), len(pdf), PACK_MAGIC + struct.pack("<I", len(pdf)) + body)], columns=["pack", "n", "content"])
 
-    dealt = objects.dropDuplicates(["hash"]).withColumn("pack", F.pmod(F.xxhash64("hash"), F.lit(packs)))
-    return dealt.groupBy("pack").applyInPandas(build, "pack long, n long, content binary")
+def pack_objects(objects: DataFrame, target: int = 64 << 20, level: int = 3) -> DataFrame:
+    """(pack, n, raw_bytes, content) of objects (hash hex, data), in order of their hashes, each pack of about ``target`` bytes.
+
+    Packs are cut by a running sum of sizes, so each is built in a group of bounded size; contents are compressed with zstandard.
+    """
+
+    def build(rows: pa.Table) -> pa.Table:
+        import zstandard
+
+        rows = rows.sort_by("hash")
+        body = b"".join(bytes.fromhex(h.as_py()) + struct.pack("<I", len(d.as_buffer())) + d.as_py() for h, d in zip(rows.column("hash"), rows.column("data")))
+        raw = PACK_MAGIC + struct.pack("<I", rows.num_rows) + body
+        return pa.table({"pack": rows.column("pack")[:1], "n": pa.array([rows.num_rows], pa.int64()), "raw_bytes": pa.array([len(raw)], pa.int64()), "content": pa.array([zstandard.ZstdCompressor(level=level).compress(raw)], pa.binary())})
+
+    one = objects.select("hash", "data").dropDuplicates(["hash"]).withColumn("_size", F.octet_length("data").cast("long") + 36)
+    placed = prefix_until(one, ["hash"], "_size", []).withColumn("pack", F.floor(F.col("before") / target))
+    return placed.select("hash", "data", "pack").groupBy("pack").applyInArrow(build, "pack long, n long, raw_bytes long, content binary")
+
+
+def write_packs(objects: DataFrame, path: str, target: int = 64 << 20) -> DataFrame:
+    """Write packs and, once every object was read back and its digest held, the index (hash, pack, offset) that readers use.
+
+    Until the index is there nothing points to the packs, so a failed write leaves the store as it was.
+    """
+    spark = objects.sparkSession
+    pack_objects(objects, target).write.parquet(f"{path}/packs")
+    back = packs(spark.read.parquet(f"{path}/packs").select(F.col("pack").cast("string").alias("path"), "content"))
+    index = saved(back.select("hash", F.col("path").cast("long").alias("pack"), "offset", "valid"))
+    if index.where("not valid").take(1) or index.count() != objects.select("hash").distinct().count():
+        raise RuntimeError("a pack does not hold what was put in it")
+    index.drop("valid").write.parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index")
 
 
 def audit(rows: DataFrame, path: str) -> None:

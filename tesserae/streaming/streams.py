@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.operators import records as R
-from tesserae.operators import store as S
+from tesserae.operators.journal import fold
 
 
 def replay(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:
@@ -19,38 +20,89 @@ def replay(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def to_table(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch into a table of versions: a batch that is repeated writes its version again, so the result is exactly once."""
+@dataclass(frozen=True)
+class Merge:
+    """How batches become state rows, which rows belong together, and how those of one key are combined."""
+
+    prepare: Callable[[DataFrame], DataFrame]
+    combine: Callable[[DataFrame], DataFrame]
+    key: tuple[str, ...]
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _children(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``name``=number below a path."""
+    p, fs = _folder(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(name + "="))
+
+
+def _latest(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[int]]:
+    """The finished versions of each bucket, oldest first, of those below a number."""
+    out: dict[int, list[int]] = {}
+    for v in _children(spark, path, "v"):
+        done, fs = _folder(spark, f"{path}/v={v}/_SUCCESS")
+        if (below is None or v < below) and fs.exists(done):
+            for b in _children(spark, f"{path}/v={v}", "bucket"):
+                out.setdefault(b, []).append(v)
+    return out
+
+
+def state(spark: SparkSession, path: str, buckets: set[int] | None = None, below: int | None = None) -> DataFrame | None:
+    """The newest rows of all buckets of a table written by :func:`to_table`, or None if there are none."""
+    paths = [f"{path}/v={vs[-1]}/bucket={b}" for b, vs in _latest(spark, path, below).items() if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def to_table(stream: DataFrame, merge: Merge, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Fold each micro-batch into a table of buckets by key: only those that it touches are read and written again.
+
+    A batch writes a version of its buckets from versions before it, and a batch that is repeated writes its
+    own again, so the result is exactly once. Of each bucket the two newest versions stay.
+    """
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v={n - 1}") if n > 0 else None
-        merge(batch, before).write.mode("overwrite").parquet(f"{path}/v={n}")
+        bucket = F.pmod(F.xxhash64(*merge.key), F.lit(buckets)).cast("int")
+        new = merge.prepare(batch).withColumn("bucket", bucket).persist()
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most ``buckets``
+        before = state(spark, path, touched, n)
+        rows = new.drop("bucket") if before is None else new.drop("bucket").unionByName(before)
+        merge.combine(rows).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
+        new.unpersist()
+        for b, versions in _latest(spark, path).items():
+            for v in versions[:-2]:
+                old, fs = _folder(spark, f"{path}/v={v}/bucket={b}")
+                fs.delete(old, True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merge_registers(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Last-writer-wins registers after one more batch; the arrival number stays in the state as the last tie-break."""
-    rows = batch.select("family", "key", "ts_ms", "device_id", "payload", "tombstone", "seq")
-    rows = rows if before is None else rows.unionByName(before)
+def _registers(rows: DataFrame) -> DataFrame:
+    """The arrival number stays in the state as the last tie-break."""
     rank = F.struct("ts_ms", "device_id", "tombstone", -F.col("seq"))
     return rows.groupBy("family", "key").agg(F.max_by(F.struct("ts_ms", "device_id", "payload", "tombstone", "seq"), rank).alias("r")).select("family", "key", "r.*")
 
 
-def merge_union(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Append-only union by content id after one more batch."""
-    new = batch.withColumn("record_id", R.content_id("family", "key", "payload")).select("record_id", "family", "key", "payload", "ts_ms", "device_id", "seq")
-    rows = new if before is None else new.unionByName(before)
+def _union(rows: DataFrame) -> DataFrame:
     return rows.groupBy("record_id").agg(F.min_by(F.struct("family", "key", "payload", "ts_ms", "device_id", "seq"), "seq").alias("r")).select("record_id", "r.*")
 
 
-def merge_paths(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Current path states after one more batch of journal entries."""
-    from tesserae.operators.journal import fold
+def _paths(rows: DataFrame) -> DataFrame:
+    rest = [c for c in rows.columns if c not in ("project_id", "path")]
+    return rows.groupBy("project_id", "path").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("project_id", "path", "r.*")
+
 
-    now = fold(batch)
-    return now if before is None else S.upsert(before, now.select(*before.columns), ["project_id", "path"], "seq")
+#: Last-writer-wins registers; an echo older than what is there changes nothing.
+REGISTERS = Merge(lambda b: b.select("family", "key", "ts_ms", "device_id", "payload", "tombstone", "seq"), _registers, ("family", "key"))
+#: Append-only union by content id.
+UNION = Merge(lambda b: b.withColumn("record_id", R.content_id("family", "key", "payload")).select("record_id", "family", "key", "payload", "ts_ms", "device_id", "seq"), _union, ("record_id",))
+#: Current path states of journal entries.
+PATHS = Merge(fold, _paths, ("project_id", "path"))
 
 
 def deduplicate(stream: DataFrame, delay: str) -> DataFrame:

@@ -65,15 +65,34 @@ def test_files_and_gzip(spark, tmp_path):
     assert rows == {"a/x.gz": b"inner", "y.txt": b"plain"}
 
 
-def test_packs(spark):
+def test_packs(spark, tmp_path):
     data = [bytes([i]) * (i + 1) for i in range(20)]
     objects = spark.createDataFrame([(hashlib.sha256(d).hexdigest(), d) for d in data], "hash string, data binary")
-    made = W.pack_objects(objects, 3)
-    assert made.agg(F.sum("n")).first()[0] == 20
+    made = W.pack_objects(objects.unionByName(objects), 300)
+    assert made.agg(F.sum("n")).first()[0] == 20 and made.count() > 2 and made.agg(F.max("raw_bytes")).first()[0] < 300 + 100
     back = Rd.packs(made.select(F.col("pack").cast("string").alias("path"), "content")).collect()
     assert all(r.valid for r in back) and {bytes(r.data) for r in back} == set(data)
     cut = Rd.packs(made.select(F.col("pack").cast("string").alias("path"), F.expr("substring(content, 1, octet_length(content) - 1)").alias("content")))
     assert not any(r.valid for r in cut.collect())
+    index = W.write_packs(objects, str(tmp_path / "store"), 300)
+    assert {r.hash for r in index.collect()} == {hashlib.sha256(d).hexdigest() for d in data}
+    wrong = objects.unionByName(spark.createDataFrame([("ab" * 32, b"x")], "hash string, data binary"))
+    with pytest.raises(RuntimeError):
+        W.write_packs(wrong, str(tmp_path / "bad"), 300)
+    assert not (tmp_path / "bad/index").exists()
+
+
+def test_nested_timelines_losses_and_markers(spark):
+    inner = {"OTIO_SCHEMA": "Stack.1", "name": "s", "children": [{"OTIO_SCHEMA": "Track.1", "kind": "Audio", "children": [{"OTIO_SCHEMA": "Clip.2", "name": "deep"}]}, {"OTIO_SCHEMA": "Clip.2", "name": "bare"}]}
+    doc = {"OTIO_SCHEMA": "Timeline.1", "tracks": {"children": [{"OTIO_SCHEMA": "Track.1", "kind": "Video", "children": [{"OTIO_SCHEMA": "Clip.2", "name": "a"}, inner, {"OTIO_SCHEMA": "Clip.2", "name": "z"}]}]}}
+    rows = Rd.timelines(spark.createDataFrame([("d", json.dumps(doc))], "doc string, text string")).collect()
+    assert sorted((r.track, r.idx, r.kind, r.name) for r in rows) == [(0, 0, "clip", "a"), (0, 1, "stack", "s"), (0, 2, "clip", "z"), (1, 0, "clip", "deep"), (2, 0, "clip", "bare")]
+    assert json.loads(next(r.extra for r in rows if r.name == "deep"))["inside"] == "/0.1"
+    xml = '<fcpxml><library><event><project><sequence><spine><asset-clip name="a" duration="2s"><filter-video/></asset-clip><gap duration="1s"><filter-video/><title/></gap></spine></sequence></project></event></library></fcpxml>'
+    lost = Rd.losses(Rd.timelines(spark.createDataFrame([("d", xml)], "doc string, text string"), "fcpxml")).collect()
+    assert {(r.tag, r["items"]) for r in lost} == {("filter-video", 2), ("title", 1)}
+    notes = spark.createDataFrame([(1, 12, 24, 'a <b> & "c"')], "doc long, frame long, rate long, body string")
+    assert W.fcpxml_markers(notes).first().line == '<marker start="12/24s" duration="1/24s" value="a &lt;b&gt; &amp; &quot;c&quot;"/>'
 
 
 def test_ledger_and_audit(spark, tmp_path):

@@ -31,13 +31,30 @@ def _rows(df, cols):
 def test_incremental_merge(what, spark, sf_dir, tmp_path):
     src = journal(spark, sf_dir) if what == "paths" else _records(spark, sf_dir)
     _parts(src, str(tmp_path / "in"))
-    merge = {"registers": St.merge_registers, "union": St.merge_union, "paths": St.merge_paths}[what]
-    q = St.to_table(St.replay(spark, str(tmp_path / "in"), src.schema), merge, str(tmp_path / "out"), str(tmp_path / "cp"))
+    merge = {"registers": St.REGISTERS, "union": St.UNION, "paths": St.PATHS}[what]
+    out = str(tmp_path / "out")
+    q = St.to_table(St.replay(spark, str(tmp_path / "in"), src.schema), merge, out, str(tmp_path / "cp"), buckets=8)
     q.awaitTermination(120)
     assert q.exception() is None
-    got = spark.read.parquet(str(tmp_path / "out/v=2"))
     want = {"registers": R.lww, "union": R.union, "paths": J.fold}[what](src)
-    assert _rows(got, want.columns) == _rows(want, want.columns)
+    assert _rows(St.state(spark, out), want.columns) == _rows(want, want.columns)
+    assert all(len(v) <= 2 for v in St._latest(spark, out).values())
+
+
+def test_a_repeated_batch_changes_nothing_and_others_buckets_stay(spark, sf_dir, tmp_path):
+    src = _records(spark, sf_dir)
+    _parts(src, str(tmp_path / "in"), 2)
+    out = str(tmp_path / "out")
+    for checkpoint in ("a", "b"):  # the second run repeats both batches
+        St.to_table(St.replay(spark, str(tmp_path / "in"), src.schema), St.REGISTERS, out, str(tmp_path / checkpoint), buckets=4).awaitTermination(120)
+    want = R.lww(src)
+    assert _rows(St.state(spark, out), want.columns) == _rows(want, want.columns)
+    one = src.where("family = 'click' and key = 1").withColumn("ts_ms", F.col("ts_ms") + 10**6)
+    before = St._latest(spark, out)
+    one.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
+    St.to_table(St.replay(spark, str(tmp_path / "in"), src.schema), St.REGISTERS, out, str(tmp_path / "b"), buckets=4).awaitTermination(120)
+    after = St._latest(spark, out)
+    assert sum(before[b][-1] != after[b][-1] for b in after) == 1
 
 
 def _collect(stream, tmp_path, mode):
