@@ -19,17 +19,22 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-#: Rows of an Arrow batch, at most: whole texts of any length pass through the workers.
+#: Rows of a batch that a function sees, at most. Spark bounds the bytes of the batches that it sends.
 BATCH_ROWS = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of few rows, so that a worker's memory stays bounded."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    """``df.mapInArrow`` whose batches are handed on in slices of few rows, so that a worker's memory stays bounded."""
+    most = BATCH_ROWS
+
+    def sliced(batches):
+        return function(b.slice(at, most) for b in batches for at in range(0, b.num_rows, most))
+
+    return df.mapInArrow(sliced, schema)
+
+
+#: The folder of this process in local mode where none is named.
+_LOCAL: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,11 +42,11 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    global _LOCAL
+    _LOCAL = _LOCAL or "file://" + tempfile.mkdtemp(prefix="tesserae-")
+    return _LOCAL
 
 
 class Scratch:

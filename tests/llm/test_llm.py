@@ -8,6 +8,7 @@ import gzip
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import capfilters, exact, lm, mixing, packing, quality, simhash, substring, toxicity, warc
+from tesserae.llm import _labelled, capfilters, exact, lm, mixing, packing, quality, simhash, substring, toxicity, warc
 from tesserae.llm._shared import Scratch, connected_components
 from tesserae.llm._subwords import DEFAULT, tokenizer
 
@@ -516,6 +517,31 @@ def test_toxicity_hears_shouting_in_the_whole_text():
     assert vote(calm + loud) == 1 and vote(loud[:2000] + calm * 5) == 0
 
 
+def test_samples_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    rows = [(i, "x" * 1000) for i in range(40)] + [(3, "y" * 10), (None, "z")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    got = _labelled.sample(docs(spark, rows), labels, "toxic", 4, 2, 100)
+    assert [r[0] for r in got] == [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2] and all(y == i % 2 for i, _, y in got)
+    monkeypatch.setattr(_labelled, "SAMPLE_BYTES", 3500)
+    few = _labelled.sample(docs(spark, rows), labels, "toxic", 4, 2, 100)
+    assert {r[:1] for r in few} < {r[:1] for r in got} and [sum(y == k for *_, y in few) for k in (0, 1)] == [3, 3]
+    monkeypatch.setattr(_labelled, "SAMPLE_BYTES", 1)
+    assert [sum(y == k for *_, y in _labelled.sample(docs(spark, rows), labels, "toxic", 4, 2, 100)) for k in (0, 1)] == [1, 1]
+
+
+@pytest.mark.parametrize("score, column, folds, fold", [(quality.score, "quality", 5, 0), (toxicity.score, "toxic", 4, 2)])
+def test_held_out_accuracy(spark, score, column, folds, fold):
+    """On the larger table: the share of held-out labels that the prediction meets, by label."""
+    where = "/root/testdata/sf0.1"
+    if not os.path.isdir(where):
+        pytest.skip("no larger table")
+    d, lab = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    got = _held_out(score(d, lab).collect(), lab, column)
+    assert len(got) > 50
+    for label in (0, 1):
+        assert (got[got[:, 2] == label, 1] == label).mean() > 0.8, label
+
+
 @pytest.mark.parametrize("score, column", [(quality.score, "quality"), (toxicity.score, "toxic")])
 def test_classifier_odd_rows(spark, score, column):
     labels = spark.createDataFrame([(i, i % 2, None) for i in (3, 4, 5, 6, 7, 8)] + [(None, 1, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
