@@ -49,7 +49,12 @@ def parity_recovery(spark, sf_dir):
     return K.recover(every.where(~lost), K.xor_parity(every), sizes).where("stripe % 3 > 0")
 
 
-@query()
+_SAID = """case event_id % 5 when 0 then [('trim_out', (2 * k + 1) || '/2'), ('gain', k::varchar)] when 1 then [('trim_in', '1/2'), ('delete', '')] when 2 then [('replace', 'the wide shot')] when 3 then [('trim_out', k::varchar)] else [('gain', '-3')] end"""
+_BODIES = """case event_id % 5 when 0 then 'Cut ' || k || '.5 seconds off the end. Louder by ' || k || ' db!' when 1 then 'trim half a second off the start; delete this' when 2 then 'replace it with the wide shot please' when 3 then 'shave ' || k || ' frames off the tail' else 'Love the mood here. Turn down the music' end"""
+
+
+@query(f"""with e as (select event_id, event_id % 9 + 1 as k from events), s as (select event_id, {_SAID} as ops from e)
+select event_id, n::int as n, case when n is not null then ops[n + 1][1] end as op, case when n is not null then ops[n + 1][2] end as value from s, unnest([0, 1]) u(n) where n < len(ops)""")
 def note_ops(spark, sf_dir):
     n = (F.col("event_id") % 9 + 1).cast("string")
     notes = [F.concat(F.lit("Cut "), n, F.lit(".5 seconds off the end. Louder by "), n, F.lit(" db!")), F.concat(F.lit("trim half a second off the start; delete this")), F.lit("replace it with the wide shot please"), F.concat(F.lit("shave "), n, F.lit(" frames off the tail")), F.lit("Love the mood here. Turn down the music")]

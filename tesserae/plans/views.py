@@ -182,7 +182,7 @@ def moved_items(spark, sf_dir):
     return e.select("manifest", X.moved(F.transform("e", lambda x: x["idx"])).alias("moved")).where(F.size("moved") > 0)
 
 
-@query()
+@query("select event_id, case when event_id % 5 in (0, 2, 3) then 'mechanical' else 'creative' end as part, (event_id % 5 in (0, 2, 3))::int as n_ops from events")
 def changelist_partition(spark, sf_dir):
     notes = ["cut 2 seconds off the end", "I love this", "make it louder by 4 db. Nice", "replace it with b-roll", "hmm"]
     e = table(spark, sf_dir, "events").select("event_id", _pick(notes, F.col("event_id")).alias("body")).withColumn("ops", parse("body"))
