@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from array import array
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,10 +39,23 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+class _Index(dict):
+    """Numbers of words in the order of their first use; ``names`` has the words."""
+
+    def __init__(self):
+        self.names: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.names.append(word)
+        self[word] = n = len(self.names) - 1
+        return n
+
+
 class WordTokenizer:
     """Exact ids of a tokenizer that never joins across white space, such as a BPE with word ends.
 
-    A text's ids are those of its words in turn, so words are looked up. A new word that ends in a
+    A text's ids are those of its words in turn, so words are numbered, and what belongs to a number is looked up in
+    arrays. A new word that ends in a
     letter followed by ASCII marks has the ids of its lower-cased core and those of the marks: the
     vocabulary's own pattern separates them and its normaliser lower-cases. Cores of Latin letters alone go to
     the vocabulary's merges directly, where a few probes show that this is the same. Other words go through whole.
@@ -52,13 +66,18 @@ class WordTokenizer:
         self.bar = self.tok.encode("|", add_special_tokens=False).ids
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # native order, as Python workers and numpy views have it
-        self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        self.held = self.cores_held = 0
+        self.cores_held, self.turn = 0, 0
+        self._forget()
         letters = [chr(c) for c in range(0xAA, 0x100) if chr(c).isalpha() and chr(c) == chr(c).lower()]
         probes = ["the", "a", "internationalisation", "qzxvk", *letters, "".join(letters), *(f"re{c}st{c}d" for c in letters)]
         self.plain = self._same(probes)
 
+    def _forget(self) -> None:
+        """Empty the index; ``turn`` tells that numbers have another meaning now."""
+        self.index, self.held, self.turn = _Index(), 0, self.turn + 1
+        self.flat, self.size, self.start = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def _same(self, probes: list[str]) -> bool:
         whole = [e.ids for e in self.tok.encode_batch_fast(probes, add_special_tokens=False)]
         try:
@@ -100,27 +119,38 @@ class WordTokenizer:
                 self.cores[p] = ids[at:end].tobytes()
                 at = end + 1
         self.cores[""] = b""
-        for w, (core, marks) in zip(new, parts):
-            self.words[w] = self.cores[core] + self.cores[marks]
+        each = [self.cores[core] + self.cores[marks] for core, marks in parts]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
+        self.flat, self.size = np.append(self.flat, np.frombuffer(b"".join(each), self.dtype)), np.append(self.size, size)
         self.held += sum(map(len, new))
 
+    def numbers(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each word, how many words each text has) of texts given as their words; the ids of new words are learned."""
+        if len(self.index.names) > WORDS_KEPT or self.held > BYTES_KEPT:
+            self._forget()
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        if len(self.index.names) > len(self.size):
+            self._learn(self.index.names[len(self.size) :])
+        return at, count
+
+    def ids(self, at: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts given as numbers of words."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.arange(total) + np.repeat(self.start[at] - ends + size, size)]
+        words = np.cumsum(count)
+        cut = np.where(words > 0, ends[np.maximum(words, 1) - 1], 0) if len(ends) else np.zeros(len(count), np.int64)
+        return np.split(flat, cut[:-1]) if len(count) else []
+
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         return self.encode_words([(t or "").encode("utf-8", "replace").split() for t in texts])
 
     def encode_words(self, split: list[list[bytes]]) -> list[np.ndarray]:
         """The ids of texts given as their words."""
-        seen: set[bytes] = set()
-        for words in split:
-            seen.update(words)
-        new = seen.difference(self.words)
-        if new:
-            if len(self.words) + len(new) > WORDS_KEPT or self.held > BYTES_KEPT:
-                self.words.clear()
-                self.held = 0
-                new = seen
-            self._learn(list(new))
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.dtype) for words in split]
+        return self.ids(*self.numbers(split))
 
 
 def tokenizer(path: str) -> WordTokenizer:

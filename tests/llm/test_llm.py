@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import _labelled, capfilters, exact, lm, mixing, packing, quality, simhash, substring, toxicity, warc
+from tesserae.llm import _labelled, _subwords, capfilters, exact, lm, mixing, packing, quality, simhash, substring, toxicity, warc
 from tesserae.llm._shared import Scratch, connected_components
 from tesserae.llm._subwords import DEFAULT, tokenizer
 
@@ -470,6 +470,16 @@ def test_subwords_are_the_tokenizers(text):
     assert t.encode_batch([text, None])[0].tolist() == t.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_subwords_after_forgetting(monkeypatch):
+    monkeypatch.setattr(_subwords, "WORDS_KEPT", 5)
+    monkeypatch.setattr(_subwords, "CORES_KEPT", 3)
+    t = _subwords.WordTokenizer(DEFAULT)
+    for text in ["one two three four five six", "", "six, seven! eight", "Één zwölf ÉTÉ straße", "one 123 two"]:
+        batch = [text, None, text.upper()]
+        assert [i.tolist() for i in t.encode_batch(batch)] == [t.tok.encode(x or "", add_special_tokens=False).ids for x in batch]
+    assert t.encode_batch([]) == [] and t.turn > 2
+
+
 def _held_out(rows, labels, column):
     known = {r["doc_id"]: r[column] for r in labels.collect()}
     hit = [(r.score, r.predicted, known[r.doc_id]) for r in rows if r.held_out and r.doc_id in known]
