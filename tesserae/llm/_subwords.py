@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 from array import array
 from itertools import chain
 
@@ -39,6 +40,13 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+def _ends_in_letter(core: str) -> bool:
+    """Whether a letter is last in the form that the vocabulary splits: composed, then in lower case, where a mark may follow the letter."""
+    if not core[-1].isalpha():
+        return False
+    return core.isascii() or unicodedata.normalize("NFC", core).lower()[-1].isalpha()
+
+
 class _Index(dict):
     """Numbers of words in the order of their first use; ``names`` has the words."""
 
@@ -55,9 +63,9 @@ class WordTokenizer:
     """Exact ids of a tokenizer that never joins across white space, such as a BPE with word ends.
 
     A text's ids are those of its words in turn, so words are numbered, and what belongs to a number is looked up in
-    arrays. A new word that ends in a
+    arrays. A new word whose normal form ends in a
     letter followed by ASCII marks has the ids of its lower-cased core and those of the marks: the
-    vocabulary's own pattern separates them and its normaliser lower-cases. Cores of Latin letters alone go to
+    vocabulary's own pattern separates them and its normaliser composes and lower-cases. Cores of Latin letters alone go to
     the vocabulary's merges directly, where a few probes show that this is the same. Other words go through whole.
     """
 
@@ -91,7 +99,7 @@ class WordTokenizer:
     def _split(self, word: bytes) -> tuple[str, str]:
         text = word.decode("utf-8", "replace")
         core = text.rstrip(_CLOSING)
-        if "<|" in text or not core or not core[-1].isalpha():
+        if "<|" in text or not core or not _ends_in_letter(core):
             return text, ""
         return (core.lower() if core.isascii() or max(core) <= "\xff" else core), text[len(core):]
 
