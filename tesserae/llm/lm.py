@@ -37,8 +37,8 @@ COUNTED = 400_000
 #: Ids of a window, how many of them are context only, width of a vector, classes of ids.
 WINDOW, CONTEXT, SIZE, CLASSES = 32, 8, 16, 128
 STRIDE = WINDOW - CONTEXT
-#: Training documents are dealt over so many rounds, each twice the one before; every document teaches by one in TAUGHT of its windows.
-ROUNDS, TAUGHT = 6, 2
+#: Training documents are dealt over so many rounds, each twice the one before; every document teaches by all of its windows.
+ROUNDS = 6
 #: Windows of a step at least and at most, windows that a task shuffles together, rates of the first and the last round.
 STEP_LEAST, STEP_MOST, SHUFFLED, RATES, SEED = 32, 512, 1 << 15, (0.015, 0.003), 5
 #: The neighbours that tell ids apart are the most frequent ids; all others are one.
@@ -299,15 +299,13 @@ class Learner:
         self.uses, self.steps, self.taught, self.held = np.zeros(len(known["group"])), 0, 0, 0
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, ids: np.ndarray, share: int = 1, phase: int = 0) -> None:
-        """The windows of a text whose number is ``phase`` modulo ``share``."""
+    def add(self, ids: np.ndarray) -> None:
+        """All windows of a text."""
         inputs, targets = windows(ids, self.known["end"])
-        at = np.arange(phase, len(inputs), share)
-        if len(at):
-            self.kept.append((inputs[at], targets[at], at == 0))
-            self.held += len(at)
-            if self.held >= SHUFFLED:
-                self.teach()
+        self.kept.append((inputs, targets, np.arange(len(inputs)) == 0))
+        self.held += len(inputs)
+        if self.held >= SHUFFLED:
+            self.teach()
 
     def teach(self) -> None:
         if not self.kept:
@@ -328,9 +326,9 @@ def _learn(batches: Iterator[pa.RecordBatch], shared, dtype: str, turn: int) ->
     """What a task's texts change: each id's vector times its uses, the uses, the other weights times the windows, and the windows."""
     old, known = shared.value
     learner = Learner(old, known, turn)
-    for b, ids in _ids(batches, dtype, 1):
-        for row, i in zip(b.column(0).to_pylist(), ids):
-            learner.add(i, TAUGHT, row % TAUGHT)
+    for _, ids in _ids(batches, dtype, 1):
+        for i in ids:
+            learner.add(i)
     learner.teach()
     if learner.taught:
         m, uses = learner.m, learner.uses

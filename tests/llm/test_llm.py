@@ -11,6 +11,7 @@ import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -470,6 +471,21 @@ def test_subwords_are_the_tokenizers(text):
     assert t.encode_batch([text, None])[0].tolist() == t.tok.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("part", range(4))
+def test_subwords_of_every_letter_before_closing_marks(part):
+    """Letters whose normal form ends in a combining mark among them; ideographs and syllables before two marks, others before all."""
+    letters = [chr(c) for c in range(0x41, 0x110000) if chr(c).isalpha()]
+    many = [c for c in letters if "CJK" in unicodedata.name(c, "") or "HANGUL" in unicodedata.name(c, "") or ord(c) > 0x12000]
+    few = sorted(set(letters) - set(many))
+    words = [c + m for c in many[part::4] for m in (",", ").")] + [f"ab{c}{m}" for c in few[part::4] for m in _subwords._CLOSING]
+    words += ["BELED\u0130YES\u0130,", "\u0130.", "e\u0301,", "\u1100\u1161."]
+    t = _subwords.WordTokenizer(DEFAULT)
+    for at in range(0, len(words), 20_000):
+        some = words[at : at + 20_000]
+        want = [e.ids for e in t.tok.encode_batch_fast(some, add_special_tokens=False)]
+        assert [(w, i.tolist()) for w, i in zip(some, t.encode_batch(some))] == list(zip(some, want))
+
+
 def test_subwords_after_forgetting(monkeypatch):
     monkeypatch.setattr(_subwords, "WORDS_KEPT", 5)
     monkeypatch.setattr(_subwords, "CORES_KEPT", 3)
@@ -803,7 +819,6 @@ def test_lm_scores_match_a_plain_model(spark, monkeypatch):
 
 
 def test_lm_learns_from_every_training_document(spark, monkeypatch):
-    monkeypatch.setattr(lm, "TAUGHT", 1)
     seen = []
     learned = lm.learned
     monkeypatch.setattr(lm, "learned", lambda ids, weights, known, *a: seen.append((weights, known["group"], learned(ids, weights, known, *a))) or seen[-1][2])
