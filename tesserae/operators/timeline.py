@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,188 +50,6 @@ def answered_twice(notes: DataFrame) -> DataFrame:
     return rest.groupBy("author", "anchor", "first").agg(F.min("id").alias("second"))
 
 
-#: Columns of an edit: what it is of, its kind, what it sets, where it lands, and by how much it cuts either end.
-EDIT = ["doc", "element", "track", "kind", "attr", "value", "anchor", "head", "tail"]
-
-
-def _edit(kind: str, **given: Column | str) -> Column:
-    text = lambda n: F.col(given[n]) if isinstance(given.get(n), str) else given.get(n, F.lit(None))
-    types = {"track": "long", "head": "long", "tail": "long"}
-    return F.struct(F.lit(kind).alias("kind"), *(text(n).cast(types.get(n, "string")).alias(n) for n in EDIT if n not in ("doc", "kind")))
-
-
-def _edits(joined: DataFrame, cases: list[tuple[Column, Column]]) -> DataFrame:
-    """A row for each case that holds."""
-    each = F.explode(F.array_compact(F.array(*(F.when(cond, edit) for cond, edit in cases))))
-    return joined.select("doc", each.alias("e")).select("doc", *(f"e.{c}" for c in EDIT[1:]))
-
-
-def _both(base: DataFrame, side: DataFrame, key: list[str]) -> DataFrame:
-    rest = [c for c in base.columns if c not in key]
-    pack = lambda df, p: df.select(*key, F.struct(*rest).alias(p))
-    return pack(base, "b").join(pack(side, "s"), key, "full")
-
-
-def extract_ops(base: DataFrame, side: DataFrame) -> DataFrame:
-    """The edits that turn base clips (doc, element, track, idx, start, dur, name) into the side's."""
-    j = _both(base, side, ["doc", "element"])
-    was, is_ = F.col("b").isNotNull(), F.col("s").isNotNull()
-    slot = F.concat_ws(":", F.col("s.track").cast("string"), F.col("s.idx").cast("string"))
-    head, tail = F.col("s.start") - F.col("b.start"), F.col("b.start") + F.col("b.dur") - F.col("s.start") - F.col("s.dur")
-    return _edits(j, [
-        (~was, _edit("insert", element="element", track="s.track", value="s.name", anchor=slot)),
-        (~is_, _edit("remove", element="element", track="b.track")),
-        (was & is_ & (F.col("b.track") != F.col("s.track")), _edit("move", element="element", track="b.track", value=slot, anchor=slot)),
-        (was & is_ & ((head != 0) | (tail != 0)), _edit("trim", element="element", track="b.track", head=head, tail=tail)),
-        (was & is_ & (F.col("b.name") != F.col("s.name")), _edit("attr", element="element", track="b.track", attr=F.lit("name"), value="s.name")),
-    ])
-
-
-def extract_marker_ops(base: DataFrame, side: DataFrame) -> DataFrame:
-    """Markers (doc, element, track, marker, name) added and removed; one that changed is both."""
-    j = _both(base, side, ["doc", "element", "marker"])
-    changed = ~F.col("b").eqNullSafe(F.col("s"))
-    gone = _edit("marker_remove", element="element", track="b.track", value="marker")
-    new = _edit("marker_add", element="element", track="s.track", value=F.concat_ws("|", "marker", "s.name"))
-    return _edits(j, [(changed & F.col("b").isNotNull(), gone), (changed & F.col("s").isNotNull(), new)])
-
-
-def extract_track_ops(base: DataFrame, side: DataFrame) -> DataFrame:
-    """Tracks (doc, track, name, ord) added, removed, renamed, and the new order of those that both have, if it differs."""
-    j = _both(base, side, ["doc", "track"])
-    was, is_ = F.col("b").isNotNull(), F.col("s").isNotNull()
-    one = _edits(j, [
-        (~was, _edit("track_add", track="track", value="s.name")),
-        (~is_, _edit("track_remove", track="track")),
-        (was & is_ & (F.col("b.name") != F.col("s.name")), _edit("track_attr", track="track", attr=F.lit("name"), value="s.name")),
-    ])
-    kept = j.where(was & is_).groupBy("doc")
-    order = lambda p: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"{p}.ord").alias("o"), F.col("track").alias("t")))), lambda x: x["t"].cast("string")), ",")
-    orders = kept.agg(order("b").alias("before"), order("s").alias("after"))  # a doc has few tracks
-    return one.unionByName(_edits(orders, [(F.col("before") != F.col("after"), _edit("track_reorder", value="after"))]))
-
-
-_MARKS = ("marker_add", "marker_remove")
-# Class, verdict and whether one of the two suffices, by the kinds of two edits and what else holds of them:
-# same (they are equal), apart (they set different attributes), ends (they cut different ends), or neither.
-CLASSES = [
-    (["remove"], ["remove"], {"": (6, "auto", False)}),
-    (["remove"], ["trim", "attr", "move", *_MARKS], {"": (7, "human", False)}),
-    (["move"], ["move"], {"same": (4, "auto", True), "": (4, "human", False)}),
-    (["move"], ["trim"], {"": (5, "auto", False)}),
-    (["move", "trim", "attr"], _MARKS, {"": (2, "auto", False)}),
-    (["move", "trim"], ["attr"], {"": (2, "auto", False)}),
-    (["trim"], ["trim"], {"same": (6, "auto", True), "ends": (11, "note", False), "": (3, "human", False)}),
-    (["attr"], ["attr"], {"apart": (2, "auto", False), "same": (6, "auto", True), "": (3, "human", False)}),
-    (["marker_add"], ["marker_add"], {"same": (6, "auto", True), "": (1, "auto", False)}),
-    (["marker_remove"], ["marker_remove"], {"": (6, "auto", False)}),
-    (["marker_add"], ["marker_remove"], {"": (3, "human", False)}),
-    (["insert"], ["insert"], {"same": (6, "auto", True), "": (8, "note", False)}),
-    (["track_remove"], ["track_remove"], {"": (6, "auto", False)}),
-    (["track_remove"], ["remove", "move", "trim", "attr", "track_attr", *_MARKS], {"": (9, "human", False)}),
-    (["track_attr"], ["track_attr"], {"apart": (2, "auto", False), "same": (6, "auto", True), "": (3, "human", False)}),
-    (["track_reorder"], ["track_reorder"], {"same": (6, "auto", True), "": (4, "human", False)}),
-]
-
-
-def _rules(spark) -> DataFrame:
-    rows = {(a, b, r): c for left, right, by in CLASSES for r, c in by.items() for x in left for y in right for a, b in ((x, y), (y, x))}
-    return spark.createDataFrame([(*k, *c) for k, c in rows.items()], "o_kind string, t_kind string, relation string, class int, verdict string, once boolean")
-
-
-def classify(ours: DataFrame, theirs: DataFrame, semantic: bool = False) -> DataFrame:
-    """Every interacting pair of edits with its conflict class, verdict, and whether one of them suffices.
-
-    Pairs meet on the element, on the slot they land in, on the track that one of them edits, or as orders of
-    one doc's tracks: equi-joins and a union instead of a product with a predicate. What no rule names is class 0.
-    With ``semantic``, cuts of different ends of a clip go together with a note; else they are for a human.
-    """
-    side = lambda df, p: df.select("doc", *(F.col(c).alias(f"{p}_{c}") for c in EDIT[1:]))
-    o, t = side(ours, "o"), side(theirs, "t")
-    of_track = lambda p: F.col(f"{p}_kind").isin("track_remove", "track_attr")
-
-    def meet(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
-        cond = left.doc == right.doc
-        for c in on:
-            cond = cond & (F.col(f"o_{c}") == F.col(f"t_{c}"))
-        return left.join(right, cond).drop(right.doc)
-
-    pairs = meet(o.where("o_element is not null"), t.where("t_element is not null"), "element")
-    pairs = pairs.unionByName(meet(o.where("o_anchor is not null"), t.where("t_anchor is not null"), "anchor").where("o_element <> t_element"))
-    pairs = pairs.unionByName(meet(o.where(of_track("o")), t.where("t_track is not null"), "track"))
-    pairs = pairs.unionByName(meet(o.where("o_track is not null").where(~of_track("o")), t.where(of_track("t")), "track"))
-    pairs = pairs.unionByName(meet(o.where("o_kind = 'track_reorder'"), t.where("t_kind = 'track_reorder'")))
-    same = (F.col("o_kind") == F.col("t_kind")) & F.lit(True)
-    for c in ("attr", "value", "anchor", "head", "tail"):
-        same = same & F.col(f"o_{c}").eqNullSafe(F.col(f"t_{c}"))
-    ends = ((F.col("o_head") != 0) & (F.col("o_tail") == 0) & (F.col("t_head") == 0) & (F.col("t_tail") != 0)) | ((F.col("o_head") == 0) & (F.col("o_tail") != 0) & (F.col("t_head") != 0) & (F.col("t_tail") == 0))
-    relation = F.when(same, "same").when(F.col("o_attr") != F.col("t_attr"), "apart").when(F.lit(semantic) & ends, "ends").otherwise("")
-    rules = F.broadcast(_rules(ours.sparkSession))  # a fixed table
-    exact = pairs.withColumn("relation", relation).join(rules, ["o_kind", "t_kind", "relation"], "left")
-    plain = F.broadcast(_rules(ours.sparkSession).where("relation = ''").select("o_kind", "t_kind", F.col("class").alias("_c"), F.col("verdict").alias("_v")))
-    out = exact.join(plain, ["o_kind", "t_kind"], "left")
-    return out.withColumns({"class": F.coalesce("class", "_c", F.lit(0)), "verdict": F.coalesce("verdict", "_v", F.lit("auto")), "once": F.coalesce("once", F.lit(False))}).drop("_c", "_v", "relation")
-
-
-def report(pairs: DataFrame) -> DataFrame:
-    """Per doc the pairs of each class (0 to 11), and the outcome: conflicts if a human is asked, else notes if any, else clean."""
-    counts = [F.count_if(F.col("class") == c).alias(f"c{c}") for c in range(12)]
-    human, note = F.bool_or(F.col("verdict") == "human"), F.bool_or(F.col("verdict") == "note")
-    return pairs.groupBy("doc").agg(*counts, F.when(human, "conflicts").when(note, "notes").otherwise("clean").alias("outcome"))
-
-
-def merge_timelines(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """The merged clips (doc, element, track, idx, start, dur, name, refused): edits of either side, without those withheld for a human.
-
-    A cut moves the start by its head and shortens the clip by both ends; equal cuts count once. A doc in
-    which a clip would be left without length is refused as a whole and keeps its base.
-    """
-    a, b = saved(extract_ops(base, ours)), saved(extract_ops(base, theirs))
-    held = saved(classify(a, b).where("verdict = 'human'").select("doc", "o_element", "t_element"))
-    stop = held.select("doc", F.col("o_element").alias("element")).unionByName(held.select("doc", F.col("t_element").alias("element"))).distinct()
-    ops = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).join(stop, ["doc", "element"], "left_anti")
-    first = lambda kind, *cols: F.min(F.when(F.col("kind") == kind, F.struct("side", *cols)))
-    per = ops.groupBy("doc", "element").agg(
-        F.bool_or(F.col("kind") == "remove").alias("gone"), first("insert", "value", "anchor").alias("put"),
-        first("move", "anchor").alias("moved"), first("trim", "head", "tail").alias("cut"), first("attr", "value").alias("named"),
-    )
-    j = base.join(per, ["doc", "element"], "full").where("not coalesce(gone, false)")
-    place = F.split(F.coalesce("put.anchor", "moved.anchor"), ":")
-    track, idx = F.coalesce(place[0].cast("long"), "track"), F.coalesce(place[1].cast("long"), "idx")
-    head, tail = F.coalesce("cut.head", F.lit(0)), F.coalesce("cut.tail", F.lit(0))
-    rows = j.select(
-        "doc", "element", track.alias("track"), idx.alias("_idx"), F.coalesce("put.side", F.lit(-1)).alias("_side"), (F.coalesce("start", F.lit(0)) + head).alias("start"),
-        (F.coalesce("dur", F.lit(1)) - head - tail).alias("dur"), F.coalesce("named.value", "put.value", "name").alias("name"),
-    )
-    rows = saved(rows)
-    order = Window.partitionBy("doc", "track").orderBy("_idx", F.desc("_side"), "element")
-    refused = rows.where("dur <= 0").select("doc").distinct()
-    merged = rows.join(refused, "doc", "left_anti").withColumn("idx", (F.row_number().over(order) - 1).cast("long")).drop("_idx", "_side")
-    kept = base.join(refused, "doc", "left_semi")
-    return merged.withColumn("refused", F.lit(False)).unionByName(kept.select("doc", "element", "track", "start", "dur", "name", "idx").withColumn("refused", F.lit(True)))
-
-
-def identity_ladder(base: DataFrame, side: DataFrame, passes: list[list[str]]) -> DataFrame:
-    """(doc, base_id, side_id, rung): matches by ever weaker keys, each pass on what the ones before left over; ties by ordinal.
-
-    Each pass is one outer join whose result is written: its matches, and what either side has left. An
-    empty key matches by the order of ids alone.
-    """
-    left, right, out = base, side, []
-    for rung, key in enumerate(passes):
-        by = Window.partitionBy("doc", *key).orderBy("id")
-        number = lambda df, p: df.withColumn("_n", F.row_number().over(by)).select("doc", *key, "_n", F.struct(*df.columns).alias(p))  # noqa: B023, E731
-        j = saved(number(left, "l").join(number(right, "r"), ["doc", *key, "_n"], "full").select("l", "r"))
-        out.append(j.where("l is not null and r is not null").select("l.doc", F.col("l.id").alias("base_id"), F.col("r.id").alias("side_id"), F.lit(rung).alias("rung")))
-        left, right = j.where("r is null").select("l.*"), j.where("l is null").select("r.*")
-    return reduce(DataFrame.unionByName, out)
-
-
-def match_tracks(base: DataFrame, side: DataFrame) -> DataFrame:
-    """(doc, base_id, side_id, rung): tracks (doc, id, uuid, name, kind) matched by uuid, then by name and kind, then by order."""
-    return identity_ladder(base, side, [["uuid"], ["name", "kind"], []])
-
-
 def apply_changelist(clips: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The clips (doc, element, track, idx, start, dur, name) after a changelist, and its ledger (doc, note, status).
 

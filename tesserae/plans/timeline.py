@@ -63,180 +63,7 @@ def _clips(spark, sf_dir):
     return e.select(F.col("manifest").alias("doc"), F.concat(F.lit("e"), F.col("idx").cast("string")).alias("element"), (chunk % 3).alias("track"), "idx", (chunk % 50).alias("start"), F.col("len").alias("dur"), F.concat(F.lit("clip"), (chunk % 40).cast("string")).alias("name"), "chunk")
 
 
-def _side(clips, drop: int, cut: int, by: int, head: int, rename: int, move: int, put: int, tag: str):
-    at = lambda n: F.col("chunk") % n == 0
-    kept = clips.where(~at(drop)).withColumns({
-        "start": F.col("start") + F.when(at(head), 1).otherwise(0), "dur": F.col("dur") + F.when(at(cut), by).otherwise(0) - F.when(at(head), 1).otherwise(0),
-        "name": F.when(at(rename), F.concat("name", F.lit(tag))).otherwise(F.col("name")), "track": F.when(at(move), (F.col("track") + 1) % 3).otherwise(F.col("track")),
-    })
-    new = clips.where(at(put)).withColumns({"element": F.concat("element", F.lit(tag)), "name": F.concat(F.lit("new"), F.lit(tag) if put % 2 else F.lit(""))})
-    return kept.unionByName(new).drop("chunk")
-
-
-_MINE, _YOURS = (13, 7, 1, 21, 17, 19, 24, "x"), (11, 5, 2, 33, 9, 16, 18, "y")
-
-
-def _sides(spark, sf_dir):
-    c = saved(_clips(spark, sf_dir))
-    return c.drop("chunk"), _side(c, *_MINE), _side(c, *_YOURS)
-
-
-def _side_sql(name: str, drop: int, cut: int, by: int, head: int, rename: int, move: int, put: int, tag: str) -> str:
-    new = f"'new{tag}'" if put % 2 else "'new'"
-    return f"""{name} as (select doc, element, case when chunk % {move} = 0 then (track + 1) % 3 else track end as track, idx, start + (chunk % {head} = 0)::int as start,
-        dur + case when chunk % {cut} = 0 then {by} else 0 end - (chunk % {head} = 0)::int as dur, case when chunk % {rename} = 0 then name || '{tag}' else name end as name from clips where chunk % {drop} <> 0
-    union all select doc, element || '{tag}', track, idx, start, dur, {new} from clips where chunk % {put} = 0)"""
-
-
-_NO = "null::varchar"
-
-
-def _ops_sql(name: str, side: str) -> str:
-    return f"""{name}j as (select coalesce(b.doc, s.doc) as doc, coalesce(b.element, s.element) as element, b.track as bt, s.track as st, s.start - b.start as head, b.start + b.dur - s.start - s.dur as tail, b.name as bn, s.name as sn, s.track || ':' || s.idx as slot from clips b full join {side} s on b.doc = s.doc and b.element = s.element),
-{name} as (select doc, element, st::bigint as track, 'insert' as kind, {_NO} as attr, sn as value, slot as anchor, null::bigint as head, null::bigint as tail from {name}j where bt is null
-    union all select doc, element, bt, 'remove', null, null, null, null, null from {name}j where st is null union all select doc, element, bt, 'move', null, slot, slot, null, null from {name}j where bt <> st
-    union all select doc, element, bt, 'trim', null, null, null, head, tail from {name}j where head <> 0 or tail <> 0 union all select doc, element, bt, 'attr', 'name', sn, null, null, null from {name}j where bn <> sn)"""
-
-
 _CLIPS = f"{ENTRIES}, clips as (select manifest as doc, 'e' || idx as element, chunk % 3 as track, idx, chunk % 50 as start, len as dur, 'clip' || chunk % 40 as name, chunk from entries)"
-_OURS, _THEIRS = _side_sql("ours", *_MINE), _side_sql("theirs", *_YOURS)
-_OPS = f"{_CLIPS}, {_OURS}, {_THEIRS}, {_ops_sql('oo', 'ours')}, {_ops_sql('tt', 'theirs')}"
-
-
-@query(f"with {_OPS} select * from oo")
-def op_extract(spark, sf_dir):
-    base, ours, _ = _sides(spark, sf_dir)
-    return T.extract_ops(base, ours)
-
-
-# markers and tracks of the docs
-
-
-def _marks(spark, sf_dir):
-    c = _clips(spark, sf_dir)
-    at = lambda n: F.col("chunk") % n == 0
-    name = lambda text: F.concat(F.lit(text), (F.col("chunk") % 5).cast("string"))
-    row = lambda rows, marker, n: rows.select("doc", "element", "track", marker.alias("marker"), n.alias("name"))
-    own = c.where(at(4))
-    base = row(own, F.lit("m"), name("n"))
-    side = lambda drop, turn, put, n: row(own.where(~at(drop)), F.lit("m"), F.when(at(turn), "turned").otherwise(name("n"))).unionByName(row(c.where(at(put)), F.lit("k"), n))
-    return base, side(12, 28, 5, F.concat(F.lit("x"), (F.col("chunk") % 2).cast("string"))), side(8, 20, 10, F.lit("x0"))
-
-
-def _mark_sql(name: str, drop: int, turn: int, put: int, value: str) -> str:
-    return f"""{name} as (select doc, element, track, 'm' as marker, case when chunk % {turn} = 0 then 'turned' else 'n' || chunk % 5 end as name from clips where chunk % 4 = 0 and chunk % {drop} <> 0 union all select doc, element, track, 'k', {value} from clips where chunk % {put} = 0)"""
-
-
-def _mark_ops_sql(name: str, side: str) -> str:
-    return f"""{name}j as (select coalesce(b.doc, s.doc) as doc, coalesce(b.element, s.element) as element, coalesce(b.marker, s.marker) as marker, b.track as bt, s.track as st, b.name as bn, s.name as sn from bm b full join {side} s on b.doc = s.doc and b.element = s.element and b.marker = s.marker),
-{name} as (select doc, element, bt as track, 'marker_remove' as kind, {_NO} as attr, marker as value, {_NO} as anchor, null::bigint as head, null::bigint as tail from {name}j where bn is not null and (bt, bn) is distinct from (st, sn)
-    union all select doc, element, st, 'marker_add', null, marker || '|' || sn, null, null, null from {name}j where sn is not null and (bt, bn) is distinct from (st, sn))"""
-
-
-def _lanes(spark, sf_dir):
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"))
-    at = lambda n: F.col("doc") % n == 0
-    lane = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
-    four = docs.select("doc", lane.alias("track")).withColumns({"name": F.concat(F.lit("V"), F.col("track").cast("string")), "ord": F.col("track")})
-    three = four.where("track < 3")
-
-    def side(rename: int, tag: str, drop: int, put: int, order):
-        kept = four.where(((F.col("track") < 3) & ~((F.col("track") == 2) & at(drop))) | ((F.col("track") == 3) & at(put)))
-        return kept.withColumns({"name": F.when((F.col("track") == 1) & at(rename), F.lit(tag)).otherwise(F.col("name")), "ord": order})
-
-    turned = F.when(F.col("doc") % 4 == 0, 2 - F.col("track")).otherwise(F.col("track"))
-    shifted = F.when(F.col("doc") % 6 == 0, 2 - F.col("track")).when(F.col("doc") % 3 == 0, (F.col("track") + 1) % 3).otherwise(F.col("track"))
-    return three, side(5, "A", 7, 6, turned), side(10, "B", 9, 8, shifted)
-
-
-def _lane_sql(name: str, rename: int, tag: str, drop: int, put: int, order: str) -> str:
-    return f"""{name} as (select doc, track, case when track = 1 and doc % {rename} = 0 then '{tag}' else name end as name, {order} as ord from four where (track < 3 and not (track = 2 and doc % {drop} = 0)) or (track = 3 and doc % {put} = 0))"""
-
-
-def _lane_ops_sql(name: str, side: str) -> str:
-    return f"""{name}j as (select coalesce(b.doc, s.doc) as doc, coalesce(b.track, s.track) as track, b.name as bn, s.name as sn, b.ord as bo, s.ord as so from bl b full join {side} s on b.doc = s.doc and b.track = s.track),
-{name}o as (select doc, string_agg(track::varchar, ',' order by bo, track) as before, string_agg(track::varchar, ',' order by so, track) as after from {name}j where bn is not null and sn is not null group by 1),
-{name} as (select doc, {_NO} as element, track, 'track_add' as kind, {_NO} as attr, sn as value, {_NO} as anchor, null::bigint as head, null::bigint as tail from {name}j where bn is null union all select doc, null, track, 'track_remove', null, null, null, null, null from {name}j where sn is null
-    union all select doc, null, track, 'track_attr', 'name', sn, null, null, null from {name}j where bn <> sn union all select doc, null, null, 'track_reorder', null, after, null, null, null from {name}o where before <> after)"""
-
-
-_MARKS_SQL = f"""bm as (select doc, element, track, 'm' as marker, 'n' || chunk % 5 as name from clips where chunk % 4 = 0), {_mark_sql('om', 12, 28, 5, "'x' || chunk % 2")}, {_mark_sql('tm', 8, 20, 10, "'x0'")}, {_mark_ops_sql('omo', 'om')}, {_mark_ops_sql('tmo', 'tm')}"""
-_LANES_SQL = f"""four as (select o_orderkey as doc, t::bigint as track, 'V' || t as name, t::bigint as ord from orders, unnest([0, 1, 2, 3]) u(t)), bl as (select * from four where track < 3),
-{_lane_sql('ol', 5, 'A', 7, 6, 'case when doc % 4 = 0 then 2 - track else track end')}, {_lane_sql('tl', 10, 'B', 9, 8, 'case when doc % 6 = 0 then 2 - track when doc % 3 = 0 then (track + 1) % 3 else track end')}, {_lane_ops_sql('olo', 'ol')}, {_lane_ops_sql('tlo', 'tl')}"""
-_ALL = f"""{_OPS}, {_MARKS_SQL}, {_LANES_SQL}, oa as (select * from oo union all select * from omo union all select * from olo), ta as (select * from tt union all select * from tmo union all select * from tlo)"""
-
-
-def _all_ops(spark, sf_dir):
-    base, ours, theirs = _sides(spark, sf_dir)
-    bm, om, tm = _marks(spark, sf_dir)
-    bl, ol, tl = _lanes(spark, sf_dir)
-    every = lambda clips, marks, lanes: saved(T.extract_ops(base, clips).unionByName(T.extract_marker_ops(bm, marks)).unionByName(T.extract_track_ops(bl, lanes)))
-    return every(ours, om, ol), every(theirs, tm, tl)
-
-
-@query(f"with {_ALL} select * from oa")
-def edit_kinds(spark, sf_dir):
-    return _all_ops(spark, sf_dir)[0]
-
-
-def _classes_sql(ours: str, theirs: str, semantic: bool) -> str:
-    of_track = "kind in ('track_remove', 'track_attr')"
-    marks = "('marker_add', 'marker_remove')"
-    return f"""met as (select o.*, t.element as te, t.kind as tk, t.attr as tat, t.value as tv, t.anchor as tan, t.head as th, t.tail as tta from {ours} o join {theirs} t on o.doc = t.doc and (o.element = t.element or (o.anchor = t.anchor and o.element <> t.element) or (o.track = t.track and (o.{of_track} or t.{of_track})) or (o.kind = 'track_reorder' and t.kind = 'track_reorder'))),
-pairs as (select doc, element as o_element, te as t_element, kind as ok, tk, attr as oat, tat, kind = tk and attr is not distinct from tat and value is not distinct from tv and anchor is not distinct from tan and head is not distinct from th and tail is not distinct from tta as eq,
-    {str(semantic).lower()} and ((head <> 0 and tail = 0 and th = 0 and tta <> 0) or (head = 0 and tail <> 0 and th <> 0 and tta = 0)) as ends from met),
-classed as (select *, case
-    when 'insert' in (ok, tk) then case when ok <> tk then 0 when eq then 6 else 8 end
-    when 'track_reorder' in (ok, tk) then case when ok <> tk then 0 when eq then 6 else 4 end
-    when 'track_remove' in (ok, tk) then case when ok = tk then 6 when 'track_add' in (ok, tk) then 0 else 9 end
-    when 'track_attr' in (ok, tk) then case when ok <> tk then 0 when eq then 6 when oat <> tat then 2 else 3 end
-    when 'remove' in (ok, tk) then case when ok = tk then 6 else 7 end
-    when ok = tk then case when ok = 'marker_remove' then 6 when ok = 'marker_add' then case when eq then 6 else 1 end when ok = 'move' then 4 when ok = 'attr' and oat <> tat then 2 when eq then 6 when ends then 11 else 3 end
-    when ok in {marks} and tk in {marks} then 3 when 'move' in (ok, tk) and 'trim' in (ok, tk) then 5 else 2 end as class from pairs),
-judged as (select *, case when class in (3, 7, 9) or (class = 4 and not eq) then 'human' when class in (8, 11) then 'note' else 'auto' end as verdict,
-    eq and ok not in ('remove', 'marker_remove', 'track_remove', 'track_add') as once from classed)"""
-
-
-@query(f"with {_OPS}, {_classes_sql('oo', 'tt', False)} select doc, o_element, t_element, ok as o_kind, tk as t_kind, class::int as class, verdict, once from judged")
-def op_classifier(spark, sf_dir):
-    base, ours, theirs = _sides(spark, sf_dir)
-    return T.classify(saved(T.extract_ops(base, ours)), saved(T.extract_ops(base, theirs))).select("doc", "o_element", "t_element", "o_kind", "t_kind", "class", "verdict", "once")
-
-
-@query(f"with {_ALL}, {_classes_sql('oa', 'ta', True)} select doc, o_element, t_element, ok as o_kind, tk as t_kind, class::int as class, verdict, once from judged")
-def edit_classes(spark, sf_dir):
-    return T.classify(*_all_ops(spark, sf_dir), semantic=True).select("doc", "o_element", "t_element", "o_kind", "t_kind", "class", "verdict", "once")
-
-
-@query(f"with {_ALL}, {_classes_sql('oa', 'ta', False)} select doc, {', '.join(f'count_if(class = {c})::bigint as c{c}' for c in range(12))}, case when bool_or(verdict = 'human') then 'conflicts' when bool_or(verdict = 'note') then 'notes' else 'clean' end as outcome from judged group by 1")
-def merge_report(spark, sf_dir):
-    return T.report(T.classify(*_all_ops(spark, sf_dir)))
-
-
-@query(f"""with {_OPS}, {_classes_sql('oo', 'tt', False)}, stop as (select doc, o_element as element from judged where verdict = 'human' union select doc, t_element from judged where verdict = 'human'),
-ops as (select * from (select *, 0 as side from oo union all select *, 1 from tt) a where not exists (select 1 from stop s where s.doc = a.doc and s.element = a.element)),
-per as (select doc, element, max(case when kind = 'remove' then 1 else 0 end) as gone, min(case when kind = 'insert' then side end) as put_side, arg_min(value, side) filter (kind = 'insert') as put_name, arg_min(anchor, side) filter (kind = 'insert') as put_at,
-    arg_min(anchor, side) filter (kind = 'move') as moved, arg_min(head, side) filter (kind = 'trim') as head, arg_min(tail, side) filter (kind = 'trim') as tail, arg_min(value, side) filter (kind = 'attr') as named from ops group by 1, 2),
-rows_ as (select coalesce(c.doc, p.doc) as doc, coalesce(c.element, p.element) as element, coalesce(split_part(coalesce(put_at, moved), ':', 1)::bigint, track) as track, coalesce(split_part(coalesce(put_at, moved), ':', 2)::bigint, idx) as i,
-    coalesce(put_side, -1) as side, coalesce(start, 0) + coalesce(head, 0) as start, coalesce(dur, 1) - coalesce(head, 0) - coalesce(tail, 0) as dur, coalesce(named, put_name, name) as name from clips c full join per p on c.doc = p.doc and c.element = p.element where coalesce(gone, 0) = 0),
-bad as (select distinct doc from rows_ where dur <= 0)
-select doc, element, track, (row_number() over (partition by doc, track order by i, side desc, element) - 1)::bigint as idx, start, dur, name, false as refused from rows_ where doc not in (select doc from bad)
-union all select doc, element, track, idx, start, dur, name, true from clips where doc in (select doc from bad)""")
-def timeline_merge(spark, sf_dir):
-    return T.merge_timelines(*_sides(spark, sf_dir))
-
-
-@query("""with b as (select o_orderkey as doc, t as id, case when (o_orderkey + t) % 3 = 0 then 'u' || t end as uuid, 'n' || t % 2 as name, 'k' || t % 3 as kind from orders, unnest([0, 1, 2, 3]) x(t)),
-s as (select o_orderkey as doc, t as id, case when (o_orderkey + t) % 6 = 0 then 'u' || t end as uuid, 'n' || (t + o_orderkey % 2) % 2 as name, 'k' || t % 3 as kind from orders, unnest([0, 1, 2, 3, 4]) x(t) where (o_orderkey + t) % 5 > 0),
-m0 as (select b.doc, b.id as base_id, s.id as side_id from b join s using (doc, uuid)), b1 as (select * from b where (doc, id) not in (select doc, base_id from m0)), s1 as (select * from s where (doc, id) not in (select doc, side_id from m0)),
-m1 as (select l.doc, l.id as base_id, r.id as side_id from (select *, row_number() over (partition by doc, name, kind order by id) as n from b1) l join (select *, row_number() over (partition by doc, name, kind order by id) as n from s1) r using (doc, name, kind, n)),
-b2 as (select *, row_number() over (partition by doc order by id) as n from b1 where (doc, id) not in (select doc, base_id from m1)), s2 as (select *, row_number() over (partition by doc order by id) as n from s1 where (doc, id) not in (select doc, side_id from m1))
-select doc, base_id, side_id, 0 as rung from m0 union all select doc, base_id, side_id, 1 from m1 union all select b2.doc, b2.id, s2.id, 2 from b2 join s2 using (doc, n)""")
-def track_matching(spark, sf_dir):
-    o, k, t = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("t")
-    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    rows = lambda n, every, shift: o.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("t")).select(k.alias("doc"), t.alias("id"), F.when((k + t) % every == 0, text("u", t)).alias("uuid"), text("n", (t + shift) % 2).alias("name"), text("k", t % 3).alias("kind"))
-    return T.match_tracks(rows(3, 3, F.lit(0)), rows(4, 6, k % 2).where((F.col("doc") + F.col("id")) % 5 > 0))
 
 
 _PICKS = f"""{_CLIPS}, target as (select doc, element, (track + doc) % 2 as track, row_number() over (partition by doc, (track + doc) % 2 order by idx) - 1 as idx from clips where chunk % 3 <> 0),
@@ -282,24 +109,6 @@ def changelist_ledger(spark, sf_dir):
     return T.apply_changelist(saved(_clips(spark, sf_dir)), _items(spark, sf_dir))[1]
 
 
-_LADDER = """lb as (select doc, element as id, case when chunk % 3 = 0 then chunk end as uuid, name, dur from clips), ls as (select doc, 's' || element as id, case when chunk % 6 = 0 then chunk end as uuid, case when chunk % 5 = 0 then name || 'z' else name end as name, dur from clips where chunk % 14 <> 0)"""
-
-
-def _rung(n: int, key: str, left: str, right: str) -> str:
-    on = " and ".join(f"l.{k} = r.{k}" for k in key.split(", "))
-    return f"""m{n} as (select l.doc, l.id as base_id, r.id as side_id, {n} as rung from (select *, row_number() over (partition by doc, {key} order by id) as n from {left}) l join (select *, row_number() over (partition by doc, {key} order by id) as n from {right}) r on l.doc = r.doc and {on} and l.n = r.n),
-lb{n} as (select * from {left} l where not exists (select 1 from m{n} m where m.doc = l.doc and m.base_id = l.id)), ls{n} as (select * from {right} r where not exists (select 1 from m{n} m where m.doc = r.doc and m.side_id = r.id))"""
-
-
-@query(f"with {_CLIPS}, {_LADDER}, {_rung(0, 'uuid', 'lb', 'ls')}, {_rung(1, 'name, dur', 'lb0', 'ls0')}, {_rung(2, 'name', 'lb1', 'ls1')}, {_rung(3, 'dur', 'lb2', 'ls2')} select * from m0 union all select * from m1 union all select * from m2 union all select * from m3")
-def identity_ladder(spark, sf_dir):
-    c = _clips(spark, sf_dir)
-    at = lambda n: F.col("chunk") % n == 0
-    base = c.select("doc", F.col("element").alias("id"), F.when(at(3), F.col("chunk")).alias("uuid"), "name", "dur")
-    side = c.where(~at(14)).select("doc", F.concat(F.lit("s"), "element").alias("id"), F.when(at(6), F.col("chunk")).alias("uuid"), F.when(at(5), F.concat("name", F.lit("z"))).otherwise(F.col("name")).alias("name"), "dur")
-    return T.identity_ladder(base, side, [["uuid"], ["name", "dur"], ["name"], ["dur"]])
-
-
 @query("""with m as (select l_orderkey as doc, list_sort(list_distinct(list(l_returnflag || l_linenumber))) as a, list_sort(list_distinct(list(l_linestatus || l_linenumber) || list(l_returnflag || (l_linenumber + 1)))) as b from lineitem group by 1)
 select doc, array_to_string(list_sort(list_filter(b, lambda x: not list_contains(a, x))), ',') as added, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), ',') as removed from m""")
 def marker_set_diff(spark, sf_dir):

@@ -109,36 +109,6 @@ def test_merge_of_notes_is_symmetric_where_it_must_be(spark):
     assert swapped == {k: v[3] for k, v in got.items()}
 
 
-KINDS = ["insert", "remove", "move", "trim", "attr", "marker_add", "marker_remove", "track_add", "track_remove", "track_attr", "track_reorder"]
-
-
-def _edits(spark, kinds, by=0):
-    place = {"insert": "0:1", "move": f"0:{by}"}
-    rows = [(1, None if k.startswith("track") else "e", None if k == "track_reorder" else 0, k, "name" if k.endswith("attr") else None, f"{k}{by}", place.get(k), 1 if k == "trim" and not by else 0, by) for k in kinds]
-    return spark.createDataFrame(rows, "doc long, element string, track long, kind string, attr string, value string, anchor string, head long, tail long")
-
-
-def test_every_pair_of_edits_has_a_class(spark):
-    pairs = {(r.o_kind, r.t_kind): r for r in T.classify(_edits(spark, KINDS), _edits(spark, KINDS, 1)).collect()}
-    swapped = {(r.t_kind, r.o_kind): r for r in T.classify(_edits(spark, KINDS, 1), _edits(spark, KINDS)).collect()}
-    assert set(pairs) == set(swapped) and all(pairs[k]["class"] == swapped[k]["class"] and pairs[k].verdict == swapped[k].verdict for k in pairs)
-    assert {r.verdict for r in pairs.values()} == {"auto", "note", "human"}
-    want = {("remove", "trim"): 7, ("move", "move"): 4, ("move", "trim"): 5, ("marker_add", "marker_add"): 1, ("insert", "insert"): 8, ("track_remove", "attr"): 9, ("track_reorder", "track_reorder"): 4, ("trim", "trim"): 3, ("attr", "marker_add"): 2}
-    assert {k: pairs[k]["class"] for k in want} == want
-    lax = {(r.o_kind, r.t_kind): (r["class"], r.verdict) for r in T.classify(_edits(spark, ["trim"]), _edits(spark, ["trim"], 1), semantic=True).collect()}
-    assert lax == {("trim", "trim"): (11, "note")}
-    same = {r.o_kind: r.once for r in T.classify(_edits(spark, KINDS), _edits(spark, KINDS)).collect() if r.o_kind == r.t_kind}
-    assert same["trim"] and same["insert"] and same["track_attr"] and not same["remove"]
-
-
-def test_a_clip_cut_to_nothing_refuses_its_doc(spark):
-    schema = "doc long, element string, track long, idx long, start long, dur long, name string"
-    base = spark.createDataFrame([(1, "a", 0, 0, 5, 10, "x"), (2, "a", 0, 0, 5, 10, "x")], schema)
-    ours = spark.createDataFrame([(1, "a", 0, 0, 15, 0, "x"), (2, "a", 0, 0, 7, 8, "x")], schema)
-    got = {r.doc: (r.start, r.dur, r.refused) for r in T.merge_timelines(base, ours, base).collect()}
-    assert got == {1: (5, 10, True), 2: (7, 8, False)}
-
-
 def test_changelist_moves_no_target(spark):
     clips = spark.createDataFrame([(1, "a", 0, 0, 0, 10, "a"), (1, "b", 0, 1, 0, 10, "b"), (1, "c", 0, 2, 0, 10, "c")], "doc long, element string, track long, idx long, start long, dur long, name string")
     items = spark.createDataFrame([(1, 1, 3, "trim_in", 4), (1, 2, 12, "delete", 0), (1, 3, 13, "trim_out", 1), (1, 4, 25, "trim_out", 12), (1, 5, 99, "delete", 0)], "doc long, note long, frame long, op string, amount long")
