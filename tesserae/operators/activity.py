@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import runs
+from tesserae.operators.store import prefix_until
 
 # The most bins of a waveform, and upper bounds of latency buckets in milliseconds.
 MAX_BINS = 200_000
@@ -51,14 +52,14 @@ def peaks(samples: DataFrame, per_bin: int, bins: int) -> DataFrame:
 def nearest_rank(rows: DataFrame, group: str, value: str, ps: list[float]) -> DataFrame:
     """Exact percentiles without interpolation: the value at round((n - 1) * p) of the sorted values.
 
-    Equal values are counted first, so a group costs as many rows as it has distinct values, and ranks come from a running sum.
+    Equal values are counted first. The others are dealt into ranges of (group, value), whose totals tell before which
+    row each rank falls, so a group with all rows is as many tasks as it has ranges.
     """
-    by = rows.groupBy(group, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group).orderBy(value)
-    by = by.withColumns({"_to": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(group))})
+    by = prefix_until(rows.groupBy(group, value).agg(F.count("*").alias("c")), [value], "c", [group])
+    n = by.groupBy(group).agg(F.sum("c").alias("n"))
     want = F.explode(F.array(*(F.lit(float(p)) for p in ps)))
-    by = by.withColumn("p", want).withColumn("_rank", F.floor((F.col("n") - 1) * F.col("p") + 0.5))
-    return by.where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("c"))).select(group, "p", F.col(value).alias("value"))
+    ranks = n.withColumn("p", want).withColumn("_rank", F.floor((F.col("n") - 1) * F.col("p") + 0.5)).drop("n")
+    return by.join(ranks, group).where((F.col("_rank") >= F.col("before")) & (F.col("_rank") < F.col("before") + F.col("c"))).select(group, "p", F.col(value).alias("value"))
 
 
 def histogram_percentile(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:

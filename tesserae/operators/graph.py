@@ -1,44 +1,48 @@
-"""Bounded walks over parent links and manifest trees."""
+"""Bounded walks over parent links and manifest trees, by links of doubling length."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.scratch import saved
 
 
-def ancestors(starts: DataFrame, parents: DataFrame, most: int) -> DataFrame:
-    """(ref, commit, depth): each start (ref, commit) and its ancestors by ``parents`` (commit, parent), at most ``most`` commits."""
-    links = parents.where("parent is not null")
+def walk(starts: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(start, node, depth): each start (start, node) and what ``links`` (a, b) lead to in fewer than ``most`` steps.
+
+    A table holds what was reached in fewer than 2^k steps beside the links of exactly 2^k steps. One join of it with those links
+    makes the next one, so nine tables reach 512 steps. Nodes with several ways to them occur once for each; a cycle ends at ``most``.
+    """
+    at = F.lit(None)
+    table = saved(
+        links.select(F.lit(True).alias("link"), F.lit(None).cast(starts.schema["start"].dataType).alias("start"), F.col("a").alias("from"), F.col("b").alias("node"), at.cast("int").alias("depth"))
+        .unionByName(starts.select(F.lit(False).alias("link"), "start", at.cast(links.schema["a"].dataType).alias("from"), "node", F.lit(0).alias("depth")))
+    )
+    step = 1
+    while step < most:
+        jump = table.where("link").select(F.col("from").alias("node"), F.col("node").alias("_to"))
+        if not jump.take(1):
+            break
+        further = table.join(jump, "node").select("link", "start", "from", F.col("_to").alias("node"), (F.col("depth") + step).alias("depth"))
+        further = further.where(F.col("link") | (F.col("depth") < most))
+        step *= 2
+        if step >= most:
+            further = further.where("not link")
+        table = saved(table.where("not link").unionByName(further))
+    return table.where("not link").select("start", "node", "depth")
 
-    def above(level: DataFrame, depth: int) -> DataFrame:
-        return level.join(links, "commit").select("ref", F.col("parent").alias("commit"), F.lit(depth).alias("depth"))
 
-    return _levels(starts.select("ref", "commit", F.lit(0).alias("depth")), above, most)
+def ancestors(starts: DataFrame, parents: DataFrame, most: int) -> DataFrame:
+    """(ref, commit, depth): each start (ref, commit) and its ancestors by ``parents`` (commit, parent), at most ``most`` commits."""
+    links = parents.where("parent is not null").select(F.col("commit").alias("a"), F.col("parent").alias("b"))
+    return walk(starts.select(F.col("ref").alias("start"), F.col("commit").alias("node")), links, most).toDF("ref", "commit", "depth")
 
 
 def flatten(roots: DataFrame, children: DataFrame, levels: int = 8) -> DataFrame:
     """(root, node, depth): everything below each root by ``children`` (parent, child), to a bounded depth."""
-
-    def below(level: DataFrame, depth: int) -> DataFrame:
-        return level.join(children, level.node == children.parent).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"))
-
-    return _levels(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), below, levels + 1)
-
-
-def _levels(first: DataFrame, step, most: int) -> DataFrame:
-    """The union of a first level and those after it. Each is written, so the next one and the union only read it."""
-    level = saved(first)
-    out = [level]
-    for depth in range(1, most):
-        level = saved(step(level, depth))
-        if not level.take(1):
-            break
-        out.append(level)
-    return reduce(DataFrame.unionByName, out)
+    links = children.select(F.col("parent").alias("a"), F.col("child").alias("b"))
+    return walk(roots.select(F.col("root").alias("start"), F.col("root").alias("node")), links, levels + 1).toDF("root", "node", "depth")
 
 
 def reachable(roots: DataFrame, entries: DataFrame) -> DataFrame:

@@ -37,9 +37,13 @@ def prefix_until(rows: DataFrame, order: list, size: str, group: list[str]) -> D
 
     Rows are dealt into ranges of the order by sampled quantiles, as many as their number asks for, and
     written with their range; then come totals of ranges, and a window inside each range. A skewed
-    order makes no large range, as the last column of the order tells ties apart.
+    order makes no large range, as the last column of the order tells ties apart. Rows of one range
+    need no totals.
     """
     parts = max(1, -(-rows.count() // RANGE_ROWS))
+    if parts == 1:
+        whole = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
+        return rows.withColumn("before", F.sum(size).over(whole.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
     r = saved(rows.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()))
     totals = r.groupBy(*group, "_range").agg(F.sum(size).alias("_total"))
     w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range")  # a row for each range
@@ -49,6 +53,19 @@ def prefix_until(rows: DataFrame, order: list, size: str, group: list[str]) -> D
     return r.withColumn("before", F.col("_base") + F.sum(size).over(inner) - F.col(size)).drop("_range", "_base")
 
 
+def numbered(rows: DataFrame, order: list, group: list[str], name: str) -> DataFrame:
+    """Each row with its place, from 0, in the order of its group; a group may have all rows."""
+    return prefix_until(rows.withColumn("_one", F.lit(1).cast("long")), order, "_one", group).withColumnRenamed("before", name).drop("_one")
+
+
+def rotating_sample(rows: DataFrame, group: str, order: list, start: int, size: int) -> DataFrame:
+    """``size`` rows of each group from place ``start`` on, round its end."""
+    placed = numbered(rows, order, [group], "_i")
+    n = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    i, many = F.col("_i"), F.col("_n")
+    return placed.join(n, group).where((i - F.lit(start) % many + many) % many < size).drop("_i", "_n")
+
+
 def lru_evict(blobs: DataFrame, target: int) -> DataFrame:
     """Unpinned blobs (hash, size, last_touched, pinned) to evict, oldest first, until at most ``target`` bytes are live."""
     live = blobs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]

@@ -103,13 +103,14 @@ def reassembled(entries: DataFrame) -> DataFrame:
 
 
 def assembled(entries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file, content, valid): files put together from their entries (file, idx, hash) and the store's chunks (hash, data binary).
+    """(file, content binary, valid): files put together from their entries (file, idx, hash) and the store's chunks (hash, data binary).
 
-    A file is one value, so it fits in a task; it is valid if no chunk is missing and each has its digest.
+    Bytes are joined as they are, whatever they encode and wherever chunks end. A file is one value, so it fits in a task; larger ones
+    stay rows, see :func:`tesserae.operators.blobs.verified`. It is valid if no chunk is missing and each has its digest; a missing chunk counts as empty.
     """
     good = chunks.select("hash", "data", (F.sha2("data", 256) == F.col("hash")).alias("ok"))
     each = entries.join(good, "hash", "left").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("data", F.lit(b"")).alias("data")))).alias("e"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("valid"))
-    return each.select("file", F.array_join(F.transform("e", lambda x: F.decode(x["data"], "UTF-8")), "").alias("content"), "valid")
+    return each.select("file", F.unhex(F.array_join(F.transform("e", lambda x: F.hex(x["data"])), "")).alias("content"), "valid")
 
 
 def proxy_status(files: DataFrame, proxies: DataFrame) -> DataFrame:

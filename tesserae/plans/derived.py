@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.store import numbered
 from tesserae.plans.registry import table
 
 DAY_MS = 86_400_000
@@ -17,7 +18,6 @@ def millis(ts: str) -> str:
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    seq = F.row_number().over(Window.partitionBy("project_id").orderBy("event_id")).cast("long")
     kind = F.when(F.col("event_type").isin("view", "click"), "file_upsert").when(F.col("event_type") == "purchase", "rename").when(F.col("event_type") == "signup", "state_record").otherwise("file_delete")
     j = e.select(
         (F.col("user_id") % 8).alias("project_id"), "event_id", F.col("user_id").alias("device_id"),
@@ -25,7 +25,8 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("kind"), F.expr(millis("ts")).alias("server_ms"), F.concat(F.lit("m"), (F.col("event_id") % 211).cast("string")).alias("manifest"),
         (F.col("event_id") * 13 % 5000).alias("size"), F.concat(F.lit("r"), F.floor(F.col("event_id") / 2).cast("string"), F.lit("-"), F.col("user_id").cast("string")).alias("request_id"),
         F.col("event_type").alias("family"), "props", "value",
-    ).withColumn("seq", seq)
+    )
+    j = numbered(j, ["event_id"], ["project_id"], "seq").withColumn("seq", F.col("seq") + 1)
     return j.withColumn("base_seq", F.greatest(F.col("seq") - F.col("event_id") % 7 * 40, F.lit(0).cast("long")))
 
 

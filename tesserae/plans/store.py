@@ -168,9 +168,7 @@ def files_in_states(spark, sf_dir):
 @query(f"""with {FILES}, w as (select project_id, path, row_number() over (partition by project_id order by path, doc_id) - 1 as i, count(*) over (partition by project_id) as n from files)
 select project_id, path from w where (i - (3 * 7) % n + n) % n < 7""")
 def rotating_sample(spark, sf_dir):
-    by = Window.partitionBy("project_id")
-    f = files(spark, sf_dir).withColumns({"i": F.row_number().over(by.orderBy("path", "doc_id")) - 1, "n": F.count("*").over(by)})
-    return f.where((F.col("i") - F.lit(21) % F.col("n") + F.col("n")) % F.col("n") < 7).select("project_id", "path")
+    return S.rotating_sample(files(spark, sf_dir), "project_id", ["path", "doc_id"], 3 * 7, 7).select("project_id", "path")
 
 
 @query(f"""with {FILES}, disk as (select path, case when doc_id % 9 = 0 then size + 1 else size end as size, mtime, case when doc_id % 8 = 0 then 'symlink' else 'file' end as mode from files where doc_id % 10 <> 3), known as (select *, 'file' as mode from files where doc_id % 10 <> 4)

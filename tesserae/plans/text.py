@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.note_grammar import note_ops as parse
 from tesserae.functions.scalar import search_score
+from tesserae.operators import blobs as B
 from tesserae.operators import chunking as K
+from tesserae.operators.store import prefix_until
 from tesserae.plans.registry import query, table
 
 _WORDS = ["red", "widget", "eco", "brand"]
@@ -34,6 +36,18 @@ def cdc_chunks(spark, sf_dir):
     return K.cdc_chunks(d.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("data")))
 
 
+def source_blocks(spark, sf_dir):
+    """One blob a source: its documents in order, each a block with the digest of its number behind it."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.coalesce("text", F.lit("")), F.sha2(F.col("doc_id").cast("string"), 256)).cast("binary").alias("data"))
+    placed = prefix_until(d.select("source", "doc_id", F.octet_length("data").cast("long").alias("n")), ["doc_id"], "n", ["source"]).select("doc_id", F.col("before").alias("offset"))
+    return d.join(placed, "doc_id").select(F.col("source").alias("id"), F.col("doc_id").alias("block"), "offset", "data")
+
+
+@query()
+def blob_chunks(spark, sf_dir):
+    return B.chunk_blocks(source_blocks(spark, sf_dir)).drop("data")
+
+
 @query("""with b as (select p_partkey // 8 as stripe, unnest(range(1, length(p_name) + 1)) as pos, p_name from part), x as (select stripe, pos, bit_xor(ascii(p_name[pos::int])) as v from b group by 1, 2)
 select stripe, string_agg(lpad(lower(to_hex(v)), 2, '0'), '' order by pos) as parity from x group by 1""")
 def xor_parity(spark, sf_dir):
