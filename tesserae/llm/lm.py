@@ -33,7 +33,9 @@ FOLDS, HELD_OUT = 5, 1
 #: Words that travel as a dictionary, at most; all others are joined.
 HEAD = 1 << 18
 #: Distinct words that a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 150_000
+#: What tasks counted or learned is added up in rounds, so many of them at a time.
+FAN = 32
 #: Ids of a window, how many of them are context only, width of a vector, classes of ids.
 WINDOW, CONTEXT, SIZE, CLASSES = 32, 8, 16, 128
 STRIDE = WINDOW - CONTEXT
@@ -98,12 +100,25 @@ def _joined(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
 PARTS = 32
 
 
-def _packed(at: np.ndarray, n: np.ndarray, cells: int) -> pa.RecordBatch:
+def added_up(rows: DataFrame, key: list[str], tasks: int, add, schema: str) -> DataFrame:
+    """``rows`` with a ``task`` of ``tasks``, added up by ``add`` in rounds until at most FAN are left of each key; no group has more than FAN."""
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        rows = rows.groupBy(*key, (F.col("task") % tasks).alias("_group")).applyInArrow(add, schema).withColumn("task", F.col("task") % tasks)
+    return rows
+
+
+def _task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
+def _packed(task: int, at: np.ndarray, n: np.ndarray, cells: int) -> pa.RecordBatch:
     """Counts by part of the cells, as bytes: at, in order, and n."""
     cut = np.searchsorted(at, np.arange(PARTS + 1) * -(-cells // PARTS))
     own = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
-    columns = [pa.array(own, pa.int32()), pa.array([at[cut[p] : cut[p + 1]].astype("<i4").tobytes() for p in own], pa.binary()), pa.array([n[cut[p] : cut[p + 1]].astype("<i8").tobytes() for p in own], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "at", "n"])
+    columns = [pa.array([task] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([at[cut[p] : cut[p + 1]].astype("<i4").tobytes() for p in own], pa.binary()), pa.array([n[cut[p] : cut[p + 1]].astype("<i8").tobytes() for p in own], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["task", "part", "at", "n"])
 
 
 def _count_cells(batches: Iterator[pa.RecordBatch], dtype: str, end: int, cells: int, cell) -> Iterator[pa.RecordBatch]:
@@ -112,7 +127,7 @@ def _count_cells(batches: Iterator[pa.RecordBatch], dtype: str, end: int, cells:
         for at in cell(*_joined(ids, end)):
             np.add.at(total, at, 1)
     at = np.flatnonzero(total)
-    yield _packed(at, total[at], cells)
+    yield _packed(_task(), at, total[at], cells)
 
 
 def _added(rows: pa.Table, cells: int) -> pa.Table:
@@ -122,19 +137,20 @@ def _added(rows: pa.Table, cells: int) -> pa.Table:
     for a, n in zip(rows.column("at"), rows.column("n")):
         total[np.frombuffer(a.as_buffer(), "<i4") - begin] += np.frombuffer(n.as_buffer(), "<i8")
     at = np.flatnonzero(total)
-    return pa.Table.from_batches([_packed(at + begin, total[at], cells)])
+    return pa.Table.from_batches([_packed(rows.column("task")[0].as_py(), at + begin, total[at], cells)])
 
 
 def cell_counts(ids: DataFrame, dtype: str, end: int, cells: int, cell) -> np.ndarray:
     """How often ``cell`` (id, id before) -> arrays of cell numbers names each of the cells, over all texts of ``ids``."""
-    schema = "part int, at binary, n binary"
+    schema = "task long, part int, at binary, n binary"
     each = map_arrow(ids.select("ids"), partial(_count_cells, dtype=dtype, end=end, cells=cells, cell=cell), schema)
 
     def added(rows: pa.Table) -> pa.Table:
         return _added(rows, cells)
 
     out = np.zeros(cells, np.float32)
-    for r in each.groupBy("part").applyInArrow(added, schema).toLocalIterator():
+    few = added_up(each, ["part"], ids.rdd.getNumPartitions(), added, schema)
+    for r in few.groupBy("part").applyInArrow(added, schema).toLocalIterator():
         out[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i8")
     return out
 
@@ -333,9 +349,7 @@ def _learn(batches: Iterator[pa.RecordBatch], shared, dtype: str, turn: int) ->
     if learner.taught:
         m, uses = learner.m, learner.uses
         parts = [(m["E"] - old["E"]) * uses[:, None], uses, *((m[n] - old[n]) * learner.taught for n in old if n != "E"), np.array([learner.taught])]
-        context = TaskContext.get()
-        task = context.partitionId() if context else 0
-        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([np.concatenate([p.ravel() for p in parts]).astype(np.float32).tobytes()])], names=["task", "change"])
+        yield pa.RecordBatch.from_arrays([pa.array([_task()], pa.int64()), pa.array([np.concatenate([p.ravel() for p in parts]).astype(np.float32).tobytes()])], names=["task", "change"])
 
 
 def _summed(rows: pa.Table) -> pa.Table:
@@ -348,7 +362,7 @@ def learned(ids: DataFrame, weights: dict, known: dict, dtype: str) -> dict:
     """The weights after all texts of ``ids`` (row, ids) taught once: in each round every task starts from the same weights and their changes are averaged.
 
     An id's vector is averaged over the tasks by its uses in them, so that ids of few tasks learn as fast as others.
-    Changes are added in groups of about the square root of their number, so that no task and not the driver holds all.
+    Changes are added up in rounds, and the driver adds the last few; no task holds more than FAN of them.
     """
     context = ids.sparkSession.sparkContext
     place = F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1 << 20))
@@ -357,8 +371,7 @@ def learned(ids: DataFrame, weights: dict, known: dict, dtype: str) -> dict:
         shared = context.broadcast((weights, known))
         rows = ids.where((place >= lo) & (place < hi)).select("row", "ids")
         changes = map_arrow(rows, partial(_learn, shared=shared, dtype=dtype, turn=turn), "task long, change binary")
-        groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-        got = changes.groupBy((F.col("task") % groups).alias("part")).applyInArrow(_summed, "task long, change binary").toArrow()
+        got = added_up(changes, [], rows.rdd.getNumPartitions(), _summed, "task long, change binary").toArrow()
         if got.num_rows:
             total = np.frombuffer(_summed(got).column("change")[0].as_buffer(), np.float32)
             weights, at = dict(weights), weights["E"].size
@@ -444,8 +457,7 @@ def _split(batches: Iterator[pa.RecordBatch], shared, path: str) -> Iterator[pa.
     head, end_log, end_known = shared.value
     tok = tokenizer(path)
     based = _Base(tok, head)
-    context = TaskContext.get()
-    row = (context.partitionId() if context else 0) << 40
+    row = _task() << 40
     for b in batches:
         docs = list(zip(b.column(0).to_pylist(), b.column(1)))
         for part in by_size(docs, lambda r: len(r[1].as_buffer() or b"")):

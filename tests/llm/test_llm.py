@@ -841,6 +841,26 @@ def test_lm_attention_adds_to_the_counts(spark, sf_dir, monkeypatch):
     assert taught > held_out() + 100
 
 
+def test_lm_adds_up_in_rounds(spark, monkeypatch):
+    """With few rows to a group the cells are the same, and no group has more."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 50, rng.integers(0, 30)).astype("<u2") for _ in range(300)]
+    ids = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(13)
+    want = lm.cell_counts(ids, "<u2", 50, 51, lm._is)
+    assert want.tolist() == (np.bincount(np.concatenate(texts), minlength=51) + [*[0] * 50, 300]).tolist()
+    rows = spark.range(40).selectExpr("id as task", "id * 2 as n").repartition(5)
+    monkeypatch.setattr(lm, "FAN", 3)
+    assert lm.cell_counts(ids, "<u2", 50, 51, lm._is).tolist() == want.tolist()
+
+    def add(t):
+        import pyarrow as pa
+
+        return pa.table({"task": t.column("task")[:1], "n": [sum(t.column("n").to_pylist())], "most": [max([len(t), *(t.column("most").to_pylist())])]})
+
+    got = lm.added_up(rows.selectExpr("task", "n", "1L as most"), [], 40, add, "task long, n long, most long").collect()
+    assert len(got) <= 3 and sum(r.n for r in got) == 2 * sum(range(40)) and max(r.most for r in got) <= 3
+
+
 def test_lm_neighbours_cover_all_documents(spark):
     tok = tokenizer(DEFAULT)
     vocab = tok.tok.get_vocab_size()
