@@ -9,7 +9,8 @@ from tesserae.operators import graph as G
 from tesserae.operators import store as S
 from tesserae.plans.derived import CHUNKS, ENTRIES, FILES, chunks, files, manifest_entries
 from tesserae.plans.registry import query, table
-from tesserae.scratch import saved
+from tesserae.scratch import folder, saved
+from tesserae.sources.tree import tree
 
 
 def _roots(spark, sf_dir):
@@ -186,3 +187,12 @@ def case_collisions(spark, sf_dir):
     f = files(spark, sf_dir).select("project_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, F.upper(name)).otherwise(name).alias("path")).withColumn("low", F.lower("path"))
     n = F.row_number().over(Window.partitionBy("project_id", "low").orderBy("path", "doc_id"))
     return f.withColumn("n", n).where("n > 1").select("project_id", "path", "low")
+
+
+@query("select 'lang=' || lang || '/source=' || source as folder, sum(strlen(coalesce(text, '')) + 1)::bigint as bytes from documents group by 1")
+def tree_scan(spark, sf_dir):
+    """A folder of documents as text files, written below the shared folder, walked as a table."""
+    path = folder(spark)
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"), "lang", "source").write.partitionBy("lang", "source").text(path)
+    found = tree(spark, path, depth=2).where("kind = 'file' and path like 'lang=%'").withColumn("name", F.substring_index("path", "/", -1)).where("not startswith(name, '.')")
+    return found.groupBy(F.substring_index("path", "/", 2).alias("folder")).agg(F.sum("size").alias("bytes"))

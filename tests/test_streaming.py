@@ -64,14 +64,6 @@ def _collect(stream, tmp_path, mode):
     return q.name
 
 
-def test_rate_limit(spark, sf_dir, tmp_path):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", (F.col("event_id") * 1000).alias("ms"))
-    _parts(e, str(tmp_path / "in"), key="event_id")
-    name = _collect(St.rate_limit(St.replay(spark, str(tmp_path / "in"), e.schema), 2, 400_000), tmp_path, "append")
-    want = A.rate_limit(e, 2, 400_000)
-    assert _rows(spark.table(name), want.columns) == _rows(want, want.columns)
-
-
 def test_debounce(spark, sf_dir, tmp_path):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 10).alias("path"), (F.col("event_id") * 700).alias("ms"), "event_id")
     e = e.withColumn("ts", F.timestamp_millis("ms"))
@@ -83,10 +75,16 @@ def test_debounce(spark, sf_dir, tmp_path):
     assert _rows(got, ["path", "settled_ms", "events"]) == _rows(want, ["path", "settled_ms", "events"])
 
 
-def test_presence(spark, sf_dir, tmp_path):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", (F.col("event_id") * 10).alias("ms"), "event_type")
+def test_deduplicate_and_uploaded(spark, sf_dir, tmp_path):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 3).alias("project_id"), F.col("event_id"), (F.floor(F.col("event_id") / 2)).cast("string").alias("request_id"), F.timestamp_millis(F.col("event_id") * 60_000 + 10**9).alias("ts"))
     _parts(e, str(tmp_path / "in"), key="event_id")
-    name = _collect(St.presence(St.replay(spark, str(tmp_path / "in"), e.schema), 3_600_000), tmp_path, "update")
-    got = {r.user_id: r.m for r in spark.table(name).groupBy("user_id").agg(F.max("ms").alias("m")).collect()}
-    want = {r.user_id: r.ms for r in A.presence(e, 0, 10**12).collect()}
-    assert got == want
+    name = _collect(St.deduplicate(St.replay(spark, str(tmp_path / "in"), e.schema), "1 day"), tmp_path, "append")
+    want = e.groupBy("project_id", "request_id").count()
+    assert _rows(spark.table(name), ["project_id", "request_id"]) == _rows(want, ["project_id", "request_id"])
+    up = e.select((F.col("project_id")).alias("tenant"), "ts", F.col("event_id").alias("bytes"))
+    (tmp_path / "b").mkdir()
+    _parts(up, str(tmp_path / "b" / "in"), key="bytes")
+    name = _collect(St.uploaded(St.replay(spark, str(tmp_path / "b" / "in"), up.schema), "1 day"), tmp_path / "b", "update")
+    last = spark.table(name).groupBy("tenant", F.col("w.start").alias("day")).agg(F.max("bytes_uploaded").alias("n"))
+    plain = up.groupBy("tenant", F.date_trunc("day", "ts").alias("day")).agg(F.sum("bytes").alias("n"))
+    assert _rows(last, ["tenant", "day", "n"]) == _rows(plain, ["tenant", "day", "n"])
