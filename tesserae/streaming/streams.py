@@ -56,6 +56,21 @@ def state(spark: SparkSession, path: str, buckets: set[int] | None = None, below
     return spark.read.parquet(*paths) if paths else None
 
 
+def _fold_batch(batch: DataFrame, n: int, merge: Merge, path: str, buckets: int) -> None:
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(*merge.key), F.lit(buckets)).cast("int")
+    new = merge.prepare(batch).withColumn("bucket", bucket).persist()
+    touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most ``buckets``
+    before = state(spark, path, touched, n)
+    rows = new.drop("bucket") if before is None else new.drop("bucket").unionByName(before)
+    merge.combine(rows).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
+    new.unpersist()
+    for b, versions in _latest(spark, path).items():
+        for v in versions[:-2]:
+            old, fs = _folder(spark, f"{path}/v={v}/bucket={b}")
+            fs.delete(old, True)
+
+
 def to_table(stream: DataFrame, merge: Merge, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Fold each micro-batch into a table of buckets by key: only those that it touches are read and written again.
 
@@ -64,18 +79,22 @@ def to_table(stream: DataFrame, merge: Merge, path: str, checkpoint: str, bucket
     """
 
     def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*merge.key), F.lit(buckets)).cast("int")
-        new = merge.prepare(batch).withColumn("bucket", bucket).persist()
-        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most ``buckets``
-        before = state(spark, path, touched, n)
-        rows = new.drop("bucket") if before is None else new.drop("bucket").unionByName(before)
-        merge.combine(rows).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
-        new.unpersist()
-        for b, versions in _latest(spark, path).items():
-            for v in versions[:-2]:
-                old, fs = _folder(spark, f"{path}/v={v}/bucket={b}")
-                fs.delete(old, True)
+        _fold_batch(batch, n, merge, path, buckets)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def to_tables(stream: DataFrame, merges: dict[str, Merge], path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """As :func:`to_table` into several tables below ``path``, all of them from one batch under its number.
+
+    A batch that fails between two tables is repeated for all; those that it had written are written again the same.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        for name, merge in merges.items():
+            _fold_batch(batch, n, merge, f"{path}/{name}", buckets)
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
