@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import struct
 from collections.abc import Iterator
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +17,6 @@ by_value(__name__)
 # Spellings of the columns of a notes table.
 ALIASES = {"frame": ("frame", "frame number", "frames"), "rate": ("rate", "fps"), "body": ("body", "comment", "note", "notes", "text"), "author": ("author", "user", "by"), "status": ("status", "state"), "id": ("id",), "clip": ("clip", "clip name")}
 
-ITEM = "doc string, track long, idx long, track_kind string, kind string, name string, uuid string, start string, duration string, media string, effects long, markers long, extra string"
-
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime, content) of every file below a folder that a scan does not ignore; paths are relative."""
@@ -30,89 +26,6 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return f.select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content").where(~ignored("path"))
 
 
-def _time(t: dict | None) -> str | None:
-    if not t or not t.get("rate"):
-        return None
-    return str(Fraction(str(t.get("value", 0))) / Fraction(str(t["rate"])))
-
-
-def flatten_otio(text: str) -> list[dict]:
-    """The items of a timeline document in track order; times are exact seconds, unknown fields stay in ``extra``."""
-    doc = json.loads(text)
-    if not str(doc.get("OTIO_SCHEMA", "")).startswith("Timeline."):
-        raise ValueError("not a timeline")
-    rows: list[dict] = []
-    lanes: list[dict] = []
-
-    def walk(item: dict, lane: int, path: str) -> None:
-        """A track or stack inside a track is an item too, and its own children follow on lanes of their own."""
-        schema = str(item.get("OTIO_SCHEMA", "")).split(".")[0].lower()
-        span, known = item.get("source_range") or {}, {"OTIO_SCHEMA", "name", "source_range", "media_reference", "media_references", "effects", "markers", "metadata", "children"}
-        media = item.get("media_reference") or next(iter((item.get("media_references") or {}).values()), None) or {}
-        meta = item.get("metadata") or {}
-        extra = {k: v for k, v in item.items() if k not in known} | ({"metadata": meta} if meta else {}) | ({"inside": path} if path else {})
-        rows.append({
-            "track": lane, "idx": lanes[lane]["n"], "track_kind": lanes[lane]["kind"], "kind": schema, "name": item.get("name"), "uuid": meta.get("uuid"),
-            "start": _time(span.get("start_time")), "duration": _time(span.get("duration")), "media": media.get("target_url"), "effects": len(item.get("effects") or []), "markers": len(item.get("markers") or []), "extra": json.dumps(extra, sort_keys=True) if extra else None,
-        })
-        lanes[lane]["n"] += 1
-        if schema in ("stack", "track"):
-            inner = item.get("children") or []
-            for child in inner if schema == "stack" else [item]:
-                tracks(child, f"{path}/{lane}.{lanes[lane]['n'] - 1}")
-
-    def tracks(track: dict, path: str) -> None:
-        lanes.append({"kind": track.get("kind"), "n": 0})
-        lane = len(lanes) - 1
-        is_track = str(track.get("OTIO_SCHEMA", "")).startswith("Track.")
-        for item in track.get("children") or [] if is_track else [track]:
-            walk(item, lane, path)
-
-    for track in (doc.get("tracks") or {}).get("children") or []:
-        tracks(track, "")
-    return rows
-
-
-def flatten_fcpxml(text: str) -> list[dict]:
-    """The spine of an FCPXML project as items; what the flat form cannot hold is counted in ``extra``."""
-    import xml.etree.ElementTree as ET
-
-    root = ET.fromstring(text)
-    seconds = lambda s: str(Fraction(s.rstrip("s") or "0")) if s else None
-    media = {a.get("id"): a.get("src") or next((m.get("src") for m in a.iter("media-rep")), None) for a in root.iter("asset")}
-    rows = []
-    for ti, spine in enumerate(root.iter("spine")):
-        for ii, e in enumerate(spine):
-            kind = {"asset-clip": "clip", "clip": "clip", "video": "clip", "gap": "gap", "transition": "transition"}.get(e.tag, e.tag)
-            lost = sorted({c.tag for c in e if c.tag not in ("marker", "note")})
-            rows.append({"track": ti, "idx": ii, "track_kind": "Video", "kind": kind, "name": e.get("name"), "uuid": None, "start": seconds(e.get("start")), "duration": seconds(e.get("duration")), "media": media.get(e.get("ref")), "effects": 0, "markers": len(e.findall("marker")), "extra": json.dumps({"lost": lost}) if lost else None})
-    return rows
-
-
-def timelines(docs: DataFrame, kind: str = "otio") -> DataFrame:
-    """Items of documents (doc, text); a document that does not parse gives one row of kind 'error'."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [c.split()[0] for c in ITEM.split(", ")]
-        for f in frames:
-            rows = []
-            for doc, text in zip(f["doc"], f["text"]):
-                try:
-                    rows += [{"doc": doc} | r for r in (flatten_otio if kind == "otio" else flatten_fcpxml)(text or "")]
-                except Exception as e:  # a damaged document is data, not a failure of the job
-                    rows.append({"doc": doc, "kind": "error", "extra": str(e)[:200]})
-            out = pd.DataFrame(rows, columns=cols).astype(object)
-            yield out.where(out.notna(), None)
-
-    return docs.select("doc", "text").mapInPandas(run, ITEM)
-
-
-def losses(items: DataFrame) -> DataFrame:
-    """The ledger of what the flat form of documents could not hold: (doc, tag, items)."""
-    lost = F.from_json("extra", "lost array<string>")["lost"]
-    return items.select("doc", F.explode(lost).alias("tag")).groupBy("doc", "tag").agg(F.count("*").alias("items"))
-
-
 def notes_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(notes, rejected) of CSV files with any of the known column spellings.
 

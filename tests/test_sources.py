@@ -12,31 +12,6 @@ from tesserae.sources import objects as O
 from tesserae.sources import readers as Rd
 from tesserae.sources import writers as W
 
-OTIO = {
-    "OTIO_SCHEMA": "Timeline.1", "name": "t",
-    "tracks": {"OTIO_SCHEMA": "Stack.1", "children": [{"OTIO_SCHEMA": "Track.1", "kind": "Video", "children": [
-        {"OTIO_SCHEMA": "Clip.2", "name": "a", "source_range": {"start_time": {"value": 10, "rate": 24}, "duration": {"value": 48, "rate": 24}}, "media_reference": {"target_url": "a.mov"}, "effects": [{}], "markers": [], "metadata": {"uuid": "u1"}, "odd": 1},
-        {"OTIO_SCHEMA": "Gap.1", "name": "", "source_range": {"start_time": {"value": 0, "rate": 24}, "duration": {"value": 1001, "rate": 24000}}},
-    ]}]},
-}
-
-
-def test_timelines(spark):
-    docs = spark.createDataFrame([("d", json.dumps(OTIO)), ("bad", "{}"), ("none", None)], "doc string, text string")
-    rows = Rd.timelines(docs).collect()
-    items = [r for r in rows if r.doc == "d"]
-    assert [(r.kind, r.name, r.start, r.duration, r.uuid, r.media, r.effects) for r in items] == [("clip", "a", "5/12", "2", "u1", "a.mov", 1), ("gap", "", "0", "1001/24000", None, None, 0)]
-    assert json.loads(items[0].extra)["odd"] == 1
-    assert {r.kind for r in rows if r.doc != "d"} == {"error"}
-
-
-def test_fcpxml(spark):
-    xml = '<fcpxml><resources><asset id="r1" src="a.mov"/></resources><library><event><project><sequence><spine><asset-clip ref="r1" name="a" start="1001/24000s" duration="2s"><marker/><audio-channel-source/></asset-clip><gap duration="1s"/></spine></sequence></project></event></library></fcpxml>'
-    rows = Rd.timelines(spark.createDataFrame([("d", xml)], "doc string, text string"), "fcpxml").collect()
-    assert [(r.kind, r.media, r.duration, r.markers) for r in rows] == [("clip", "a.mov", "2", 1), ("gap", None, "1", 0)]
-    assert json.loads(rows[0].extra) == {"lost": ["audio-channel-source"]}
-
-
 def test_notes_round_trip(spark, tmp_path):
     schema = "id string, frame long, rate long, clip string, author string, status string, body string, kind string, range_end long, pin_x float, pin_y float, attachment string, visibility string"
     notes = spark.createDataFrame([("n1", 5, 24, "c,1", "ann", "OPEN", 'say "hi", twice\nplease', "comment", None, None, None, None, "public"), ("n2", 1, 24, None, "bo", "RESOLVED", "x", "comment", None, 0.5, 0.25, None, "internal")], schema)
@@ -82,15 +57,7 @@ def test_packs(spark, tmp_path):
     assert not (tmp_path / "bad/index").exists()
 
 
-def test_nested_timelines_losses_and_markers(spark):
-    inner = {"OTIO_SCHEMA": "Stack.1", "name": "s", "children": [{"OTIO_SCHEMA": "Track.1", "kind": "Audio", "children": [{"OTIO_SCHEMA": "Clip.2", "name": "deep"}]}, {"OTIO_SCHEMA": "Clip.2", "name": "bare"}]}
-    doc = {"OTIO_SCHEMA": "Timeline.1", "tracks": {"children": [{"OTIO_SCHEMA": "Track.1", "kind": "Video", "children": [{"OTIO_SCHEMA": "Clip.2", "name": "a"}, inner, {"OTIO_SCHEMA": "Clip.2", "name": "z"}]}]}}
-    rows = Rd.timelines(spark.createDataFrame([("d", json.dumps(doc))], "doc string, text string")).collect()
-    assert sorted((r.track, r.idx, r.kind, r.name) for r in rows) == [(0, 0, "clip", "a"), (0, 1, "stack", "s"), (0, 2, "clip", "z"), (1, 0, "clip", "deep"), (2, 0, "clip", "bare")]
-    assert json.loads(next(r.extra for r in rows if r.name == "deep"))["inside"] == "/0.1"
-    xml = '<fcpxml><library><event><project><sequence><spine><asset-clip name="a" duration="2s"><filter-video/></asset-clip><gap duration="1s"><filter-video/><title/></gap></spine></sequence></project></event></library></fcpxml>'
-    lost = Rd.losses(Rd.timelines(spark.createDataFrame([("d", xml)], "doc string, text string"), "fcpxml")).collect()
-    assert {(r.tag, r["items"]) for r in lost} == {("filter-video", 2), ("title", 1)}
+def test_note_markers_as_xml(spark):
     notes = spark.createDataFrame([(1, 12, 24, 'a <b> & "c"')], "doc long, frame long, rate long, body string")
     assert W.fcpxml_markers(notes).first().line == '<marker start="12/24s" duration="1/24s" value="a &lt;b&gt; &amp; &quot;c&quot;"/>'
 
