@@ -51,36 +51,54 @@ def answered_twice(notes: DataFrame) -> DataFrame:
 
 
 def apply_changelist(clips: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The clips (doc, element, track, idx, start, dur, name) after a changelist, and its ledger (doc, note, status).
+    """The clips (doc, element, track, idx, start, dur, name, url) after a changelist, with ``gains``, and its ledger (doc, note, n, op, status).
 
-    Items (doc, note, frame, op, amount) are pinned to the element at their frame before anything moves. In the
-    order of frames, then notes, deletes end an element, and what follows one is unresolved; cuts add up and
-    are refused where they would leave nothing. Few items meet on a clip; they are folded in order.
+    Items (doc, note, n, frame, op, amount, target) are pinned to the element at their frame before anything moves, and run in the order
+    of frames, notes, then n. A name that several clips share leads to the first of them that is left. A delete ends a clip;
+    what follows on a gone one is ``removed``. Cuts add up: one without a range to cut is ``no range``, one that would leave nothing
+    ``refused``. A replacement sets the media of a clip that has one, else it is ``no media``. A gain always applies, and all of them stay in order.
+    Few items meet on a clip; they are folded in one value.
     """
-    hit = element_at(items.select("doc", "frame").distinct(), clips)
-    pinned = items.join(hit, ["doc", "frame"], "left").join(clips.select("doc", "element", "dur"), ["doc", "element"], "left")
-    order = Window.partitionBy("doc", "element").orderBy("frame", "note")
-    dead = F.max((F.col("op") == "delete").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    pinned = pinned.withColumn("_dead", F.coalesce(dead, F.lit(0)) == 1)
-    fold = saved(pinned.where("element is not null and not _dead and op <> 'delete'"))
-    step = F.struct("frame", "note", "op", "amount")
-    each = fold.groupBy("doc", "element", "dur").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    start = F.struct(F.lit(0).cast("long").alias("head"), F.lit(0).cast("long").alias("tail"), F.array().cast("array<struct<note:bigint,ok:boolean>>").alias("said"))
-
-    def one(s, x):
-        ok = (F.col("dur") - s.head - s.tail - x["amount"]) > 0
-        grow = lambda kind: F.when(ok & (x["op"] == kind), x["amount"]).otherwise(0)
-        return F.struct((s.head + grow("trim_in")).alias("head"), (s.tail + grow("trim_out")).alias("tail"), F.concat(s.said, F.array(F.struct(x["note"].alias("note"), ok.alias("ok")))).alias("said"))
-
-    cut = saved(each.select("doc", "element", F.aggregate("steps", start, one).alias("r")).select("doc", "element", "r.*"))
-    said = cut.select("doc", F.explode("said").alias("s")).select("doc", F.col("s.note").alias("note"), F.when(F.col("s.ok"), "applied").otherwise("refused").alias("status"))
-    rest = pinned.where("element is null or _dead or op = 'delete'").select("doc", "note", F.when(F.col("element").isNull(), "no clip").when(F.col("_dead"), "removed").otherwise("applied").alias("status"))
-    gone = pinned.where("op = 'delete' and element is not null").select("doc", "element").distinct()
-    left = clips.join(gone, ["doc", "element"], "left_anti").join(cut.drop("said"), ["doc", "element"], "left")
-    head, tail = F.coalesce("head", F.lit(0)), F.coalesce("tail", F.lit(0))
+    hit = element_at(items.select("doc", "frame").distinct(), clips.where("dur is not null"))
+    pinned = saved(items.join(hit, ["doc", "frame"], "left").select("doc", "note", "n", "frame", "op", "amount", "target", "element"))
+    step = F.struct("frame", "note", "n", "op", "amount", "target")
+    steps = pinned.where("element is not null").groupBy("doc", "element").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    # clips of one name in their order; only names that items lead to are gathered
+    alike = clips.join(steps.select("doc", "element"), ["doc", "element"], "left_semi").groupBy("doc", "element")
+    alike = alike.agg(F.array_sort(F.collect_list(F.struct("track", "idx", "dur", F.col("url").isNotNull().alias("media")))).alias("clips"))
+    said = "array<struct<note:bigint,n:int,op:string,status:string,at:int,amount:bigint,target:string>>"
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("cut"), F.array().cast(said).alias("said"))
+
+    def one(s: Column, x: Column) -> Column:
+        clip = F.get(F.col("clips"), s["at"])
+        trim = x["op"].isin("trim_in", "trim_out")
+        status = (
+            F.when(s["at"] >= F.size("clips"), "removed").when(trim & clip["dur"].isNull(), "no range").when(trim & (clip["dur"] - s["cut"] - x["amount"] <= 0), "refused")
+            .when((x["op"] == "replace") & ~clip["media"], "no media").otherwise("applied")
+        )
+        done = status == "applied"
+        gone = done & (x["op"] == "delete")
+        row = F.struct(x["note"].alias("note"), x["n"].alias("n"), x["op"].alias("op"), status.alias("status"), s["at"].alias("at"), x["amount"].alias("amount"), x["target"].alias("target"))
+        cut = F.when(gone, F.lit(0).cast("long")).otherwise(s["cut"] + F.when(done & trim, x["amount"]).otherwise(0))
+        return F.struct((s["at"] + gone.cast("int")).alias("at"), cut.alias("cut"), F.concat(s["said"], F.array(row)).alias("said"))
+
+    run = steps.join(alike, ["doc", "element"]).select("doc", "clips", F.posexplode(F.aggregate("steps", begin, one)["said"]).alias("nth", "r"))
+    run = saved(run.select("doc", "nth", F.get("clips", F.col("r.at"))["track"].alias("track"), F.get("clips", F.col("r.at"))["idx"].alias("idx"), "r.note", "r.n", "r.op", "r.status", "r.amount", "r.target"))
+    lost = pinned.where("element is null").select("doc", "note", "n", "op", F.lit("no clip").alias("status"))
+    ledger = run.select("doc", "note", "n", "op", "status").unionByName(lost)
+    op = F.col("op")
+    total = lambda kind: F.coalesce(F.sum(F.when(op == kind, F.col("amount"))), F.lit(0))
+    per = run.where("status = 'applied'").groupBy("doc", "track", "idx").agg(
+        F.bool_or(op == "delete").alias("_gone"), total("trim_in").alias("_head"), total("trim_out").alias("_tail"), F.max_by(F.when(op == "replace", F.col("target")), F.when(op == "replace", F.col("nth"))).alias("_url"),
+        F.transform(F.array_sort(F.collect_list(F.when(op == "gain", F.struct("nth", "amount")))), lambda g: g["amount"]).alias("gains"),
+    )
+    left = clips.join(per, ["doc", "track", "idx"], "left").where("not coalesce(_gone, false)")
     place = (F.row_number().over(Window.partitionBy("doc", "track").orderBy("idx")) - 1).cast("long")
-    after = left.select("doc", "element", "track", place.alias("idx"), (F.col("start") + head).alias("start"), (F.col("dur") - head - tail).alias("dur"), "name")
-    return after, said.unionByName(rest)
+    head, tail = F.coalesce("_head", F.lit(0)), F.coalesce("_tail", F.lit(0))
+    after = left.select(
+        "doc", "element", "track", place.alias("idx"), (F.col("start") + head).alias("start"), (F.col("dur") - head - tail).alias("dur"), "name", F.coalesce("_url", "url").alias("url"), F.coalesce("gains", F.array().cast("array<bigint>")).alias("gains")
+    )
+    return after, ledger
 
 
 def cherry_pick(source: DataFrame, target: DataFrame, picks: DataFrame) -> DataFrame:

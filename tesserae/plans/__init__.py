@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import activity, journal, scalars, state, store, text, threeway, timeline, views  # noqa: F401
+from tesserae.plans import activity, documents, journal, scalars, state, store, text, threeway, timeline, views  # noqa: F401
 from tesserae.plans.registry import QUERIES, SQL
 
 

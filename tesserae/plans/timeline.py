@@ -85,28 +85,49 @@ def cherry_picks(spark, sf_dir):
     return T.cherry_pick(c, target, picks)
 
 
+_OPS = ["trim_in", "gain", "delete", "replace", "trim_out", "trim_out", "gain"]
+
+
 def _items(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    each = o.select(k.alias("doc"), "o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("note"))
-    n = F.col("note")
-    op = F.element_at(F.array(F.lit("trim_in"), F.lit("trim_out"), F.lit("delete"), F.lit("trim_out")), ((F.col("doc") + n) % 4 + 1).cast("int"))
-    return each.select("doc", "note", ((F.col("o_custkey") * 7 + n * (F.col("doc") % 3) * 50) % 1500).alias("frame"), op.alias("op"), (F.col("o_custkey") % 90 + 1).alias("amount"))
+    each = o.select(k.alias("doc"), "o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("i"))
+    i = F.col("i")
+    op = F.element_at(F.array(*(F.lit(x) for x in _OPS)), ((F.col("doc") + i) % len(_OPS) + 1).cast("int"))
+    frame = (F.col("o_custkey") * 7 + F.floor(i / 2) * (F.col("doc") % 3) * 50) % 1500
+    return each.select("doc", F.floor(i / 2).alias("note"), (i % 2).cast("int").alias("n"), frame.alias("frame"), op.alias("op"), (F.col("o_custkey") % 90 + i).alias("amount"), F.concat(F.lit("shot"), i.cast("string")).alias("target"))
+
 
+def _named_clips(spark, sf_dir):
+    """Clips of which some share a name, some have no media, and some no range."""
+    c, chunk = _clips(spark, sf_dir), F.col("chunk")
+    none = F.lit(None)
+    return saved(c.select("doc", F.concat(F.lit("n"), (F.col("idx") % 4).cast("string")).alias("element"), "track", "idx", F.when(chunk % 10 > 0, F.col("start")).otherwise(none).alias("start"), F.when(chunk % 10 > 0, F.col("dur")).otherwise(none).alias("dur"), "name", F.when(chunk % 3 > 0, F.concat(F.lit("m"), (chunk % 9).cast("string"))).alias("url")))
 
-_ITEMS = """items as (select o_orderkey as doc, n::bigint as note, (o_custkey * 7 + n * (o_orderkey % 3) * 50) % 1500 as frame, ['trim_in', 'trim_out', 'delete', 'trim_out'][((o_orderkey + n) % 4 + 1)::int] as op, o_custkey % 90 + 1 as amount from orders, unnest([0, 1, 2]) x(n)),
-spots as (select *, coalesce(sum(dur) over (partition by doc, track order by idx rows between unbounded preceding and 1 preceding), 0) as pos from clips),
-hits as (select i.doc, i.frame, arg_min(element, track) as element from (select distinct doc, frame from items) i join spots s on s.doc = i.doc and i.frame >= pos and i.frame < pos + dur group by 1, 2)"""
 
+_ITEMS = f"""nclips as (select doc, 'n' || idx % 4 as element, track, idx, case when chunk % 10 > 0 then start end as start, case when chunk % 10 > 0 then dur end as dur, name, case when chunk % 3 > 0 then 'm' || chunk % 9 end as url from clips),
+items as (select o_orderkey as doc, i // 2 as note, (i % 2)::int as n, (o_custkey * 7 + i // 2 * (o_orderkey % 3) * 50) % 1500 as frame, {_OPS}[((o_orderkey + i) % {len(_OPS)} + 1)::int] as op, o_custkey % 90 + i as amount, 'shot' || i as target from orders, unnest([0, 1, 2, 3, 4, 5]::bigint[]) x(i)),
+spots as (select *, coalesce(sum(dur) over (partition by doc, track order by idx rows between unbounded preceding and 1 preceding), 0) as pos from nclips where dur is not null),
+hits as (select i.doc, i.frame, arg_min(element, track) as element from (select distinct doc, frame from items) i join spots s on s.doc = i.doc and i.frame >= pos and i.frame < pos + dur group by 1, 2),
+pinned as (select i.*, h.element, row_number() over (partition by i.doc, h.element order by i.frame, note, n) as k from items i left join hits h using (doc, frame)),
+alike as (select doc, element, track, idx, dur, url, row_number() over (partition by doc, element order by track, idx) - 1 as a from nclips),
+r as (select distinct doc, element, 0::bigint as k, 0::bigint as a, 0::bigint as cut, null::bigint as note, null::int as n, null::varchar as op, null::varchar as status, 0::bigint as amount, null::varchar as target, 0::bigint as hit from pinned where element is not null
+    union all select doc, element, k, case when done and op = 'delete' then a + 1 else a end, case when done and op = 'delete' then 0 when done and op like 'trim%' then cut + amount else cut end, note, n, op, status, amount, target, a
+    from (select *, status = 'applied' as done from (select p.doc, p.element, p.k, r.a, r.cut, p.note, p.n, p.op, p.amount, p.target, case when c.idx is null then 'removed' when p.op like 'trim%' and c.dur is null then 'no range' when p.op like 'trim%' and c.dur - r.cut - p.amount <= 0 then 'refused'
+        when p.op = 'replace' and c.url is null then 'no media' else 'applied' end as status from r join pinned p on p.doc = r.doc and p.element = r.element and p.k = r.k + 1 left join alike c on c.doc = r.doc and c.element = r.element and c.a = r.a)))"""
 
-@query(f"""with recursive {_CLIPS}, {_ITEMS}, pinned as (select i.*, h.element, c.dur, row_number() over (partition by i.doc, h.element order by i.frame, note) as n from items i left join hits h using (doc, frame) left join clips c on c.doc = i.doc and c.element = h.element),
-r as (select distinct doc, element, 0::bigint as n, null::bigint as note, false as dead, 0::bigint as cut, 'x' as status from pinned where element is not null
-    union all
-    select p.doc, p.element, p.n, p.note, r.dead or p.op = 'delete', case when not r.dead and p.op <> 'delete' and p.dur - r.cut - p.amount > 0 then r.cut + p.amount else r.cut end,
-           case when r.dead then 'removed' when p.op = 'delete' or p.dur - r.cut - p.amount > 0 then 'applied' else 'refused' end
-    from r join pinned p on p.doc = r.doc and p.element = r.element and p.n = r.n + 1)
-select doc, note, status from r where n > 0 union all select doc, note, 'no clip' from pinned where element is null""")
+
+@query(f"""with recursive {_CLIPS}, {_ITEMS} select doc, note, n, op, status from r where k > 0 union all select doc, note, n, op, 'no clip' from pinned where element is null""")
 def changelist_ledger(spark, sf_dir):
-    return T.apply_changelist(saved(_clips(spark, sf_dir)), _items(spark, sf_dir))[1]
+    return T.apply_changelist(_named_clips(spark, sf_dir), _items(spark, sf_dir))[1]
+
+
+@query(f"""with recursive {_CLIPS}, {_ITEMS}, d as (select c.doc, c.track, c.idx, r.* exclude (doc) from r join alike c on c.doc = r.doc and c.element = r.element and c.a = r.hit where r.status = 'applied'),
+per as (select doc, track, idx, bool_or(op = 'delete') as gone, coalesce(sum(amount) filter (op = 'trim_in'), 0) as head, coalesce(sum(amount) filter (op = 'trim_out'), 0) as tail, arg_max(target, k) filter (op = 'replace') as url, string_agg(amount::varchar, ',' order by k) filter (op = 'gain') as gains from d group by 1, 2, 3)
+select c.doc, c.element, c.track, (row_number() over (partition by c.doc, c.track order by c.idx) - 1)::bigint as idx, (start + coalesce(head, 0))::bigint as start, (dur - coalesce(head, 0) - coalesce(tail, 0))::bigint as dur, coalesce(p.url, c.url) as url, coalesce(gains, '') as gains
+from nclips c left join per p on p.doc = c.doc and p.track = c.track and p.idx = c.idx where not coalesce(gone, false)""")
+def changelist_clips(spark, sf_dir):
+    after = T.apply_changelist(_named_clips(spark, sf_dir), _items(spark, sf_dir))[0]
+    return after.drop("name").withColumn("gains", F.array_join(F.transform("gains", lambda g: g.cast("string")), ","))
 
 
 @query("""with m as (select l_orderkey as doc, list_sort(list_distinct(list(l_returnflag || l_linenumber))) as a, list_sort(list_distinct(list(l_linestatus || l_linenumber) || list(l_returnflag || (l_linenumber + 1)))) as b from lineitem group by 1)

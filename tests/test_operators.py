@@ -110,11 +110,19 @@ def test_merge_of_notes_is_symmetric_where_it_must_be(spark):
 
 
 def test_changelist_moves_no_target(spark):
-    clips = spark.createDataFrame([(1, "a", 0, 0, 0, 10, "a"), (1, "b", 0, 1, 0, 10, "b"), (1, "c", 0, 2, 0, 10, "c")], "doc long, element string, track long, idx long, start long, dur long, name string")
-    items = spark.createDataFrame([(1, 1, 3, "trim_in", 4), (1, 2, 12, "delete", 0), (1, 3, 13, "trim_out", 1), (1, 4, 25, "trim_out", 12), (1, 5, 99, "delete", 0)], "doc long, note long, frame long, op string, amount long")
+    clips = [("a", 0, 0, 0, 10, "ma"), ("b", 0, 1, 0, 10, "mb"), ("c", 0, 2, 0, 10, None), ("same", 0, 3, 0, 10, "m1"), ("same", 0, 4, 0, 10, "m2"), ("bare", 0, 5, None, None, "m")]
+    clips = spark.createDataFrame([(1, e, t, i, s, d, e, u) for e, t, i, s, d, u in clips], "doc long, element string, track long, idx long, start long, dur long, name string, url string")
+    ops = [
+        (1, 3, "trim_in", 4, None), (2, 12, "delete", 0, None), (3, 13, "trim_out", 1, None), (4, 25, "trim_out", 12, None), (5, 99, "delete", 0, None), (6, 4, "gain", 50, None), (7, 4, "replace", 0, "new"), (8, 4, "gain", -3, None),
+        (9, 26, "replace", 0, "x"), (10, 45, "replace", 0, "first"), (11, 45, "delete", 0, None), (12, 45, "replace", 0, "second"), (13, 46, "trim_out", 3, None),
+    ]
+    items = spark.createDataFrame([(1, n, 0, f, op, a, t) for n, f, op, a, t in ops], "doc long, note long, n int, frame long, op string, amount long, target string")
     after, ledger = T.apply_changelist(clips, items)
-    assert {r.note: r.status for r in ledger.collect()} == {1: "applied", 2: "applied", 3: "removed", 4: "refused", 5: "no clip"}
-    assert sorted((r.element, r.idx, r.start, r.dur) for r in after.collect()) == [("a", 0, 4, 6), ("c", 1, 0, 10)]
+    said = {r.note: r.status for r in ledger.collect()}
+    assert said == {1: "applied", 2: "applied", 3: "removed", 4: "refused", 5: "no clip", 6: "applied", 7: "applied", 8: "applied", 9: "no media", 10: "applied", 11: "applied", 12: "applied", 13: "applied"}
+    got = sorted((r.idx, r.element, r.start, r.dur, r.url, r.gains) for r in after.collect())
+    # the clip at frame 45 is the second of its name; the first of it takes what comes until it is deleted
+    assert got == [(0, "a", 4, 6, "new", [50, -3]), (1, "c", 0, 10, None, []), (2, "same", 0, 7, "second", []), (3, "bare", None, None, "m", [])]
 
 
 def test_empty_tables(spark):
