@@ -112,23 +112,3 @@ def unzstd(data: Column | str, words: bytes | None = None) -> Column:
 def zstd_size(data: Column | str, level: int = 3) -> Column:
     """Bytes after zstandard compression."""
     return _zstd(data, "size", "long", level, None)
-
-
-def moved(order: Column | str) -> Column:
-    """Members of an order of base positions that moved: those not in the final tails of the patience piles."""
-
-    def one(seq) -> list[int]:
-        import bisect
-
-        tails: list[int] = []
-        for x in seq:
-            at = bisect.bisect_left(tails, x)
-            tails[at : at + 1] = [x]
-        stay = set(tails)
-        return [x for x in seq if x not in stay]
-
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in frames:
-            yield s.map(lambda x: None if x is None else one([int(v) for v in x]))
-
-    return F.pandas_udf(run, "array<long>")(order)

@@ -177,10 +177,10 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+"), lambda t: F.octet_length(t) >= 2)
 
 
-def search_score(query: list[str], path: Column | str) -> Column:
-    """Relevance of a path: 10 for a whole token, 6 for a prefix, 4 for a part of the name, 2 for a part of the path; 5 more if all occur."""
+def search_score(query: list[str], path: Column | str, name: Column | str | None = None) -> Column:
+    """Relevance of a path, and of a name that is its last part unless given: 10 for a whole token, 6 for a prefix, 4 for a part of the name, 2 for a part of the path; 5 more if all occur."""
     p = F.lower(_col(path))
-    name, hay = F.substring_index(p, "/", -1), tokens(path)
+    name, hay = F.substring_index(p, "/", -1) if name is None else F.lower(_col(name)), tokens(path)
     total = F.lit(0)
 
     def one(q: str) -> Column:
@@ -190,7 +190,7 @@ def search_score(query: list[str], path: Column | str) -> Column:
         total = total + one(q)
     every = F.lit(True)
     for q in query:
-        every = every & p.contains(q)
+        every = every & (p.contains(q) | name.contains(q))
     return total + F.when((total > 0) & every, 5).otherwise(0)
 
 
@@ -207,8 +207,9 @@ def badge(state: Column | str) -> Column:
 
 
 def overlay(state: Column | str) -> Column:
+    """The icon of a file, or null: placeholders are being fetched, clean files are in step."""
     s = _col(state)
-    return F.when(s.isin("conflict", "fetching", "synced", "pinned"), s)
+    return F.when(s == "placeholder", "fetching").when(s == "clean", "synced").when(s.isin("conflict", "synced", "pinned"), s)
 
 
 def native_collab(path: Column | str) -> Column:

@@ -66,10 +66,14 @@ def rotating_sample(rows: DataFrame, group: str, order: list, start: int, size:
     return placed.join(n, group).where((i - F.lit(start) % many + many) % many < size).drop("_i", "_n")
 
 
-def lru_evict(blobs: DataFrame, target: int) -> DataFrame:
-    """Unpinned blobs (hash, size, last_touched, pinned) to evict, oldest first, until at most ``target`` bytes are live."""
+def lru_evict(blobs: DataFrame, target: int, untouched_since: int | None = None) -> DataFrame:
+    """Unpinned blobs (hash, size, last_touched, pinned) to evict, oldest first, until at most ``target`` bytes are live.
+
+    Those touched after ``untouched_since`` are in use and stay, even if more than the target is left.
+    """
     live = blobs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    free = prefix_until(blobs.where("not pinned"), ["last_touched", "hash"], "size", [])
+    old = F.lit(True) if untouched_since is None else F.col("last_touched") <= untouched_since
+    free = prefix_until(blobs.where("not pinned").where(old), ["last_touched", "hash"], "size", [])
     return free.where(F.lit(live) - F.col("before") > target).select("hash", "size", "last_touched")
 
 

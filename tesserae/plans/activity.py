@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scalar as C
 from tesserae.operators import activity as A
+from tesserae.operators import search as Q
 from tesserae.operators import store as S
 from tesserae.plans.derived import FILES, files, millis
 from tesserae.plans.registry import query, table
@@ -98,19 +99,24 @@ def json_payload(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_variant_get(v, "$.k", "bigint"), F.lit(-1)).alias("k"), F.coalesce(F.try_variant_get(v, "$.absent", "string"), F.lit("none")).alias("absent"))
 
 
-_ROLES = "['owner', 'lead-editor', 'editor', 'assistant', 'colorist', 'sound-designer', 'reviewer', 'unknown']"
-_PERMS = "['read', 'write-files', 'lock-timeline', 'color-grade', 'mix-audio', 'comment', 'manage-members', 'manage-review', 'restore', 'detach-root']"
+_ROLES = ["owner", "lead-editor", "editor", "assistant", "colorist", "sound-designer", "reviewer", "unknown"]
+_PERMISSIONS = [
+    "read", "write-files", "organize-bins", "lock-file", "lock-timeline", "edit-timeline", "color-grade", "mix-audio", "comment", "manage-review", "manage-members", "manage-flags", "attach-root", "detach-root", "verify", "snapshot",
+    "restore", "view-presence",
+]
 
 
-@query(f"""with e as (select event_id, {_ROLES}[(user_id % 8 + 1)::int] as role, {_PERMS}[(event_id % 10 + 1)::int] as permission from events)
-select event_id, role, permission, case permission when 'read' then true when 'comment' then true
-    when 'write-files' then role <> 'reviewer' when 'lock-timeline' then role in ('owner', 'lead-editor') when 'color-grade' then role in ('owner', 'lead-editor', 'colorist')
-    when 'mix-audio' then role in ('owner', 'lead-editor', 'sound-designer') when 'manage-members' then role = 'owner' when 'manage-review' then role in ('owner', 'lead-editor', 'editor', 'unknown')
-    when 'restore' then role = 'owner' when 'detach-root' then role in ('owner', 'lead-editor', 'editor', 'unknown') end as allowed from e""")
+@query(f"""with e as (select event_id, {_ROLES}[(user_id % 8 + 1)::int] as role, {_PERMISSIONS}[(event_id % 18 + 1)::int] as permission from events),
+k as (select *, case role when 'unknown' then 'editor' else role end as r from e)
+select event_id, role, permission, case
+    when permission in ('read', 'comment', 'view-presence') then true when permission in ('manage-members', 'restore') then r = 'owner' when permission in ('lock-timeline', 'manage-flags') then r in ('owner', 'lead-editor')
+    when permission in ('write-files', 'attach-root', 'verify') then r <> 'reviewer' when permission = 'organize-bins' then r in ('owner', 'lead-editor', 'editor', 'assistant') when permission = 'lock-file' then r not in ('assistant', 'reviewer')
+    when permission in ('edit-timeline', 'manage-review', 'detach-root') then r in ('owner', 'lead-editor', 'editor') when permission = 'snapshot' then r in ('owner', 'lead-editor', 'editor', 'assistant')
+    when permission = 'color-grade' then r in ('owner', 'lead-editor', 'colorist') when permission = 'mix-audio' then r in ('owner', 'lead-editor', 'sound-designer') end as allowed from k""")
 def rbac_decisions(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    pick = lambda text, n: F.element_at(F.array(*(F.lit(x) for x in text.strip("[]").replace("'", "").split(", "))), (n + 1).cast("int"))
-    return C.decide(e.select("event_id", pick(_ROLES, F.col("user_id") % 8).alias("role"), pick(_PERMS, F.col("event_id") % 10).alias("permission")))
+    """All permissions against all roles, one of them unknown."""
+    pick = lambda words, n: F.element_at(F.array(*(F.lit(x) for x in words)), (n + 1).cast("int"))
+    return C.decide(table(spark, sf_dir, "events").select("event_id", pick(_ROLES, F.col("user_id") % 8).alias("role"), pick(_PERMISSIONS, F.col("event_id") % 18).alias("permission")))
 
 
 @query(f"select {MS} as ts_ms, user_id as device, substr(sha256(event_id || '|' || user_id || '|' || event_type), 1, 16) as id, value >= 5 as allowed from events order by ts_ms desc, id desc limit 500")
@@ -171,11 +177,26 @@ def file_badge(spark, sf_dir):
     return files(spark, sf_dir).select("path", C.badge("local_state").alias("badge"))
 
 
-@query(f"with {FILES} select path, local_state as overlay from files where local_state in ('conflict', 'fetching', 'synced', 'pinned')")
+@query(f"with {FILES} select path, case local_state when 'placeholder' then 'fetching' when 'clean' then 'synced' else local_state end as overlay from files where local_state in ('conflict', 'placeholder', 'clean', 'synced', 'pinned')")
 def overlay_states(spark, sf_dir):
     return files(spark, sf_dir).select("path", C.overlay("local_state").alias("overlay")).where("overlay is not null")
 
 
+_LINE = "('0x' || substr(sha256(path || '|' || {state} || '|3'), 1, 15))::bigint::hugeint"
+
+
+@query(f"""with {FILES}, d as (select project_id, sum({_LINE.format(state='local_state')})::varchar as digest, count_if(local_state in ('conflict', 'placeholder', 'synced', 'clean', 'pinned')) as entries,
+    sum(case when doc_id % 40 = 1 then {_LINE.format(state="'old'")} else {_LINE.format(state='local_state')} end)::varchar as was, max(doc_id) as last from files group by 1)
+select project_id, digest, entries, not (digest = was and (last * 997 % 90000) > 30000) as write from d""")
+def overlay_writes(spark, sf_dir):
+    """Which projects write their icons again, a minute and a half after the start, against what each looked like at some time since."""
+    f = files(spark, sf_dir)
+    at = f.groupBy("project_id").agg((F.max("doc_id") * 997 % 90_000).alias("at_ms"))
+    old = Q.overlays(f.withColumn("local_state", F.when(F.col("doc_id") % 40 == 1, "old").otherwise(F.col("local_state"))), spark.createDataFrame([], "project_id string, digest string, at_ms long"), 3, 0)
+    return Q.overlays(f, old.select("project_id", "digest").join(at, "project_id"), 3, 90_000)
+
+
+
 @query(f"""with {FILES}, pins as (select path from files where doc_id % 4 = 0), offers as (select path from files where doc_id % 10 = 1),
 proxies as (select path, case when doc_id % 3 = 0 then size else size + 1 end as len from files where doc_id % 6 = 0)
 select f.path, f.size, f.path in (select path from pins) as pinned, f.path in (select path from offers) as offered, case when p.path is null then 'none' when p.len = f.size then 'ready' else 'stale' end as proxy

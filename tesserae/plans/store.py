@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import graph as G
+from tesserae.operators import search as Q
 from tesserae.operators import store as S
 from tesserae.plans.derived import CHUNKS, ENTRIES, FILES, chunks, files, manifest_entries
 from tesserae.plans.registry import query, table
@@ -90,12 +91,13 @@ def pack_prefix(spark, sf_dir):
 
 
 @query(f"""with {CHUNKS}, t as (select sum(size) as live from chunks),
-w as (select hash, size, last_touched, coalesce(sum(size) over (order by last_touched, hash rows between unbounded preceding and 1 preceding), 0) as before from chunks where hash % 13 <> 0)
+w as (select hash, size, last_touched, coalesce(sum(size) over (order by last_touched, hash rows between unbounded preceding and 1 preceding), 0) as before from chunks where hash % 13 <> 0 and last_touched <= (select max(last_touched) from chunks) - 90 * 86400000::bigint)
 select hash, size, last_touched from w, t where live - before > live // 2""")
 def lru_evict(spark, sf_dir):
     c = chunks(spark, sf_dir).withColumn("pinned", F.col("hash") % 13 == 0)
     live = c.agg(F.sum("size")).first()[0] or 0
-    return S.lru_evict(c, target=live // 2)
+    newest = c.agg(F.max("last_touched")).first()[0] or 0
+    return S.lru_evict(c, target=live // 2, untouched_since=newest - 90 * S.DAY_MS)
 
 
 @query(f"with {CHUNKS} select hash, size, last_touched from chunks where tier = 'hot' and state = 'present' and last_touched < (select max(last_touched) from chunks) - 30 * 86400000::bigint")
@@ -137,10 +139,10 @@ def bloom_sizing(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct().select("n", m.cast("long").alias("bits"), k.alias("hashes"))
 
 
-@query("select n_nationkey as tenant, coalesce(sum(c_custkey % 1000), 0)::bigint as stored, count(c_custkey) as n_chunks from nation left join customer on c_nationkey = n_nationkey and c_custkey % 9 = 0 and n_nationkey % 6 <> 0 group by 1")
+@query("select n_nationkey as tenant, coalesce(sum(c_custkey % 1000), 0)::bigint as stored, count(c_custkey) as n_chunks from nation left join customer on c_nationkey = n_nationkey and n_nationkey % 6 <> 0 group by 1")
 def metering_rollup(spark, sf_dir):
     tenants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tenant"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 9 = 0 and c_nationkey % 6 <> 0").select(F.col("c_nationkey").alias("tenant"), (F.col("c_custkey") % 1000).alias("size"))
+    c = table(spark, sf_dir, "customer").where("c_nationkey % 6 <> 0").select(F.col("c_nationkey").alias("tenant"), (F.col("c_custkey") % 1000).alias("size"))
     return S.metering(tenants, c)
 
 
@@ -163,7 +165,7 @@ def pins_left_join(spark, sf_dir):
 
 @query(f"with {FILES} select project_id, path, local_state from files where local_state in ('dirty', 'conflict')")
 def files_in_states(spark, sf_dir):
-    return files(spark, sf_dir).where(F.col("local_state").isin("dirty", "conflict")).select("project_id", "path", "local_state")
+    return Q.in_states(files(spark, sf_dir), ["dirty", "conflict"]).select("project_id", "path", "local_state")
 
 
 @query(f"""with {FILES}, w as (select project_id, path, row_number() over (partition by project_id order by path, doc_id) - 1 as i, count(*) over (partition by project_id) as n from files)

@@ -8,7 +8,9 @@ from tesserae.functions.note_grammar import note_ops as parse
 from tesserae.functions.scalar import search_score
 from tesserae.operators import blobs as B
 from tesserae.operators import chunking as K
+from tesserae.operators import search as Q
 from tesserae.operators.store import prefix_until
+from tesserae.plans.derived import FILES, files
 from tesserae.plans.registry import query, table
 
 _WORDS = ["red", "widget", "eco", "brand"]
@@ -84,7 +86,32 @@ def longest_prefix(spark, sf_dir):
     return K.longest_prefix(table(spark, sf_dir, "part").select(F.concat_ws("/", k("r", 5), k("s", 7), k("t", 11)).alias("path")), roots)
 
 
-@query("select conv_id, turn, regexp_matches(text, '(?i)merge|the') as hit, strlen(text) as bytes from conversations where contains(lower(text), 'the') order by conv_id, turn limit 60")
+@query(f"""with {FILES}, p as (select 0 as k, 'project' as kind, source as project, upper(source) || ' c1' as label from documents group by source), f as (select project_id as project, path from files where contains(lower(path), 'c1')),
+n as (select *, row_number() over (order by project, path) as r from f), last as (select max(project) as last from n where r <= 40 having count(*) = 40), hits as (select project, path from n where r <= 40 union all (select project, min(path) from f, last where project > last group by 1)),
+a as (select * from p where contains(lower(label), 'c1') or contains(lower(project), 'c1') union all select 1, 'file', project, path from hits union all select 2, 'review', source, 'Review C1 of ' || source from documents group by source)
+select kind, project, label, row_number() over (order by k, project, label) - 1 as rank from a order by k, project, label limit 60""")
 def substring_search(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.lower("text").contains("the"))
-    return c.select("conv_id", "turn", F.col("text").rlike("(?i)merge|the").alias("hit"), F.octet_length("text").alias("bytes")).orderBy("conv_id", "turn").limit(60)
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    projects = sources.select(F.col("source").alias("project"), F.concat(F.upper("source"), F.lit(" c1")).alias("display"))
+    reviews = sources.select(F.col("source").alias("project"), F.concat(F.lit("Review C1 of "), "source").alias("title"))
+    return Q.find(projects, files(spark, sf_dir).select(F.col("project_id").alias("project"), "path", F.lit("file").alias("mode")), reviews, "C1")
+
+
+_HAY = "lower(path || ' ' || p_name || ' ' || p_brand || '.mov')"
+
+
+def _clip_score(words: list[str]) -> str:
+    return " + ".join(f"case when list_contains(toks, '{w}') then 10 when len([x for x in toks if starts_with(x, '{w}')]) > 0 then 6 when contains(low, '{w}') then 4 when contains(hay, '{w}') then 2 else 0 end" for w in words)
+
+
+@query(f"""with c as (select p_partkey, p_name, p_brand, 'cut' || p_partkey % 50 || '.otio' as path, p_partkey % 2 as track, p_partkey // 100 as idx, p_size::bigint as dur from part),
+h as (select *, lower(p_name) as low, {_HAY} as hay, [x for x in regexp_split_to_array({_HAY}, '[^\\p{{L}}\\p{{N}}]+') if strlen(x) >= 2] as toks, coalesce(sum(dur) over (partition by path, track order by idx rows between unbounded preceding and 1 preceding), 0) as pos from c),
+s as (select *, {_clip_score(_WORDS)} as raw, {' and '.join(f"contains(hay, '{w}')" for w in _WORDS)} as every from h)
+select 'clip' as kind, path, p_name as clip, p_brand || '.mov' as media, lpad((pos // 24 // 3600)::varchar, 2, '0') || ':' || lpad((pos // 24 // 60 % 60)::varchar, 2, '0') || ':' || lpad((pos // 24 % 60)::varchar, 2, '0') || ':' || lpad((pos % 24)::varchar, 2, '0') as timecode,
+    (raw + case when raw > 0 and every then 5 else 0 end + case when track = 0 then 2 else 0 end)::int as score from s where raw > 0 order by score desc, path, clip, timecode limit 60""")
+def ranked_clips(spark, sf_dir):
+    """Clips of fifty timelines, on a video and an audio track each; no file of theirs matches."""
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("cut"), (k % 50).cast("string"), F.lit(".otio"))
+    clips = table(spark, sf_dir, "part").select(path.alias("path"), (k % 2).alias("track"), F.floor(k / 100).alias("idx"), (k % 2 == 0).alias("video"), F.col("p_name").alias("name"), F.concat(F.lit("media/"), "p_brand", F.lit(".mov")).alias("media"), F.col("p_size").cast("long").alias("dur"), F.lit(24).cast("long").alias("rate"))
+    return Q.ranked(clips.select("path").distinct(), clips, _WORDS, 60).withColumn("score", F.col("score").cast("int"))

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tesserae.functions import exact as X
 from tesserae.functions.note_grammar import note_ops as parse
 from tesserae.operators import activity as A
+from tesserae.operators import threeway as Y
 from tesserae.operators import views as V
+from tesserae.operators.store import numbered
 from tesserae.plans.activity import MS
 from tesserae.plans.derived import ENTRIES, FILES, JOURNAL, files, journal, manifest_entries, millis
 from tesserae.plans.registry import query, table
+from tesserae.scratch import saved
 
 _STATES = list(V.TRANSITIONS)
 
@@ -88,9 +91,9 @@ def version_stack(spark, sf_dir):
     return V.version_stack(v).withColumnRenamed("at", "at_key")
 
 
-@query(f"with {JOURNAL} select project_id, path, max(server_ms) as created, count(*) as raised from journal where kind = 'file_upsert' and event_id % 4 = 0 group by 1, 2")
+@query(f"with {JOURNAL} select project_id, path, max(server_ms) as created, count(*) as raised from journal where kind = 'file_upsert' group by 1, 2")
 def merge_offers(spark, sf_dir):
-    j = journal(spark, sf_dir).where("kind = 'file_upsert' and event_id % 4 = 0")
+    j = journal(spark, sf_dir).where("kind = 'file_upsert'")
     return V.offers(j.select("project_id", "path", F.col("server_ms").alias("created")))
 
 
@@ -176,10 +179,16 @@ def compressed_sizes(spark, sf_dir):
     return d.select("doc_id", F.octet_length("text").alias("raw"), X.zstd_size(F.col("text").cast("binary")).alias("packed"))
 
 
-@query()
+@query(f"""with recursive {ENTRIES}, seq as (select manifest, idx, row_number() over (partition by manifest order by chunk, idx) as n from entries),
+r as (select manifest, n, [idx] as tops from seq where n = 1 union all
+    select s.manifest, s.n, tops[1:len([y for y in tops if y < s.idx])] || [s.idx] || tops[len([y for y in tops if y < s.idx]) + 2:] from r join seq s on s.manifest = r.manifest and s.n = r.n + 1),
+stay as (select manifest, unnest(arg_max(tops, n)) as idx from r group by 1)
+select manifest, idx as moved from seq where not exists (select 1 from stay where stay.manifest = seq.manifest and stay.idx = seq.idx)""")
 def moved_items(spark, sf_dir):
-    e = manifest_entries(spark, sf_dir).groupBy("manifest").agg(F.array_sort(F.collect_list(F.struct("chunk", "idx"))).alias("e"))
-    return e.select("manifest", X.moved(F.transform("e", lambda x: x["idx"])).alias("moved")).where(F.size("moved") > 0)
+    """Lines of an order that moved, if its chunks were sorted; each manifest streams through its piles."""
+    e = saved(numbered(manifest_entries(spark, sf_dir), ["chunk", "idx"], ["manifest"], "n"))
+    kept = Y.moved_in_track(e, ["manifest"], "n", "idx")
+    return kept.where("not stays").join(e, ["manifest", "n"]).select("manifest", F.col("idx").alias("moved"))
 
 
 @query("select event_id, case when event_id % 5 in (0, 2, 3) then 'mechanical' else 'creative' end as part, (event_id % 5 in (0, 2, 3))::int as n_ops from events")

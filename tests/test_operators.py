@@ -18,6 +18,8 @@ from tesserae.operators import chunking as K
 from tesserae.operators import journal as J
 from tesserae.operators import records as R
 from tesserae.operators import store as S
+from tesserae.operators import search as Q
+from tesserae.operators import threeway as Y
 from tesserae.operators import timeline as T
 
 
@@ -157,8 +159,49 @@ def test_rationals_are_exact_or_refused(spark):
 
 
 def test_moves_follow_the_piles(spark):
-    df = spark.createDataFrame([([1, 2, 0],), ([0, 1, 2],), ([],)], "o array<long>")
-    assert [r.m for r in df.select(X.moved("o").alias("m")).collect()] == [[1], [], []]
+    rows = [(d, n, x) for d, seq in enumerate([[1, 2, 0], [0, 1, 2], [3, 0, 4, 1, 2]]) for n, x in enumerate(seq)]
+    got = Y.moved_in_track(spark.createDataFrame(rows, "doc long, n long, x long"), ["doc"], "n", "x")
+    at = {(d, n): x for d, n, x in rows}
+    assert {(r.doc, at[r.doc, r.n]) for r in got.where("not stays").collect()} == {(0, 1), (2, 3), (2, 4)}
+
+
+def test_search_over_projects_files_and_reviews(spark):
+    projects = spark.createDataFrame([("a", "Alpha cut"), ("b", "Beta"), ("c", "Gamma"), ("d", "cut of D")], "project string, display string")
+    paths = [("a", i, 30) for i in range(30)] + [("b", i, 30) for i in range(30)] + [("c", i, 5) for i in range(5)] + [("d", i, 3) for i in range(3)]
+    files = spark.createDataFrame([(p, f"{p}/Cut{i:02}.mov", "file") for p, i, _ in paths] + [("a", "a/cut", "dir")], "project string, path string, mode string")
+    reviews = spark.createDataFrame([("a", "CUT one"), ("b", "other")], "project string, title string")
+    got = [(r.kind, r.project, r.label) for r in Q.find(projects, files, reviews, "cUt").orderBy("rank").collect()]
+    want = [("project", "a", "Alpha cut"), ("project", "d", "cut of D")] + [("file", "a", f"a/Cut{i:02}.mov") for i in range(30)] + [("file", "b", f"b/Cut{i:02}.mov") for i in range(10)]
+    assert got == want + [("file", "c", "c/Cut00.mov"), ("file", "d", "d/Cut00.mov"), ("review", "a", "CUT one")]
+    assert Q.find(projects, files, reviews, "  ").count() == 0
+
+
+def test_ranked_clips_and_files(spark):
+    files = spark.createDataFrame([("x/red.mov",), ("y/blue.mov",)], "path string")
+    clips = [("cut.otio", 0, 0, True, "intro", "m/a.mov", 48, 24), ("cut.otio", 0, 1, True, "red car", "m/b.mov", 24, 24), ("cut.otio", 1, 0, False, "red car", "m/red.wav", 24, None), ("cut.otio", 0, 2, True, "", "m/red.mov", 24, 24)]
+    clips = spark.createDataFrame(clips, "path string, track long, idx long, video boolean, name string, media string, dur long, rate long")
+    got = [(r.kind, r.path, r.clip, r.timecode, r.score) for r in Q.ranked(files, clips, Q.words("RED a", spark), 9).collect()]
+    assert got == [("clip", "cut.otio", "red car", "00:00:02:00", 17), ("clip", "cut.otio", "red car", "00:00:00:00", 15), ("file", "x/red.mov", None, None, 15)]
+
+
+def test_icons_are_written_when_they_change(spark):
+    files = spark.createDataFrame([("p", "a", "synced"), ("p", "b", "dirty"), ("q", "c", "placeholder")], "project_id string, path string, local_state string")
+    none = spark.createDataFrame([], "project_id string, digest string, at_ms long")
+    first = {r.project_id: r for r in Q.overlays(files, none, 1, 1000).collect()}
+    assert all(r.write for r in first.values()) and {p: r.entries for p, r in first.items()} == {"p": 1, "q": 1}
+    seen = spark.createDataFrame([(p, r.digest, 1000) for p, r in first.items()], "project_id string, digest string, at_ms long")
+    write = lambda f, g, now: {r.project_id: r.write for r in Q.overlays(f, seen, g, now).collect()}
+    assert write(files.orderBy(F.desc("path")), 1, 60_999) == {"p": False, "q": False}
+    assert write(files, 1, 61_000) == {"p": True, "q": True} == write(files, 2, 1001)
+    changed = files.withColumn("local_state", F.when(F.col("path") == "b", "synced").otherwise(F.col("local_state")))
+    assert write(changed, 1, 1001) == {"p": True, "q": False}
+    assert Q.in_states(files, []).count() == 0 and Q.in_states(files, ["synced", "dirty"]).count() == 2
+
+
+def test_young_chunks_are_not_evicted(spark):
+    blobs = spark.createDataFrame([(i, 10, i, False) for i in range(10)], "hash long, size long, last_touched long, pinned boolean")
+    assert sorted(r.hash for r in S.lru_evict(blobs, 20).collect()) == list(range(8))
+    assert sorted(r.hash for r in S.lru_evict(blobs, 20, untouched_since=4).collect()) == [0, 1, 2, 3, 4]
 
 
 @pytest.mark.parametrize("frame, rate, text", [(0, 24, "00:00:00:00"), (-49, 24, "-00:00:02:01"), (90_000, 25, "01:00:00:00"), (7, 0, "7")])
