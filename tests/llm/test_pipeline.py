@@ -52,3 +52,27 @@ def test_stages(spark, sf_dir, tmp_path):
     for r in packing.pack(spark.createDataFrame(b)).collect():
         tokens[r.doc_id] += r.length
     assert pieces == tokens
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, path, rows):
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _, _ in rows if i is not None], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_an_empty_table(spark, tmp_path):
+    assert P.run(spark, tables(spark, tmp_path, [])).count() == 0
+
+
+def test_nulls_and_repeated_rows(spark, tmp_path):
+    """Of null and empty texts, which are equal, one row stays, as of repeated rows; rows without an id are documents too."""
+    rows = [(1, None, "a"), (2, "", "a"), (3, "one two three four five", "a"), (3, "one two three four five", "a"), (None, "another text without an id", "b"), (4, "words " * 3000, None), (5, "three five four nine ten six", "b")]
+    got = P.run(spark, tables(spark, tmp_path, rows)).collect()
+    ids = {r.doc_id for r in got}
+    assert {None, 3, 4, 5} <= ids and len(ids & {1, 2}) == 1
+    whole = packing.pack(spark.createDataFrame([(4, "words " * 3000)], "doc_id long, text string")).collect()
+    copies = {s for s in (r.start for r in got if r.doc_id == 4)}
+    assert 0 in copies and sum(r.length for r in got if r.doc_id == 4) % sum(r.length for r in whole) == 0
