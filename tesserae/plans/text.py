@@ -104,7 +104,7 @@ def _clip_score(words: list[str]) -> str:
     return " + ".join(f"case when list_contains(toks, '{w}') then 10 when len([x for x in toks if starts_with(x, '{w}')]) > 0 then 6 when contains(low, '{w}') then 4 when contains(hay, '{w}') then 2 else 0 end" for w in words)
 
 
-@query(f"""with c as (select p_partkey, p_name, p_brand, 'cut' || p_partkey % 50 || '.otio' as path, p_partkey % 2 as track, p_partkey // 100 as idx, p_size::bigint as dur from part),
+@query(f"""with c as (select p_partkey, p_name, p_brand, 'cut' || p_partkey % 50 || '.otio' as path, p_partkey // 50 % 2 as track, p_partkey // 100 as idx, p_size::bigint as dur from part),
 h as (select *, lower(p_name) as low, {_HAY} as hay, [x for x in regexp_split_to_array({_HAY}, '[^\\p{{L}}\\p{{N}}]+') if strlen(x) >= 2] as toks, coalesce(sum(dur) over (partition by path, track order by idx rows between unbounded preceding and 1 preceding), 0) as pos from c),
 s as (select *, {_clip_score(_WORDS)} as raw, {' and '.join(f"contains(hay, '{w}')" for w in _WORDS)} as every from h)
 select 'clip' as kind, path, p_name as clip, p_brand || '.mov' as media, lpad((pos // 24 // 3600)::varchar, 2, '0') || ':' || lpad((pos // 24 // 60 % 60)::varchar, 2, '0') || ':' || lpad((pos // 24 % 60)::varchar, 2, '0') || ':' || lpad((pos % 24)::varchar, 2, '0') as timecode,
@@ -113,5 +113,5 @@ def ranked_clips(spark, sf_dir):
     """Clips of fifty timelines, on a video and an audio track each; no file of theirs matches."""
     k = F.col("p_partkey")
     path = F.concat(F.lit("cut"), (k % 50).cast("string"), F.lit(".otio"))
-    clips = table(spark, sf_dir, "part").select(path.alias("path"), (k % 2).alias("track"), F.floor(k / 100).alias("idx"), (k % 2 == 0).alias("video"), F.col("p_name").alias("name"), F.concat(F.lit("media/"), "p_brand", F.lit(".mov")).alias("media"), F.col("p_size").cast("long").alias("dur"), F.lit(24).cast("long").alias("rate"))
+    clips = table(spark, sf_dir, "part").select(path.alias("path"), (F.floor(k / 50) % 2).alias("track"), F.floor(k / 100).alias("idx"), (F.floor(k / 50) % 2 == 0).alias("video"), F.col("p_name").alias("name"), F.concat(F.lit("media/"), "p_brand", F.lit(".mov")).alias("media"), F.col("p_size").cast("long").alias("dur"), F.lit(24).cast("long").alias("rate"))
     return Q.ranked(clips.select("path").distinct(), clips, _WORDS, 60).withColumn("score", F.col("score").cast("int"))
