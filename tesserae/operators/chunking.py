@@ -118,33 +118,33 @@ def _xor(cells: list) -> np.ndarray:
 
 
 def xor_parity(shards: DataFrame) -> DataFrame:
-    """(stripe, parity hex): the exclusive or of a stripe's shards (stripe, text) byte by byte, shorter ones padded with zeros.
+    """(stripe, parity hex): the exclusive or of a stripe's shards (stripe, data binary) byte by byte, shorter ones padded with zeros.
 
     A stripe has few shards; one without bytes has no parity.
     """
 
     def one(rows: pa.Table) -> pa.Table:
-        parity = _xor([x.as_py().encode() for x in rows.column("text") if x.as_py()])
+        parity = _xor([x.as_buffer() for x in rows.column("data") if x.as_py()])
         return pa.table({"stripe": rows.column("stripe")[: min(1, len(parity))], "parity": pa.array([parity.tobytes().hex()][: min(1, len(parity))], pa.string())})
 
-    return shards.select("stripe", "text").groupBy("stripe").applyInArrow(one, "stripe long, parity string")
+    return shards.select("stripe", "data").groupBy("stripe").applyInArrow(one, "stripe long, parity string")
 
 
 def recover(shards: DataFrame, parity: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(stripe, shard, text): the one lost shard of each stripe from those left (stripe, shard, text), the parity and the sizes (stripe, shard, size) of all.
+    """(stripe, shard, data): the one lost shard of each stripe from those left (stripe, shard, data), the parity and the sizes (stripe, shard, size) of all.
 
     A stripe that lost more than one shard, or none, gives nothing.
     """
     lost = sizes.join(shards.select("stripe", "shard"), ["stripe", "shard"], "left_anti")
     one = lost.groupBy("stripe").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.min("size").alias("size")).where("n = 1").drop("n")
-    left = shards.join(one.select("stripe"), "stripe", "left_semi").select("stripe", F.encode("text", "UTF-8").alias("data"))
+    left = shards.join(one.select("stripe"), "stripe", "left_semi").select("stripe", "data")
     every = left.unionByName(parity.join(one.select("stripe"), "stripe", "left_semi").select("stripe", F.unhex("parity").alias("data")))
 
     def back(rows: pa.Table) -> pa.Table:
-        return pa.table({"stripe": rows.column("stripe")[:1], "data": pa.array([_xor([x.as_py() for x in rows.column("data") if x.as_py()]).tobytes()], pa.binary())})
+        return pa.table({"stripe": rows.column("stripe")[:1], "data": pa.array([_xor([x.as_buffer() for x in rows.column("data") if x.as_py()]).tobytes()], pa.binary())})
 
     whole = every.groupBy("stripe").applyInArrow(back, "stripe long, data binary")
-    return whole.join(one, "stripe").select("stripe", "shard", F.decode(F.substring("data", F.lit(1), F.col("size")), "UTF-8").alias("text"))
+    return whole.join(one, "stripe").select("stripe", "shard", F.substring("data", F.lit(1), F.col("size")).alias("data"))
 
 
 def longest_prefix(paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -53,16 +53,17 @@ def blob_chunks(spark, sf_dir):
 @query("""with b as (select p_partkey // 8 as stripe, unnest(range(1, length(p_name) + 1)) as pos, p_name from part), x as (select stripe, pos, bit_xor(ascii(p_name[pos::int])) as v from b group by 1, 2)
 select stripe, string_agg(lpad(lower(to_hex(v)), 2, '0'), '' order by pos) as parity from x group by 1""")
 def xor_parity(spark, sf_dir):
-    return K.xor_parity(table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 8).alias("stripe"), F.col("p_name").alias("text")))
+    return K.xor_parity(table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 8).alias("stripe"), F.encode("p_name", "UTF-8").alias("data")))
 
 
 @query("select p_partkey // 8 as stripe, p_partkey % 8 as shard, p_name as text from part where p_partkey % 8 = p_partkey // 8 % 8 and p_partkey // 8 % 3 > 0")
 def parity_recovery(spark, sf_dir):
     k = F.col("p_partkey")
-    every = table(spark, sf_dir, "part").select(F.floor(k / 8).alias("stripe"), (k % 8).alias("shard"), F.col("p_name").alias("text"))
+    every = table(spark, sf_dir, "part").select(F.floor(k / 8).alias("stripe"), (k % 8).alias("shard"), F.encode("p_name", "UTF-8").alias("data"))
     lost = F.expr("shard = stripe % 8 or (stripe % 3 = 0 and shard = (stripe + 1) % 8)")  # of every third stripe two
-    sizes = every.select("stripe", "shard", F.octet_length("text").alias("size"))
-    return K.recover(every.where(~lost), K.xor_parity(every), sizes).where("stripe % 3 > 0")
+    sizes = every.select("stripe", "shard", F.octet_length("data").alias("size"))
+    back = K.recover(every.where(~lost), K.xor_parity(every), sizes).where("stripe % 3 > 0")
+    return back.select("stripe", "shard", F.decode("data", "UTF-8").alias("text"))
 
 
 _SAID = """case event_id % 5 when 0 then [('trim_out', (2 * k + 1) || '/2'), ('gain', k::varchar)] when 1 then [('trim_in', '1/2'), ('delete', '')] when 2 then [('replace', 'the wide shot')] when 3 then [('trim_out', k::varchar)] else [('gain', '-3')] end"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae import plans
 from tesserae.operators import blobs as B
+from tesserae.operators import chunking as K
 from tesserae.operators import views as V
 from tesserae.operators.chunking import PROFILES, gear_table
 
@@ -126,3 +127,14 @@ def test_characters_cut_in_two(spark):
     store = spark.createDataFrame([(sha(p), bytearray(p)) for p in set(parts)], "hash string, data binary")
     r = V.assembled(entries, store).first()
     assert bytes(r.content) == raw and r.valid
+
+
+def test_a_lost_binary_shard_comes_back(spark):
+    rng = random.Random(8)
+    shards = [(s, i, bytearray(rng.randbytes(rng.randrange(1, 90)))) for s in range(6) for i in range(4)]
+    every = spark.createDataFrame(shards, "stripe long, shard long, data binary")
+    sizes = every.select("stripe", "shard", F.octet_length("data").alias("size"))
+    parity = K.xor_parity(every)
+    left = every.where("not (shard = stripe % 4) and not (stripe = 5 and shard = 3)")
+    got = {(r.stripe, r.shard): bytes(r.data) for r in K.recover(left, parity, sizes).collect()}
+    assert got == {(s, i): bytes(d) for s, i, d in shards if i == s % 4 and s < 5}
