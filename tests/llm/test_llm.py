@@ -165,7 +165,7 @@ def test_exact_odd_rows(spark):
 
 def test_exact_is_right_with_a_full_filter(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(exact, "BITS_PER_ROW", 1)
-    monkeypatch.setattr(exact, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(exact, "BROADCAST_WORDS", 4)  # several parts
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     groups = collections.defaultdict(list)
     for r in d.collect():
@@ -174,6 +174,29 @@ def test_exact_is_right_with_a_full_filter(spark, sf_dir, monkeypatch):
     assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact.duplicates(d).collect()} == want
 
 
+@pytest.mark.parametrize("words, groups", [(1 << 22, 1 << 20), (3, 2)])
+def test_exact_in_parts_keeps_the_same_rows(spark, monkeypatch, words, groups):
+    """One text has a third of all rows; winners that occur twice stay once, with all their columns."""
+    monkeypatch.setattr(exact, "BROADCAST_WORDS", words)
+    monkeypatch.setattr(exact, "BROADCAST_GROUPS", groups)
+    rows = [(i, f"text number {i % 90}" + " " * (i % 7)) for i in range(200)] + [(1000 + i, "hot text") for i in range(120)]
+    rows += [(7, "text number 7 " + " " * 9)] * 2 + [(None, "no id"), (None, "no id"), (500, None), (501, " \t")]
+    best = {}
+    for i, t in rows:
+        key = re.sub("[\x20\x09-\x0d]", "", t or "")
+        best[key] = min(best.get(key, (0, True, 0)), (-len(t or ""), i is None, i or 0))
+    d = clashing(spark, rows)
+    out = exact.keep_best(d)
+    assert out.columns == d.columns
+    got = sorted((-len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    assert got == sorted(best.values())
+
+
+def test_exact_keeps_texts_out_of_shuffles(spark, sf_dir):
+    out = exact.keep_best(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
 def _words(text):
     return (text or "").encode().lower().split()
 
