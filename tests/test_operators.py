@@ -204,6 +204,22 @@ def test_young_chunks_are_not_evicted(spark):
     assert sorted(r.hash for r in S.lru_evict(blobs, 20, untouched_since=4).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_eviction_has_no_least_age(spark, tmp_path):
+    from tesserae import plans
+
+    when = "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, cast(id as int))"
+    spark.range(10).selectExpr("id + 1 as p_partkey", "1 as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(10).selectExpr("id + 1 as l_partkey", f"{when} as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    # ten chunks of 1,000 bytes within ten days; the oldest five bring them to half
+    assert sorted(r.hash for r in plans.queries()["lru_evict"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_peaks_of_long_recordings(spark):
+    got = A.peaks(spark.createDataFrame([(7, 0.5), (2_999_999, -1.0)], "frame long, v double"), 10, 300_000)
+    assert got.count() == 300_000
+    assert {(r.bin, r.lo, r.hi) for r in got.where("bin in (0, 1, 299999)").collect()} == {(0, 0.5, 0.5), (1, 0.0, 0.0), (299_999, -1.0, -1.0)}
+
+
 @pytest.mark.parametrize("frame, rate, text", [(0, 24, "00:00:00:00"), (-49, 24, "-00:00:02:01"), (90_000, 25, "01:00:00:00"), (7, 0, "7")])
 def test_timecode(spark, frame, rate, text):
     assert spark.range(1).select(C.timecode(F.lit(frame).cast("long"), F.lit(rate)).alias("t")).first().t == text
