@@ -7,7 +7,7 @@ are value / rate. A document that can't be read is one row of kind ``error`` who
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,45 +46,68 @@ def _rest(v: Column) -> Column:
     return F.when(F.size(fields) > 0, F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")))
 
 
+#: An item on its way through the levels of a document.
+_PLACED = "array<struct<track:bigint,path:array<int>,inside:string,track_name:string,track_kind:string,idx:int,i:variant>>"
+
+
+def _tracks(found: Column, path: Callable[[Column], Column], inside: Column) -> Column:
+    """The things in ``found`` as tracks of items; what isn't a track is alone on one of its own, and those without items are left out."""
+
+    def one(t: Column, n: Column) -> Column:
+        is_track = _schema(t) == "track"
+        own = F.when(is_track, _list(t, "$.children")).otherwise(F.array(t))
+        return F.struct(path(n).alias("path"), inside.alias("inside"), F.when(is_track, _get(t, "$.name")).alias("name"), _get(t, "$.kind").alias("kind"), own.alias("own"))
+
+    return F.filter(F.transform(found, one), lambda t: F.size(t["own"]) > 0)
+
+
+def _items(tracks: Column, before: Column) -> Column:
+    """The items of ``tracks``, which are numbered from ``before``."""
+    item = lambda t, n, i, k: F.struct((before + n).alias("track"), t["path"].alias("path"), t["inside"].alias("inside"), t["name"].alias("track_name"), t["kind"].alias("track_kind"), k.alias("idx"), i.alias("i"))
+    return F.flatten(F.transform(tracks, lambda t, n: F.transform(t["own"], lambda i, k: item(t, n, i, k))))
+
+
+def _held(r: Column) -> Column:
+    """The tracks that an item holds."""
+    nested = _schema(r["i"])
+    # a stack holds tracks; a track in a track is one of its own, where it isn't the whole of it
+    held = F.when(nested == "stack", _list(r["i"], "$.children")).when((nested == "track") & r["track_name"].isNotNull(), F.array(r["i"])).otherwise(F.array().cast("array<variant>"))
+    inside = F.concat(F.array_join(F.transform(r["path"], lambda p: p.cast("string")), "."), F.lit("/"), r["idx"].cast("string"))
+    return _tracks(held, lambda n: F.concat(r["path"], F.array(r["idx"], n)), inside)
+
+
 def otio(docs: DataFrame) -> DataFrame:
     """The items of JSON timelines (doc, text). Tracks in tracks and stacks are items, and what they hold follows on tracks of its own.
 
     Tracks are numbered in the order of the document, those inside behind the ones that hold them; ``inside`` is the
-    track and place of the item that holds an item's track, level by level, to a bounded depth.
+    track and place of the item that holds an item's track, level by level, to a bounded depth. A document is read where its row is.
     """
+    v = F.col("v")
     parsed = docs.select("doc", F.try_parse_json("text").alias("v"))
-    fine = F.coalesce(_get(F.col("v"), "$.OTIO_SCHEMA").startswith("Timeline."), F.lit(False))
-    errors = parsed.where(~fine).select("doc", F.when(F.col("v").isNull(), "no JSON").otherwise("not a timeline").alias("extra"))
-    top = parsed.where(fine).select("doc", F.posexplode(_list(F.col("v"), "$.tracks.children")).alias("n", "t"))
-    # a track's place is the path of places that leads to it; paths sort in the order of the document
-    level = saved(top.select("doc", F.array("n").alias("path"), F.lit("").alias("inside"), "t"))
-    items: list[DataFrame] = []
-    for _ in range(DEPTH):
-        is_track = _schema(F.col("t")) == "track"
-        own = F.when(is_track, _list(F.col("t"), "$.children")).otherwise(F.array("t"))
-        each = level.select("doc", "path", "inside", F.when(is_track, _get(F.col("t"), "$.name")).alias("track_name"), _get(F.col("t"), "$.kind").alias("track_kind"), F.posexplode(own).alias("idx", "i"))
-        each = saved(each)
-        items.append(each)
-        nested = _schema(F.col("i"))
-        # a stack holds tracks; a track in a track is one of its own, where it isn't the whole of it
-        held = F.when(nested == "stack", _list(F.col("i"), "$.children")).when((nested == "track") & F.col("track_name").isNotNull(), F.array("i"))
-        inner = each.where(held.isNotNull()).select("doc", "path", "idx", F.posexplode(held).alias("n", "t"))
-        level = saved(inner.select("doc", F.concat("path", F.array("idx", "n")).alias("path"), F.concat(F.array_join(F.transform("path", lambda p: p.cast("string")), "."), F.lit("/"), F.col("idx").cast("string")).alias("inside"), "t"))
-        if not level.take(1):
-            break
-    rows = reduce(DataFrame.unionByName, items)
-    tracks = rows.select("doc", "path").distinct().withColumn("track", (F.row_number().over(Window.partitionBy("doc").orderBy(F.size("path"), "path")) - 1).cast("long"))
+    wrong = F.when(v.isNull(), "no JSON").when(~F.coalesce(_get(v, "$.OTIO_SCHEMA").startswith("Timeline."), F.lit(False)), "not a timeline")
+    top = _items(_tracks(_list(v, "$.tracks.children"), lambda n: F.array(n), F.lit("")), F.lit(0).cast("long"))
+
+    def deeper(s: Column, _: Column) -> Column:
+        """What is done and the items of a level, from those of the level above."""
+        last = F.get(s["level"], F.size(s["level"]) - 1)
+        below = _items(F.flatten(F.transform(s["level"], _held)), last["track"] + 1)
+        return F.when(F.size(s["level"]) == 0, s).otherwise(F.struct(F.concat(s["done"], s["level"]).alias("done"), below.alias("level")))
+
+    levels = F.sequence(F.lit(2), F.lit(DEPTH))
+    every = F.aggregate(levels, F.struct(F.array().cast(_PLACED).alias("done"), top.cast(_PLACED).alias("level")), deeper, lambda s: F.concat(s["done"], s["level"]))
+    rows = parsed.select("doc", wrong.alias("wrong"), "v").select("doc", "wrong", F.explode(F.when(F.col("wrong").isNull(), every).otherwise(F.array(F.lit(None)))).alias("r"))
+    rows = rows.select("doc", "wrong", "r.*")
     i = F.col("i")
+    fine = lambda c: F.when(F.col("wrong").isNull(), c)
     active = F.coalesce(_get(i, "$.active_media_reference_key"), F.lit("DEFAULT_MEDIA"))
     media = F.element_at(_get(i, "$.media_references", "map<string,variant>"), active)
     url = F.coalesce(_get(media, "$.target_url"), _get(i, "$.media_reference.target_url"))
     time = lambda part, what: _get(i, f"$.source_range.{part}.{what}", _TIME)
-    out = rows.join(tracks, ["doc", "path"]).select(
-        "doc", "track", "track_name", "track_kind", F.col("idx").cast("long").alias("idx"), _schema(i).alias("kind"), F.coalesce(_get(i, "$.name"), F.lit("")).alias("name"), _get(i, "$.metadata.uuid").alias("uuid"),
+    return rows.select(
+        "doc", "track", "track_name", "track_kind", F.col("idx").cast("long").alias("idx"), F.coalesce(fine(_schema(i)), F.lit("error")).alias("kind"), fine(F.coalesce(_get(i, "$.name"), F.lit(""))).alias("name"), _get(i, "$.metadata.uuid").alias("uuid"),
         time("start_time", "value").alias("start_value"), time("start_time", "rate").alias("start_rate"), time("duration", "value").alias("dur_value"), time("duration", "rate").alias("dur_rate"),
-        url.alias("media"), F.size(_list(i, "$.effects")).cast("long").alias("effects"), F.size(_list(i, "$.markers")).cast("long").alias("markers"), F.nullif("inside", F.lit("")).alias("inside"), _rest(i).alias("extra"),
-    )
-    return out.unionByName(errors.withColumn("kind", F.lit("error")), allowMissingColumns=True).select(*ITEM)
+        url.alias("media"), fine(F.size(_list(i, "$.effects")).cast("long")).alias("effects"), fine(F.size(_list(i, "$.markers")).cast("long")).alias("markers"), F.nullif("inside", F.lit("")).alias("inside"), F.coalesce("wrong", _rest(i)).alias("extra"),
+    ).select(*ITEM)
 
 
 # Elements of a spine that are items, what they are, and attributes that the columns hold.
