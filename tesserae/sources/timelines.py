@@ -1,4 +1,4 @@
-"""Timeline documents as rows of items: JSON by VARIANT paths, XML by a lateral table function.
+"""Timeline documents as rows of items: JSON by VARIANT paths, XML by its elements.
 
 Both give (doc, track, track_name, track_kind, idx, kind, name, uuid, start_value, start_rate, dur_value, dur_rate,
 media, effects, markers, inside, extra). Times stay the pair of value and rate that the document has, exactly, so seconds
@@ -8,12 +8,11 @@ are value / rate. A document that can't be read is one row of kind ``error`` who
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.scratch import saved
 from tesserae.workers import by_value
 
 by_value(__name__)
@@ -115,38 +114,85 @@ _ITEMS = {"asset-clip": "clip", "clip": "clip", "video": "clip", "audio": "clip"
 _ATTRS = ["name", "start", "duration", "ref", "offset", "id", "lane"]
 
 
-class _Elements:
-    """The elements of an XML text in the order of the document, with the number of the one that holds each."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What rows are made of: all that lies in a spine in or as an item, assets with the place of their media, and problems.
 
-    def eval(self, text: str) -> Iterator[tuple]:
-        import xml.etree.ElementTree as ET
-
-        if text is None:
-            yield None, None, None, None, "no text"
-            return
-        pull, path, n = ET.XMLPullParser(["start", "end"]), [], 0
-        try:
-            for at in range(0, len(text), 1 << 16):
-                pull.feed(text[at : at + (1 << 16)])
-                for event, e in pull.read_events():
-                    if event == "start":
-                        yield n, path[-1] if path else None, e.tag, dict(e.attrib), None
-                        path.append(n)
-                        n += 1
-                    else:
-                        path.pop()
-                        e.clear()
-            pull.close()
-        except ET.ParseError as problem:
-            yield None, None, None, None, str(problem)[:200]
-
-
-_ELEMENT = "n int, held_by int, tag string, attrs map<string,string>, problem string"
+    ``of`` is the element that a row tells of: an item or asset itself, the item around what lies in one; problems tell of -1.
+    Attributes are kept where columns come from them.
+    """
+    import xml.etree.ElementTree as ET
+
+    class Rows:
+        def __init__(self):
+            self.row, self.rows, self.keys, self.values, self.ends = 0, [], [], [], [0]
+
+        def open(self, row):
+            # of what is open: its number, whether it is or lies in a spine, the nearest item, an asset's attributes, its first media
+            self.row, self.n, self.path = row, 0, [(None, False, None, None, [])]
+
+        def add(self, of, n, tag, spine, problem, attrs):
+            self.rows.append((self.row, of, n, tag, spine, problem))
+            if attrs:
+                self.keys.extend(attrs)
+                self.values.extend(attrs.values())
+            self.ends.append(len(self.keys))
+
+        def start(self, tag, attrs):
+            n, (_, spine, item, asset, found) = self.n, self.path[-1]
+            if n == 0 and (tag != "fcpxml" or not attrs.get("version", "").startswith("1.")):
+                self.add(-1, n, tag, False, "not a project of version 1", None)
+            if spine and tag in _ITEMS:
+                self.add(n, n, tag, True, None, attrs)
+                item = n
+            elif item is not None:
+                self.add(item, n, tag, True, None, None)
+            if tag == "media-rep" and asset is not None:
+                found.append(attrs.get("src"))
+            self.path.append((n, spine or tag == "spine", item, attrs if tag == "asset" else None, []))
+            self.n = n + 1
+
+        def end(self, tag):
+            n, _, _, asset, found = self.path.pop()
+            if asset is not None:
+                src = found[0] if found and found[0] is not None else asset.get("src")
+                self.add(n, n, tag, False, None, {"id": asset.get("id"), "src": src})
+
+        def close(self):
+            pass
+
+        def batch(self, docs):
+            row, of, n, tag, spine, problem = zip(*self.rows) if self.rows else [[]] * 6
+            attrs = pa.MapArray.from_arrays(pa.array(self.ends, "int32"), pa.array(self.keys, "string"), pa.array(self.values, "string"))
+            out = [docs.take(pa.array(row, "int32")), pa.array(of, "int32"), pa.array(n, "int32"), pa.array(tag, "string"), pa.array(spine, "bool"), pa.array(problem, "string"), attrs]
+            self.rows, self.keys, self.values, self.ends = [], [], [], [0]
+            return pa.RecordBatch.from_arrays(out, ["doc", "of", "n", "tag", "spine", "problem", "attrs"])
+
+    for batch in batches:
+        rows, docs = Rows(), batch.column(0)
+        for k in range(batch.num_rows):
+            text = batch.column(1)[k].as_py()
+            rows.open(k)
+            if text is None:
+                rows.add(-1, None, None, False, "no text", None)
+                continue
+            parser = ET.XMLParser(target=rows)
+            try:
+                for at in range(0, len(text), 1 << 16):
+                    parser.feed(text[at : at + (1 << 16)])
+                    if len(rows.ends) > 50_000:
+                        yield rows.batch(docs)
+                parser.close()
+            except ET.ParseError as problem:
+                rows.add(-1, None, None, False, str(problem)[:200], None)
+        yield rows.batch(docs)
+
+
+_ELEMENT = [("of", "int"), ("n", "int"), ("tag", "string"), ("spine", "boolean"), ("problem", "string"), ("attrs", "map<string,string>")]
 
 
 def _ticks(c: Column) -> tuple[Column, Column]:
     """Value and rate of a time such as 3600/2400s or 5s."""
-    plain = F.regexp_replace(c, "s$", "")
+    plain = F.when(c.endswith("s"), c.substr(F.lit(1), F.length(c) - 1)).otherwise(c)
     return F.split_part(plain, F.lit("/"), F.lit(1)).cast(_TIME), F.when(plain.contains("/"), F.split_part(plain, F.lit("/"), F.lit(2))).otherwise(F.when(c.isNotNull(), "1")).cast(_TIME)
 
 
@@ -157,52 +203,43 @@ def fcpxml(docs: DataFrame) -> DataFrame:
     behind V1, nearest first, then those above it; audio comes last. A marker is of the nearest item that holds it.
     ``extra`` has, as JSON, the element's own attributes, its tag where it isn't a plain clip, and ``lost``, the tags below it that rows don't hold.
     """
-    from pyspark.sql.functions import udtf
-
-    table = udtf(_Elements, returnType=_ELEMENT, useArrow=False)
-    e = saved(docs.select("doc", "text").lateralJoin(table(F.col("text").outer())).drop("text"))
-    wrong = e.where("n = 0 and (tag <> 'fcpxml' or not coalesce(attrs['version'], '') like '1.%')").select("doc", F.lit("not a project of version 1").alias("extra"))
-    errors = e.where("problem is not null").select("doc", F.col("problem").alias("extra")).unionByName(wrong).groupBy("doc").agg(F.min("extra").alias("extra"))
-    e = e.join(errors.select("doc"), "doc", "left_anti")
-    # whether each element lies in a spine, and in which item: what is known of a level goes down to the next
-    item = F.col("tag").isin(list(_ITEMS))
-    level = e.where("held_by is null").select("doc", "n", "tag", "attrs", F.lit(False).alias("spine"), F.lit(None).cast("int").alias("item"))
-    levels = []
-    for _ in range(64):
-        level = saved(level)
-        if not level.take(1):
-            break
-        levels.append(level)
-        up = level.select("doc", F.col("n").alias("held_by"), (F.col("spine") | (F.col("tag") == "spine")).alias("spine"), F.when(F.col("spine") & item, F.col("n")).otherwise(F.col("item")).alias("item"))
-        level = e.join(up, ["doc", "held_by"]).select("doc", "n", "tag", "attrs", "spine", "item")
-    if not levels:
-        levels = [level]
-    placed = reduce(DataFrame.unionByName, levels).where("spine")
     attr = lambda name: F.col("attrs")[name]
-    assets = e.where("tag = 'asset'").select("doc", "n", attr("id").alias("_id"), attr("src").alias("_src"))
-    reps = e.where("tag = 'media-rep'").select("doc", F.col("held_by").alias("n"), attr("src").alias("_rep")).groupBy("doc", "n").agg(F.first("_rep").alias("_rep"))
-    assets = assets.join(reps, ["doc", "n"], "left").groupBy("doc", "_id").agg(F.max_by(F.coalesce("_rep", "_src"), "n").alias("media"))
-    below = placed.where("item is not null").groupBy("doc", F.col("item").alias("n")).agg(
-        F.count_if(F.col("tag") == "marker").alias("markers"), F.array_sort(F.collect_set(F.when(~item & ~F.col("tag").isin("marker", "note", "spine"), F.col("tag")))).alias("lost")
+    schema = docs.select("doc", *(F.lit(None).cast(kind).alias(name) for name, kind in _ELEMENT)).schema
+    e = docs.select("doc", "text").mapInArrow(_texts, schema)
+    item, is_asset = F.col("spine") & F.col("tag").isin(list(_ITEMS)), ~F.col("spine") & (F.col("tag") == "asset")
+    own = F.map_filter("attrs", lambda k, _: ~k.isin(_ATTRS))
+    e = e.select(
+        "doc", "of", "n", "tag", "spine", F.col("problem").alias("wrong"), *(attr(a).alias(a) for a in ("name", "start", "duration", "offset", "lane", "src")),
+        F.when(is_asset, attr("id")).otherwise(attr("ref")).alias("ref"), F.when(item & (F.size(own) > 0), own).alias("own"),
     )
-    lane = F.when(F.col("tag") == "audio", F.lit(2**62)).otherwise(F.coalesce(F.expr("try_cast(attrs['lane'] as bigint)"), F.lit(0)))
-    rows = placed.where(item).withColumn("_id", attr("ref")).join(assets, ["doc", "_id"], "left").join(below, ["doc", "n"], "left").withColumn("_lane", lane)
+    # one shuffle of elements by document; all that follows are windows inside it
+    e = e.repartition("doc")
+    told, below = Window.partitionBy("doc", "of"), F.col("spine") & ~item
+    e = e.withColumn("first", F.row_number().over(told.orderBy(F.col("wrong").asc_nulls_last())) == 1)
+    e = e.withColumns({
+        "markers": F.count_if(below & (F.col("tag") == "marker")).over(told), "lost": F.array_sort(F.collect_set(F.when(below & ~F.col("tag").isin("marker", "note", "spine"), F.col("tag"))).over(told)),
+    })
+    e = e.withColumn("extra", F.min("wrong").over(Window.partitionBy("doc")))
+    error = F.col("extra").isNotNull()
+    e = e.where((~error & (item | is_asset)) | (error & F.col("first") & (F.col("of") == -1)))
+    media = F.max_by(F.when(is_asset, F.col("src")), F.when(is_asset, F.col("n"))).over(Window.partitionBy("doc", "ref"))
+    rows = e.withColumn("media", F.when(F.col("ref").isNotNull(), media)).where(~is_asset | error)
+    lane = F.when(F.col("tag") == "audio", F.lit(2**62)).otherwise(F.coalesce(F.col("lane").try_cast("bigint"), F.lit(0)))
     # V1, then lanes below the spine from the nearest, then those above, then audio
     rank = F.when(F.col("_lane") == 0, F.lit(-(2**62))).when(F.col("_lane") < 0, -F.lit(2**61) - F.col("_lane")).otherwise(F.col("_lane"))
-    names = rows.select("doc", rank.alias("_rank"), F.when(F.col("_lane") == 2**62, "A1").when(F.col("_lane") == 0, "V1").otherwise(F.concat(F.lit("V"), (F.greatest("_lane", F.lit(1)) + 1).cast("string"))).alias("track_name")).distinct()
-    names = names.withColumn("track", (F.row_number().over(Window.partitionBy("doc").orderBy("_rank")) - 1).cast("long"))
-    rows = rows.withColumn("_rank", rank).join(names, ["doc", "_rank"])
-    times = {p: _ticks(attr(a)) for p, a in (("start", "start"), ("dur", "duration"), ("offset", "offset"))}
-    own = F.map_filter("attrs", lambda k, _: ~k.isin(_ATTRS))
-    more = F.to_json(F.struct(F.when(F.size(own) > 0, own).alias("attrs"), F.when(~F.col("tag").isin("asset-clip", "clip", "gap", "transition"), F.col("tag")).alias("element"), F.when(F.size("lost") > 0, F.col("lost")).alias("lost")))
+    rows = rows.withColumn("_lane", lane).withColumn("_rank", rank)
+    rows = rows.withColumn("idx", (F.row_number().over(Window.partitionBy("doc", "_rank").orderBy("n")) - 1).cast("long"))
+    rows = rows.withColumn("track", (F.dense_rank().over(Window.partitionBy("doc").orderBy("_rank")) - 1).cast("long"))
+    name = F.when(F.col("_lane") == 2**62, "A1").when(F.col("_lane") == 0, "V1").otherwise(F.concat(F.lit("V"), (F.greatest("_lane", F.lit(1)) + 1).cast("string")))
+    times = {p: _ticks(F.col(a)) for p, a in (("start", "start"), ("dur", "duration"), ("offset", "offset"))}
+    more = F.to_json(F.struct(F.col("own").alias("attrs"), F.when(~F.col("tag").isin("asset-clip", "clip", "gap", "transition"), F.col("tag")).alias("element"), F.when(F.size("lost") > 0, F.col("lost")).alias("lost")))
     kind = F.element_at(F.create_map(*(F.lit(x) for p in _ITEMS.items() for x in p)), F.col("tag"))
-    out = rows.select(
-        "doc", "track", "track_name", F.when(F.col("track_name") == "A1", "Audio").otherwise("Video").alias("track_kind"), (F.row_number().over(Window.partitionBy("doc", "track").orderBy("n")) - 1).cast("long").alias("idx"),
-        kind.alias("kind"), F.coalesce(attr("name"), F.lit("")).alias("name"), F.lit(None).cast("string").alias("uuid"), *(c.alias(f"{p}_{w}") for p, pair in times.items() for w, c in zip(("value", "rate"), pair)),
-        "media", F.lit(0).cast("long").alias("effects"), F.coalesce("markers", F.lit(0)).alias("markers"), F.lit(None).cast("string").alias("inside"), F.nullif(more, F.lit("{}")).alias("extra"),
-    )
-    out = out.unionByName(errors.withColumn("kind", F.lit("error")), allowMissingColumns=True)
-    return out.select(*ITEM, "offset_value", "offset_rate")
+    fine = lambda c: F.when(~error, c)
+    return rows.select(
+        "doc", fine(F.col("track")).alias("track"), fine(name).alias("track_name"), fine(F.when(name == "A1", "Audio").otherwise("Video")).alias("track_kind"), fine(F.col("idx")).alias("idx"),
+        F.when(error, "error").otherwise(kind).alias("kind"), fine(F.coalesce("name", F.lit(""))).alias("name"), F.lit(None).cast("string").alias("uuid"), *(fine(c).alias(f"{p}_{w}") for p, pair in times.items() for w, c in zip(("value", "rate"), pair)),
+        fine(F.col("media")).alias("media"), fine(F.lit(0).cast("long")).alias("effects"), fine(F.col("markers")).alias("markers"), F.lit(None).cast("string").alias("inside"), F.coalesce("extra", F.nullif(more, F.lit("{}"))).alias("extra"),
+    ).select(*ITEM, "offset_value", "offset_rate")
 
 
 def losses(items: DataFrame) -> DataFrame:

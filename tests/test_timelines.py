@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -73,6 +74,27 @@ def test_xml_lanes_and_offsets(spark):
     assert {(r.tag, r["items"]) for r in lost} == {("adjust-volume", 1), ("param", 1), ("text", 1)}
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_readers_write_no_tables(spark):
+    """A JSON document is read where its row is; the elements of XML are dealt once, by document."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = sorted(os.listdir(shared)) if os.path.isdir(shared) else []
+    texts = spark.createDataFrame([("d", doc(track(CLIP)))], "doc string, text string")
+    assert exchanges(T.otio(texts)) == 0 and exchanges(T.fcpxml(texts)) == 1
+    assert before == (sorted(os.listdir(shared)) if os.path.isdir(shared) else [])
+
+
+def test_xml_deeper_than_64_and_media_of_assets(spark):
+    deep = "<spine>" + "<clip>" * 80 + '<audio ref="r"><marker/></audio>' + "</clip>" * 80 + "</spine>"
+    assets = '<asset id="r" src="old"/><asset id="r" src="own"><media-rep/><media-rep src="late"/></asset><asset src="no id"/>'
+    got = T.fcpxml(spark.createDataFrame([("d", f'<fcpxml version="1.1">{assets}{deep}</fcpxml>')], "doc string, text string")).collect()
+    assert len(got) == 81 and [(r.idx, r.media, r.markers) for r in got if r.track_name == "A1"] == [(0, "own", 1)]
+    assert {(r.media, r.markers) for r in got if r.track_name == "V1"} == {(None, 0)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc string, text string")
     assert T.otio(none).count() == 0 == T.fcpxml(none).count()
