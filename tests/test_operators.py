@@ -229,3 +229,15 @@ def test_floor_before_the_epoch(spark):
     df = spark.createDataFrame([(-1, 5)], "mtime long, size long")
     assert S.daily_activity(df, -10, 0).first().day_start_ms == -86_400_000
     assert spark.range(1).select(C.day(F.lit(-1)).alias("d")).first().d == "1969-12-31"
+
+
+def test_audit_counts_tracks_without_sending_items_thrice(spark):
+    from tesserae.operators import timeline as T
+
+    cols = "doc int, track int, track_kind string, kind string, effects int, params int, markers int, link int"
+    items = spark.createDataFrame([(1, 0, "Video", "clip", 1, 0, 2, None), (1, 0, "Video", "gap", 0, 0, 0, 7), (1, 1, "Video", "clip", 0, 0, 0, None), (1, 0, "Audio", "clip", 0, 3, 0, None), (1, None, "Audio", "clip", 0, 0, 0, None), (2, 0, None, None, None, None, None, None)], cols)
+    got = T.audit(items, items.where("track = 0 and doc = 1"))
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    one, two = sorted(got.collect(), key=lambda r: r.doc)
+    assert (one.before_clips, one.before_video_tracks, one.before_audio_tracks, one.before_effects, one.before_markers, one.differs) == (4, 2, 1, 1, 2, "clips,audio,video_tracks")
+    assert (two.before_clips, two.before_effects, two.before_video_tracks, two.after_clips, two.differs) == (0, 0, 0, 0, "")
