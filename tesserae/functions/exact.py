@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ def _gunzip(x: bytes | None) -> bytes | None:
 
 
 def _zstd(data: Column | str, work: str, out: str, level: int, words: bytes | None) -> Column:
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # values stay in Arrow but for the one at work, and functions of one row share a worker, whatever their number
+    def run(values: pa.Array) -> pa.Array:
         import zstandard
 
         known = zstandard.ZstdCompressionDict(words) if words else None
@@ -87,10 +89,10 @@ def _zstd(data: Column | str, work: str, out: str, level: int, words: bytes | No
             except zstandard.ZstdError:
                 return None
 
-        for s in frames:
-            yield s.map(one)
+        return pa.array((one(x.as_py()) for x in values), pa.int64() if work == "size" else pa.binary())
 
-    return F.pandas_udf(run, out)(data)
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, out)(data)
 
 
 #: Bytes that a compressed value without a known size may grow to, and of a dictionary, at most.

@@ -138,3 +138,20 @@ def test_a_lost_binary_shard_comes_back(spark):
     left = every.where("not (shard = stripe % 4) and not (stripe = 5 and shard = 3)")
     got = {(r.stripe, r.shard): bytes(r.data) for r in K.recover(left, parity, sizes).collect()}
     assert got == {(s, i): bytes(d) for s, i, d in shards if i == s % 4 and s < 5}
+
+
+def test_zstd_functions_share_a_worker(spark):
+    """Packing and unpacking, plain and with words, are one evaluation of Python, not one process for each."""
+    from conftest import DATA
+    from pyspark.sql import functions as F
+
+    from tesserae.functions import exact as X
+    from tesserae.plans import queries
+
+    d = spark.createDataFrame([(b"",), (None,), (b"ab" * 9000,)], "x binary")
+    words = b"ab" * 300
+    out = d.select("x", X.unzstd(X.zstd("x")).alias("a"), X.unzstd(X.zstd("x", words=words), words=words).alias("b"), X.zstd_size("x").alias("n"), X.unzstd(F.lit(b"no")).alias("bad"))
+    plan = queries()["zstd_round_trip"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    got = out.collect()
+    assert all(r.x == r.a == r.b and r.bad is None for r in got) and [r.n is None for r in got] == [False, True, False]
