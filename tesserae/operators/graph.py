@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,27 @@ def flatten(roots: DataFrame, children: DataFrame, levels: int = 8) -> DataFrame
     return walk(roots.select(F.col("root").alias("start"), F.col("root").alias("node")), links, levels + 1).toDF("root", "node", "depth")
 
 
+def rollup(own: DataFrame, children: DataFrame, parts: int, levels: int = 8) -> DataFrame:
+    """(root, depth, leaves, ...): for each node of ``own`` (node, ...) the number of nodes at a depth below it and the sums of their other columns.
+
+    It is what grouping :func:`flatten` would give, but totals of a level come from those of the level below, so no pair of a node and
+    one above it is ever a row. Nodes with several ways to them count once for each. Work is in ``parts`` parts.
+    """
+    sums = [c for c in own.columns if c != "node"]
+    links = saved(children.select("parent", "child").repartition(parts, "child"))
+    level = own.select(F.col("node").alias("root"), F.lit(1).cast("long").alias("leaves"), *sums)
+    out = [level.withColumn("depth", F.lit(0))]
+    for depth in range(1, levels + 1):
+        up = links.join(level.repartition(parts, "root"), F.col("child") == F.col("root")).select(F.col("parent").alias("root"), "leaves", *sums)
+        level = saved(up.repartition(parts, "root").groupBy("root").agg(*(F.sum(c).alias(c) for c in ("leaves", *sums))))
+        if not level.take(1):
+            break
+        out.append(level.withColumn("depth", F.lit(depth)))
+    nodes = own.select(F.col("node").alias("root"))
+    below = reduce(DataFrame.unionByName, out[1:]).join(nodes, "root", "left_semi") if out[1:] else out[0].limit(0)
+    return out[0].unionByName(below).select("root", "depth", "leaves", *sums)
+
+
 def reachable(roots: DataFrame, entries: DataFrame) -> DataFrame:
     """Chunks of the manifests (manifest, chunk) that any root (manifest) names."""
     return entries.join(roots.distinct(), "manifest", "left_semi").select("chunk").distinct()

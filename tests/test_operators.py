@@ -241,3 +241,17 @@ def test_audit_counts_tracks_without_sending_items_thrice(spark):
     one, two = sorted(got.collect(), key=lambda r: r.doc)
     assert (one.before_clips, one.before_video_tracks, one.before_audio_tracks, one.before_effects, one.before_markers, one.differs) == (4, 2, 1, 1, 2, "clips,audio,video_tracks")
     assert (two.before_clips, two.before_effects, two.before_video_tracks, two.after_clips, two.differs) == (0, 0, 0, 0, "")
+
+
+def test_rollup_is_the_grouped_walk(spark):
+    from pyspark.sql import functions as F
+
+    from tesserae.operators import graph as G
+
+    # a tree, a node with two ways to it, a parent that is no node, a loop
+    links = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (99, 1), (7, 7)], "parent long, child long")
+    own = spark.createDataFrame([(k, 10 * k) for k in (1, 2, 3, 4, 5, 7)], "node long, b long")
+    for levels in (1, 3, 8):
+        walked = G.flatten(own.select(F.col("node").alias("root")), links, levels).join(own, "node").groupBy("root", "depth").agg(F.count("*").alias("leaves"), F.sum("b").alias("b"))
+        assert sorted(map(tuple, G.rollup(own, links, 3, levels).collect())) == sorted(map(tuple, walked.collect()))
+    assert G.rollup(own, links.limit(0), 3).count() == 6
