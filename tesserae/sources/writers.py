@@ -65,9 +65,11 @@ def pack_objects(objects: DataFrame, target: int = 64 << 20, level: int = 3) ->
         raw = PACK_MAGIC + struct.pack("<I", rows.num_rows) + body
         return pa.table({"pack": rows.column("pack")[:1], "n": pa.array([rows.num_rows], pa.int64()), "raw_bytes": pa.array([len(raw)], pa.int64()), "content": pa.array([zstandard.ZstdCompressor(level=level).compress(raw)], pa.binary())})
 
-    one = objects.select("hash", "data").dropDuplicates(["hash"]).withColumn("_size", F.octet_length("data").cast("long") + 36)
-    placed = prefix_until(one, ["hash"], "_size", []).withColumn("pack", F.floor(F.col("before") / target))
-    return placed.select("hash", "data", "pack").groupBy("pack").applyInArrow(build, "pack long, n long, raw_bytes long, content binary")
+    # sizes alone are placed; data moves once to lose its copies and once to its pack
+    sizes = objects.groupBy("hash").agg(F.max(F.octet_length("data").cast("long") + 36).alias("_size"))
+    placed = prefix_until(sizes, ["hash"], "_size", []).select("hash", F.floor(F.col("before") / target).alias("pack"))
+    one = objects.select("hash", "data").dropDuplicates(["hash"])
+    return one.join(placed, "hash").groupBy("pack").applyInArrow(build, "pack long, n long, raw_bytes long, content binary")
 
 
 def write_packs(objects: DataFrame, path: str, target: int = 64 << 20) -> DataFrame:

@@ -101,3 +101,15 @@ def test_objects_round_trip_and_refuse_damage(spark):
     assert {(r.offset, r.hash) for r in got} == {(i * 10, digest(f"1{i}")) for i in range(70)}
     hurt = built.select("hash", F.expr("substring(content, 1, octet_length(content) - 1)").alias("content"))
     assert {r.kind for r in O.parsed(hurt).collect()} == {"error"}
+
+
+def test_packs_move_data_twice(spark):
+    """Sizes are placed without their data, which no window sorts."""
+    import re
+
+    objects = spark.createDataFrame([("aa", b"x"), ("aa", b"x"), ("bb", b"yy")], "hash string, data binary")
+    q = W.pack_objects(objects, 300)._jdf.queryExecution()
+    text = q.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    seen = re.findall(r"\) (Exchange|Window)\nInput(?: \[\d+\])?: \[(.*?)\]", text)
+    assert "Window" in {k for k, _ in seen} and {k for k, cols in seen if "data#" in cols} == {"Exchange"}
+    assert sum("data#" in cols for _, cols in seen) <= 2
