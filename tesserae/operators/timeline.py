@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.scratch import saved
-
 
 def merge_notes(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """The merged notes (id, author, anchor, status, pin, attachment, created_ms) with the reason of a conflict, if any.
@@ -50,55 +48,87 @@ def answered_twice(notes: DataFrame) -> DataFrame:
     return rest.groupBy("author", "anchor", "first").agg(F.min("id").alias("second"))
 
 
-def apply_changelist(clips: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_changelist(clips: DataFrame, items: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The clips (doc, element, track, idx, start, dur, name, url) after a changelist, with ``gains``, and its ledger (doc, note, n, op, status).
 
     Items (doc, note, n, frame, op, amount, target) are pinned to the element at their frame before anything moves, and run in the order
     of frames, notes, then n. A name that several clips share leads to the first of them that is left. A delete ends a clip;
     what follows on a gone one is ``removed``. Cuts add up: one without a range to cut is ``no range``, one that would leave nothing
     ``refused``. A replacement sets the media of a clip that has one, else it is ``no media``. A gain always applies, and all of them stay in order.
-    Few items meet on a clip; they are folded in one value.
+    Few items meet on a clip; they are folded in one value, beside the clips of a name that items lead to. Both tables are dealt by doc, in
+    ``parts`` if given (one that lies so already stays where it is), and meet in unions and windows by doc, as joins on more than doc would move them again.
     """
-    hit = element_at(items.select("doc", "frame").distinct(), clips.where("dur is not null"))
-    pinned = saved(items.join(hit, ["doc", "frame"], "left").select("doc", "note", "n", "frame", "op", "amount", "target", "element"))
-    step = F.struct("frame", "note", "n", "op", "amount", "target")
-    steps = pinned.where("element is not null").groupBy("doc", "element").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    # clips of one name in their order; only names that items lead to are gathered
-    alike = clips.join(steps.select("doc", "element"), ["doc", "element"], "left_semi").groupBy("doc", "element")
-    alike = alike.agg(F.array_sort(F.collect_list(F.struct("track", "idx", "dur", F.col("url").isNotNull().alias("media")))).alias("clips"))
-    said = "array<struct<note:bigint,n:int,op:string,status:string,at:int,amount:bigint,target:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("cut"), F.array().cast(said).alias("said"))
+    dealt = [*([parts] if parts else []), "doc"]
+    clips, items = clips.repartition(*dealt), items.repartition(*dealt)
+    pinned = _pinned(clips, items)
+    own = F.struct("track", "idx", "start", "dur", "name", "url").alias("clip")
+    led = _led(clips.select("doc", "element", own), pinned.where("element is not null"))
+    led = led.select("doc", "element", "clips", _changes(told=False).alias("s"))
+    led = led.select("doc", "element", F.posexplode("clips").alias("nth", "c"), "s").where("coalesce(nth >= s.at, true)")  # a plain comparison would have the fold run twice, to see that it isn't null
+    left = led.select("doc", "element", "c.*", F.when(F.col("nth") == F.col("s.at"), F.col("s")).alias("s"))
+    place = (F.row_number().over(Window.partitionBy("doc", "track").orderBy("idx")) - 1).cast("long")
+    head, tail = F.coalesce("s.head", F.lit(0)), F.coalesce("s.tail", F.lit(0))
+    after = left.select(
+        "doc", "element", "track", place.alias("idx"), (F.col("start") + head).alias("start"), (F.col("dur") - head - tail).alias("dur"), "name", F.coalesce("s.url", "url").alias("url"), F.coalesce("s.gains", F.array().cast("array<bigint>")).alias("gains")
+    )
+    told = _led(clips.select("doc", "element", own), pinned).where("size(steps) > 0").select("doc", F.explode(_changes(told=True)["said"]).alias("r"))
+    return after, told.select("doc", "r.*")
+
+
+def _pinned(clips: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc, frame, element, steps): the items of each frame with the clip that holds it, as :func:`element_at` says, in windows by doc.
+
+    A frame stands on each track of its doc, behind the clips that begin at or before it; the one of them that ends last holds it if any does.
+    """
+    none, frame = F.lit(None), F.col("frame")
+    before = Window.partitionBy("doc", "track").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    c = clips.where("dur is not null").select("doc", "track", "dur", "element", F.coalesce(F.sum("dur").over(before), F.lit(0)).alias("at")).where("dur > 0")
+    c = c.select("doc", "at", "track", F.struct((F.col("at") + F.col("dur")).alias("end"), "element").alias("clip"))
+    frames = items.groupBy("doc", "frame").agg(F.lit(True).alias("looks"))
+    both = c.withColumn("looks", F.lit(False)).unionByName(frames.select("doc", frame.alias("at"), none.cast(c.schema["track"].dataType).alias("track"), none.cast(c.schema["clip"].dataType).alias("clip"), "looks"))
+    tracks = F.collect_set("track").over(Window.partitionBy("doc"))
+    both = both.withColumn("tracks", tracks).withColumn("track", F.explode(F.when(F.col("looks"), F.col("tracks")).otherwise(F.array("track"))))
+    upto = Window.partitionBy("doc", "track").orderBy("at", "looks").rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("clip", F.max("clip").over(upto)).where("looks and clip.end > at").select("doc", F.col("at").alias("frame"), "track", "clip.element")
+    steps = items.select("doc", "frame", F.struct("frame", "note", "n", "op", "amount", "target").alias("step"))
+    return hit.unionByName(steps, allowMissingColumns=True).groupBy("doc", "frame").agg(F.min_by("element", "track").alias("element"), F.collect_list("step").alias("steps"))
+
+
+def _led(clips: DataFrame, pinned: DataFrame) -> DataFrame:
+    """(doc, element, steps, clips): items in their order, and the clips of their name in theirs; a clip that none leads to is alone, and so are items of a frame without a clip."""
+    rows = clips.unionByName(pinned, allowMissingColumns=True)
+    led = F.max(F.col("steps").isNotNull()).over(Window.partitionBy("doc", "element")) & F.col("element").isNotNull()
+    rows = rows.withColumn("alone", F.when(~led, F.struct("clip.track", "clip.idx", "frame")))
+    return rows.groupBy("doc", "element", "alone").agg(F.sort_array(F.flatten(F.collect_list("steps"))).alias("steps"), F.sort_array(F.collect_list("clip")).alias("clips"))
+
+
+def _changes(told: bool) -> Column:
+    """What ``steps`` do to ``clips`` of one name: (at, cut, head, tail, url, gains) of the first clip that is left, and with ``told`` what is ``said`` of each."""
+    said, zero = "array<struct<note:bigint,n:int,op:string,status:string>>", F.lit(0).cast("long")
+    none = {"cut": zero, "head": zero, "tail": zero, "url": F.lit(None).cast("string"), "gains": F.array().cast("array<bigint>")}
+    begin = F.struct(F.lit(0).alias("at"), *(v.alias(n) for n, v in none.items()), *([F.array().cast(said).alias("said")] if told else []))
 
     def one(s: Column, x: Column) -> Column:
-        clip = F.get(F.col("clips"), s["at"])
-        trim = x["op"].isin("trim_in", "trim_out")
+        clip, trim = F.get(F.col("clips"), s["at"]), x["op"].isin("trim_in", "trim_out")
         status = (
-            F.when(s["at"] >= F.size("clips"), "removed").when(trim & clip["dur"].isNull(), "no range").when(trim & (clip["dur"] - s["cut"] - x["amount"] <= 0), "refused")
-            .when((x["op"] == "replace") & ~clip["media"], "no media").otherwise("applied")
+            F.when(F.size("clips") == 0, "no clip").when(s["at"] >= F.size("clips"), "removed").when(trim & clip["dur"].isNull(), "no range").when(trim & (clip["dur"] - s["cut"] - x["amount"] <= 0), "refused")
+            .when((x["op"] == "replace") & clip["url"].isNull(), "no media").otherwise("applied")
         )
-        done = status == "applied"
-        gone = done & (x["op"] == "delete")
-        row = F.struct(x["note"].alias("note"), x["n"].alias("n"), x["op"].alias("op"), status.alias("status"), s["at"].alias("at"), x["amount"].alias("amount"), x["target"].alias("target"))
-        cut = F.when(gone, F.lit(0).cast("long")).otherwise(s["cut"] + F.when(done & trim, x["amount"]).otherwise(0))
-        return F.struct((s["at"] + gone.cast("int")).alias("at"), cut.alias("cut"), F.concat(s["said"], F.array(row)).alias("said"))
-
-    run = steps.join(alike, ["doc", "element"]).select("doc", "clips", F.posexplode(F.aggregate("steps", begin, one)["said"]).alias("nth", "r"))
-    run = saved(run.select("doc", "nth", F.get("clips", F.col("r.at"))["track"].alias("track"), F.get("clips", F.col("r.at"))["idx"].alias("idx"), "r.note", "r.n", "r.op", "r.status", "r.amount", "r.target"))
-    lost = pinned.where("element is null").select("doc", "note", "n", "op", F.lit("no clip").alias("status"))
-    ledger = run.select("doc", "note", "n", "op", "status").unionByName(lost)
-    op = F.col("op")
-    total = lambda kind: F.coalesce(F.sum(F.when(op == kind, F.col("amount"))), F.lit(0))
-    per = run.where("status = 'applied'").groupBy("doc", "track", "idx").agg(
-        F.bool_or(op == "delete").alias("_gone"), total("trim_in").alias("_head"), total("trim_out").alias("_tail"), F.max_by(F.when(op == "replace", F.col("target")), F.when(op == "replace", F.col("nth"))).alias("_url"),
-        F.transform(F.array_sort(F.collect_list(F.when(op == "gain", F.struct("nth", "amount")))), lambda g: g["amount"]).alias("gains"),
-    )
-    left = clips.join(per, ["doc", "track", "idx"], "left").where("not coalesce(_gone, false)")
-    place = (F.row_number().over(Window.partitionBy("doc", "track").orderBy("idx")) - 1).cast("long")
-    head, tail = F.coalesce("_head", F.lit(0)), F.coalesce("_tail", F.lit(0))
-    after = left.select(
-        "doc", "element", "track", place.alias("idx"), (F.col("start") + head).alias("start"), (F.col("dur") - head - tail).alias("dur"), "name", F.coalesce("_url", "url").alias("url"), F.coalesce("gains", F.array().cast("array<bigint>")).alias("gains")
-    )
-    return after, ledger
+        return F.get(F.transform(F.array(status), lambda t: then(s, x, t)), 0)  # so that the status is found once
+
+    def then(s: Column, x: Column, status: Column) -> Column:
+        is_op = lambda kind: (status == "applied") & (x["op"] == kind)
+        gone, amount = is_op("delete"), F.coalesce(x["amount"], zero)
+        now = {
+            "cut": F.when(is_op("trim_in") | is_op("trim_out"), s["cut"] + x["amount"]).otherwise(s["cut"]), "head": F.when(is_op("trim_in"), s["head"] + amount).otherwise(s["head"]), "tail": F.when(is_op("trim_out"), s["tail"] + amount).otherwise(s["tail"]),
+            "url": F.when(is_op("replace"), x["target"]).otherwise(s["url"]), "gains": F.when(is_op("gain"), F.concat(s["gains"], F.array(x["amount"]))).otherwise(s["gains"]),
+        }
+        row = F.struct(x["note"].alias("note"), x["n"].alias("n"), x["op"].alias("op"), status.alias("status"))
+        same = [F.concat(s["said"], F.array(row)).alias("said")] if told else []
+        new = F.struct((s["at"] + 1).alias("at"), *(v.alias(n) for n, v in none.items()), *same)
+        return F.when(gone, new).otherwise(F.struct(s["at"].alias("at"), *(v.alias(n) for n, v in now.items()), *same))
+
+    return F.aggregate("steps", begin, one)
 
 
 def cherry_pick(source: DataFrame, target: DataFrame, picks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.operators import timeline as T
 from tesserae.plans.derived import ENTRIES, manifest_entries
 from tesserae.plans.registry import query, table
-from tesserae.scratch import saved
+from tesserae.scratch import buckets, saved
 
 _BASE_NOTES = "select o_orderkey as id, o_custkey % 50 as author, o_orderkey % 400 as anchor, case o_orderstatus when 'O' then 'OPEN' when 'F' then 'RESOLVED' else 'REJECTED' end as status, o_custkey % 5 as pin, o_orderpriority as attachment, o_orderkey * 1000 as created_ms from orders"
 _TURN = "case when o_orderkey % {a} = 0 then case status when 'OPEN' then '{to}' else 'OPEN' end else status end"
@@ -58,8 +58,8 @@ def notes_answered_twice(spark, sf_dir):
     return T.answered_twice(T.merge_notes(*_notes(spark, sf_dir)))
 
 
-def _clips(spark, sf_dir):
-    e, chunk = manifest_entries(spark, sf_dir), F.col("chunk")
+def _clips(spark, sf_dir, parts=None):
+    e, chunk = manifest_entries(spark, sf_dir, parts), F.col("chunk")
     return e.select(F.col("manifest").alias("doc"), F.concat(F.lit("e"), F.col("idx").cast("string")).alias("element"), (chunk % 3).alias("track"), "idx", (chunk % 50).alias("start"), F.col("len").alias("dur"), F.concat(F.lit("clip"), (chunk % 40).cast("string")).alias("name"), "chunk")
 
 
@@ -88,20 +88,26 @@ def cherry_picks(spark, sf_dir):
 _OPS = ["trim_in", "gain", "delete", "replace", "trim_out", "trim_out", "gain"]
 
 
-def _items(spark, sf_dir):
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    each = o.select(k.alias("doc"), "o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("i"))
+def _items(spark, sf_dir, parts):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), "o_custkey").repartition(parts, "doc")
+    each = o.select("doc", "o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("i"))
     i = F.col("i")
     op = F.element_at(F.array(*(F.lit(x) for x in _OPS)), ((F.col("doc") + i) % len(_OPS) + 1).cast("int"))
     frame = (F.col("o_custkey") * 7 + F.floor(i / 2) * (F.col("doc") % 3) * 50) % 1500
     return each.select("doc", F.floor(i / 2).alias("note"), (i % 2).cast("int").alias("n"), frame.alias("frame"), op.alias("op"), (F.col("o_custkey") % 90 + i).alias("amount"), F.concat(F.lit("shot"), i.cast("string")).alias("target"))
 
 
-def _named_clips(spark, sf_dir):
+def _named_clips(spark, sf_dir, parts):
     """Clips of which some share a name, some have no media, and some no range."""
-    c, chunk = _clips(spark, sf_dir), F.col("chunk")
+    c, chunk = _clips(spark, sf_dir, parts), F.col("chunk")
     none = F.lit(None)
-    return saved(c.select("doc", F.concat(F.lit("n"), (F.col("idx") % 4).cast("string")).alias("element"), "track", "idx", F.when(chunk % 10 > 0, F.col("start")).otherwise(none).alias("start"), F.when(chunk % 10 > 0, F.col("dur")).otherwise(none).alias("dur"), "name", F.when(chunk % 3 > 0, F.concat(F.lit("m"), (chunk % 9).cast("string"))).alias("url")))
+    return c.select("doc", F.concat(F.lit("n"), (F.col("idx") % 4).cast("string")).alias("element"), "track", "idx", F.when(chunk % 10 > 0, F.col("start")).otherwise(none).alias("start"), F.when(chunk % 10 > 0, F.col("dur")).otherwise(none).alias("dur"), "name", F.when(chunk % 3 > 0, F.concat(F.lit("m"), (chunk % 9).cast("string"))).alias("url"))
+
+
+def _changelist(spark, sf_dir):
+    """Clips after a changelist and its ledger; orders and lines are dealt by document once, into parts whose size does not grow with them."""
+    parts = buckets(table(spark, sf_dir, "lineitem").count())
+    return T.apply_changelist(_named_clips(spark, sf_dir, parts), _items(spark, sf_dir, parts), parts)
 
 
 _ITEMS = f"""nclips as (select doc, 'n' || idx % 4 as element, track, idx, case when chunk % 10 > 0 then start end as start, case when chunk % 10 > 0 then dur end as dur, name, case when chunk % 3 > 0 then 'm' || chunk % 9 end as url from clips),
@@ -118,7 +124,7 @@ r as (select distinct doc, element, 0::bigint as k, 0::bigint as a, 0::bigint as
 
 @query(f"""with recursive {_CLIPS}, {_ITEMS} select doc, note, n, op, status from r where k > 0 union all select doc, note, n, op, 'no clip' from pinned where element is null""")
 def changelist_ledger(spark, sf_dir):
-    return T.apply_changelist(_named_clips(spark, sf_dir), _items(spark, sf_dir))[1]
+    return _changelist(spark, sf_dir)[1]
 
 
 @query(f"""with recursive {_CLIPS}, {_ITEMS}, d as (select c.doc, c.track, c.idx, r.* exclude (doc) from r join alike c on c.doc = r.doc and c.element = r.element and c.a = r.hit where r.status = 'applied'),
@@ -126,7 +132,7 @@ per as (select doc, track, idx, bool_or(op = 'delete') as gone, coalesce(sum(amo
 select c.doc, c.element, c.track, (row_number() over (partition by c.doc, c.track order by c.idx) - 1)::bigint as idx, (start + coalesce(head, 0))::bigint as start, (dur - coalesce(head, 0) - coalesce(tail, 0))::bigint as dur, coalesce(p.url, c.url) as url, coalesce(gains, '') as gains
 from nclips c left join per p on p.doc = c.doc and p.track = c.track and p.idx = c.idx where not coalesce(gone, false)""")
 def changelist_clips(spark, sf_dir):
-    after = T.apply_changelist(_named_clips(spark, sf_dir), _items(spark, sf_dir))[0]
+    after = _changelist(spark, sf_dir)[0]
     return after.drop("name").withColumn("gains", F.array_join(F.transform("gains", lambda g: g.cast("string")), ","))
 
 

@@ -127,6 +127,24 @@ def test_changelist_moves_no_target(spark):
     assert got == [(0, "a", 4, 6, "new", [50, -3]), (1, "c", 0, 10, None, []), (2, "same", 0, 7, "second", []), (3, "bare", None, None, "m", [])]
 
 
+def test_changelist_moves_each_table_once(spark):
+    # names that no item leads to, no name at all, and a frame that two tracks hold
+    clips = [("a", 0, 0, 10), ("same", 1, 0, 20), ("same", 1, 1, 20), (None, 0, 1, 5), (None, 0, 2, 5)]
+    clips = spark.createDataFrame([(d, e, t, i, 0, n, e, "m") for d in (1, 2) for e, t, i, n in clips], "doc long, element string, track long, idx long, start long, dur long, name string, url string")
+    ops = [(1, 9, "trim_in", 3), (2, 12, "gain", 7), (3, 19, "delete", 0), (4, 25, "trim_out", 1), (5, None, "gain", 1)]
+    items = spark.createDataFrame([(1, n, 0, f, op, a, None) for n, f, op, a in ops], "doc long, note long, n int, frame long, op string, amount long, target string")
+    after, ledger = T.apply_changelist(clips, items, 3)
+    assert {r.note: r.status for r in ledger.collect()} == {1: "applied", 2: "no clip", 3: "no clip", 4: "applied", 5: "no clip"}
+    got = sorted(((r.doc, r.track, r.idx, r.element, r.start, r.dur) for r in after.collect()), key=str)
+    assert got == [
+        (1, 0, 0, "a", 3, 7), (1, 0, 1, None, 0, 5), (1, 0, 2, None, 0, 5), (1, 1, 0, "same", 0, 19), (1, 1, 1, "same", 0, 20),
+        (2, 0, 0, "a", 0, 10), (2, 0, 1, None, 0, 5), (2, 0, 2, None, 0, 5), (2, 1, 0, "same", 0, 20), (2, 1, 1, "same", 0, 20),
+    ]
+    for df in (after, ledger):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(doc" in plan and "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
+
+
 def test_empty_tables(spark):
     j = _entries(spark, [])
     for df in (J.fold(j), J.snapshot(j), J.conflicts(j), J.online_accept(j)):
