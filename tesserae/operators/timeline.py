@@ -71,12 +71,12 @@ def apply_changelist(clips: DataFrame, items: DataFrame, parts: int | None = Non
     after = left.select(
         "doc", "element", "track", place.alias("idx"), (F.col("start") + head).alias("start"), (F.col("dur") - head - tail).alias("dur"), "name", F.coalesce("s.url", "url").alias("url"), F.coalesce("s.gains", F.array().cast("array<bigint>")).alias("gains")
     )
-    told = _led(clips.select("doc", "element", own), pinned).where("size(steps) > 0").select("doc", F.explode(_changes(told=True)["said"]).alias("r"))
+    told = _led(clips.select("doc", "element", own), pinned).select("doc", F.explode(_changes(told=True)["said"]).alias("r"))
     return after, told.select("doc", "r.*")
 
 
 def _pinned(clips: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc, frame, element, steps): the items of each frame with the clip that holds it, as :func:`element_at` says, in windows by doc.
+    """(doc, frame, element, step): each item with the clip that holds its frame, as :func:`element_at` says, in windows by doc.
 
     A frame stands on each track of its doc, behind the clips that begin at or before it; the one of them that ends last holds it if any does.
     """
@@ -91,15 +91,16 @@ def _pinned(clips: DataFrame, items: DataFrame) -> DataFrame:
     upto = Window.partitionBy("doc", "track").orderBy("at", "looks").rowsBetween(Window.unboundedPreceding, 0)
     hit = both.withColumn("clip", F.max("clip").over(upto)).where("looks and clip.end > at").select("doc", F.col("at").alias("frame"), "track", "clip.element")
     steps = items.select("doc", "frame", F.struct("frame", "note", "n", "op", "amount", "target").alias("step"))
-    return hit.unionByName(steps, allowMissingColumns=True).groupBy("doc", "frame").agg(F.min_by("element", "track").alias("element"), F.collect_list("step").alias("steps"))
+    both = hit.unionByName(steps, allowMissingColumns=True)
+    return both.withColumn("element", F.min_by("element", "track").over(Window.partitionBy("doc", "frame"))).where("step is not null").select("doc", "frame", "element", "step")
 
 
 def _led(clips: DataFrame, pinned: DataFrame) -> DataFrame:
     """(doc, element, steps, clips): items in their order, and the clips of their name in theirs; a clip that none leads to is alone, and so are items of a frame without a clip."""
     rows = clips.unionByName(pinned, allowMissingColumns=True)
-    led = F.max(F.col("steps").isNotNull()).over(Window.partitionBy("doc", "element")) & F.col("element").isNotNull()
+    led = F.max(F.col("step").isNotNull()).over(Window.partitionBy("doc", "element")) & F.col("element").isNotNull()
     rows = rows.withColumn("alone", F.when(~led, F.struct("clip.track", "clip.idx", "frame")))
-    return rows.groupBy("doc", "element", "alone").agg(F.sort_array(F.flatten(F.collect_list("steps"))).alias("steps"), F.sort_array(F.collect_list("clip")).alias("clips"))
+    return rows.groupBy("doc", "element", "alone").agg(F.sort_array(F.collect_list("step")).alias("steps"), F.sort_array(F.collect_list("clip")).alias("clips"))
 
 
 def _changes(told: bool) -> Column:
