@@ -17,7 +17,7 @@ from tesserae.llm._shared import ship
 ship(__name__)
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
-#: Entries kept of words as written and of words without case and closing marks, and bytes of either; a full cache is emptied.
+#: Entries kept of words as written and of words without case and closing marks, and bytes of either; a full cache is emptied, but for words that are kept for good.
 WORDS_KEPT, CORES_KEPT, BYTES_KEPT = 800_000, 500_000, 64_000_000
 _CLOSING = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
@@ -69,22 +69,43 @@ class WordTokenizer:
     the vocabulary's merges directly, where a few probes show that this is the same. Other words go through whole.
     """
 
-    def __init__(self, path: str = DEFAULT):
-        self.tok = Tokenizer.from_file(path)
+    def __init__(self, path: str = DEFAULT, words: int = 1, cores: int = 1):
+        """The caches have one part in ``words`` and one in ``cores`` of their usual size."""
+        self.tok, self.shares = Tokenizer.from_file(path), (words, cores)
         self.bar = self.tok.encode("|", add_special_tokens=False).ids
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # native order, as Python workers and numpy views have it
         self.cores: dict[str, bytes] = {}
         self.cores_held, self.turn = 0, 0
+        self.kept, self.key = 0, None
         self._forget()
         letters = [chr(c) for c in range(0xAA, 0x100) if chr(c).isalpha() and chr(c) == chr(c).lower()]
         probes = ["the", "a", "internationalisation", "qzxvk", *letters, "".join(letters), *(f"re{c}st{c}d" for c in letters)]
         self.plain = self._same(probes)
 
     def _forget(self) -> None:
-        """Empty the index; ``turn`` tells that numbers have another meaning now."""
-        self.index, self.held, self.turn = _Index(), 0, self.turn + 1
-        self.flat, self.size, self.start = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Empty the index but for the words that are kept; ``turn`` tells that numbers have another meaning now."""
+        self.held, self.turn = 0, self.turn + 1
+        if not self.kept:
+            self.index = _Index()
+            self.flat, self.size, self.start = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
+        for word in self.index.names[self.kept :]:
+            del self.index[word]
+        del self.index.names[self.kept :]
+        self.size, self.start = self.size[: self.kept].copy(), self.start[: self.kept].copy()
+        self.flat = self.flat[: int(self.size.sum())].copy()
+
+    def keep(self, words: list[bytes], key: str) -> None:
+        """From now on the numbers from 0 are of ``words``, which are different and stay; nothing is done for the ``key`` of the last call."""
+        if key == self.key:
+            return
+        self.kept = 0
+        self._forget()
+        for at in range(0, len(words), 1 << 14):
+            self.numbers([words[at : at + (1 << 14)]])
+            self.kept = len(self.index.names)
+        self.held, self.key = 0, key
 
     def _same(self, probes: list[str]) -> bool:
         whole = [e.ids for e in self.tok.encode_batch_fast(probes, add_special_tokens=False)]
@@ -106,7 +127,7 @@ class WordTokenizer:
     def _learn(self, new: list[bytes]) -> None:
         parts = [self._split(w) for w in new]
         unknown = list({p for pair in parts for p in pair if p and p not in self.cores})
-        if len(self.cores) > CORES_KEPT or self.cores_held > BYTES_KEPT:
+        if len(self.cores) > CORES_KEPT // self.shares[1] or self.cores_held > BYTES_KEPT // self.shares[1]:
             self.cores.clear()
             self.cores_held = 0
             unknown = list({p for pair in parts for p in pair if p})
@@ -135,7 +156,7 @@ class WordTokenizer:
 
     def numbers(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """(the number of each word, how many words each text has) of texts given as their words; the ids of new words are learned."""
-        if len(self.index.names) > WORDS_KEPT or self.held > BYTES_KEPT:
+        if len(self.index.names) - self.kept > WORDS_KEPT // self.shares[0] or self.held > BYTES_KEPT // self.shares[0]:
             self._forget()
         count = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
@@ -161,9 +182,9 @@ class WordTokenizer:
         return self.ids(*self.numbers(split))
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer for a vocabulary file."""
-    return worker_cache("tok_" + str(abs(hash(path))), lambda: WordTokenizer(path))
+def tokenizer(path: str, words: int = 1, cores: int = 1) -> WordTokenizer:
+    """The worker's tokenizer for a vocabulary file, with one part in so many of the usual caches."""
+    return worker_cache(f"tok_{abs(hash(path))}_{words}_{cores}", lambda: WordTokenizer(path, words, cores))
 
 
 def by_size(rows: list, size, most: int = 2_000_000, rows_most: int = 256):

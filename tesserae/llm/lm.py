@@ -32,6 +32,8 @@ ship(__name__)
 FOLDS, HELD_OUT = 5, 1
 #: Words that travel as a dictionary, at most; all others are joined.
 HEAD = 1 << 18
+#: A worker that splits texts holds one part in so many of a tokenizer's usual caches.
+SHARE = (8, 2)
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 150_000
 #: What tasks counted or learned is added up in rounds, so many of them at a time.
@@ -49,6 +51,8 @@ NEIGHBOURS = 128
 BACKOFF = 5.0
 #: Windows scored together: so few that their numbers stay in the processor's cache.
 BLOCK = 96
+#: Rows of class scores worked on together, for the same reason.
+ROWS = 384
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -269,29 +273,59 @@ def start(vocab: int) -> dict:
     return m | {"C": np.zeros((SIZE, CLASSES), np.float32), "b": np.zeros(CLASSES, np.float32)}
 
 
+def _classed(m: dict, h: np.ndarray, odds: np.ndarray, state: np.ndarray, target: np.ndarray, share: np.float32, grads: dict, dh: np.ndarray) -> None:
+    """The gradient of rows of h into ``dh``, those of C and b added to ``grads``; a row whose target, a class, is below 0 has none."""
+    for at in range(0, len(h), ROWS):
+        own, t = h[at : at + ROWS], target[at : at + ROWS]
+        d, total = _chances(m, own, odds, state[at : at + ROWS])
+        good = t >= 0
+        d *= (good * share / total).astype(h.dtype)[:, None]
+        row = np.flatnonzero(good)
+        d[row, t[row]] -= share
+        np.matmul(d, m["C"].T, out=dh[at : at + ROWS])
+        grads["C"] += own.T @ d
+        grads["b"] += np.ones(len(d), d.dtype) @ d
+
+
 def _gradients(m: dict, w: np.ndarray, t: np.ndarray, first: np.ndarray, known: dict) -> dict:
-    """The gradients of the mean loss of windows; that of E only for the ids used, with them."""
-    f = np.float32
-    r = _forward(m, w, first)
-    d, total = _chances(m, r["h"], _odds(m, known["prior"]), known["state"][w[:, CONTEXT:].ravel()])
-    good = (t >= 0).ravel()
-    d *= (good / (total * f(good.sum()))).astype(f)[:, None]
-    at = np.flatnonzero(good)
-    d[at, known["group"][t.ravel()[at]]] -= f(1 / good.sum())
+    """The gradients of the mean loss of windows; that of E only for the ids used, with them. Few windows are worked on at a time, so that numbers stay in the processor's cache."""
+    f = m["E"].dtype.type
+    grads = {n: np.zeros_like(u) for n, u in m.items() if n != "E"}
+    odds, share, scale = _odds(m, known["prior"]), f(1 / (t >= 0).sum()), f(SIZE**-0.5)
+    dx = np.empty((*w.shape, SIZE), f)
     flat = lambda u: u.reshape(-1, u.shape[-1])
-    dh = (d @ m["C"].T).reshape(r["h"].shape)
-    do = (dh @ m["O"].T) / r["s"][:, :, None]
-    da = do @ r["v"].transpose(0, 2, 1)
-    da -= (do * r["o"]).sum(2, keepdims=True)
-    ds = da * r["a"]
-    dq, dk, dv = ds @ r["k"], ds.transpose(0, 2, 1) @ r["q"][:, CONTEXT:], r["a"].transpose(0, 2, 1) @ do
-    dx = dk @ m["K"].T + dv @ m["V"].T
-    scale = f(SIZE**-0.5)
-    dx[:, CONTEXT:] += dh + dq @ (m["Q"].T * scale)
-    ids, back = np.unique(w, return_inverse=True)
-    de = np.bincount((back.reshape(-1, 1) * SIZE + np.arange(SIZE)).ravel(), dx.ravel(), len(ids) * SIZE).reshape(-1, SIZE)
-    xq = r["x"][:, CONTEXT:]
-    return {"ids": ids, "E": de, "P": dx.sum(0), "Q": flat(xq).T @ flat(dq) * scale, "K": flat(r["x"]).T @ flat(dk), "V": flat(r["x"]).T @ flat(dv), "O": flat(r["o"]).T @ flat(dh), "C": flat(r["h"]).T @ d, "b": d.sum(0)}
+    for at in range(0, len(w), BLOCK):
+        own, target = w[at : at + BLOCK], t[at : at + BLOCK].ravel()
+        r = _forward(m, own, first[at : at + BLOCK])
+        dh = np.empty_like(r["h"])
+        _classed(m, flat(r["h"]), odds, known["state"][own[:, CONTEXT:].ravel()], np.where(target < 0, target, known["group"][target]), share, grads, flat(dh))
+        do = dh @ m["O"].T
+        do /= r["s"][:, :, None]
+        ds = do @ r["v"].transpose(0, 2, 1)
+        ds -= (do * r["o"]).sum(2, keepdims=True)
+        ds *= r["a"]
+        each = np.zeros((*own.shape, 3, SIZE), f)  # of q, k and v, beside each other
+        each[:, CONTEXT:, 0], each[:, :, 1], each[:, :, 2] = ds @ r["k"], ds.transpose(0, 2, 1) @ r["q"][:, CONTEXT:], r["a"].transpose(0, 2, 1) @ do
+        each = each.reshape(-1, 3 * SIZE)
+        wide = flat(r["x"]).T @ each
+        grads["Q"] += wide[:, :SIZE] * scale
+        grads["K"] += wide[:, SIZE : 2 * SIZE]
+        grads["V"] += wide[:, 2 * SIZE :]
+        grads["O"] += flat(r["o"]).T @ flat(dh)
+        part = dx[at : at + BLOCK]
+        np.matmul(each, np.concatenate([m["Q"] * scale, m["K"], m["V"]], 1).T, out=flat(part))
+        part[:, CONTEXT:] += dh
+        grads["P"] += part.sum(0)
+    ids, de = _by_id(w.ravel(), flat(dx), len(m["E"]))
+    return grads | {"ids": ids, "E": de}
+
+
+def _by_id(w: np.ndarray, dx: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different ids, the sum of their rows of dx)."""
+    order = np.argsort(w.astype(np.uint16) if vocab <= 1 << 16 else w, kind="stable")  # 16 bits are sorted by their digits
+    own = w[order]
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[begin], np.add.reduceat(dx[order], begin, axis=0)
 
 
 def _adam(m: dict, grads: dict, one: dict, two: dict, step: int, rate: float) -> None:
@@ -428,23 +462,18 @@ def score_ids(model: dict, texts: list[np.ndarray]) -> np.ndarray:
 
 
 class _Base:
-    """The base of texts as far as the dictionary goes: its logs by the tokenizer's numbers of words."""
+    """The base of texts as far as the dictionary goes, whose words have the tokenizer's first numbers."""
 
-    def __init__(self, tok, head: dict[bytes, float]):
-        self.tok, self.head, self.turn, self.logs = tok, head, None, np.zeros(0)
+    def __init__(self, tok, head: pa.RecordBatch, key: str):
+        tok.keep(head.column(0).to_pylist(), key)
+        self.tok, self.logs = tok, np.append(head.column(1), 0.0)
 
     def __call__(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """(sum of logs, known words, counts of the other words) of each text."""
-        if self.turn != self.tok.turn:
-            self.turn, self.logs = self.tok.turn, np.zeros(0)
-        names = self.tok.index.names
-        if len(self.logs) < len(names):
-            get = self.head.get
-            self.logs = np.append(self.logs, [get(w, math.nan) for w in names[len(self.logs) :]])
-        log = self.logs[at]
-        other = np.isnan(log)
+        names, most = self.tok.index.names, len(self.logs) - 1
+        other = at >= most
         own = np.repeat(np.arange(len(count)), count)
-        base = np.bincount(own, np.where(other, 0.0, log), len(count))
+        base = np.bincount(own, self.logs[np.minimum(at, most)], len(count))
         cell, n = np.unique(own[other] * len(names) + at[other], return_counts=True)
         cut = np.searchsorted(cell, np.arange(len(count) + 1) * len(names))
         words = pa.array([names[i] for i in (cell % max(1, len(names))).tolist()], pa.binary()).cast(pa.string())
@@ -454,9 +483,9 @@ class _Base:
 
 def _split(batches: Iterator[pa.RecordBatch], shared, path: str) -> Iterator[pa.RecordBatch]:
     """The ids of each text, and its base as far as the dictionary goes."""
-    head, end_log, end_known = shared.value
-    tok = tokenizer(path)
-    based = _Base(tok, head)
+    key, head, end_log, end_known = shared.value
+    tok = tokenizer(path, *SHARE)
+    based = _Base(tok, head, key)
     row = _task() << 40
     for b in batches:
         docs = list(zip(b.column(0).to_pylist(), b.column(1)))
@@ -495,9 +524,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     total, closed = total or 0, closed or 0
     whole = total + 0.5 * (distinct + 1)
     log = lambda c: math.log10((c + 0.5) / whole)
-    top = counts.where("word <> ''").orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    head = {w.encode(): log(c) for w, c in zip(top.column("word").to_pylist(), top.column("c").to_pylist())}
-    shared = spark.sparkContext.broadcast((head, log(closed), int(closed > 0)))
+    top = counts.where("word <> ''").orderBy(F.desc("c"), "word").limit(HEAD).toArrow().combine_chunks()
+    words = pa.chunked_array(top.column("word").chunks, pa.string()).combine_chunks().cast(pa.binary())
+    head = pa.RecordBatch.from_arrays([words, pa.array([log(c) for c in top.column("c").to_pylist()], pa.float64())], names=["word", "log"])
+    shared = spark.sparkContext.broadcast((scratch.base, head, log(closed), int(closed > 0)))
     split = map_arrow(rows, partial(_split, shared=shared, path=tokenizer_path), "row long, doc_id long, n_tokens long, n_known long, base_score double, tail array<struct<w: string, n: bigint>>, ids binary")
     split = scratch.write(split, "ids")
     tok = tokenizer(tokenizer_path)

@@ -11,6 +11,7 @@ import math
 import os
 import random
 import re
+import types
 import unicodedata
 import zlib
 
@@ -519,6 +520,34 @@ def test_subwords_after_forgetting(monkeypatch):
     assert t.encode_batch([]) == [] and t.turn > 2
 
 
+def test_subwords_keep_words(monkeypatch):
+    """Words that are kept have the first numbers and their ids, however often the others are forgotten."""
+    monkeypatch.setattr(_subwords, "WORDS_KEPT", 8)
+    t = _subwords.WordTokenizer(words=2)
+    for key, keep in (("a", [b"the", b"colou\xc3\xa9r,", b"of"]), ("b", [b"qzxvk"]), ("c", [])):
+        t.keep(keep, key)
+        for k in range(30):
+            text = f"the w{k} of qzxvk x{k} colou\u00e9r, y{k}".split()
+            at, count = t.numbers([[w.encode() for w in text]])
+            assert [t.index.names[i].decode() for i in at.tolist()] == text
+            assert t.ids(at, count)[0].tolist() == t.tok.encode(" ".join(text), add_special_tokens=False).ids
+            assert t.index.names[: len(keep)] == keep and len(t.index.names) <= len(keep) + 4 + len(text)
+        assert t.turn > 3
+
+
+def test_lm_splits_with_few_words_held(monkeypatch):
+    """A worker holds the dictionary's words once and few others, so that its memory does not grow with the different words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(_subwords, "WORDS_KEPT", 800)
+    head = pa.RecordBatch.from_arrays([pa.array([b"the", b"of"]), pa.array([-1.0, -2.0])], names=["word", "log"])
+    shared = types.SimpleNamespace(value=("few words", head, -3.0, 1))
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": k, "text": f"the of the {' '.join(f'w{k}x{j}' for j in range(50))}"}]) for k in range(60)]
+    rows = [r for b in lm._split(iter(batches), shared, DEFAULT) for r in b.to_pylist()]
+    assert [(r["n_tokens"], r["n_known"], r["base_score"], len(r["tail"])) for r in rows] == [(54, 4, -7.0, 50)] * 60
+    assert len(tokenizer(DEFAULT, *lm.SHARE).index.names) <= 2 + 800 // lm.SHARE[0] + 50
+
+
 def _held_out(rows, labels, column):
     known = {r["doc_id"]: r[column] for r in labels.collect()}
     hit = [(r.score, r.predicted, known[r.doc_id]) for r in rows if r.held_out and r.doc_id in known]
@@ -794,6 +823,21 @@ def test_lm_gradients_are_those_of_the_loss(monkeypatch):
             assert full[n][at] == pytest.approx((loss(more) - loss(less)) / 2e-3, rel=0.02, abs=2e-4), n
 
 
+def test_lm_gradients_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    vocab = 60
+    m = {n: (rng.normal(size=w.shape) * 0.3).astype(np.float32) for n, w in lm.start(vocab).items()}
+    known = _known(np.arange(vocab) % lm.CLASSES)
+    w, t = (np.concatenate(x) for x in zip(*(lm.windows(rng.integers(0, vocab - 1, n), vocab - 1) for n in (0, 5, 24, 100, 300))))
+    first = rng.random(len(w)) < 0.3
+    want = lm._gradients(m, w, t, first, known)
+    monkeypatch.setattr(lm, "BLOCK", 4)
+    monkeypatch.setattr(lm, "ROWS", 17)
+    got = lm._gradients(m, w, t, first, known)
+    assert want["ids"].tolist() == got["ids"].tolist() == np.unique(w).tolist()
+    assert all(np.allclose(want[n], got[n], atol=1e-6) for n in m)
+
+
 def test_lm_learns():
     vocab, group = 30, np.arange(30) % lm.CLASSES
     texts = [np.tile([1, 2, 3, 4], 12) for _ in range(40)]
