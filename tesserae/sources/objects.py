@@ -121,6 +121,7 @@ def manifests(entries: DataFrame, fan: int = FAN) -> DataFrame:
     level = saved(entries.select("manifest", "idx", "offset", "len", "hash", part).groupBy("manifest", "part").applyInArrow(leaf, _OBJECT))
     out = level.withColumn("level", F.lit(0))
     for depth in range(1, 9):
+        level = level.drop("content")
         open_ = level.join(level.where("part > 0").select("manifest").distinct(), "manifest", "left_semi")
         if not open_.take(1):
             break
@@ -130,6 +131,21 @@ def manifests(entries: DataFrame, fan: int = FAN) -> DataFrame:
     return out.drop("part")
 
 
+def _opened(name: str, data: bytes) -> tuple[str, np.ndarray]:
+    """The kind and the rows of a manifest object; an error for what does not parse or has another digest."""
+    if hashlib.sha256(data or b"").hexdigest() != name:
+        raise ValueError("another digest")
+    kind = "leaf" if data[:4] == LEAF else "node"
+    rows = _read(data, LEAF, _ENTRY) if kind == "leaf" else _read(data, NODE, _CHILD)
+    if kind == "leaf" and (np.diff(rows["offset"].astype(np.int64)) <= 0).any():
+        raise ValueError("not in order")
+    return kind, rows
+
+
+def _digests(rows: np.ndarray) -> pa.Array:
+    return pa.array([h.tobytes().hex() for h in rows["hash"]], pa.string())
+
+
 _ROW = "hash string, kind string, idx long, offset long, len long, child string, count long"
 
 
@@ -141,14 +157,9 @@ def parsed(objects: DataFrame) -> DataFrame:
         for b in batches:
             for name, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    if hashlib.sha256(cell or b"").hexdigest() != name:
-                        raise ValueError("another digest")
-                    kind = "leaf" if cell[:4] == LEAF else "node"
-                    rows = _read(cell, LEAF, _ENTRY) if kind == "leaf" else _read(cell, NODE, _CHILD)
-                    if kind == "leaf" and (np.diff(rows["offset"].astype(np.int64)) <= 0).any():
-                        raise ValueError("not in order")
+                    kind, rows = _opened(name, cell)
                     n, none = len(rows), pa.nulls(len(rows), pa.int64())
-                    child = pa.array([h.tobytes().hex() for h in rows["hash"]], pa.string())
+                    child = _digests(rows)
                     offset = pa.array(rows["offset"].astype(np.int64)) if kind == "leaf" else none
                     size = pa.array(rows["len" if kind == "leaf" else "total"].astype(np.int64))
                     count = none if kind == "leaf" else pa.array(rows["count"].astype(np.int64))
@@ -161,14 +172,33 @@ def parsed(objects: DataFrame) -> DataFrame:
 
 
 def flattened(roots: DataFrame, objects: DataFrame) -> DataFrame:
-    """(root, offset, len, hash): the chunks of each root (root: a digest), through as many levels of nodes as there are."""
-    rows = saved(parsed(objects))
-    nodes, level = rows.where("kind = 'node'"), roots.select("root", F.col("root").alias("hash"))
-    out = None
+    """(root, ..., offset, len, hash): the chunks of each root (root: a digest, and any other columns), through as many levels of nodes as there are.
+
+    ``objects`` (hash, content) may hold an object several times. Nodes, few beside their leaves, tell which leaves a root
+    has; a leaf moves once, to meet those that want it, and is parsed there.
+    """
+    node = F.substring("content", 1, len(NODE)) == F.lit(bytearray(NODE))
+    kept = roots.columns
+    nodes = saved(parsed(objects.where(node).dropDuplicates(["hash"])).where("kind = 'node'").select(F.col("hash").alias("_object"), "child"))
+    level = roots.select(*kept, F.col("root").alias("_object"))
+    wanted = level
     for _ in range(9):
-        found = level.join(rows.where("kind = 'leaf'"), "hash").select("root", "offset", "len", F.col("child").alias("hash"))
-        out = found if out is None else out.unionByName(found)
-        level = saved(level.join(nodes, "hash").select("root", F.col("child").alias("hash")))
+        level = saved(level.join(nodes, "_object").select(*kept, F.col("child").alias("_object")))
         if not level.take(1):
             break
-    return out
+        wanted = wanted.unionByName(level)
+    leaves = objects.where(~node).dropDuplicates(["hash"]).select(F.col("hash").alias("_object"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, (name, cell) in enumerate(zip(b.column("_object").to_pylist(), b.column("content"))):
+                try:
+                    kind, rows = _opened(name, cell.as_py())
+                except ValueError:
+                    continue
+                if kind == "leaf":
+                    own = b.select(kept).take(pa.array(np.full(len(rows), at)))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rows["offset"].astype(np.int64)), pa.array(rows["len"].astype(np.int64)), _digests(rows)], names=[*kept, "offset", "len", "hash"])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in roots.schema), "offset long, len long, hash string"])
+    return wanted.join(leaves, "_object").select(*kept, "_object", "content").mapInArrow(run, schema)

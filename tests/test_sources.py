@@ -103,6 +103,22 @@ def test_objects_round_trip_and_refuse_damage(spark):
     assert {r.kind for r in O.parsed(hurt).collect()} == {"error"}
 
 
+def test_leaves_move_once_however_often_they_are_stored(spark):
+    import hashlib
+    import re
+
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    entries = spark.createDataFrame([(m, i, i * 10, 10, digest(f"{i}")) for m in (1, 2, 3) for i in range(40 * (1 + m // 3))], "manifest long, idx long, offset long, len long, hash string")
+    built = O.manifests(entries, fan=8)
+    top = built.groupBy("manifest").agg(F.max_by("hash", "level").alias("root"))
+    got = O.flattened(top, built.unionByName(built).select("hash", "content"))  # 1 and 2 are the same object, and each is held twice and more
+    text = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\) (?:Broadcast)?Exchange\nInput(?: \[\d+\])?: \[(.*?)\]", text)
+    assert sum("content#" in cols or "first" in cols for cols in moved) == 1
+    want = sorted((m, i * 10, 10, digest(f"{i}")) for m in (1, 2, 3) for i in range(40 * (1 + m // 3)))
+    assert sorted((r.manifest, r.offset, r.len, r.hash) for r in got.collect()) == want
+
+
 def test_packs_move_data_twice(spark):
     """Sizes are placed without their data, which no window sorts."""
     import re
